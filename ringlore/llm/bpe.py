@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -179,9 +180,15 @@ class RankBpe:
         return flat[where], np.diff(ends[token_ends])
 
 
+@cache
+def rank_coder(path: str, pattern: str) -> TextCoder:
+    """The coder of a rank file; a Python worker keeps it, and its memo, from task to task."""
+    return TextCoder(RankBpe(read_ranks(path), pattern).encode_pieces, drop_space=False)
+
+
 def _encode_task(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = TextCoder(RankBpe(read_ranks(path), pattern).encode_pieces, drop_space=False)
+        coder = rank_coder(path, pattern)
         for batch in slices(batches, "text"):
             ids, at = coder.encode(batch.column("text"))
             cells = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view(np.int32)))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .textcodes import TextCoder, as_binary, library_encoder, slices
+from .textcodes import as_binary, library_coder, slices
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -97,7 +97,7 @@ class SumOfSquares:
 
 def _pack_task(tokenizer: str, end_id: int, size: int, most_open: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = TextCoder(library_encoder(tokenizer), drop_space=False)
+        coder = library_coder(tokenizer, False)
         base = TaskContext.get().partitionId() << 32
         done: list[list[Piece]] = []
         packer = SumOfSquares(size, done.append, most_open)

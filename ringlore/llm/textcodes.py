@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ PieceEncoder = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 #: White space right before a space: then the space is not the start of a piece.
 _WIDE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 _SPACED = re.compile(r"\s(?: |\Z)")
+_NOT_LATIN = re.compile(r"[^\t-\r -~\xa1-\xac\xae-\u024f]")
 _PIECE = re.compile(r".+?(?:(?<=\w)(?= )|\Z)", re.S)
 
 
@@ -45,28 +47,45 @@ class _Store:
         self.n, self.used = n, m
         return first
 
+    def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces one after the other, sizes)."""
+        size = self.size[codes]
+        where = np.repeat(self.start[codes] - (np.cumsum(size) - size), size)
+        where += np.arange(len(where))
+        return self.flat[where], size
+
 
 class TextCoder:
     """Encodes string arrays.
 
     ``drop_space``: white space separates pieces and has no ids (word tokenizers); otherwise a
     piece is a space and what follows it up to the next one (byte-level tokenizers).
-    ``limit``: pieces that the memo may hold; beyond it, the memo starts anew.
+    ``limit``: pieces that either half of the memo may hold.  New and used pieces go to the young half; when it
+    is full it becomes the old half, and what the old one held and nothing used is forgotten.
     """
 
-    def __init__(self, encode: PieceEncoder, drop_space: bool, limit: int = 600_000) -> None:
+    def __init__(self, encode: PieceEncoder, drop_space: bool, limit: int = 400_000) -> None:
         self.encode_pieces, self.drop_space, self.limit = encode, drop_space, limit
         self.seen: dict[str, int] = {}
         self.store = _Store()
+        self.old, self.old_store = self.seen, self.store
+
+    def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = self.store.add(ids, sizes)
+        self.seen.update(zip(pieces, range(first, first + len(pieces))))
 
     def _codes(self, pieces: list[str]) -> np.ndarray:
         got = np.array([self.seen.get(p, -1) for p in pieces], np.int64)
-        if (got < 0).any():
-            new = list(dict.fromkeys(pieces[i] for i in np.flatnonzero(got < 0).tolist()))
-            first = self.store.add(*self.encode_pieces(new))
-            self.seen.update(zip(new, range(first, first + len(new))))
-            got = np.array([self.seen[p] for p in pieces], np.int64)
-        return got
+        if (got >= 0).all():
+            return got
+        new = list(dict.fromkeys(pieces[i] for i in np.flatnonzero(got < 0).tolist()))
+        held = np.array([self.old.get(p, -1) for p in new], np.int64)
+        if (held >= 0).any():
+            self._add([new[i] for i in np.flatnonzero(held >= 0).tolist()], *self.old_store.gather(held[held >= 0]))
+            new = [new[i] for i in np.flatnonzero(held < 0).tolist()]
+        if new:
+            self._add(new, *self.encode_pieces(new))
+        return np.array([self.seen[p] for p in pieces], np.int64)
 
     def _numbered(self, values: pa.Array, prefix: str = "") -> np.ndarray:
         coded = values.dictionary_encode()
@@ -97,22 +116,18 @@ class TextCoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts as uint32, offsets: one more than texts). Null counts as empty."""
         if self.store.n > self.limit:
-            self.seen.clear()
-            self.store = _Store()
+            self.old, self.old_store, self.seen, self.store = self.seen, self.store, {}, _Store()
         if pa.types.is_large_string(texts.type):
             texts = texts.cast(pa.string())
         texts = pc.fill_null(texts, "")
         if not len(texts):
             return np.empty(0, np.uint32), np.zeros(1, np.int64)
         codes, at = self._pieces(texts)
-        size = self.store.size[codes]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        where = np.repeat(self.store.start[codes] - ends[:-1], size)
-        where += np.arange(len(where))
-        return self.store.flat[where], ends[at]
+        ids, size = self.store.gather(codes)
+        return ids, np.concatenate([[0], np.cumsum(size)])[at]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``most`` characters of ``column`` (or one row)."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -130,21 +145,35 @@ def as_binary(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, at, pa.py_buffer(np.ascontiguousarray(ids))])
 
 
+#: Fixed values of byte-level BPE: its split into words, where the file names none, and the bytes that stand for themselves.
+BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN_BYTES = (*range(33, 127), *range(161, 173), *range(174, 256))
+
+
+def byte_alphabet() -> str:
+    """The character that stands for each byte: itself, or else the next one from 256 on."""
+    rest = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(PLAIN_BYTES)))}
+    return "".join(rest.get(b, chr(b)) for b in range(256))
+
+
 def library_encoder(path: str, per_call: int = 512) -> PieceEncoder:
     """Pieces by a byte-level BPE file of the ``tokenizers`` library, without special tokens.
 
-    Many pieces are encoded as one text, which costs the library far less than one text each; the
-    bytes that each id stands for then tell where a piece ends.  Where they can't tell (unusual white
-    space, the first piece of a text), each piece is a text of its own.
+    Most of the library's time goes to what it keeps of a text's every character.  So pieces in Latin letters, in
+    which white space is plain, are normalised and split together and only their words go to the library's
+    model; all others go through its whole ``encode``.
     """
+    import json
+
+    import regex
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
-    word_end = tok.model.end_of_word_suffix or ""
-    n_bytes = np.zeros(tok.get_vocab_size(with_added_tokens=True), np.int64)
-    for token, i in tok.get_vocab(with_added_tokens=True).items():
-        n_bytes[i] = len(token) - (len(word_end) if word_end and token.endswith(word_end) else 0)
+    steps = json.loads(tok.to_str())["pre_tokenizer"]
+    pattern = next((p["pattern"]["Regex"] for p in steps.get("pretokenizers", []) if p["type"] == "Split"), BYTE_LEVEL_SPLIT)
+    split, tokenize, letters = regex.compile(pattern).findall, tok.model.tokenize, byte_alphabet()
+    words_only = bool(tok.model.end_of_word_suffix)
 
     def one_by_one(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out = [e.ids for e in tok.encode_batch(pieces, add_special_tokens=False)]
@@ -152,22 +181,29 @@ def library_encoder(path: str, per_call: int = 512) -> PieceEncoder:
         return np.fromiter((i for ids in out for i in ids), np.uint32, int(sizes.sum())), sizes
 
     def together(pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        text = " ".join(pieces) if word_end else "".join(pieces)
-        if not text.isprintable() if word_end else text[0] != " " or _SPACED.search(text):
-            return None
-        seen = tok.normalizer.normalize_str(text) if word_end else text
-        raw = np.frombuffer(seen.encode(), np.uint8)
-        gaps = np.flatnonzero(raw == 32)
-        if len(gaps) != len(pieces) - bool(word_end):
+        text = " ".join(pieces) if words_only else "".join(pieces)
+        if _NOT_LATIN.search(text) or (not text.isprintable() if words_only else text[0] != " " or _SPACED.search(text)):
             return None
-        ends = np.append(gaps if word_end else gaps[1:], len(raw))
-        ends -= np.arange(len(ends)) if word_end else 0
-        ids = np.array(tok.encode(text, add_special_tokens=False).ids, np.uint32)
-        ids_end = np.cumsum(n_bytes[ids])
-        cut = np.searchsorted(ids_end, ends, "right")
-        if len(ids) == 0 or ids_end[-1] != ends[-1] or (cut == 0).any() or (ids_end[cut - 1] != ends).any():
-            return None
-        return ids, np.diff(cut, prepend=0)
+        if words_only:
+            parts = (text.lower() if text.isascii() else tok.normalizer.normalize_str(text)).split(" ")
+            if len(parts) != len(pieces):
+                return None
+            text = " ".join(parts)
+        else:
+            parts = pieces
+        words = split(text)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        of_piece = np.searchsorted(np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))), ends, "left")
+        raw = "".join(words)
+        if not raw.isascii():
+            ends = np.cumsum([len(w.encode()) for w in words])
+        raw, at, sizes, ids = raw.encode().decode("latin-1").translate(letters), 0, [], []
+        for end in ends.tolist():
+            got = [t.id for t in tokenize(raw[at:end])]
+            ids += got
+            sizes.append(len(got))
+            at = end
+        return np.array(ids, np.uint32), np.bincount(of_piece, sizes, len(pieces)).astype(np.int64)
 
     def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         groups = [pieces[i : i + per_call] for i in range(0, len(pieces), per_call)]
@@ -175,3 +211,9 @@ def library_encoder(path: str, per_call: int = 512) -> PieceEncoder:
         return np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
 
     return encode
+
+
+@cache
+def library_coder(path: str, drop_space: bool) -> TextCoder:
+    """The coder of a tokenizer file; a Python worker keeps it, and its memo, from task to task."""
+    return TextCoder(library_encoder(path), drop_space)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import new_path, remove, running_total, text_of
-from .textcodes import TextCoder, as_binary, library_encoder, slices
+from .textcodes import as_binary, library_coder, slices
 
 WINDOW, LEAST, MEAN_BITS, MOST = 32, 64, 9, 4096
 #: digests that a task remembers in order not to send a chunk twice
@@ -84,7 +84,7 @@ def _stage_task(tokenizer: str, end_id: int, width: int):
     kinds = [pa.int64()] * 3 + [pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = TextCoder(library_encoder(tokenizer), drop_space=True)
+        coder = library_coder(tokenizer, True)
         squeeze = zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False).compress
         row, sent = TaskContext.get().partitionId() << 40, set()
         for batch in slices(batches, "text"):
