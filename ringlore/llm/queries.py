@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, pii, simhash, token_store
+from . import ann, bpe, exact_dedup, packing, pii, simhash, token_store
 from .common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,10 @@ def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode_documents(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -58,7 +62,7 @@ def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_store, op2_sum_of_squares_packing, op3_exact_dedup, op5_personal_data, op6_simhash_near_duplicates, op9_byte_level_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_store, op2_sum_of_squares_packing, op3_exact_dedup, op5_personal_data, op6_simhash_near_duplicates, op8_learned_partitions, op9_byte_level_bpe)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
