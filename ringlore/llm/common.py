@@ -67,3 +67,18 @@ def running_total(df: DataFrame, order: list[str], value: str, out: str, rows_pe
     inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_run", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return df.join(F.broadcast(totals), "_range").withColumn(out, (F.col("_base") + F.col("_run")).cast("long")).drop("_range", "_base", "_run")
+
+
+def numbered(df: DataFrame, order: list[Column | str], out: str) -> DataFrame:
+    """Adds ``out``: each row's place, from 0, in ``order`` over all rows.
+
+    Rows are sorted by ranges, so no group of equal leading columns has to fit in one task; the ranges' row
+    counts, one row for each partition, are broadcast.  Equal rows get places in either order.
+    """
+    placed = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    placed = placed.withColumn("_part", part).join(F.broadcast(counts), "_part")
+    return placed.withColumn(out, F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_base", "_at")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, packing, pii, simhash, token_store
+from . import ann, bpe, exact_dedup, packing, pii, quality, sharding, simhash, token_store, tool_chat
 from .common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_chat.calls_of_conversations(_table(spark, sf_dir, "conversations"))
+    return tool_chat.link_calls(calls, results, tool_chat.SCHEMAS)
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
@@ -47,6 +52,11 @@ def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -62,11 +72,53 @@ def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_store, op2_sum_of_squares_packing, op3_exact_dedup, op5_personal_data, op6_simhash_near_duplicates, op8_learned_partitions, op9_byte_level_bpe)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = quality.score_documents(docs, model)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_token_store,
+        op2_sum_of_squares_packing,
+        op3_exact_dedup,
+        op4_tool_call_linking,
+        op5_personal_data,
+        op6_simhash_near_duplicates,
+        op7_kd_tree_shards,
+        op8_learned_partitions,
+        op9_byte_level_bpe,
+        op10_quality_classifier,
+    )
+}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op4_tool_call_linking": """
+        WITH RECURSIVE calls AS (
+            SELECT conv_id, turn, 'c' || conv_id || '-' || turn AS call_id, text, length(text) AS n, text IS NOT NULL AND n < 200 AS short
+            FROM conversations WHERE role = 'user'),
+        levels AS (
+            SELECT c.conv_id, c.turn, 0 AS level FROM calls c
+            WHERE c.turn = 0 OR NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.turn = c.turn // 2)
+            UNION ALL
+            SELECT c.conv_id, c.turn, l.level + 1 FROM levels l JOIN calls c ON c.conv_id = l.conv_id AND c.turn // 2 = l.turn AND c.turn > 0 AND c.turn <> l.turn),
+        joined AS (
+            SELECT c.*, l.level, CASE WHEN short THEN 'search' ELSE 'summarise' END AS name, r.conv_id IS NOT NULL AS linked, r.text AS content,
+                CASE WHEN n = 0 THEN '$.text: too short'
+                     WHEN short AND n < 20 THEN '$.limit: below minimum'
+                     WHEN NOT short AND n > 1500 THEN '$.limit: above maximum' END AS problem
+            FROM calls c JOIN levels l USING (conv_id, turn)
+            LEFT JOIN conversations r ON r.role = 'assistant' AND r.conv_id = c.conv_id AND r.turn = c.turn + 1)
+        SELECT conv_id, call_id, turn, level, name, linked, problem IS NULL AS valid, problem,
+            '{"arguments":{"limit":' || n || ',"text":' || to_json(text) || ',"turn":' || turn || '},"call_id":"' || call_id || '","name":"' || name
+                || '","result":' || CASE WHEN linked THEN to_json(content) ELSE 'null' END || '}' AS line,
+            row_number() OVER (PARTITION BY conv_id ORDER BY level, turn, call_id) - 1 AS position
+        FROM joined""",
 }
