@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .common import new_path, remove, running_total, text_of
 from .textcodes import as_binary, library_coder, slices
 
-WINDOW, LEAST, MEAN_BITS, MOST = 32, 64, 9, 4096
+WINDOW, LEAST, MEAN_BITS, MOST = 32, 128, 10, 8192
 #: digests that a task remembers in order not to send a chunk twice
 REMEMBERED = 200_000
 
@@ -85,7 +85,7 @@ def _stage_task(tokenizer: str, end_id: int, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = library_coder(tokenizer, True)
-        squeeze = zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False).compress
+        squeeze = zstandard.ZstdCompressor(level=3, write_content_size=True, write_checksum=False).compress
         row, sent = TaskContext.get().partitionId() << 40, set()
         for batch in slices(batches, "text"):
             flat, at = coder.encode(batch.column("text"))
