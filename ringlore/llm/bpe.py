@@ -160,8 +160,12 @@ class RankBpe:
             flat[np.repeat(start[some] - (np.cumsum(k) - k), k) + np.arange(len(ids))] = ids
         return flat, n
 
-    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_pieces(self, pieces: list[str], per_call: int = 32768) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of ``TextCoder``: split by the pattern, then each distinct pre-token once."""
+        done = [self._encode_some(pieces[i : i + per_call]) for i in range(0, len(pieces), per_call)]
+        return np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
+
+    def _encode_some(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         text = "".join(pieces)
         if _SPACED.search(text) or any(p[:1] != " " for p in pieces):
             split = [self.split(p) for p in pieces]
@@ -186,49 +190,62 @@ def rank_coder(path: str, pattern: str) -> TextCoder:
     return TextCoder(RankBpe(read_ranks(path), pattern).encode_pieces, drop_space=False)
 
 
-def _encode_task(path: str, pattern: str):
+class Decoder:
+    """Bytes of ids, by gathers from the bytes of all tokens."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        tokens = sorted(ranks.items(), key=lambda x: x[1])
+        self.size = np.zeros(tokens[-1][1] + 1, np.int64)
+        self.size[[r for _, r in tokens]] = [len(t) for t, _ in tokens]
+        self.data, self.start = np.frombuffer(b"".join(t for t, _ in tokens), np.uint8), np.cumsum(self.size) - self.size
+
+    def decode(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+        """A binary cell for each run of ids."""
+        n = self.size[ids]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        where = np.repeat(self.start[ids] - ends[:-1], n)
+        where += np.arange(len(where))
+        return pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(ends[at].astype(np.int32)), pa.py_buffer(self.data[where])])
+
+
+@cache
+def decoder(path: str) -> Decoder:
+    return Decoder(read_ranks(path))
+
+
+def _encode_task(path: str, pattern: str, and_decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = rank_coder(path, pattern)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             ids, at = coder.encode(batch.column("text"))
             cells = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view(np.int32)))
-            yield pa.record_batch([batch.column("doc_id"), cells], names=["doc_id", "ids"])
+            out = {"doc_id": batch.column("doc_id"), "ids": cells}
+            yield pa.record_batch(out | {"decoded": decoder(path).decode(ids, at)} if and_decode else out)
 
     return run
 
 
 def _decode_task(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = sorted(read_ranks(path).items(), key=lambda x: x[1])
-        size = np.zeros(tokens[-1][1] + 1, np.int64)
-        size[[r for _, r in tokens]] = [len(t) for t, _ in tokens]
-        data, start = np.frombuffer(b"".join(t for t, _ in tokens), np.uint8), np.cumsum(size) - size
         for batch in batches:
-            lists = batch.column("ids")
-            at = lists.offsets.to_numpy().astype(np.int64)
-            ids = lists.values.to_numpy()[at[0] : at[-1]]
-            at -= at[0]
-            step = np.searchsorted(at, np.arange(0, at[-1] + 1, 1 << 20), "left")
-            for a, b in zip(cuts := np.unique([0, *step, len(lists)]), cuts[1:]):
-                some = ids[at[a] : at[b]]
-                n = size[some]
-                ends = np.concatenate([[0], np.cumsum(n)])
-                flat = data[np.repeat(start[some] - ends[:-1], n) + np.arange(int(ends[-1]))]
-                cut = pa.py_buffer(ends[at[a : b + 1] - at[a]].astype(np.int32))
-                cells = pa.BinaryArray.from_buffers(pa.binary(), int(b - a), [None, cut, pa.py_buffer(flat)])
-                rest = batch.slice(a, b - a)
-                yield pa.record_batch([rest.column("doc_id"), rest.column("ids"), cells], names=["doc_id", "ids", "decoded"])
+            for i in range(0, batch.num_rows, 256):
+                some = batch.slice(i, 256)
+                at = some.column("ids").offsets.to_numpy().astype(np.int64)
+                cells = decoder(path).decode(some.column("ids").values.to_numpy()[at[0] : at[-1]], at - at[0])
+                yield pa.record_batch({"doc_id": some.column("doc_id"), "ids": some.column("ids"), "decoded": cells})
 
     return run
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", and_decode: bool = False) -> DataFrame:
     """``doc_id`` and ``ids`` (array of int) of every document, without special tokens.
 
     Null and empty texts have no ids.  Repeated rows are each encoded; other columns are not read.
+    ``and_decode`` adds ``decoded`` as :func:`decode_documents` does, in the same Python worker.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(_encode_task(ranks_path, pattern), T.StructType([rows.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    fields = [rows.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.BinaryType())] * and_decode
+    return rows.mapInArrow(_encode_task(ranks_path, pattern, and_decode), T.StructType(fields))
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
