@@ -1,0 +1 @@
+"""Head-to-head competition analytics as Spark DataFrames."""

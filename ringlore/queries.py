@@ -1,2 +1,126 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Registered queries: a key for each operator, applied to the league of a folder."""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .operators import aggregates as agg
+from .operators import careers, joins, rankings, titles
+from .oracle import ORACLE_SQL  # noqa: F401
+from .plans.league import League, league
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Doubles rounded to six places, counts as long: what two engines can agree on."""
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = F.round(c.cast("double"), 6)
+        elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.DecimalType)):
+            c = c.cast("long")
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
+def register(key: str, make: Callable[[League], DataFrame]) -> None:
+    QUERIES[key] = lambda spark, sf_dir: plain(make(league(spark, sf_dir)))
+
+
+CAREER = ["boxer_id", "wins", "losses", "draws", "kos", "ko_losses", "bouts", "ko_rate", "win_rate", "avg_rounds", "last_fight", "streak_type", "streak", "age"]
+ELO_DAY = dt.date(1999, 12, 31)
+
+for _key, _make in {
+    "src01": lambda w: w.bouts.select("bout_id", "event_id", "date", "red_id", "blue_id", "method", "winner_id", "rounds", "end_round", "round_time", "kd_red", "kd_blue", "title", "upcoming"),
+    "join03": lambda w: w.long.select("bout_id", "boxer_id", "opp_id", "side", "result", "kd_for", "kd_against"),
+    "win07": lambda w: w.counted.select("bout_id", "boxer_id", "pre", "post", "opp_pre"),
+    "agg01": lambda w: w.careers.select(*CAREER),
+    "prj03": lambda w: w.careers.select("boxer_id", "archetype", "record"),
+    "agg02": agg.overview,
+    "agg03": agg.by_division,
+    "agg04": agg.method_split,
+    "agg05": agg.by_year,
+    "agg06": agg.finish_round_histogram,
+    "agg07": agg.finish_heatmap,
+    "agg08": agg.country_leaders,
+    "agg09": agg.stance_edge,
+    "agg10": agg.reach_edge,
+    "agg11": agg.punch_totals,
+    "agg12": agg.weigh_in_stats,
+    "agg13": agg.night_edge,
+    "agg14": agg.missed_weights,
+    "agg15": agg.rehydration,
+    "agg16": agg.judge_stats,
+    "agg18": agg.scoring_disputes,
+    "agg20": agg.mean_stint_result,
+    "agg24": agg.best_purses,
+    "agg26": agg.career_money,
+    "agg27": agg.top_purses,
+    "agg29": agg.revenue_by_year,
+    "agg30": agg.country_rollup,
+    "agg31": agg.venue_rows,
+    "agg32": agg.coverage,
+    "agg33": careers.by_the_numbers,
+    "agg34": careers.outcomes_by_year,
+    "agg35": careers.finish_rounds,
+    "agg36": careers.late_rounds,
+    "agg37": careers.opposition,
+    "agg38": agg.opponents_last_five,
+    "agg39": agg.reach_index,
+    "agg40": agg.career_strip,
+    "agg41": lambda w: titles.belts(w),
+    "agg42": agg.red_share_by_year,
+    "agg43": agg.small_groups,
+    "agg44": agg.change_groups,
+    "join04": joins.missed_and_won,
+    "join05": joins.without_bout,
+    "join06": joins.head_to_head,
+    "join07": lambda w: joins.common_opponents(w, 4, 52),
+    "join08": lambda w: joins.bouts_in_stints(w).select("bout_id", "boxer_id", "person_id", "start", "end"),
+    "join09": joins.head_trainer,
+    "join11": lambda w: joins.rating_at(w, ELO_DAY),
+    "join12": lambda w: joins.rating_at(w, ELO_DAY, strict=True),
+    "join14": joins.top_pairs,
+    "join15": lambda w: joins.candidates(w, 6),
+    "join16": joins.similar_fighters,
+    "join18": agg.host_record,
+    "win01": rankings.division_ranking,
+    "win02": rankings.rank_movement,
+    "win03": rankings.pound_for_pound,
+    "win04": lambda w: careers.running_record(w).select("bout_id", "boxer_id", "wins_before", "losses_before", "bouts_before", "kos_before", "ko_losses_before", "days_idle"),
+    "win06_all_time": lambda w: careers.longest_run(w, "W", draws_break=False),
+    "win06_analytics": lambda w: careers.longest_run(w, "W", draws_break=True),
+    "win06_losses": lambda w: careers.longest_run(w, "L", draws_break=True),
+    "win08": lambda w: w.reigns.select(*titles.BELT, "reign_no", "champion_id", "start", "end", "how", "ended_by", "from_id", "defences", "days"),
+    "win09": rankings.accumulators,
+    "win12": careers.form,
+    "win13": joins.switched_trainers,
+    "win14": careers.longest_gap,
+    "win16": rankings.on_this_day,
+    "win21": rankings.split_by_time,
+    "flt07": lambda w: careers.unbeaten_in_last(w, 3),
+    "flt21": lambda w: rankings.eligible(w).select("boxer_id", "rating"),
+    "rec01": lambda w: rankings.record_list(w, "greatest"),
+    "rec02": lambda w: rankings.record_list(w, "peak", sex="female"),
+    "rec03": lambda w: rankings.record_list(w, "wins"),
+    "rec04": lambda w: rankings.record_list(w, "kos", division="BUILDING"),
+    "rec05": lambda w: rankings.record_list(w, "ko-rate"),
+    "rec06": lambda w: rankings.record_list(w, "win-streak"),
+    "rec07": lambda w: rankings.record_list(w, "quality-wins"),
+    "rec08": lambda w: rankings.record_list(w, "title-wins"),
+    "rec09": lambda w: rankings.record_list(w, "defences"),
+    "rec10": lambda w: rankings.record_list(w, "divisions"),
+    "rec11": lambda w: rankings.record_list(w, "longest-reign"),
+    "rec12": lambda w: rankings.record_list(w, "reign-defences"),
+    "rec15": rankings.fastest_finishes,
+    "rec16": rankings.most_knockdowns,
+    "vw08": rankings.biggest_upsets,
+}.items():
+    register(_key, _make)
