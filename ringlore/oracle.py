@@ -257,4 +257,124 @@ _QUERIES = {
     "vw08": "SELECT bout_id, boxer_id, opp_id, opp_pre - pre AS gap FROM won WHERE result = 'W' AND pre <> 1500 AND opp_pre <> 1500 AND opp_pre > pre ORDER BY gap DESC, bout_id LIMIT 200",
 }
 
-ORACLE_SQL = {k: f"{LEAGUE} {q}" for k, q in _QUERIES.items()}
+_HELD = """(SELECT bout_id, cancelled, CASE WHEN bout_id % 5 <> 0 THEN method END AS method, winner_id, CASE WHEN bout_id % 4 <> 0 THEN end_round END AS end_round, round_time FROM bouts WHERE bout_id % 7 <> 0)"""
+_GIVEN = """(SELECT bout_id, cancelled, CASE WHEN bout_id % 11 <> 0 THEN method END AS method, winner_id, end_round, CASE WHEN bout_id % 3 <> 0 THEN round_time END AS round_time FROM bouts WHERE bout_id % 9 <> 0)"""
+_CHANGES = f"""SELECT bout_id, u.field, u.old, u.new, CASE WHEN u.old IS NULL THEN 'fill' WHEN u.new IS NULL THEN 'clear' ELSE 'replace' END AS kind FROM (
+    SELECT h.bout_id, unnest([{{'field': 'method', 'old': h.method, 'new': g.method}}, {{'field': 'winner_id', 'old': h.winner_id::VARCHAR, 'new': g.winner_id::VARCHAR}},
+    {{'field': 'end_round', 'old': h.end_round::VARCHAR, 'new': g.end_round::VARCHAR}}, {{'field': 'round_time', 'old': h.round_time, 'new': g.round_time}}]) AS u
+    FROM {_HELD} h JOIN {_GIVEN} g USING (bout_id)) WHERE u.old IS DISTINCT FROM u.new"""
+_ISSUES = """SELECT 'error' AS severity, 'method-without-winner' AS code, 'bout' AS entity, bout_id AS id FROM bouts WHERE winner_id IS NULL AND method IN ('KO', 'TKO', 'RTD', 'UD', 'MD', 'SD', 'TD', 'DQ')
+    UNION ALL SELECT 'warning', 'stoppage-without-round', 'bout', bout_id FROM bouts WHERE stopped AND end_round IS NULL
+    UNION ALL SELECT 'warning', 'no-clock', 'bout', bout_id FROM bouts WHERE method IN ('KO', 'TKO') AND round_time IS NULL
+    UNION ALL SELECT 'warning', 'far-future', 'bout', bout_id FROM bouts WHERE date > DATE '2000-06-30' + INTERVAL 365 DAY
+    UNION ALL SELECT 'info', 'no-birth-year', 'fighter', boxer_id FROM fighters WHERE birth_year IS NULL
+    UNION ALL SELECT 'warning', 'reach-without-height', 'fighter', boxer_id FROM fighters WHERE reach_cm IS NOT NULL AND height_cm IS NULL
+    UNION ALL SELECT 'warning', 'odd-reach', 'fighter', boxer_id FROM fighters WHERE abs(reach_cm - height_cm) > 11"""
+_CALLS = """calls0 AS (
+    SELECT b.bout_id, b.date, b.division, r.pre AS ra, r.opp_pre AS rb, b.winner_id = b.red_id AS red_won, CASE WHEN r.pre = r.opp_pre THEN b.bout_id % 2 = 0 ELSE r.pre > r.opp_pre END AS red_fav
+    FROM bouts b JOIN (SELECT *, row_number() OVER (PARTITION BY boxer_id ORDER BY date, bout_id) AS nth FROM won) r ON r.bout_id = b.bout_id AND r.boxer_id = b.red_id AND r.nth > 1
+    JOIN (SELECT *, row_number() OVER (PARTITION BY boxer_id ORDER BY date, bout_id) AS nth FROM won) u ON u.bout_id = b.bout_id AND u.boxer_id = b.blue_id AND u.nth > 1
+    WHERE b.winner_id IS NOT NULL),
+calls AS (SELECT bout_id, date, division, greatest(p, 1 - p) AS chance, red_won = red_fav AS "right" FROM (SELECT *, 1 / (1 + pow(10, (rb - ra) / 400)) AS p FROM calls0))"""
+_FEATURES = """feat AS (SELECT boxer_id, rating, reach_cm, age, ko_rate, CASE WHEN bouts > 0 THEN ko_losses / bouts ELSE 0 END AS chin, coalesce(datediff('day', last_fight, DATE '2000-06-30') / 30.4, 24) AS idle FROM careers),
+chances0 AS (
+    SELECT bout_id, red_id, blue_id, ln(10) / 400 * (a.rating - b.rating) AS t_rating, coalesce(0.016 * least(12, greatest(-12, a.reach_cm - b.reach_cm)), 0) * (a.reach_cm IS NOT NULL AND b.reach_cm IS NOT NULL)::INT
+        + CASE WHEN a.age IS NOT NULL AND b.age IS NOT NULL THEN 0.03 * (greatest(0, b.age - 34) - greatest(0, a.age - 34)) ELSE 0 END + 0.01 * (greatest(0, b.idle - 12) - greatest(0, a.idle - 12))
+        + 0.2 * (a.ko_rate - b.ko_rate) + 0.2 * (b.chin - a.chin) AS t_rest, least(0.85, greatest(0.1, 0.22 + 0.35 * (a.ko_rate + b.ko_rate) + 0.2 * (a.chin + b.chin))) AS p_stop
+    FROM bouts JOIN feat a ON red_id = a.boxer_id JOIN feat b ON blue_id = b.boxer_id WHERE upcoming),
+chances AS (SELECT *, 0.97 * least(0.96, greatest(0.04, 1 / (1 + exp(-(t_rating + t_rest))))) AS p_red FROM chances0)"""
+_SCORES = """card AS (SELECT bout_id, avg(abs(red - blue)) AS margin, count(DISTINCT sign(red - blue)) > 1 AS split FROM cards GROUP BY ALL),
+total AS (SELECT bout_id, boxer_id, coalesce(sum(landed) FILTER (round = 0), sum(landed) FILTER (round > 0)) AS landed, count(*) FILTER (round > 0) AS rounds FROM punches GROUP BY ALL),
+rate AS (SELECT t.bout_id, round(sum(landed) / max(t.rounds), 6) AS per_round, sum(landed) FILTER (boxer_id = red_id) / sum(landed) AS red_share FROM total t JOIN bouts b USING (bout_id) GROUP BY ALL),
+pct AS (SELECT *, (rank() OVER (ORDER BY per_round) - 1) / count(*) OVER () AS percentile FROM rate),
+fact AS (
+    SELECT b.*, w.pre AS ra, w.opp_pre AS rb, 1 / (1 + pow(10, (w.opp_pre - w.pre) / 400)) AS p, margin, split, percentile, red_share
+    FROM bouts b JOIN won w ON w.bout_id = b.bout_id AND w.side = 'red' LEFT JOIN card c ON c.bout_id = b.bout_id LEFT JOIN pct ON pct.bout_id = b.bout_id WHERE b.counted AND b.method <> 'DQ' AND b.rounds >= 6),
+part AS (
+    SELECT bout_id, date, division, 0.7 * least(1, (kd_red + kd_blue) / 4) + CASE WHEN kd_red > 0 AND kd_blue > 0 THEN 0.3 ELSE 0 END AS k,
+        CASE WHEN method IN ('DRAW', 'TDRAW') THEN 1 WHEN stopped THEN 0.25 + 0.75 * pow(coalesce(least(1, greatest(0, (end_round - 1) / (rounds - 1))), 0), 1.5)
+            WHEN margin IS NOT NULL THEN CASE WHEN split THEN greatest(0.85, 1 - least(1, margin / (rounds * 0.4))) ELSE 1 - least(1, margin / (rounds * 0.4)) END END AS f,
+        0.65 * percentile + 0.35 * (1 - abs(2 * red_share - 1)) AS a, 0.5 * (1 - abs(2 * p - 1)) + 0.5 * least(1, greatest(0, ((ra + rb) / 2 - 1500) / 250)) AS m,
+        CASE WHEN winner_id IS NULL THEN 0 ELSE least(1, greatest(0, (0.5 - CASE WHEN winner_id = red_id THEN p ELSE 1 - p END) / 0.35)) END AS u,
+        CASE WHEN title IS NULL THEN 0 ELSE least(1, 0.6 + CASE WHEN title LIKE 'World%' THEN 0.25 ELSE 0 END + CASE WHEN title_vacant THEN 0.15 ELSE 0 END) END AS s,
+        CASE WHEN winner_id IS NULL THEN 0 ELSE least(1, CASE WHEN winner_id = red_id THEN kd_red ELSE kd_blue END / 2) END AS c FROM fact),
+scores0 AS (
+    SELECT *, 0.63 - 0.03 + 0 AS unused, 0.17 + CASE WHEN f IS NULL THEN 0 ELSE 0.20 END + CASE WHEN a IS NULL THEN 0 ELSE 0.20 END + 0.16 + 0.09 + 0.08 + 0.10 AS weight,
+        0.17 * k + 0.20 * coalesce(f, 0) + 0.20 * coalesce(a, 0) + 0.16 * m + 0.09 * u + 0.08 * s + 0.10 * c AS total FROM part),
+scores AS (SELECT bout_id, date, division, floor(round(100 * total / weight, 9) + 0.5)::BIGINT AS score, round(weight, 6) AS coverage FROM scores0)"""
+
+_MORE = {
+    "flt01": "SELECT boxer_id, wins, losses, rating, height_cm FROM careers WHERE sex = 'male' AND active AND wins >= 20 AND floor(rating + 0.5) >= 1500 AND height_cm >= 165 AND losses <= 40 AND last_fight >= DATE '2000-01-01'",
+    "flt03": "SELECT boxer_id FROM careers WHERE losses = 0 AND bouts > 0",
+    "flt06": "SELECT boxer_id, streak FROM careers WHERE streak_type = 'W' AND streak >= 3",
+    "flt12": "SELECT boxer_id FROM careers WHERE archetype = 'Counter-Puncher'",
+    "flt13": "SELECT boxer_id, name FROM fighters WHERE name LIKE '%0012%'",
+    "flt14": "SELECT DISTINCT boxer_id FROM stints WHERE person_id = 3",
+    "flt15": """SELECT boxer_id FROM fighters WHERE stance = 'Southpaw' AND boxer_id IN (SELECT champion_id FROM reigns) AND boxer_id NOT IN (SELECT champion_id FROM reigns WHERE "end" IS NULL) AND boxer_id IN (SELECT boxer_id FROM weights WHERE NOT made)""",
+    "flt17": "SELECT bout_id, date, method, rounds FROM bouts WHERE date BETWEEN DATE '1999-01-01' AND DATE '1999-12-31' AND division = 'BUILDING' AND title IS NOT NULL AND rounds >= 8 AND stopped",
+    "ord01": "SELECT boxer_id, reach_cm FROM fighters ORDER BY reach_cm DESC NULLS LAST, boxer_id LIMIT 1200",
+    "ord06": "SELECT boxer_id, rating, (SELECT count(*) FROM careers) AS total FROM careers ORDER BY rating DESC, boxer_id LIMIT 25 OFFSET 50",
+    "srch01": "SELECT p_partkey AS id, p_name AS name, CASE WHEN starts_with(lower(p_name), 're') THEN 0 WHEN contains(' ' || lower(p_name), ' re') THEN 1 ELSE 2 END AS rank FROM part WHERE contains(lower(p_name), 're') ORDER BY rank, name, id LIMIT 10",
+    "srch03": """SELECT word, count(DISTINCT p_partkey) AS names FROM (SELECT p_partkey, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || w[i + 1]))) AS word
+        FROM (SELECT p_partkey, list_filter(regexp_split_to_array(lower(p_name), '[\\s\\-.,'']+'), lambda x: x <> '') AS w FROM part)) GROUP BY ALL""",
+    "srch04": """SELECT kind, id, name FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY name, id) AS n FROM (SELECT 'fighter' AS kind, boxer_id AS id, name FROM fighters UNION ALL SELECT 'country', n_nationkey, n_name FROM nation
+        UNION ALL SELECT 'trainer', s_suppkey, s_name FROM supplier UNION ALL SELECT 'part', p_partkey, p_name FROM part UNION ALL SELECT 'event', event_id, 'Card ' || event_id FROM league_events) WHERE contains(lower(name), '12')) WHERE n <= 5""",
+    "srch05": "SELECT word, min(p_name) AS name FROM (SELECT DISTINCT p_name, unnest(string_split(lower(p_name), ' ')) AS word FROM part) WHERE word <> '' GROUP BY word HAVING count(*) = 1",
+    "srch07": """SELECT item_id, count(DISTINCT doc_id) AS documents, count(*) AS times FROM (SELECT gram, min(item_id) AS item_id FROM (SELECT item_id, array_to_string(regexp_split_to_array(lower(text), '\\s+')[1:3], ' ') AS gram FROM benchmark) GROUP BY gram HAVING count(*) = 1)
+        JOIN (SELECT doc_id, unnest(list_transform(range(1, greatest(1, len(w) - 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS gram FROM (SELECT doc_id, regexp_split_to_array(lower(text), '\\s+') AS w FROM documents)) USING (gram) GROUP BY item_id""",
+    "set03": """SELECT DISTINCT champion_id AS boxer_id FROM reigns WHERE champion_id NOT IN (SELECT champion_id FROM reigns WHERE "end" IS NULL)""",
+    "mdl02": f"@{_FEATURES} SELECT bout_id, red_id, blue_id, round(p_red, 6) AS p_red, round(0.97 - p_red, 6) AS p_blue, round(1 / (1 + exp(-(t_rating + t_rest))) - 1 / (1 + exp(-t_rest)), 6) AS rating_shift, round(p_stop, 6) AS p_stop FROM chances",
+    "mdl20": f"@{_FEATURES} SELECT bout_id, CASE WHEN p_red < 0.97 - p_red THEN red_id ELSE blue_id END AS underdog_id, round(c, 6) AS chance, CASE WHEN c >= 0.4 THEN 'toss-up' WHEN c >= 0.28 THEN 'live' ELSE 'longshot' END AS tier FROM (SELECT *, round(least(p_red, 0.97 - p_red), 9) AS c FROM chances) ORDER BY c DESC, bout_id LIMIT 50",
+    "mdl08": f'@{_CALLS} SELECT bout_id, date, division, round(chance, 6) AS chance, "right", round(-log2(CASE WHEN "right" THEN chance ELSE 1 - chance END), 6) AS surprise FROM calls',
+    "mdl09": f'@{_CALLS} SELECT division, count(*) AS n, round(avg("right"::INT), 6) AS accuracy, round(avg(-ln(CASE WHEN "right" THEN chance ELSE 1 - chance END)), 6) AS log_loss, round(avg(pow(1 - CASE WHEN "right" THEN chance ELSE 1 - chance END, 2)), 6) AS brier FROM calls GROUP BY division HAVING count(*) >= 30',
+    "mdl11": f'@{_CALLS} SELECT least(floor(round(chance * 10, 9)), 9) / 10 AS bin, count(*) AS n, round(avg(chance), 6) AS expected, round(avg("right"::INT), 6) AS actual FROM calls GROUP BY 1',
+    "mdl21": f"""@{_CALLS} SELECT CASE WHEN 1 - chance >= 0.4 THEN 'toss-up' WHEN 1 - chance >= 0.28 THEN 'live' ELSE 'longshot' END AS tier, count(*) AS n, count(*) FILTER (NOT "right") AS upsets, round(avg(1 - chance), 6) AS expected FROM calls GROUP BY 1""",
+    "mdl19": """SELECT trainer_id, count(*) AS fights, round(sum(p), 6) AS expected, sum(CASE result WHEN 'W' THEN 1 WHEN 'D' THEN 0.5 ELSE 0 END)::DOUBLE AS actual FROM (SELECT *, 1 / (1 + pow(10, (opp_pre - pre) / 400)) AS p FROM won)
+        JOIN (SELECT bout_id, boxer_id, arg_min(person_id, (start, person_id)) AS trainer_id FROM instint GROUP BY ALL) USING (bout_id, boxer_id) WHERE p < 0.4 GROUP BY ALL HAVING count(*) >= 12""",
+    "mdl22": f"@{_SCORES} SELECT * FROM scores",
+    "win10": f"@{_SCORES} SELECT year, rank, bout_id, score FROM (SELECT *, year(date) AS year, row_number() OVER (PARTITION BY year(date) ORDER BY score DESC, date, bout_id) AS rank FROM scores) WHERE rank <= 10",
+    "fn02": """SELECT p_partkey, CASE WHEN length(s) <= 100 THEN s ELSE regexp_replace(s[1:100], '-[^-]*$', '') END AS slug, array_to_string(list_sort(list_filter(regexp_split_to_array(lower(p_name), '[\\s\\-.,'']+'), lambda x: x <> '' AND x NOT IN ('jr', 'sr', 'ii', 'iii'))), ' ') AS key
+        FROM (SELECT *, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM part)""",
+    "fn15": "SELECT event_type, count(*) AS n, sum(k)::BIGINT AS sum_k, count(DISTINCT k) AS distinct_k FROM (SELECT event_type, json_extract(props, '$.k')::BIGINT AS k FROM events) GROUP BY ALL",
+    "fn19": r"SELECT doc_id, regexp_matches(text, 'https?://|www\.') AS has_link, regexp_matches(text, '[0-9]{9,}') AS long_number, regexp_matches(text, '(!!!|\?\?\?|\.\.\.\.)') AS repeats, length(text) AS chars FROM documents",
+    "src09": r"""SELECT page_id, length(t) AS chars, sha256(t) AS digest FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html,
+        '<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'gis'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g')) AS t FROM pages)""",
+    "str10": "SELECT * FROM (SELECT sha1(regexp_replace(lower(text), '[^a-z]', '', 'g'))[1:16] AS fp, count(DISTINCT source) AS sources, count(*) AS documents FROM documents GROUP BY 1) WHERE sources > 1",
+    "lnk09": r"SELECT md5(trim(regexp_replace(lower(text), '[ \t\n\r]+', ' ', 'g'))) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "str_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2",
+    "str_sliding": "SELECT time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(15 * i) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events, (SELECT unnest([0, 1, 2, 3]) AS i) GROUP BY 1, 2",
+    "str_session": """SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+        SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE, true) AS fresh FROM events)) GROUP BY user_id, s""",
+    "str_dedupe": "SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, ts::DATE ORDER BY ts, event_id) AS n FROM events) WHERE n = 1",
+    "str_limiter": "SELECT * FROM (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS n FROM events) WHERE n > 2",
+    "str_late": "SELECT event_id, user_id FROM (SELECT *, max(ts) OVER (PARTITION BY user_id ORDER BY md5(event_id::VARCHAR), event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM events) WHERE ts < seen - INTERVAL 14 DAY",
+    "snk01": f"""SELECT coalesce(g.bout_id, h.bout_id) AS bout_id, CASE WHEN g.bout_id IS NULL OR (g.method IS NULL AND NOT g.cancelled) THEN h.method ELSE g.method END AS method,
+        CASE WHEN g.bout_id IS NULL THEN h.winner_id ELSE g.winner_id END AS winner_id, coalesce(g.end_round, h.end_round) AS end_round, coalesce(g.round_time, h.round_time) AS round_time FROM {_HELD} h FULL JOIN {_GIVEN} g ON h.bout_id = g.bout_id""",
+    "snk03": """SELECT source, count(*) AS n, round(sum(usd), 2) AS usd FROM (SELECT source, usd FROM purses p WHERE bout_id % 2 = 0 AND bout_id % 3 <> 0 UNION ALL SELECT source, usd * 2 FROM purses WHERE bout_id % 3 = 0) GROUP BY ALL""",
+    "snk06": "SELECT bout_id, (DATE '2000-06-30' - i::INT)::DATE AS locked_on FROM bouts, (SELECT unnest([0, 1, 2]) AS i) WHERE upcoming AND NOT (bout_id % 2 = 0 AND i > 0)",
+    "str02": _CHANGES,
+    "str03": f"SELECT field, count(*) AS n, count(*) FILTER (kind = 'clear') AS cleared, count(*) >= 100 AND count(*) / (SELECT count(*) FROM {_HELD}) > 0.3 AS refused FROM ({_CHANGES}) GROUP BY field",
+    "str17": f"""SELECT CASE WHEN h.bout_id IS NULL THEN 'added' WHEN g.bout_id IS NULL THEN 'removed' WHEN h.method IS DISTINCT FROM g.method OR h.winner_id IS DISTINCT FROM g.winner_id OR h.end_round IS DISTINCT FROM g.end_round
+        OR h.round_time IS DISTINCT FROM g.round_time THEN 'changed' ELSE 'same' END AS what, count(*) AS n FROM {_HELD} h FULL JOIN {_GIVEN} g ON h.bout_id = g.bout_id GROUP BY 1""",
+    "dq01": _ISSUES,
+    "dq03": f"SELECT severity, code, entity, count(*) AS n, array_to_string(list_sort(list(id))[1:2]::VARCHAR[], ',') AS examples FROM ({_ISSUES}) GROUP BY ALL",
+    "dq04": "SELECT boxer_id, date, count(*) AS bouts FROM lb WHERE NOT cancelled GROUP BY ALL HAVING count(*) > 1",
+    "dq05": """SELECT boxer_id, person_id, start, next FROM (SELECT boxer_id, person_id, start, CASE WHEN boxer_id % 5 = 0 THEN "end" + 365 ELSE "end" END AS fin, lead(start) OVER (PARTITION BY boxer_id ORDER BY start, person_id) AS next FROM stints) WHERE next < coalesce(fin, DATE '9999-12-31')""",
+    "dq06": """SELECT * FROM (SELECT bout_id, method, count(*) FILTER (v = 1) AS with_winner, count(*) FILTER (v = 0) AS even, count(*) FILTER (v = -1) AS against FROM (SELECT *, CASE WHEN red = blue THEN 0 WHEN winner_id IS NULL THEN 0 WHEN (red > blue) = (winner_id = red_id) THEN 1 ELSE -1 END AS v FROM cards) GROUP BY ALL)
+        WHERE NOT CASE method WHEN 'UD' THEN with_winner = 3 WHEN 'MD' THEN with_winner = 2 AND even = 1 WHEN 'SD' THEN with_winner = 2 AND against = 1 WHEN 'TD' THEN with_winner >= 2 ELSE true END""",
+    "dq08": "SELECT *, CASE WHEN wins = sup_wins THEN 'complete' WHEN wins < sup_wins THEN 'partial' ELSE 'conflict' END AS verdict FROM (SELECT boxer_id, wins, losses, draws, wins + CASE WHEN boxer_id % 41 = 0 THEN -1 WHEN boxer_id % 5 = 0 THEN boxer_id % 3 ELSE 0 END AS sup_wins FROM careers)",
+    "dq16": "SELECT division, sex, boxer_id FROM (SELECT *, row_number() OVER (PARTITION BY division, sex ORDER BY md5('7:' || boxer_id), boxer_id) AS k FROM fighters) WHERE k <= 10",
+    "dq19": """SELECT CASE WHEN cancelled THEN 'cancelled' WHEN method IS NULL AND date > DATE '2000-06-30' THEN 'not yet' WHEN method IS NULL THEN 'no method' WHEN winner_id IS NULL AND method NOT IN ('DRAW', 'TDRAW', 'NC') THEN 'decision without winner'
+        WHEN end_round > rounds THEN 'rounds raised' WHEN end_round IS NULL THEN 'end unknown' ELSE 'settled' END AS reason, count(*) AS n FROM bouts GROUP BY 1""",
+    "win20": """SELECT a_id, b_id, count(*) AS n, min(bout_id) AS first_id, count(DISTINCT coalesce(winner_id, -1)) > 1 AS disagree FROM (SELECT *, count(*) FILTER (apart) OVER (PARTITION BY a_id, b_id ORDER BY date, bout_id) AS c FROM (
+        SELECT bout_id, date, least(red_id, blue_id) AS a_id, greatest(red_id, blue_id) AS b_id, winner_id, coalesce(datediff('day', lag(date) OVER (PARTITION BY least(red_id, blue_id), greatest(red_id, blue_id) ORDER BY date, bout_id), date) > 1, false) AS apart
+        FROM bouts WHERE counted)) GROUP BY a_id, b_id, c HAVING count(*) > 1""",
+}
+
+
+def _whole(query: str) -> str:
+    """The league's expressions and the query; one that begins with @ brings expressions of its own."""
+    return f"{LEAGUE}, {query[1:]}" if query.startswith("@") else f"{LEAGUE} {query}"
+
+
+ORACLE_SQL = {k: _whole(q) for k, q in (_QUERIES | _MORE).items()}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .operators import aggregates as agg
-from .operators import careers, joins, rankings, titles
+from .operators import careers, documents, joins, merging, models, rankings, search, titles
 from .oracle import ORACLE_SQL  # noqa: F401
 from .plans.league import League, league
 
@@ -124,3 +124,68 @@ for _key, _make in {
     "vw08": rankings.biggest_upsets,
 }.items():
     register(_key, _make)
+
+
+FIGHTER_SEARCH = search.Filters(sex="male", active=True, least={"wins": 20, "rating": 1500, "height_cm": 165}, most={"losses": 40}, fought_since="2000-01-01")
+VIA_SEARCH = search.Filters(champion="former", missed_weight=True, stance="Southpaw")
+
+for _key, _make in {
+    "flt01": lambda w: search.search(w, FIGHTER_SEARCH).select("boxer_id", "wins", "losses", "rating", "height_cm"),
+    "flt03": lambda w: search.search(w, search.Filters(undefeated=True)).select("boxer_id"),
+    "flt06": lambda w: search.search(w, search.Filters(win_streak=3)).select("boxer_id", "streak"),
+    "flt12": lambda w: search.search(w, search.Filters(archetype="Counter-Puncher")).select("boxer_id"),
+    "flt13": lambda w: search.search(w, search.Filters(text="0012")).select("boxer_id", "name"),
+    "flt14": lambda w: search.search(w, search.Filters(trainer_id=3)).select("boxer_id"),
+    "flt15": lambda w: search.search(w, VIA_SEARCH).select("boxer_id"),
+    "flt17": lambda w: w.bouts.where("year(date) = 1999 AND division = 'BUILDING' AND title IS NOT NULL AND rounds >= 8 AND method IN ('KO', 'TKO', 'RTD')").select("bout_id", "date", "method", "rounds"),
+    "ord01": lambda w: search.sort_unknown_last(w.careers, "reach_cm", True, "boxer_id").limit(1200).select("boxer_id", "reach_cm"),
+    "ord06": lambda w: search.page(w.careers.select("boxer_id", "rating"), [F.desc("rating"), "boxer_id"], 3, 25),
+    "srch01": lambda w: search.type_ahead(w, "re"),
+    "srch03": search.word_index,
+    "srch04": lambda w: search.global_search(w, "12"),
+    "srch05": search.unique_names,
+    "srch07": search.names_in_text,
+    "set03": lambda w: search.champions(w, "former"),
+    "mdl01_elo": models.elo,
+    "mdl02": models.predictions,
+    "mdl08": models.calls,
+    "mdl09": models.calls_summary,
+    "mdl11": models.calibration,
+    "mdl13_irls": models.logistic_fit,
+    "mdl19": models.trainer_lift,
+    "mdl20": models.upset_watch,
+    "mdl21": models.tier_record,
+    "mdl22": models.fight_scores,
+    "mdl27_style_map": models.style_map,
+    "win10": models.fights_of_the_year,
+    "fn02": documents.slugs,
+    "fn15": documents.props,
+    "fn19": documents.text_checks,
+    "src09": documents.pages_text,
+    "str10": documents.copy_waves,
+    "lnk09": documents.duplicate_groups,
+    "str_tumbling": lambda w: documents.windows(w.raw("events"), "1 hour"),
+    "str_sliding": lambda w: documents.windows(w.raw("events"), "1 hour", "15 minutes"),
+    "str_session": lambda w: documents.sessions(w.raw("events")),
+    "str_dedupe": lambda w: documents.dedupe_daily(w.raw("events")),
+    "str_limiter": lambda w: documents.limited(w.raw("events")),
+    "str_late": lambda w: documents.late(w.raw("events")),
+    "snk01": merging.upsert,
+    "snk03": merging.replace_per_source,
+    "snk06": merging.ledger,
+    "str02": merging.changes,
+    "str03": merging.change_flood,
+    "str17": merging.list_diff,
+    "dq01": merging.issues,
+    "dq03": merging.issue_groups,
+    "dq04": merging.double_bookings,
+    "dq05": merging.overlapping_stints,
+    "dq06": merging.card_conflicts,
+    "dq08": merging.reconciliation,
+    "dq09_core": merging.coherent_core,
+    "dq13_components": merging.components,
+    "dq16": merging.stratified_sample,
+    "dq19": merging.settlement,
+    "win20": merging.repeat_fights,
+}.items():
+    register(_key, _make)
