@@ -152,7 +152,8 @@ def names_in_text(w: League) -> DataFrame:
     """SRCH07: documents that hold a word pair that is a benchmark item's beginning: n-gram lookup by equality."""
     first = F.concat_ws(" ", F.slice(F.split(F.lower("text"), r"\s+"), 1, 3))
     names = w.raw("benchmark").select("item_id", first.alias("gram")).groupBy("gram").agg(F.min("item_id").alias("item_id"), F.count("*").alias("owners")).where("owners = 1")
-    words = F.split(F.lower("text"), r"\s+")
-    grams = F.when(F.size(words) > 2, F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))))
+    # bound to a variable, or else the split would be done again for every place
+    of = lambda words: F.when(F.size(words) > 2, F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))))
+    grams = F.transform(F.array(F.split(F.lower("text"), r"\s+")), of)[0]
     docs = w.raw("documents").select("doc_id", F.explode(grams).alias("gram"))
     return docs.join(F.broadcast(names.select("gram", "item_id")), "gram").groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("times"))
