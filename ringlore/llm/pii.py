@@ -164,12 +164,17 @@ def redact_pii(docs: DataFrame, text_col: str = "text", chars_col: str | None =
     Null stays null.  ``chars_col``, where there is one, becomes the characters of the new text.
     """
 
-    @F.pandas_udf("string")
-    def clean(texts):  # noqa: ANN001, ANN202
-        return texts.map(lambda t: None if t is None else redact(t, s) if (s := find(t)) else t)
+    names = docs.columns
 
-    out = docs.withColumn(text_col, clean(F.col(text_col)))
-    return out.withColumn(chars_col, F.char_length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            texts = [None if t is None else redact(t, s) if (s := find(t)) else t for t in batch.column(text_col).to_pylist()]
+            new = {text_col: pa.array(texts, batch.column(text_col).type)}
+            if chars_col in names:
+                new[chars_col] = pa.array([None if t is None else len(t) for t in texts], batch.column(chars_col).type)
+            yield pa.record_batch([new.get(n, c) for n, c in zip(names, batch.columns)], names=names)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def spans_text(spans: Column) -> Column:

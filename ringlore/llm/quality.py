@@ -26,6 +26,8 @@ from .common import text_of
 from .textcodes import slices
 
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4)
+#: characters that are scored at a time
+SLICE = 4 << 20
 SAMPLE_ROWS, SAMPLE_BYTES, EPOCHS, RATE = 3000, 16 << 20, 8, 0.5
 
 
@@ -181,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _score_task(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             yield pa.record_batch([batch.column("doc_id"), pa.array(score(model, batch.column("text")))], names=["doc_id", "score"])
 
     return run
@@ -196,12 +198,8 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.7) -> DataFrame:
     """The documents that score ``least`` or more, with their own columns."""
 
-    @F.pandas_udf("double")
-    def scored(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        whole = pa.array(texts, pa.string())
-        parts = [score(model, b.column(0)) for b in slices(iter([pa.record_batch([whole], names=["text"])]), "text")]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col, SLICE):
+            yield batch.filter(pa.array(score(model, batch.column(text_col)) >= least))
 
-    return docs.where(scored(text_of(text_col)) >= least)
+    return docs.mapInArrow(run, docs.schema)
