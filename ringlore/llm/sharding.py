@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, text_of, written
+from .common import numbered, text_of, unused, written
 
 BINS, TOLERANCE, TIE_BITS, COORD_BITS = 512, 0.002, 28, 24
 
@@ -116,6 +116,7 @@ def shard_documents(
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Writes the documents to ``path``, a folder ``shard=N`` for each shard; ids must be unique."""
-    own = placed.select(F.col("doc_id").alias("_id"), "shard")
-    docs.join(own, docs[id_col].eqNullSafe(own["_id"])).drop("_id").write.partitionBy("shard").parquet(path)
+    """Writes the documents to ``path``, a folder ``shard=N`` for each shard; ids must be unique. A column of that name gets the folders an underscore."""
+    key, shard = unused(docs, "_id"), unused(docs, "shard")
+    own = placed.select(F.col("doc_id").alias(key), F.col("shard").alias(shard))
+    docs.join(own, docs[id_col].eqNullSafe(own[key])).drop(key).write.partitionBy(shard).parquet(path)

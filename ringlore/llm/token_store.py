@@ -76,6 +76,8 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+CHUNKS, RECIPES = "digest binary, n long, payload binary", "doc_id long, start long, n_tokens long, digests array<binary>, root binary"
+MANIFEST = "range long, documents long, tokens long, root binary"
 STAGED = "row long, doc_id long, n_tokens long, digests array<binary>, root binary, digest binary, n long, payload binary"
 
 
@@ -139,7 +141,7 @@ def write_store(
 
 def _ranges(spark: SparkSession, path: str, per_range: int) -> DataFrame:
     """Merkle root of the recipes whose ``start`` lies in each range of ``per_range`` mean documents."""
-    recipes = spark.read.parquet(f"{path}/recipes").select("start", "n_tokens", "root")
+    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes").select("start", "n_tokens", "root")
     total = recipes.agg(F.count("*"), F.sum("n_tokens")).first()
     tokens = max(1, per_range * (total[1] or 1) // max(1, total[0]))
     root = F.udf(lambda leaves: merkle_root([bytes(x) for x in leaves]), T.BinaryType())
@@ -153,7 +155,7 @@ def _write_manifest(spark: SparkSession, path: str, per_range: int) -> None:
 
 def verify_manifest(spark: SparkSession, path: str, per_range: int = 4096) -> bool:
     """Whether the recipes are those that the manifest was made of."""
-    found, held = _ranges(spark, path, per_range), spark.read.parquet(f"{path}/manifest")
+    found, held = _ranges(spark, path, per_range), spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
     return found.exceptAll(held).isEmpty() and held.exceptAll(found).isEmpty()
 
 
@@ -183,8 +185,8 @@ def _rebuild_task(width: int):
 
 def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """``doc_id``, ``start``, ``n_tokens`` and ``ids`` (binary, little-endian unsigned 32-bit) of every document."""
-    recipes = spark.read.parquet(f"{path}/recipes")
-    chunks = spark.read.parquet(f"{path}/chunks").select("digest", "payload")
+    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
+    chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").select("digest", "payload")
     places = recipes.select("doc_id", "start", "root", F.posexplode("digests").alias("place", "digest"))
     parts = places.join(chunks, "digest").groupBy("start", "doc_id", "root")
     parts = parts.agg(F.collect_list(F.struct("digest", "payload", F.array("place").alias("places"))).alias("parts"))
