@@ -371,10 +371,81 @@ _MORE = {
         FROM bouts WHERE counted)) GROUP BY a_id, b_id, c HAVING count(*) > 1""",
 }
 
+_LAST = {
+    "prj01": """SELECT bout_id, b.country, r.name AS red_name, u.name AS blue_name, r.country AS red_country, u.country AS blue_country FROM bouts b JOIN fighters r ON red_id = r.boxer_id JOIN fighters u ON blue_id = u.boxer_id WHERE counted AND title IS NOT NULL""",
+    "prj02": "SELECT boxer_id, wins || '-' || losses || '-' || draws AS record, CASE WHEN wins > losses THEN 'winning' WHEN wins < losses THEN 'losing' ELSE 'even' END AS balance FROM careers",
+    "join02": """SELECT region, count(*) AS events, count(*) FILTER (cancelled) AS cancelled FROM league_events LEFT JOIN (SELECT n_name AS country, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey <= 2) USING (country) GROUP BY ALL""",
+    "join10": "SELECT trainer_id, count(*) AS bouts FROM (SELECT bout_id, boxer_id, arg_min(person_id, (start, person_id)) AS trainer_id FROM instint GROUP BY ALL) GROUP BY ALL",
+    "join13": """SELECT claim_id, CASE WHEN count(*) = 1 THEN min(b.bout_id) END AS bout_id, CASE WHEN count(*) <> 1 THEN 'ambiguous' WHEN claimed = min(b.method) THEN 'agrees' ELSE 'conflict' END AS verdict FROM (SELECT bout_id AS claim_id, (date + (bout_id % 3 - 1)::INT)::DATE AS day, red_id, method AS claimed FROM bouts WHERE counted AND bout_id % 50 = 1) c
+        JOIN bouts b ON b.counted AND b.red_id = c.red_id AND b.date BETWEEN day - 1 AND day + 1 GROUP BY claim_id, claimed""",
+    "agg17": """SELECT (part + supp) % 17 AS referee_id, count(*) AS bouts, count(*) FILTER (s) AS stoppages, round(count(*) FILTER (s) / count(*), 6) AS rate, round(avg(end_round) FILTER (s), 6) AS avg_round, round(count(*) FILTER (s AND end_round <= 3) / count(*) FILTER (s), 6) AS early
+        FROM (SELECT *, method IN ('KO', 'TKO') AND end_round IS NOT NULL AS s FROM bouts WHERE counted) GROUP BY 1""",
+    "agg19": """SELECT boxer_id, person_id, start, count(*) FILTER (result = 'W') AS wins, count(*) FILTER (result = 'L') AS losses, count(*) FILTER (result = 'D') AS draws, arg_max(post, (date, bout_id)) - arg_min(pre, (date, bout_id)) AS change FROM instint GROUP BY ALL""",
+    "agg22": """SELECT s_nationkey AS gym_id, count(DISTINCT boxer_id) AS fighters, count(DISTINCT boxer_id) FILTER ("end" IS NULL) AS current FROM stints JOIN supplier ON person_id = s_suppkey GROUP BY ALL""",
+    "agg23": """SELECT person_id, sum(n)::BIGINT AS bouts, round(round(avg(c), 9), 6) AS mean_change FROM (SELECT person_id, boxer_id, start, count(*) AS n, arg_max(post, (date, bout_id)) - arg_min(pre, (date, bout_id)) AS c FROM instint GROUP BY ALL) GROUP BY person_id HAVING sum(n) >= 4 ORDER BY round(avg(c), 9) DESC, person_id LIMIT 20""",
+    "agg25": """SELECT event_id, gross FROM (SELECT event_id, round(sum(l_extendedprice) + CASE WHEN event_id % 3 = 0 THEN floor(max(part) * 59.99::DOUBLE + 0.5) ELSE 0 END + CASE WHEN event_id % 2 = 0 THEN min(supp) * 1000 ELSE 0 END, 2) AS gross FROM bouts WHERE NOT cancelled AND date <= DATE '2000-06-30' GROUP BY event_id) WHERE gross > 0 ORDER BY gross DESC, event_id LIMIT 20""",
+    "agg28": """SELECT promoter, count(*) AS events, floor(avg(viewers) + 0.5)::BIGINT AS mean_viewers, max(viewers) AS peak FROM (SELECT promoter, event_id, max(part) AS viewers FROM bouts JOIN (SELECT event_id, promoter FROM league_events) USING (event_id) WHERE NOT cancelled GROUP BY ALL) GROUP BY ALL""",
+    "win05": """SELECT bout_id, boxer_id, pre, round(least(coalesce(datediff('day', lag(date) OVER o, date) / 30.4, 12), 36), 6) AS idle, round(CASE WHEN count(*) FILTER (result = 'W') OVER p > 0 THEN count(*) FILTER (result = 'W' AND stopped) OVER p / count(*) FILTER (result = 'W') OVER p ELSE 0 END, 6) AS ko_rate,
+        round(CASE WHEN count(*) OVER p > 0 THEN count(*) FILTER (result = 'L' AND stopped) OVER p / count(*) OVER p ELSE 0 END, 6) AS ko_loss_rate FROM won WINDOW o AS (PARTITION BY boxer_id ORDER BY date, bout_id), p AS (PARTITION BY boxer_id ORDER BY date, bout_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    "win15": """SELECT bout_id, round((rank() OVER (ORDER BY landed) - 1) / count(*) OVER (), 6) AS percentile FROM (SELECT bout_id, sum(landed) AS landed FROM (SELECT bout_id, boxer_id, coalesce(sum(landed) FILTER (round = 0), sum(landed) FILTER (round > 0)) AS landed FROM punches GROUP BY ALL) GROUP BY ALL)""",
+    "win18": """SELECT user_id, graded, "right", round(points, 6) AS points, round(accuracy, 6) AS accuracy, rank() OVER (ORDER BY points DESC, accuracy DESC) AS place FROM (SELECT user_id, count(*) AS graded, count(*) FILTER (ok) AS "right", round(sum(CASE WHEN ok THEN 2 - p ELSE 0 END), 9) AS points, round(count(*) FILTER (ok) / count(*), 9) AS accuracy FROM (
+        SELECT user_id, (event_id % 2 = 0) = (winner_id = red_id) AS ok, CASE WHEN event_id % 2 = 0 THEN q ELSE 1 - q END AS p FROM (SELECT event_id, user_id FROM events WHERE event_type <> 'view') e
+        JOIN (SELECT bout_id, red_id, winner_id, bout_id % 5000 AS k, row_number() OVER (PARTITION BY bout_id % 5000 ORDER BY bout_id) AS n FROM bouts WHERE counted AND winner_id IS NOT NULL) b ON b.n = 1 AND b.k = e.event_id % 5000
+        JOIN (SELECT bout_id, 1 / (1 + pow(10, (opp_pre - pre) / 400)) AS q FROM won WHERE side = 'red') USING (bout_id)) GROUP BY user_id HAVING count(*) >= 3 ORDER BY points DESC, accuracy DESC, user_id LIMIT 50)""",
+    "win22": """SELECT boxer_id, row_number() OVER (PARTITION BY division, sex ORDER BY b DESC, boxer_id) AS rank_before, row_number() OVER (PARTITION BY division, sex ORDER BY a DESC, boxer_id) AS rank_after FROM eligible
+        JOIN (SELECT boxer_id, coalesce(arg_max(post, (date, bout_id)) FILTER (date < DATE '2000-03-01'), 1500) AS b, coalesce(arg_max(post, (date, bout_id)) FILTER (date <= DATE '2000-03-01'), 1500) AS a FROM fighters LEFT JOIN won USING (boxer_id) GROUP BY ALL) USING (boxer_id)""",
+    "ord02": "SELECT boxer_id, round(r, 6) AS rate, rating FROM (SELECT *, CASE WHEN wins >= 5 THEN round(ko_rate, 9) END AS r FROM careers) ORDER BY r DESC NULLS LAST, rating DESC, boxer_id LIMIT 50",
+    "ord07": "SELECT bout_id, date FROM bouts WHERE counted ORDER BY date DESC, bout_id DESC LIMIT 30",
+    "set01": "SELECT country, count(*) AS n FROM (SELECT country FROM fighters UNION ALL SELECT country FROM league_events UNION ALL SELECT n_name FROM nation) GROUP BY ALL",
+    "set02": "SELECT doc_id FROM documents WHERE length(text) < 200 UNION SELECT doc_id FROM documents WHERE regexp_matches(text, 'https?://')",
+    "set04": "SELECT country FROM fighters WHERE stance = 'Southpaw' AND boxer_id IN (SELECT champion_id FROM reigns) INTERSECT SELECT country FROM fighters WHERE stance = 'Orthodox' AND boxer_id IN (SELECT champion_id FROM reigns)",
+    "vw04": "SELECT event_id, date, count(*) AS bouts, arg_max(bout_id, (position, bout_id)) AS headline_id FROM bouts WHERE upcoming GROUP BY ALL ORDER BY date, event_id LIMIT 10",
+    "vw07": """SELECT boxer_id, arg_max(bout_id, (opp_pre, -bout_id)) AS best_win, max(opp_pre) AS best_rating, max(opp_pre - pre) FILTER (opp_pre - pre >= 24) AS upset FROM won WHERE result = 'W' GROUP BY ALL""",
+    "vw14": "SELECT division, sex, count(*) AS ranked, round(avg(CASE WHEN bouts < 60 THEN 1.0 ELSE 0.0 END), 6) AS partial_share FROM ranking GROUP BY ALL",
+    "mdl10": f'@{_CALLS} SELECT year(date) AS year, count(*) AS n, round(avg("right"::INT), 6) AS accuracy, round(avg(-log2(CASE WHEN "right" THEN chance ELSE 1 - chance END)), 6) AS surprise FROM calls GROUP BY 1',
+    "mdl28": f"@{_FEATURES} SELECT bout_id, round(p_red * p_stop, 6) AS red_stop, round(p_red * (1 - p_stop), 6) AS red_points, round((0.97 - p_red) * p_stop, 6) AS blue_stop, round((0.97 - p_red) * (1 - p_stop), 6) AS blue_points FROM chances",
+    "mdl25": """SELECT a_id, b_id, floor(round(100 * (0.5 * (1 - abs(2 * p - 1)) + 0.3 * least(1, greatest(0, ((ra + rb) / 2 - 1500) / 250)) + 0.2 * CASE met WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 ELSE 0.2 END), 9) + 0.5)::BIGINT AS score FROM (
+        SELECT a.boxer_id AS a_id, b.boxer_id AS b_id, a.rating AS ra, b.rating AS rb, 1 / (1 + pow(10, (b.rating - a.rating) / 400)) AS p, (SELECT count(*) FROM bouts m WHERE m.counted AND least(m.red_id, m.blue_id) = least(a.boxer_id, b.boxer_id) AND greatest(m.red_id, m.blue_id) = greatest(a.boxer_id, b.boxer_id)) AS met
+        FROM ranking a JOIN ranking b ON a.division = b.division AND a.sex = b.sex AND a.rank < b.rank AND b.rank <= 8) ORDER BY score DESC, a_id, b_id LIMIT 40""",
+    "mdl18": """SELECT count(*) AS moves, round(avg(a), 6) AS after, round(avg(b), 6) AS before, round(stddev_samp(a - b), 6) AS sd FROM (SELECT boxer_id, moved, avg(won) FILTER (post_move) AS a, avg(won) FILTER (NOT post_move) AS b FROM (
+        SELECT *, row_number() OVER (PARTITION BY boxer_id, moved, post_move ORDER BY abs(datediff('day', moved, date)), bout_id) AS n FROM (SELECT w.boxer_id, bout_id, date, CASE WHEN result = 'W' THEN 1.0 ELSE 0.0 END AS won, moved, date >= moved AS post_move FROM won w
+        JOIN (SELECT boxer_id, start AS moved, person_id, lag(person_id) OVER (PARTITION BY boxer_id ORDER BY start) AS prev FROM stints) s ON s.boxer_id = w.boxer_id AND prev <> person_id)) WHERE n <= 6 GROUP BY ALL HAVING count(*) FILTER (post_move) >= 3 AND count(*) FILTER (NOT post_move) >= 2)""",
+    "mdl29": """SELECT CASE WHEN winner_id IS NULL THEN 'void' WHEN ((bout_id + 1) % 2 = 0) = (winner_id = red_id) THEN 'right' ELSE 'wrong' END AS state, count(*) AS n FROM bouts WHERE year(date) = 1999 AND method IS NOT NULL GROUP BY 1""",
+    "rec17": "SELECT r.boxer_id, rank, count(bout_id) AS stoppage_wins FROM ranking r LEFT JOIN (SELECT * FROM won WHERE result = 'W' AND stopped) w USING (boxer_id) WHERE rank <= 5 GROUP BY ALL",
+    "mdl32": "SELECT bout_id, boxer_id, max(usd) - min(usd) <= 0.05 * max(usd) AS agree FROM purses WHERE usd IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
+    "fn01": "SELECT doc_id, md5(regexp_replace(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüçñß', 'aaaaaaeeeeiiiiooooouuuucns'), '[^a-z ]', '', 'g')) AS folded FROM documents",
+    "fn03": r"SELECT array_to_string(list_sort(list_filter(regexp_split_to_array(lower(p_type), '[\s\-.,'']+'), lambda x: x <> '')), ' ') AS key, count(*) AS n FROM part GROUP BY 1",
+    "fn09": "SELECT method, method AS read, count(*) AS n FROM bouts WHERE method IS NOT NULL GROUP BY ALL",
+    "fn10": "SELECT n_nationkey, CASE k WHEN 'unitedkingdom' THEN 'uk' WHEN 'unitedstates' THEN 'us' ELSE k END AS key FROM (SELECT n_nationkey, regexp_replace(lower(n_name), '[^a-z]', '', 'g') AS k FROM nation)",
+    "fn12": """SELECT event_id, strftime(date, '%m-%d') AS md, (date + 7)::DATE AS next_week, round(datediff('day', date, DATE '2000-06-30') / 30.4, 6) AS months, event_id % 3 = 0 OR (event_id % 3 = 1 AND year(date) % 4 = 0) AS real_day FROM league_events""",
+    "fn14": "SELECT boxer_id, sha1(name)[1:12] AS sha1, sha256(name)[1:16] AS sha256, md5(name) AS md5 FROM fighters",
+    "fn16": """SELECT o_orderkey, CASE WHEN o_totalprice >= 1e6 THEN format('${:.1f}M', floor(o_totalprice / 1e6 * 10 + 0.5) / 10) WHEN o_totalprice >= 1e3 THEN format('${:.1f}k', floor(o_totalprice / 1e3 * 10 + 0.5) / 10) ELSE '$' || floor(o_totalprice + 0.5)::BIGINT END AS price FROM orders""",
+    "fn20": r"""SELECT p_partkey, array_to_string(list_sort(list_distinct(w)), '|') AS sorted, array_to_string(w[1:2], '|') AS first_two, len(list_filter(w, lambda x: length(x) < 4)) = 0 AS all_long FROM (SELECT p_partkey, list_filter(regexp_split_to_array(p_type, '[\s\-]+'), lambda x: x <> '') AS w FROM part)""",
+    "lnk01": "SELECT 'n' || boxer_id % 40 AS key, birth_year, division, count(*) AS n, arg_max(boxer_id, (bouts, -boxer_id)) AS keep_id FROM careers WHERE birth_year IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 1",
+    "lnk06": """SELECT country, key, spelling AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY country, key ORDER BY n DESC, length(spelling) DESC, spelling) AS r FROM (SELECT country, regexp_replace(lower(spelling), '[^a-z0-9]', '', 'g') AS key, spelling, count(*) AS n FROM (
+        SELECT country, CASE event_id % 5 WHEN 0 THEN upper(venue) WHEN 1 THEN venue || '.' ELSE venue END AS spelling FROM league_events) GROUP BY ALL)) WHERE r = 1""",
+    "lnk04": """@s AS (SELECT s_suppkey AS s, s_nationkey AS nation, s_suppkey % 7 AS name FROM supplier), c AS (SELECT c_custkey AS c, c_nationkey AS nation, c_custkey % 7 AS name FROM customer WHERE c_custkey < 300),
+        p1 AS (SELECT s.s, c.c, 1 AS pass FROM s JOIN c ON s.s = c.c WHERE s.s % 10 = 0),
+        p2 AS (SELECT min(a.s) AS s, min(b.c) AS c, 2 AS pass FROM (SELECT nation, name, min(s) AS s FROM s WHERE s NOT IN (SELECT s FROM p1) GROUP BY ALL HAVING count(*) = 1) a
+            JOIN (SELECT nation, name, min(c) AS c FROM c WHERE c NOT IN (SELECT c FROM p1) GROUP BY ALL HAVING count(*) = 1) b USING (nation, name) GROUP BY nation, name),
+        p12 AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2),
+        p3 AS (SELECT a.s, b.c, 3 AS pass FROM (SELECT nation, min(s) AS s FROM s WHERE s NOT IN (SELECT s FROM p12) GROUP BY ALL HAVING count(*) = 1) a JOIN (SELECT nation, min(c) AS c FROM c WHERE c NOT IN (SELECT c FROM p12) GROUP BY ALL HAVING count(*) = 1) b USING (nation))
+        SELECT * FROM p12 UNION ALL SELECT * FROM p3""",
+    "dq02": """SELECT code, basis, count(*) AS n FROM (SELECT basis, CASE WHEN usd IS NULL THEN 'no-amount' WHEN usd <= 0 THEN 'not-positive' WHEN basis = 'estimated' AND usd > 90000 THEN 'large-estimate' WHEN usd > 100000 THEN 'very-large' END AS code FROM purses) WHERE code IS NOT NULL GROUP BY ALL""",
+    "dq07": "SELECT event_id FROM league_events WHERE NOT cancelled AND event_id IN (SELECT event_id FROM bouts) AND event_id NOT IN (SELECT event_id FROM bouts WHERE method IS NOT NULL AND bout_id % 2 = 0)",
+    "dq11": """@ok AS (SELECT boxer_id FROM careers WHERE NOT boxer_id % 41 = 0 AND (boxer_id % 5 <> 0 OR boxer_id % 3 = 0)) SELECT count(*) FILTER (red_id IN (SELECT boxer_id FROM ok) AND blue_id IN (SELECT boxer_id FROM ok)) AS bouts, count(*) AS of FROM bouts""",
+    "dq14": """SELECT 'many-draws' AS code, count(*) FILTER (draws > 6) AS n FROM careers UNION ALL SELECT 'no-losses', count(*) FILTER (losses = 0 AND bouts > 10) FROM careers UNION ALL SELECT 'very-young', (SELECT count(*) FROM (SELECT boxer_id, min(date) AS debut FROM won GROUP BY ALL) JOIN fighters USING (boxer_id) WHERE year(debut) - birth_year < 15)
+        UNION ALL SELECT 'all-kos', count(*) FILTER (kos = wins AND wins >= 5) FROM careers UNION ALL SELECT 'inactive-recent', count(*) FILTER (NOT active AND last_fight > DATE '2000-06-01') FROM careers""",
+    "str06": "SELECT bout_id, 'NC' AS new, CASE WHEN bout_id % 2 = 0 THEN false ELSE method <> 'UD' END AS moved FROM bouts WHERE method IS NOT NULL AND bout_id % 97 = 0",
+    "str11": "SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 3",
+    "str12": "SELECT event_type, ts::DATE AS day, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2 HAVING count(DISTINCT user_id) >= 6",
+    "str16": "SELECT ts::DATE < date AS in_time, count(*) AS n FROM events e JOIN league_events l ON l.event_id = e.event_id * 4 GROUP BY 1",
+}
+
 
 def _whole(query: str) -> str:
     """The league's expressions and the query; one that begins with @ brings expressions of its own."""
     return f"{LEAGUE}, {query[1:]}" if query.startswith("@") else f"{LEAGUE} {query}"
 
 
-ORACLE_SQL = {k: _whole(q) for k, q in (_QUERIES | _MORE).items()}
+ORACLE_SQL = {k: _whole(q) for k, q in (_QUERIES | _MORE | _LAST).items()}

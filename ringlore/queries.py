@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .operators import aggregates as agg
-from .operators import careers, documents, joins, merging, models, rankings, search, titles
+from .operators import careers, documents, joins, linkage, merging, models, rankings, search, titles, views
 from .oracle import ORACLE_SQL  # noqa: F401
 from .plans.league import League, league
 
@@ -189,3 +189,58 @@ for _key, _make in {
     "win20": merging.repeat_fights,
 }.items():
     register(_key, _make)
+
+
+for _key, _make in {
+    "prj01": views.with_names,
+    "prj02": lambda w: w.careers.select("boxer_id", "record", F.when(F.col("wins") > F.col("losses"), "winning").when(F.col("wins") < F.col("losses"), "losing").otherwise("even").alias("balance")),
+    "join02": views.enriched_events,
+    "join10": views.trainer_ids,
+    "join13": linkage.claims,
+    "join17_fuzzy": lambda w: search.fuzzy_words(w, ["smlal", "widgte", "anvli", "gizmoo", "gear"]),
+    "agg17": views.referee_stats,
+    "agg19": views.stint_records,
+    "agg22": views.gyms,
+    "agg23": views.trainer_leaderboard,
+    "agg25": views.card_money,
+    "agg28": views.broadcasters,
+    "win05": views.features,
+    "win15": views.action_percentile,
+    "win18": lambda w: views.leaderboard(w, least=3),
+    "win22": views.rank_before_and_after,
+    "ord02": views.by_ko_rate,
+    "ord07": views.newest_bouts,
+    "set01": views.all_spellings,
+    "set02": views.needs_review,
+    "set04": views.shared_countries,
+    "vw04": views.next_cards,
+    "vw07": views.highlights,
+    "vw14": views.ranking_depth,
+    "mdl10": views.year_end_ranks,
+    "mdl28": views.endings,
+    "mdl25": views.pairings,
+    "mdl18": views.switch_study,
+    "mdl29": views.ledger_grades,
+    "rec17": views.stoppage_share_by_rank,
+    "mdl32": linkage.agreement,
+    "fn01": linkage.folded_names,
+    "fn03": linkage.part_keys,
+    "fn09": linkage.spelled_methods,
+    "fn10": linkage.countries,
+    "fn12": linkage.day_functions,
+    "fn14": linkage.hashes,
+    "fn16": linkage.order_prices,
+    "fn20": linkage.array_functions,
+    "lnk01": linkage.duplicate_profiles,
+    "lnk04": linkage.three_pass_linkage,
+    "lnk06": linkage.venue_spellings,
+    "dq02": linkage.money_issues,
+    "dq07": linkage.emptied_cards,
+    "dq11": linkage.restricted,
+    "dq14": linkage.surprises,
+    "str06": linkage.corrected,
+    "str11": linkage.post_limits,
+    "str12": linkage.reporters,
+    "str16": linkage.picks_in_time,
+}.items():
+    register(_key, _make)
