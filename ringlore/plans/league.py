@@ -47,20 +47,24 @@ class League:
 
         The rating here is the proxy 1500 + 8 * (wins - losses) so far; ``models.elo`` replays the real one.
         """
-        side = lambda me, other: F.struct(
-            F.col(f"{me}_id").alias("boxer_id"), F.col(f"{other}_id").alias("opp_id"), F.lit(me).alias("side"),
-            F.col(f"kd_{me}").alias("kd_against"), F.col(f"kd_{other}").alias("kd_for"),
-        )
-        x = self.bouts.withColumn("s", F.explode(F.array(side("red", "blue"), side("blue", "red")))).select("*", "s.*").drop("s", "red_id", "blue_id", "red_name", "blue_name")
-        counted = counts(F.col("method"))
-        result = F.when(counted, F.when(F.col("winner_id").isNull(), "D").when(F.col("winner_id") == F.col("boxer_id"), "W").otherwise("L"))
-        x = x.withColumn("counted", counted).withColumn("result", result)
+        counted, win = counts(F.col("method")), F.col("winner_id")
+        result = lambda me: F.when(counted, F.when(win.isNull(), "D").when(win == F.col(me), "W").otherwise("L"))
+        # the running sums go over narrow rows; the wide bouts are shuffled once, before they become two rows each
+        corners = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_id").alias("boxer_id"), result(f"{s}_id").alias("result")) for s in ("red", "blue")])
+        x = self.bouts.select("bout_id", "date", F.explode(corners).alias("c")).select("bout_id", "date", "c.*")
         delta = F.when(F.col("result") == "W", 8).when(F.col("result") == "L", -8).otherwise(0)
         before = Window.partitionBy("boxer_id").orderBy("date", "bout_id").rowsBetween(Window.unboundedPreceding, -1)
-        x = x.withColumn("pre", 1500.0 + F.coalesce(F.sum(delta).over(before), F.lit(0))).withColumn("post", F.col("pre") + delta)
-        x = written(x, "long")
-        other = x.select("bout_id", F.col("boxer_id").alias("opp_id"), F.col("pre").alias("opp_pre"))
-        return written(x.join(other, ["bout_id", "opp_id"]), "fighter-bouts")
+        x = x.select("bout_id", "side", (1500.0 + F.coalesce(F.sum(delta).over(before), F.lit(0))).alias("pre"), delta.alias("delta"))
+        own = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{s}_{c}")
+        rated = x.groupBy("bout_id").agg(*[own(s, c) for s in ("red", "blue") for c in ("pre", "delta")])
+        side = lambda me, other: F.struct(
+            F.col(f"{me}_id").alias("boxer_id"), F.col(f"{other}_id").alias("opp_id"), F.lit(me).alias("side"), F.col(f"kd_{me}").alias("kd_against"),
+            F.col(f"kd_{other}").alias("kd_for"), result(f"{me}_id").alias("result"), F.col(f"{me}_pre").alias("pre"), (F.col(f"{me}_pre") + F.col(f"{me}_delta")).alias("post"),
+            F.col(f"{other}_pre").alias("opp_pre"),
+        )
+        y = self.bouts.drop("red_name", "blue_name", "event_name").join(rated, "bout_id").withColumn("counted", counted)
+        keep = [c for c in y.columns if not c.startswith(("red_", "blue_", "kd_"))]
+        return written(y.select(*keep, F.explode(F.array(side("red", "blue"), side("blue", "red"))).alias("s")).select(*keep, "s.*"), "fighter-bouts")
 
     @cached_property
     def counted(self) -> DataFrame:
