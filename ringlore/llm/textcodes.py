@@ -64,7 +64,7 @@ class TextCoder:
     is full it becomes the old half, and what the old one held and nothing used is forgotten.
     """
 
-    def __init__(self, encode: PieceEncoder, drop_space: bool, limit: int = 250_000) -> None:
+    def __init__(self, encode: PieceEncoder, drop_space: bool, limit: int = 200_000) -> None:
         self.encode_pieces, self.drop_space, self.limit = encode, drop_space, limit
         self.seen: dict[str, int] = {}
         self.store = _Store()
@@ -127,7 +127,7 @@ class TextCoder:
         return ids, np.concatenate([[0], np.cumsum(size)])[at]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 5 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``most`` characters of ``column`` (or one row)."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
