@@ -301,7 +301,7 @@ part AS (
 scores0 AS (
     SELECT *, 0.63 - 0.03 + 0 AS unused, 0.17 + CASE WHEN f IS NULL THEN 0 ELSE 0.20 END + CASE WHEN a IS NULL THEN 0 ELSE 0.20 END + 0.16 + 0.09 + 0.08 + 0.10 AS weight,
         0.17 * k + 0.20 * coalesce(f, 0) + 0.20 * coalesce(a, 0) + 0.16 * m + 0.09 * u + 0.08 * s + 0.10 * c AS total FROM part),
-scores AS (SELECT bout_id, date, division, floor(round(100 * total / weight, 9) + 0.5)::BIGINT AS score, round(weight, 6) AS coverage FROM scores0)"""
+scores AS (SELECT bout_id, date, division, floor(round(100 * total / weight, 9) + 0.5)::BIGINT AS score, round(weight::DOUBLE, 6) AS coverage FROM scores0)"""
 
 _MORE = {
     "flt01": "SELECT boxer_id, wins, losses, rating, height_cm FROM careers WHERE sex = 'male' AND active AND wins >= 20 AND floor(rating + 0.5) >= 1500 AND height_cm >= 165 AND losses <= 40 AND last_fight >= DATE '2000-01-01'",
