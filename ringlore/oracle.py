@@ -442,10 +442,35 @@ _LAST = {
     "str16": "SELECT ts::DATE < date AS in_time, count(*) AS n FROM events e JOIN league_events l ON l.event_id = e.event_id * 4 GROUP BY 1",
 }
 
+_FACTS = "SELECT boxer_id, wins, losses, bouts, kos, rating FROM careers WHERE "
+_CHECKS = {
+    "flt02": _FACTS + "division = 'FURNITURE' AND sex = 'female' AND stance = 'Southpaw' AND active",
+    "flt04": _FACTS + "wins >= 25 AND bouts >= 60 AND losses <= 35 AND draws <= 4",
+    "flt05": _FACTS + "kos >= 10 AND ko_rate >= 0.5 AND ko_losses <= 15",
+    "flt08": _FACTS + "last_fight BETWEEN DATE '2000-05-01' AND DATE '2000-06-15'",
+    "flt10": _FACTS + "reach_cm >= 180 AND age BETWEEN 25 AND 30 AND height_cm <= 190",
+    "flt11": _FACTS + "floor(rating + 0.5) BETWEEN 1504 AND 1548",
+    "flt16": _FACTS + "division = 'BUILDING' AND boxer_id IN (SELECT boxer_id FROM weights WHERE NOT made)",
+    "flt22": "SELECT rounds, count(*) AS n FROM bouts WHERE counted AND method <> 'DQ' AND rounds >= 6 GROUP BY ALL",
+    "mdl07": """@nxt AS (SELECT * FROM bouts WHERE upcoming ORDER BY date, bout_id LIMIT 200),
+        d AS (SELECT n.bout_id, a.rating - b.rating AS r, CASE WHEN a.reach_cm IS NOT NULL AND b.reach_cm IS NOT NULL THEN least(12, greatest(-12, a.reach_cm - b.reach_cm)) ELSE 0 END AS reach,
+            CASE WHEN a.age IS NOT NULL AND b.age IS NOT NULL THEN greatest(0, b.age - 34) - greatest(0, a.age - 34) ELSE 0 END AS age, a.ko_rate - b.ko_rate AS ko FROM nxt n JOIN careers a ON red_id = a.boxer_id JOIN careers b ON blue_id = b.boxer_id),
+        p AS (SELECT 'Balanced' AS preset, 1.0::DOUBLE AS f, 0.016::DOUBLE AS wr, 0.03::DOUBLE AS wa, 0.2::DOUBLE AS wk UNION ALL SELECT 'Pure Elo', 1, 0, 0, 0 UNION ALL SELECT 'Old school', 0.6, 0.04, 0.03, 0.6 UNION ALL SELECT 'Father Time', 1, 0.016, 0.09, 0.2)
+        SELECT bout_id, preset, round(1 / (1 + exp(-(ln(10) / 400 * f * r + wr * reach + wa * age + wk * ko))), 6) AS p_red FROM d, p""",
+    "mdl14": """SELECT count(*) AS n, round(avg(-ln(CASE WHEN result = 'W' THEN p ELSE 1 - p END)), 6) AS log_loss, round(avg(pow(CASE WHEN result = 'W' THEN 1 - p ELSE p END, 2)), 6) AS brier FROM (SELECT result, 1 / (1 + pow(10, (opp_pre - pre) / 400)) AS p FROM won WHERE side = 'red' AND result <> 'D')""",
+    "lnk05": "SELECT name, count(*) AS reigns, sum(days)::BIGINT AS days FROM reigns JOIN fighters ON champion_id = boxer_id GROUP BY ALL",
+    "str04": f"""SELECT field, kind, CASE WHEN kind = 'fill' OR (kind = 'replace' AND field = 'end_round' AND abs(try_cast(old AS INT) - try_cast("new" AS INT)) <= 2) THEN 'taken' ELSE 'waits' END AS decision, count(*) AS n FROM ({_CHANGES}) GROUP BY ALL""",
+    "str15": """SELECT CASE WHEN wins = told THEN 'complete' WHEN earlier = told THEN 'lagging' WHEN wins < told THEN 'partial' ELSE 'conflict' END AS verdict, count(*) AS n FROM (SELECT *, earlier + CASE WHEN boxer_id % 3 = 0 THEN 0 ELSE boxer_id % 2 END AS told FROM (
+        SELECT boxer_id, count(*) AS wins, count(*) FILTER (date <= DATE '2000-06-30' - 60) AS earlier FROM won WHERE result = 'W' GROUP BY ALL)) GROUP BY 1""",
+    "dq15": """SELECT 'fighters-without-bout' AS code, count(*) AS n FROM fighters WHERE boxer_id NOT IN (SELECT boxer_id FROM lb) UNION ALL SELECT 'self-fights', count(*) FROM bouts WHERE red_id = blue_id UNION ALL SELECT 'late-rounds', count(*) FROM bouts WHERE end_round > rounds
+        UNION ALL SELECT 'title-without-winner', count(*) FROM bouts WHERE title IS NOT NULL AND method IS NOT NULL AND winner_id IS NULL UNION ALL SELECT 'cards-only-cancelled', count(*) FROM league_events WHERE event_id NOT IN (SELECT event_id FROM bouts WHERE NOT cancelled)""",
+    "vw09": "SELECT boxer_id, bout_id, CASE WHEN upcoming THEN 'upcoming' ELSE result END AS what FROM lb WHERE boxer_id % 50 = 0 AND ((counted AND date >= DATE '2000-06-01') OR (upcoming AND date <= DATE '2000-07-14'))",
+}
+
 
 def _whole(query: str) -> str:
     """The league's expressions and the query; one that begins with @ brings expressions of its own."""
     return f"{LEAGUE}, {query[1:]}" if query.startswith("@") else f"{LEAGUE} {query}"
 
 
-ORACLE_SQL = {k: _whole(q) for k, q in (_QUERIES | _MORE | _LAST).items()}
+ORACLE_SQL = {k: _whole(q) for k, q in (_QUERIES | _MORE | _LAST | _CHECKS).items()}

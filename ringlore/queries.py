@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .operators import aggregates as agg
-from .operators import careers, documents, joins, linkage, merging, models, rankings, search, titles, views
+from .operators import careers, checks, documents, joins, linkage, merging, models, rankings, search, titles, views
 from .oracle import ORACLE_SQL  # noqa: F401
 from .plans.league import League, league
 
@@ -244,3 +244,30 @@ for _key, _make in {
     "str16": linkage.picks_in_time,
 }.items():
     register(_key, _make)
+
+FACTS = ["boxer_id", "wins", "losses", "bouts", "kos", "rating"]
+
+
+def _found(**tests) -> Callable[[League], DataFrame]:  # noqa: ANN003
+    return lambda w: search.search(w, search.Filters(**tests)).select(*FACTS)
+
+
+for _key, _make in {
+    "flt02": _found(division="FURNITURE", sex="female", stance="Southpaw", active=True),
+    "flt04": _found(least={"wins": 25, "bouts": 60}, most={"losses": 35, "draws": 4}),
+    "flt05": _found(least={"kos": 10, "ko_rate": 0.5}, most={"ko_losses": 15}),
+    "flt08": _found(fought_since="2000-05-01", fought_until="2000-06-15"),
+    "flt10": _found(least={"reach_cm": 180, "age": 25}, most={"height_cm": 190, "age": 30}),
+    "flt11": _found(least={"rating": 1504}, most={"rating": 1548}),
+    "flt16": _found(missed_weight=True, division="BUILDING"),
+    "flt22": lambda w: w.decided.where("method <> 'DQ' AND rounds >= 6").groupBy("rounds").agg(F.count("*").alias("n")),
+    "mdl07": checks.preset_chances,
+    "mdl14": checks.surprise_share,
+    "mdl17_impact": checks.trainer_impact,
+    "lnk05": checks.reign_owner,
+    "str04": checks.rule_decisions,
+    "str15": checks.lagging,
+    "dq15": checks.audit,
+    "vw09": checks.watchlist,
+}.items():
+    register(_key, _make)
