@@ -136,7 +136,7 @@ def coherent_core(w: League) -> DataFrame:
     Rounds of anti-joins until nothing leaves; each round's set is a written table.
     """
     met = written(w.counted.select("boxer_id", "opp_id").distinct(), "opponents")
-    core = written(reconciliation(w).where("verdict = 'complete' AND wins + losses + draws <= 66").select("boxer_id"), "core")
+    core = written(reconciliation(w).where("verdict = 'complete'").select("boxer_id"), "core")
     n = core.count()
     while True:
         out = met.join(core.select(F.col("boxer_id").alias("opp_id")), "opp_id", "left_anti").select("boxer_id").distinct()
