@@ -9,16 +9,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only where it names none, a local one is made and set."""
+    """The folder that driver and executors share, as the session names it.
+
+    Only a local session may name none (tests, a laptop): then a folder of this machine is made and set.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ringlore-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/ringlore-{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a written table: its work is done once and its lineage is cut."""
-    path = f"{shared_folder(df.sparkSession)}/ringlore-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a working table that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
