@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import text_of
-from .textcodes import _SPACED, TextCoder, slices
+from .textcodes import TextCoder, slices
 
+#: white space before a space or at the end
+_SPACED = re.compile(r"\s(?: |\Z)")
 NONE = np.int32(np.iinfo(np.int32).max)
 WIDTHS = (2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 16, 18, 20, 24, 28, 32, 40, 48, 64, 96, 128, 192, 256)
 LONGEST, ROWS = WIDTHS[-1], 8192
@@ -132,9 +135,8 @@ class RankBpe:
                     heapq.heappush(heap, (r, k, len(both)))
         return [self.ranks[p] for p in part if p]
 
-    def encode_tokens(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each) of pre-tokens."""
-        raw = [t.encode() for t in tokens]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         data, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes)
         got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -160,7 +162,7 @@ class RankBpe:
             flat[np.repeat(start[some] - (np.cumsum(k) - k), k) + np.arange(len(ids))] = ids
         return flat, n
 
-    def encode_pieces(self, pieces: list[str], per_call: int = 32768) -> tuple[np.ndarray, np.ndarray]:
+    def pieces(self, pieces: list[str], per_call: int = 32768) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of ``TextCoder``: split by the pattern, then each distinct pre-token once."""
         done = [self._encode_some(pieces[i : i + per_call]) for i in range(0, len(pieces), per_call)]
         return np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
@@ -176,7 +178,7 @@ class RankBpe:
             per = np.diff(np.searchsorted(ends, np.cumsum([len(p) for p in pieces]), "right"), prepend=0)
         coded = pa.array(tokens, pa.string()).dictionary_encode()
         which = coded.indices.to_numpy()
-        flat, n = self.encode_tokens(coded.dictionary.to_pylist())
+        flat, n = self.words([t.encode() for t in coded.dictionary.to_pylist()])
         size = n[which]
         ends = np.concatenate([[0], np.cumsum(size)])
         where = np.repeat((np.cumsum(n) - n)[which] - ends[:-1], size) + np.arange(int(ends[-1]))
@@ -187,7 +189,7 @@ class RankBpe:
 @cache
 def rank_coder(path: str, pattern: str) -> TextCoder:
     """The coder of a rank file; a Python worker keeps it, and its memo, from task to task."""
-    return TextCoder(RankBpe(read_ranks(path), pattern).encode_pieces, drop_space=False)
+    return TextCoder(RankBpe(read_ranks(path), pattern), drop_space=False)
 
 
 class Decoder:

@@ -1,44 +1,13 @@
-"""What the operators share: the shared working folder, written tables, row keys, running totals."""
+"""What the operators share: written tables, names, running totals, row numbers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import new_path, remove, written
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Only where the session names none (tests, a laptop) a local one is made and set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="ringlore-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_folder(spark)}/ringlore-{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table written to the shared folder: work is not repeated, lineage is cut."""
-    path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a working table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+__all__ = ["new_path", "numbered", "remove", "running_total", "text_of", "unused", "written"]
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -53,37 +22,35 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def running_total(df: DataFrame, order: list[str], value: str, out: str, rows_per_group: int = 200_000) -> DataFrame:
+def _in_ranges(df: DataFrame, order: list[Column | str], label: str) -> tuple[DataFrame, Column]:
+    """``df`` written in ranges of ``order``, sorted, with ``_at`` ascending; and the number of a row's range.
+
+    All of ``order`` decides the bounds, so no group of equal leading columns has to fit in one task.
+    """
+    at = F.monotonically_increasing_id()
+    return written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at), label), F.shiftright("_at", 33)
+
+
+def running_total(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over all rows before this one in ``order``.
 
-    Rows are dealt by ranges of ``order[0]`` (bounds from approximate quantiles, a few numbers), each
-    range is summed on its own, and the ranges' totals, one row each, are broadcast.
+    Each range of rows is summed on its own, and the ranges' totals, one row each, are broadcast.
     """
-    n = df.count()
-    groups = max(1, min(2000, n // rows_per_group + 1))
-    # numbers only; null sorts first and falls in range 0
-    bounds = sorted(set(df.approxQuantile(order[0], [i / groups for i in range(1, groups)], 0.001 if groups < 400 else 0.0002))) if groups > 1 else []
-    part = F.lit(0)
-    if bounds:
-        edges = F.array(*[F.lit(float(b)) for b in bounds])
-        part = F.coalesce(F.size(F.filter(edges, lambda e: e < F.col(order[0]))), F.lit(0))
-    df = df.withColumn("_range", part)
-    totals = df.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    placed, part = _in_ranges(df, order, "ranges")
+    totals = placed.groupBy(part.alias("_range")).agg(F.sum(value).alias("_sum"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_run", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return df.join(F.broadcast(totals), "_range").withColumn(out, (F.col("_base") + F.col("_run")).cast("long")).drop("_range", "_base", "_run")
+    inside = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("_range", part).withColumn("_run", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return placed.join(F.broadcast(totals), "_range").withColumn(out, (F.col("_base") + F.col("_run")).cast("long")).drop("_range", "_at", "_base", "_run")
 
 
 def numbered(df: DataFrame, order: list[Column | str], out: str) -> DataFrame:
     """Adds ``out``: each row's place, from 0, in ``order`` over all rows.
 
-    Rows are sorted by ranges, so no group of equal leading columns has to fit in one task; the ranges' row
-    counts, one row for each partition, are broadcast.  Equal rows get places in either order.
+    The ranges' row counts, one row for each, are broadcast.  Equal rows get places in either order.
     """
-    placed = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("_at", 33)
+    placed, part = _in_ranges(df, order, "numbered")
     counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

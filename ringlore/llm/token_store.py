@@ -7,25 +7,28 @@ for it, so that equal stretches give equal chunks wherever they stand.  The stor
   in as few bytes as the vocabulary needs, by zstandard), each digest once;
 * ``recipes``: one row per document in ascending id order: ``start`` (ids of all documents before it),
   ``n_tokens``, the digests of its chunks in order, and ``root``, their Merkle root;
-* ``manifest``: Merkle roots over the recipes of each range of documents, and the store's own root last.
+* ``manifest``: a Merkle tree over the recipes, level by level; the highest level is the store's root.
 
-``read_store`` rebuilds every document from recipes and chunks and verifies digests and roots on the way.
+``read_store`` holds the recipes against the manifest, rebuilds every document from its recipe and the chunks, and
+verifies every digest and root.  A chunk that very many documents share is one key of that join: adaptive execution
+splits its documents among tasks.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import new_path, remove, running_total, text_of
+from .common import new_path, remove, running_total, text_of, written
 from .textcodes import as_binary, library_coder, slices
 
 WINDOW, LEAST, MEAN_BITS, MOST = 32, 128, 10, 8192
@@ -77,7 +80,7 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 
 CHUNKS, RECIPES = "digest binary, n long, payload binary", "doc_id long, start long, n_tokens long, digests array<binary>, root binary"
-MANIFEST = "range long, documents long, tokens long, root binary"
+MANIFEST = "level int, at long, documents long, tokens long, hash binary"
 STAGED = "row long, doc_id long, n_tokens long, digests array<binary>, root binary, digest binary, n long, payload binary"
 
 
@@ -117,7 +120,7 @@ def _stage_task(tokenizer: str, end_id: int, width: int):
 
 
 def write_store(
-    docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, width: int = 2, per_range: int = 4096
+    docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, width: int = 2, fan: int = 4096
 ) -> None:
     """Writes the store of all documents to the folder ``path``.
 
@@ -133,61 +136,75 @@ def write_store(
     chunks = both.where("digest IS NOT NULL").select("digest", "n", "payload").groupBy("digest").agg(F.first("n").alias("n"), F.first("payload").alias("payload"))
     chunks.write.option("compression", "none").parquet(f"{path}/chunks")
     recipes = running_total(both.where("row IS NOT NULL").select("row", "doc_id", "n_tokens", "digests", "root"), ["doc_id", "row"], "n_tokens", "start")
-    # ranges of the row number that ascending order gives; a file holds whole ranges
+    # files in ascending order
     recipes.repartitionByRange("start").sortWithinPartitions("start").select("doc_id", "start", "n_tokens", "digests", "root").write.option("compression", "zstd").parquet(f"{path}/recipes")
     remove(spark, staged)
-    _write_manifest(spark, path, per_range)
+    merkle_tree(_recipes(spark, path), fan).write.parquet(f"{path}/manifest")
 
 
-def _ranges(spark: SparkSession, path: str, per_range: int) -> DataFrame:
-    """Merkle root of the recipes whose ``start`` lies in each range of ``per_range`` mean documents."""
-    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes").select("start", "n_tokens", "root")
+def _folded(nodes: DataFrame, by: Column) -> DataFrame:
+    """A node over each group of nodes: the hash of their hashes in order."""
+    below = F.array_sort(F.collect_list(F.struct("at", "hash")))["hash"]
+    sums = [F.sum(c).alias(c) for c in ("documents", "tokens")]
+    above = nodes.groupBy(by.alias("node")).agg(*sums, F.concat_ws("", F.transform(below, F.hex)).alias("hashes"))
+    return above.select(F.col("node").alias("at"), "documents", "tokens", F.unhex(F.sha2("hashes", 256)).alias("hash"))
+
+
+def merkle_tree(recipes: DataFrame, fan: int = 4096) -> DataFrame:
+    """``level``, ``at``, ``documents``, ``tokens``, ``hash``: the tree over all recipes but for its leaves.
+
+    A leaf is the hash of a recipe's id, place, length and root.  A node has the leaves whose ``start`` lies in a
+    stretch of ``fan`` mean documents (level 0), or ``fan`` nodes below it; the highest level is one node, the store's root.
+    """
     total = recipes.agg(F.count("*"), F.sum("n_tokens")).first()
-    tokens = max(1, per_range * (total[1] or 1) // max(1, total[0]))
-    root = F.udf(lambda leaves: merkle_root([bytes(x) for x in leaves]), T.BinaryType())
-    leaves = recipes.withColumn("range", F.expr(f"start div {tokens}L")).groupBy("range").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"), F.array_sort(F.collect_list(F.struct("start", "root"))).alias("leaves"))
-    return leaves.select("range", "documents", "tokens", root("leaves.root").alias("root"))
+    stretch = max(1, fan * (total[1] or 1) // max(1, total[0]))
+    leaf = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "start", "n_tokens", F.hex("root")), 256)
+    leaves = recipes.select(F.col("start").alias("at"), F.lit(1).cast("long").alias("documents"), F.col("n_tokens").alias("tokens"), F.unhex(leaf).alias("hash"))
+    nodes = written(_folded(leaves, F.expr(f"at div {stretch}L")), "merkle-level")
+    levels = [nodes.select(F.lit(0).alias("level"), "*")]
+    while nodes.count() > 1:
+        nodes = written(_folded(nodes, F.expr(f"at div {fan}L")), "merkle-level")
+        levels.append(nodes.select(F.lit(len(levels)).alias("level"), "*"))
+    return reduce(DataFrame.unionByName, levels)
 
 
-def _write_manifest(spark: SparkSession, path: str, per_range: int) -> None:
-    _ranges(spark, path, per_range).write.parquet(f"{path}/manifest")
+def _recipes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(RECIPES).parquet(f"{path}/recipes")
 
 
-def verify_manifest(spark: SparkSession, path: str, per_range: int = 4096) -> bool:
-    """Whether the recipes are those that the manifest was made of."""
-    found, held = _ranges(spark, path, per_range), spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+def verify_manifest(spark: SparkSession, path: str, fan: int = 4096) -> bool:
+    """Whether the recipes are those that the manifest was made of: none changed, lost, added or moved."""
+    found, held = merkle_tree(_recipes(spark, path), fan), spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
     return found.exceptAll(held).isEmpty() and held.exceptAll(found).isEmpty()
 
 
-def _rebuild_task(width: int):
+def _rebuild_task(width: int, most: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            step = 256
-            for lo in range(0, batch.num_rows, step):
-                some = batch.slice(lo, step)
-                streams = []
-                for parts, root in zip(some.column("parts").to_pylist(), some.column("root").to_pylist()):
-                    # one cell may stand for several places in the document
-                    placed = sorted((i, p["digest"], p["payload"]) for p in parts for i in p["places"])
-                    ids = [np.frombuffer(expand(payload), f"<u{width}").astype("<u4") for _, _, payload in placed]
-                    if any(hashlib.sha256(x.data).digest() != d for x, (_, d, _) in zip(ids, placed)) or merkle_root([d for _, d, _ in placed]) != root:
-                        raise ValueError("the store is damaged: a chunk or a recipe does not match its hash")
-                    streams.append(np.concatenate(ids))
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in streams])])
-                yield pa.record_batch(
-                    [some.column("doc_id"), some.column("start"), pa.array(np.diff(ends)), as_binary(np.concatenate(streams), ends)],
-                    names=["doc_id", "start", "n_tokens", "ids"],
-                )
+        for some in slices(batches, "n_tokens", most):
+            streams = []
+            for parts, root, n in zip(some.column("parts").to_pylist(), some.column("root").to_pylist(), some.column("n_tokens").to_pylist()):
+                parts.sort(key=itemgetter("place"))
+                ids = [np.frombuffer(expand(p["payload"]), f"<u{width}").astype("<u4") if p["payload"] else np.empty(0, "<u4") for p in parts]
+                if any(hashlib.sha256(x.data).digest() != p["digest"] for x, p in zip(ids, parts)) or merkle_root([p["digest"] for p in parts]) != root or sum(map(len, ids)) != n:
+                    raise ValueError("the store is damaged: a chunk is lost, or a chunk or a recipe does not match its hash")
+                streams.append(np.concatenate(ids))
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in streams])])
+            yield pa.record_batch([some.column("doc_id"), some.column("start"), some.column("n_tokens"), as_binary(np.concatenate(streams), ends)], names=["doc_id", "start", "n_tokens", "ids"])
 
     return run
 
 
-def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """``doc_id``, ``start``, ``n_tokens`` and ``ids`` (binary, little-endian unsigned 32-bit) of every document."""
-    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
+def read_store(spark: SparkSession, path: str, width: int = 2, fan: int = 4096) -> DataFrame:
+    """``doc_id``, ``start``, ``n_tokens`` and ``ids`` (binary, little-endian unsigned 32-bit) of every document.
+
+    The recipes are first held against the manifest, then every chunk and document against its hash; a store that
+    does not match raises ``ValueError`` (here, or in the task that rebuilds the document).
+    """
+    if not verify_manifest(spark, path, fan):
+        raise ValueError("the store is damaged: the recipes are not those of the manifest")
     chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").select("digest", "payload")
-    places = recipes.select("doc_id", "start", "root", F.posexplode("digests").alias("place", "digest"))
-    parts = places.join(chunks, "digest").groupBy("start", "doc_id", "root")
-    parts = parts.agg(F.collect_list(F.struct("digest", "payload", F.array("place").alias("places"))).alias("parts"))
+    places = _recipes(spark, path).select("doc_id", "start", "n_tokens", "root", F.posexplode("digests").alias("place", "digest"))
+    parts = places.join(chunks, "digest", "left").groupBy("start", "doc_id", "n_tokens", "root")
+    parts = parts.agg(F.collect_list(F.struct("place", "digest", "payload")).alias("parts"))
     return parts.mapInArrow(_rebuild_task(width), "doc_id long, start long, n_tokens long, ids binary")

@@ -57,7 +57,7 @@ def library(path):
 
 @pytest.mark.parametrize(("path", "drop"), [(WORD, True), (BYTE, False)])
 def test_coder_equals_library(path, drop, plain):
-    own, encode = textcodes.TextCoder(textcodes.library_encoder(path), drop, limit=50), library(path)
+    own, encode = textcodes.TextCoder(textcodes.LibraryEncoder(path), drop, limit=50), library(path)
     for start in range(0, len(plain), 7):  # several batches, so that the memo turns over
         texts = [t for _, t in plain[start : start + 7]]
         ids, at = own.encode(pa.array(texts, pa.string()))
@@ -66,8 +66,8 @@ def test_coder_equals_library(path, drop, plain):
 
 def test_token_store(spark, docs, empty, plain):
     path, encode = new_path(spark, "t"), library(WORD)
-    token_store.write_store(docs, WORD, path)
-    got = token_store.read_store(spark, path).orderBy("start").collect()
+    token_store.write_store(docs, WORD, path, fan=8)
+    got = token_store.read_store(spark, path, fan=8).orderBy("start").collect()
     expected = sorted(((-1 if i is None else i), encode(t) + [1]) for i, t in plain)
     at = 0
     assert len(got) == len(expected)
@@ -75,15 +75,23 @@ def test_token_store(spark, docs, empty, plain):
         assert (-1 if r.doc_id is None else r.doc_id, r.start, r.n_tokens) == (i, at, len(ids))
         at += len(ids)
     assert sorted((r.n_tokens, bytes(r.ids)) for r in got) == sorted((len(x), np.array(x, "<u4").tobytes()) for _, x in expected)
-    chunks = spark.read.parquet(f"{path}/chunks")
+    chunks, recipes, manifest = (spark.read.parquet(f"{path}/{t}") for t in ("chunks", "recipes", "manifest"))
     assert chunks.count() == chunks.select("digest").distinct().count()
-    assert token_store.verify_manifest(spark, path)
-    bad = new_path(spark, "t")
-    broken = chunks.withColumn("payload", F.first("payload").over(Window.orderBy("digest").rowsBetween(-(1 << 30), 1 << 30)))
-    broken.write.parquet(f"{bad}/chunks")
-    spark.read.parquet(f"{path}/recipes").write.parquet(f"{bad}/recipes")
-    with pytest.raises(Exception, match="damaged"):
-        token_store.read_store(spark, bad).collect()
+    top = manifest.orderBy(F.desc("level")).collect()
+    assert top[0].level > top[1].level and (top[0].at, top[0].documents, top[0].tokens) == (0, len(plain), at)
+    swapped = chunks.withColumn("payload", F.first("payload").over(Window.orderBy("digest").rowsBetween(-(1 << 30), 1 << 30)))
+    shortest = chunks.orderBy("n").limit(1).select("digest")
+    damaged = [
+        (swapped, recipes, manifest), (chunks.join(shortest, "digest", "left_anti"), recipes, manifest), (chunks, recipes.where("start > 0"), manifest),
+        (chunks, recipes.withColumn("doc_id", F.col("doc_id") + 1), manifest), (chunks, recipes.withColumn("digests", F.slice("digests", 1, 1)), manifest),
+        (chunks, recipes, manifest.where(f"level < {top[0].level}")), (chunks, recipes, manifest.withColumn("hash", F.when(F.col("level") == 0, F.unhex(F.lit("00"))).otherwise(F.col("hash")))),
+    ]
+    for tables in damaged:
+        bad = new_path(spark, "t")
+        for table, name in zip(tables, ("chunks", "recipes", "manifest")):
+            table.write.parquet(f"{bad}/{name}")
+        with pytest.raises(Exception, match="damaged"):
+            token_store.read_store(spark, bad, fan=8).collect()
     none = new_path(spark, "t")
     token_store.write_store(empty, WORD, none)
     assert token_store.read_store(spark, none).count() == 0
@@ -344,7 +352,7 @@ def test_numbering(spark):
     df = spark.createDataFrame(rows, "a long, b long, c long")
     got = [(x.a, x.b, x.c) for x in sorted(numbered(df, ["a", "b", "c"], "n").collect(), key=lambda x: x.n)]
     assert got == sorted(rows)
-    total, at = {x.c: x.t for x in running_total(df, ["b", "c"], "a", "t", rows_per_group=60).collect()}, 0
+    total, at = {x.c: x.t for x in running_total(df, ["b", "c"], "a", "t").collect()}, 0
     for a, _, c in sorted(rows, key=lambda x: (x[1], x[2])):
         assert total[c] == at
         at += a
