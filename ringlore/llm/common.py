@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import new_path, remove, written
 
-__all__ = ["new_path", "numbered", "remove", "running_total", "text_of", "unused", "written"]
+__all__ = ["join_per_key", "keep_marked", "new_path", "numbered", "remove", "running_total", "text_of", "unused", "written"]
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -22,6 +22,38 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def join_per_key(rows: DataFrame, table: DataFrame, key: str, total: int, most_heavy: int = 1000) -> DataFrame:
+    """``rows`` inner-joined with ``table``, which has one row per key and, in ``n``, how many rows have that key.
+
+    ``total``: the number of rows.  Keys of more than ``total / most_heavy`` rows (and of more than 64), fewer than
+    ``most_heavy`` by arithmetic, are broadcast, so that no task gets a hot key; the others are shuffled.
+    """
+    limit = max(64, total // most_heavy)
+    heavy, rest = table.where(F.col("n") > limit), table.where(F.col("n") <= limit)
+    known = rows.join(F.broadcast(heavy), key)
+    return known.unionByName(rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(rest, key))
+
+
+def keep_marked(docs: DataFrame, key: dict[str, Column], marks: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key is marked to stay, with their own columns; of rows of one key only one.
+
+    ``key``: how each key column of ``marks`` is told from a row.  ``marks``: the key columns and ``stays``, a row for
+    each document.  Only what doesn't simply stay is joined with the documents, so their texts are not shuffled as
+    long as that is few rows, and are shuffled once otherwise.
+    """
+    each = marks.groupBy(*key).agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
+    special = written(each.where("NOT stays OR n > 1").drop("n"), "special-rows")
+    names = {k: unused(docs, f"_key_{i}") for i, k in enumerate(key)}
+    rows = docs.withColumns({names[k]: c for k, c in key.items()})
+    own = special.select(*[F.col(k).alias(f"_own_{names[k]}") for k in key], F.col("stays").alias("_own_stays"))
+    same = [rows[n].eqNullSafe(own[f"_own_{n}"]) for n in names.values()]
+    out = rows.join(own, same, "left_anti")
+    repeated = own.where("_own_stays")
+    if not repeated.isEmpty():
+        out = out.unionByName(rows.join(repeated, same, "left_semi").dropDuplicates(list(names.values())))
+    return out.select(*docs.columns)
+
+
 def _in_ranges(df: DataFrame, order: list[Column | str], label: str) -> tuple[DataFrame, Column]:
     """``df`` written in ranges of ``order``, sorted, with ``_at`` ascending; and the number of a row's range.
 

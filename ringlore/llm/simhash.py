@@ -2,15 +2,17 @@
 
 Fingerprints: a bit is set where over half of the text's shingle hashes have it.  Linking is exact for
 every pair of at most three differing bits.  For each distinct fingerprint a table row holds its Hamming
-distances to eight reference fingerprints (pivots).  By the triangle inequality the distances of a
-linked pair differ by three at most, so pairs with a larger coordinate difference are discarded
-before the survivors' bits are compared.
+distances to ``PIVOTS`` reference fingerprints (pivots).  By the triangle inequality the distances of a
+linked pair differ by three at most, so pairs with a larger coordinate difference are discarded, and
+the survivors' bits are compared.
 
 Distances in Hamming space concentrate, so a pivot table alone discards but does not index: pairs are
-brought together by keys.  With the bits cut into ``m`` blocks, a linked pair agrees on at least ``m - 3``
-whole blocks, so it meets under one of ``C(m, 3)`` keys.  Keys of the first level (5 blocks) that too many
-fingerprints share go on to a finer level (8, then 16 blocks); under a key of the last level no more than
-4,096 distinct fingerprints exist, so no group is unbounded and no pair is lost.
+brought together by keys.  With the bits cut into five blocks, a linked pair agrees on two whole blocks
+at least, so it meets under one of ten keys.  Under a key that more than ``HOT`` fingerprints share, the table
+brings pairs together: its first ``BANDED`` distances, in bands of ``BAND``, are a row's cell, and a row near
+it has a cell beside it.  What stands in a cell that is hot still (clusters of texts that are all near each other)
+goes on to keys of 13 of 16 blocks, under which no more than 4,096 distinct fingerprints exist; so no group is
+unbounded and no pair is lost.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of, written
+from .common import join_per_key, text_of, written
 from .components import connected_components
 from .textcodes import slices
 
-SEED, BITS, MOST_BITS, PIVOTS = 42, 64, 3, 8
-LEVELS, HOT = (5, 8, 16), 500
+SEED, BITS, MOST_BITS, PIVOTS = 42, 64, 3, 32
+#: blocks of the first and the last keys; fingerprints from which a key or cell counts as hot; pivots and width of cells
+COARSE, FINE, HOT, BANDED, BAND = 5, 16, 500, 6, 8
 
 
 def shingle_hashes(text: str, words: int) -> list[int]:
@@ -86,15 +89,34 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _pivot_row() -> Column:
-    """Distances to the pivots, a byte each, in one long.  A pivot is the hash of its number."""
-    each = [F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.xxhash64(F.lit(i)))).cast("long"), 8 * i) for i in range(PIVOTS)]
-    return reduce(lambda a, b: a.bitwiseOR(b), each)
+def _pivot_rows() -> Column:
+    """Distances to the pivots, eight in a long, a byte each.  A pivot is the hash of its number."""
+    each = [F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.xxhash64(F.lit(i)))).cast("long"), 8 * (i % 8)) for i in range(PIVOTS)]
+    return F.struct(*[reduce(lambda a, b: a.bitwiseOR(b), each[i : i + 8]).alias(f"d{i // 8}") for i in range(0, PIVOTS, 8)])
 
 
-def _near_by_pivots(a: Column, b: Column) -> Column:
-    at = lambda row, i: F.shiftrightunsigned(row, 8 * i).bitwiseAND(F.lit(255))
-    return reduce(lambda x, y: x & y, [F.abs(at(a, i) - at(b, i)) <= MOST_BITS for i in range(PIVOTS)])
+def distance_to_pivot(pivots: Column, i: int) -> Column:
+    return F.shiftrightunsigned(pivots[f"d{i // 8}"], 8 * (i % 8)).bitwiseAND(F.lit(255))
+
+
+def near_by_pivots(a: Column, b: Column) -> Column:
+    """Whether no coordinate of the two table rows differs by more than ``MOST_BITS``."""
+    return reduce(lambda x, y: x & y, [F.abs(distance_to_pivot(a, i) - distance_to_pivot(b, i)) <= MOST_BITS for i in range(PIVOTS)])
+
+
+def _times(cells: Column, bands: Column) -> Column:
+    return F.flatten(F.transform(cells, lambda c: F.transform(bands, lambda b: c * 16 + b)))
+
+
+def _cells(pivots: Column, neighbours: bool) -> Column:
+    """The cell of a table row: its bands of the first ``BANDED`` pivots; or all cells that a row near it may have."""
+    cells = F.array(F.lit(0).cast("long"))
+    for i in range(BANDED):
+        d = distance_to_pivot(pivots, i)
+        reach = [F.greatest(d - MOST_BITS, F.lit(0)), d + MOST_BITS] if neighbours else [d]
+        bands = F.array_distinct(F.array(*[F.floor(x / BAND).cast("long") for x in reach]))
+        cells = _times(cells, bands)
+    return cells
 
 
 def _masks(blocks: int) -> list[int]:
@@ -103,26 +125,47 @@ def _masks(blocks: int) -> list[int]:
     return [_signed(sum(block[i] for i in keep)) for keep in combinations(range(blocks), blocks - MOST_BITS)]
 
 
+def _keyed(nodes: DataFrame, blocks: int) -> DataFrame:
+    """Each node under its bits of each choice of whole blocks; the choice and the bits are one key."""
+    keys = F.array(*[F.xxhash64(F.lit(m), F.col("fp").bitwiseAND(F.lit(m))) for m in _masks(blocks)])
+    return nodes.select("fp", "pivots", F.explode(keys).alias("key"))
+
+
+def _survivors(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs that meet under a key and that the pivot table doesn't discard."""
+    a, b = a.alias("a"), b.alias("b")
+    meets = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in on]) & (F.col("a.fp") < F.col("b.fp"))
+    return a.join(b, meets & near_by_pivots(F.col("a.pivots"), F.col("b.pivots"))).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+
+
+def _shared(keyed: DataFrame, on: list[str], label: str) -> DataFrame:
+    return written(keyed.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1"), label)
+
+
 def linked_pairs(prints: DataFrame) -> DataFrame:
     """All pairs ``u < v`` of distinct fingerprints (column ``fp``, no repeats) with at most three differing bits."""
-    nodes = written(prints.select("fp", _pivot_row().alias("pivots")), "pivot-table")
-    found = []
-    for level, blocks in enumerate(LEVELS):
-        masks = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(blocks)])
-        keyed = nodes.select("fp", "pivots", F.posexplode(masks).alias("mask", "key"))
-        shared = written(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
-        last = level == len(LEVELS) - 1
-        some = shared if last else shared.where(F.col("n") <= HOT)
-        members = written(keyed.join(some.select("mask", "key"), ["mask", "key"]), "candidates")
-        a, b = members.alias("a"), members.alias("b")
-        meets = (F.col("a.mask") == F.col("b.mask")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))
-        close = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= MOST_BITS
-        found.append(a.join(b, meets & _near_by_pivots(F.col("a.pivots"), F.col("b.pivots")) & close).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")))
-        hot = shared.where(F.col("n") > HOT)
-        if last or hot.isEmpty():
-            break
-        nodes = written(keyed.join(hot.select("mask", "key"), ["mask", "key"]).select("fp", "pivots").distinct(), "hot-fingerprints")
-    return reduce(DataFrame.unionByName, found).distinct()
+    nodes = written(prints.select("fp", _pivot_rows().alias("pivots")), "pivot-table")
+    keyed = _keyed(nodes, COARSE)
+    shared = _shared(keyed, ["key"], "shared-keys")
+    members = written(keyed.join(shared.where(F.col("n") <= HOT).select("key"), "key"), "candidates")
+    found = [_survivors(members, members, ["key"])]
+    hot = shared.where(F.col("n") > HOT)
+    if not hot.isEmpty():
+        # cells of the pivot table within each hot key: one row stands in its own cell, the other in all that may hold a near one
+        rows = written(keyed.join(hot.select("key"), "key"), "hot-members")
+        own = rows.withColumn("cell", F.explode(_cells(F.col("pivots"), False)))
+        near = rows.withColumn("cell", F.explode(_cells(F.col("pivots"), True)))
+        cells = written(own.groupBy("key", "cell").agg(F.count("*").alias("n")), "cells")
+        few = cells.where(F.col("n") <= HOT).select("key", "cell")
+        found.append(_survivors(own.join(few, ["key", "cell"]), near.join(few, ["key", "cell"]), ["key", "cell"]))
+        full = cells.where(F.col("n") > HOT).select("key", "cell")
+        if not full.isEmpty():
+            nodes = written(near.join(full, ["key", "cell"]).select("fp", "pivots").distinct(), "hot-fingerprints")
+            keyed = _keyed(nodes, FINE)
+            members = written(keyed.join(_shared(keyed, ["key"], "shared-keys").select("key"), "key"), "candidates")
+            found.append(_survivors(members, members, ["key"]))
+    close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MOST_BITS
+    return reduce(DataFrame.unionByName, found).where(close).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -132,16 +175,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies and repeated rows are one node.  Null ids are never a component's id unless it has no other.
     """
     prints = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     roots = connected_components(linked_pairs(nodes.select("fp")))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    groups = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = written(placed.join(groups, "root").select("fp", "component_id"), "components")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """One document of each component, with its own columns: that with the smallest id."""
-    placed = near_duplicates(docs, id_col, text_col, words)
-    stay = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["_stay"]), "left_semi")
+    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.col("n").alias("copies"), F.coalesce("root", "fp").alias("root"))
+    placed = written(placed, "placed")
+    groups = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    ids = join_per_key(placed, groups, "root", placed.count()).select("fp", "component_id", F.col("copies").alias("n"))
+    return join_per_key(prints, written(ids, "components"), "fp", prints.count()).select("doc_id", "fp", "component_id")
