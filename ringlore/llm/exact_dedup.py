@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, unused, written
+from .common import keep_marked, text_of, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -57,8 +57,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = 0.0005) -> DataFrame:
     """The documents that stay, with their own columns (see :func:`exact_groups`)."""
-    stay = exact_groups(docs, id_col, text_col, support).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_digest"))
-    digest = unused(docs, "_text_digest")
-    rows = docs.withColumn(digest, digest_of(text_col))
-    kept = rows.join(stay, rows[id_col].eqNullSafe(stay["_id"]) & (rows[digest] == stay["_digest"]), "left_semi")
-    return kept.dropDuplicates([id_col, digest]).drop(digest)
+    groups = exact_groups(docs, id_col, text_col, support).select(id_col, "text_sha256", F.col("kept").alias("stays"))
+    return keep_marked(docs, {id_col: F.col(id_col), "text_sha256": digest_of(text_col)}, groups)
