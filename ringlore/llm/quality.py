@@ -27,7 +27,7 @@ from .textcodes import slices
 
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4)
 #: characters that are scored at a time
-SLICE = 4 << 20
+SLICE = 2 << 20
 SAMPLE_ROWS, SAMPLE_BYTES, EPOCHS, RATE = 3000, 16 << 20, 8, 0.5
 
 
@@ -149,8 +149,10 @@ def score(model: Model, texts: pa.Array) -> np.ndarray:
     pairs = f.pairs()
     own = sums[f.codes] + np.where(pairs >= 0, model.part[pairs], 0)
     n = (np.diff(f.gram_at)[f.codes] if n_words else np.zeros(0, np.int64)) + (pairs >= 0)
-    upto = lambda x: np.concatenate([[0.0], np.cumsum(x)])[f.at]
-    z = np.diff(upto(own)) / np.maximum(1, np.diff(upto(n))) + model.bias
+    # each document's sum is taken over its own words alone, so that its score doesn't depend on its neighbours
+    full = f.at[:-1] < f.at[1:]
+    z = np.full(len(full), model.bias)
+    z[full] += np.add.reduceat(own, f.at[:-1][full]) / np.maximum(1, np.add.reduceat(n, f.at[:-1][full])) if full.any() else 0
     return 1 / (1 + np.exp(-z))
 
 
