@@ -19,6 +19,8 @@ from ringlore.llm import ann, bpe, exact_dedup, packing, pii, quality, sharding,
 from ringlore.llm.common import new_path, numbered, running_total
 from ringlore.llm.components import connected_components
 
+from test_near_dedup import brute_links, brute_sets, brute_stay
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, digest string, size string, _id string, node int"
 WORD, BYTE, RANKS = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"))
 ODD = [None, "", " ", "\t\n ", "a", "a  b", "  lead", "trail  ", "don't  we 'll", "tab\tx\t y\n\n z", "é́ ́a b", "\x1c b\x85 y", "　 全角 字", "Σας ΣΑΣ İx", "<|endoftext|> x", "x" * 3000, "12.5 %%% !!"]
@@ -216,25 +218,45 @@ def test_simhash(spark, docs, empty, plain):
     assert all(r.fp % (1 << 64) == prints[r.doc_id] for r in got)
     part = brute_components(prints)
     assert all(r.component_id == part[r.doc_id] for r in got)
-    stay = simhash.drop_near_duplicates(docs)
-    assert stay.columns == docs.columns and {r.doc_id for r in stay.collect()} >= set(part.values())
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_links_of_a_dense_cluster(spark, monkeypatch):
-    """Hot keys go through all levels and no link is lost."""
-    monkeypatch.setattr(simhash, "HOT", 5)
-    r = random.Random(5)
+def brute_pairs(prints):
+    mask = (1 << 64) - 1
+    return {(a, b) for a in prints for b in prints if a < b and ((a ^ b) & mask).bit_count() <= 3}
+
+
+def dense_prints(seed, n=150):
+    r = random.Random(seed)
     base, prints = r.getrandbits(64), set()
-    while len(prints) < 150:
+    while len(prints) < n:
         x = base
         for _ in range(r.randint(0, 5)):
             x ^= 1 << r.randrange(64)
         prints.add(simhash._signed(x))
-    prints |= {simhash._signed(r.getrandbits(64)) for _ in range(50)}
-    got = {(a.u, a.v) for a in simhash.linked_pairs(spark.createDataFrame([(p,) for p in prints], "fp long")).collect()}
-    mask = (1 << 64) - 1
-    assert got == {(a, b) for a in prints for b in prints if a < b and ((a ^ b) & mask).bit_count() <= 3}
+    # many that share two blocks and are far apart otherwise, with near ones here and there
+    for _ in range(n):
+        x = base & ((1 << 26) - 1) | r.getrandbits(38) << 26
+        prints |= {simhash._signed(x), simhash._signed(x ^ 1 << r.randrange(64)), simhash._signed(x ^ 7 << r.randrange(62))}
+    return prints | {simhash._signed(r.getrandbits(64)) for _ in range(50)}
+
+
+@pytest.mark.parametrize("hot", [5, 40, 500])
+def test_links_of_a_dense_cluster(spark, monkeypatch, hot):
+    """Hot keys go through cells of the pivot table and the last keys, and no link is lost."""
+    monkeypatch.setattr(simhash, "HOT", hot)
+    prints = dense_prints(5)
+    got = [(a.u, a.v) for a in simhash.linked_pairs(spark.createDataFrame([(p,) for p in prints], "fp long")).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(prints)
+
+
+def test_pivot_table_discards(spark):
+    """Of pairs that share two blocks and nothing else nearly all are discarded by the table, and no near one is."""
+    prints = sorted(dense_prints(8, 60))
+    nodes = spark.createDataFrame([(p,) for p in prints], "fp long").withColumn("pivots", simhash._pivot_rows())
+    left = {(a.u, a.v) for a in simhash._survivors(nodes.withColumn("key", F.lit(1)), nodes.withColumn("key", F.lit(1)), ["key"]).collect()}
+    near = brute_pairs(prints)
+    assert near <= left and len(left) - len(near) < 0.2 * (len(prints) * (len(prints) - 1) / 2 - len(near))
 
 
 def test_components(spark):
@@ -294,6 +316,28 @@ def test_nearest(spark):
     assert [(a.vec_id, a.rank) for a in ann.nearest(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert ann.nearest(df.where("vec_id > 2000"), F.lit(True)).count() == 0
     assert ann.nearest(df.where("false"), F.lit(True)).count() == 0
+    twice = spark.createDataFrame([(0, [1.0, 0.0], 5), (0, [0.0, 2.0], 5), (1, [0.5, 0.5], 6), (1, [0.5, 0.4], 6), (2, [0.0, 1.0], 7)], "vec_id long, embedding array<float>, v int")
+    assert [(a.query_id, a.vec_id) for a in ann.nearest(twice, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 2), (0, 1)]
+
+
+def test_recall_of_learned_partitions(spark):
+    """Rows far beyond the sample: on clustered vectors most parts are left out, and 0.9 of the true neighbours are found."""
+    r = np.random.default_rng(6)
+    centres = r.standard_normal((40, 24))
+    x = (centres[r.integers(0, 40, 6000)] + 0.35 * r.standard_normal((6000, 24))).astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for a in ann.nearest(df, F.col("vec_id") % 20 == 0, sample=1500).collect():
+        got.setdefault(a.query_id, set()).add(a.vec_id)
+    own = np.arange(0, 6000, 20)
+    s = x[own] @ x.T
+    s[np.arange(len(own)), own] = -np.inf
+    best = np.argpartition(-s, 19, axis=1)[:, :20]
+    assert np.mean([len(got[q] & set(b)) / 20 for q, b in zip(own.tolist(), best.tolist())]) >= 0.9
+    router = ann.fit(x[r.permutation(6000)[:1500]], 20, 16)
+    size = np.bincount(router.parts(x), minlength=router.b2.size)
+    order, before = router.order(x[own])
+    assert router.b2.size == 16 and (size[order] * (before < router.enough)).sum() <= 0.25 * len(own) * len(x)
 
 
 def test_bpe(docs, empty, plain):
@@ -380,7 +424,8 @@ def test_pipeline(spark, tmp_path):
                 least.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", before[i]), i)
             assert set(after) == set(least.values())
         if name == "near_dedup":
-            assert set(after) == set(brute_components({i: brute_prints(t) for i, t in before.items()}).values())
+            sets = brute_sets(before.items())
+            assert set(after) == brute_stay(sets, brute_links(sets))
         if name == "pii":
             assert set(after) == set(before) and all(t == before[i] or pii.base_spans(before[i]) for i, t in after.items()) and not any("@mail" in t for t in after.values())
     encode = library(BYTE)
