@@ -8,35 +8,27 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import count_if, expected
 from ..plans.league import League
+from ..storage import written
 from .joins import head_trainer
-from .models import WIN_WEIGHTS, sigmoid
+from .models import WIN_WEIGHTS, corners, sigmoid, upcoming_pairs, win_terms
 
-#: MDL07. Presets as factors or values of the win model's weights.
+#: change in a parameter below which a fit has settled
+SETTLED = 1e-9
+#: MDL07. Presets as values of the win model's weights that differ from the model's own.
 PRESETS = {
     "Balanced": {},
-    "Pure Elo": {"reach": 0.0, "age": 0.0, "power": 0.0},
-    "Old school": {"rating": WIN_WEIGHTS["rating"] * 0.6, "reach": 0.04, "power": 0.6},
-    "Father Time": {"age": 0.09},
+    "Pure Elo": {"reach": 0.0, "age": 0.0, "idle": 0.0, "power": 0.0, "chin": 0.0},
+    "Old school": {"rating": WIN_WEIGHTS["rating"] * 0.6, "reach": 0.04, "power": 0.6, "chin": 0.6},
+    "Father Time": {"age": 0.09, "idle": 0.04},
 }
 
 
-def preset_chances(w: League, n: int = 200) -> DataFrame:
-    """MDL07: the red corner's chance in the next bouts under each preset, from rating, reach, age and power."""
-    f = w.careers.select("boxer_id", "rating", "reach_cm", "age", "ko_rate")
-    side = lambda s: f.select(*[F.col(c).alias(f"{s}_{c.removesuffix('_cm')}" if c != "boxer_id" else f"{s}_id") for c in f.columns])
-    x = w.bouts.where("upcoming").select("bout_id", "date", "red_id", "blue_id").orderBy("date", "bout_id").limit(n).join(side("red"), "red_id").join(side("blue"), "blue_id")
-    apart = lambda c: F.col(f"red_{c}") - F.col(f"blue_{c}")
-    known = lambda c: F.col(f"red_{c}").isNotNull() & F.col(f"blue_{c}").isNotNull()
-    past = lambda s: F.greatest(F.lit(0), F.col(f"{s}_age") - 34)
-    d = {
-        "rating": apart("rating"),
-        "reach": F.when(known("reach"), F.least(F.lit(12), F.greatest(F.lit(-12), apart("reach")))).otherwise(0),
-        "age": F.when(known("age"), past("blue") - past("red")).otherwise(0),
-        "power": apart("ko_rate"),
-    }
-    chance = lambda p: sigmoid(sum((float((WIN_WEIGHTS | p)[k]) * c for k, c in d.items()), F.lit(0.0)))
-    each = F.array(*[F.struct(F.lit(n_).alias("preset"), chance(p).alias("p_red")) for n_, p in PRESETS.items()])
-    return x.select("bout_id", F.explode(each).alias("x")).select("bout_id", "x.*")
+def preset_chances(w: League) -> DataFrame:
+    """MDL07: the red corner's chance in every upcoming bout under each preset."""
+    terms = win_terms(*corners())
+    chance = lambda p: sigmoid(sum((t * (p[n] / WIN_WEIGHTS[n]) if n in p else t for n, t in terms.items()), F.lit(0.0)))
+    each = F.array(*[F.struct(F.lit(name).alias("preset"), chance(p).alias("p_red")) for name, p in PRESETS.items()])
+    return upcoming_pairs(w).select("bout_id", F.explode(each).alias("x")).select("bout_id", "x.*")
 
 
 def rule_decisions(w: League) -> DataFrame:
@@ -74,14 +66,21 @@ def audit(w: League) -> DataFrame:
     return out[0]
 
 
-def watchlist(w: League, since: str = "2000-06-01") -> DataFrame:
-    """VW09: of the watched fighters (every fiftieth) results since a day and bouts of the next 14 days."""
-    x = w.long.where("boxer_id % 50 = 0")
-    past = x.where(F.col("counted") & (F.col("date") >= since)).select("boxer_id", "bout_id", F.col("result").alias("what"))
-    soon = x.where(F.col("upcoming") & (F.datediff("date", F.lit(w.as_of)) <= 14)).select("boxer_id", "bout_id", F.lit("upcoming"))
+def watchlist(w: League, watched: DataFrame, days: int = 30, ahead: int = 14) -> DataFrame:
+    """VW09: results of the last ``days`` and bouts of the next ones of watched fighters, by who watches (``user_id``, ``boxer_id``)."""
+    x = w.long.join(watched.distinct(), "boxer_id")
+    since = F.datediff(F.lit(w.as_of), "date")
+    past = x.where(F.col("counted") & (since < days)).select("user_id", "boxer_id", "bout_id", F.col("result").alias("what"))
+    soon = x.where(F.col("upcoming") & (since >= -ahead)).select("user_id", "boxer_id", "bout_id", F.lit("upcoming"))
     return past.union(soon)
 
 
+def watched_by_events(w: League) -> DataFrame:
+    """Users watch the fighter whose number is that of the event's, round the number of fighters."""
+    fighters = w.fighters.count()
+    return w.raw("events").select("user_id", F.pmod("event_id", F.lit(fighters)).alias("boxer_id")).distinct()
+
+
 def reign_owner(w: League) -> DataFrame:
     """LNK05: belts held by a fighter whose name occurs once, by fighter."""
     own = w.fighters.withColumn("n", F.count("*").over(Window.partitionBy("name"))).where("n = 1").select("boxer_id", "name")
@@ -89,35 +88,43 @@ def reign_owner(w: League) -> DataFrame:
 
 
 def trainer_impact(w: League, passes: int = 70, step: float = 0.8, fighter_penalty: float = 0.05, trainer_penalty: float = 8.0) -> DataFrame:
-    """MDL17: trainers' effects beside fighters' levels, by damped Newton steps on the logistic likelihood.
+    """MDL17: trainers' effects beside fighters' levels, by damped Newton steps on the logistic likelihood, with standard error and verdict.
 
-    Observations stay in Spark: what a step needs is each parameter's gradient and curvature, so the sufficient
-    statistics are counted once per (fighter, opponent, trainer, opponent's trainer) and read by the solver.  Their
-    number is bounded by the bouts of one division and sex, each of which is solved on its own.
+    Observations (equal ones counted once) stay in Spark.  A pass joins the current levels and effects to them, sums
+    each parameter's gradient and curvature, partial sums first, and writes the new values as a small table; nothing is
+    collected, and no pool of bouts is one task's work.
     """
     t = head_trainer(w)
     won = F.when(F.col("result") == "W", 1.0).when(F.col("result") == "D", 0.5).otherwise(0.0)
     x = w.counted.where("side = 'red'").select("bout_id", "division", "sex", F.col("boxer_id").alias("red_id"), F.col("opp_id").alias("blue_id"), won.alias("won"))
-    x = x.join(t.select("bout_id", F.col("boxer_id").alias("red_id"), F.col("trainer_id").alias("red_t")), ["bout_id", "red_id"]).join(t.select("bout_id", F.col("boxer_id").alias("blue_id"), F.col("trainer_id").alias("blue_t")), ["bout_id", "blue_id"])
+    for s in ("red", "blue"):
+        x = x.join(t.select("bout_id", F.col("boxer_id").alias(f"{s}_id"), F.col("trainer_id").alias(f"{s}_t")), ["bout_id", f"{s}_id"])
+    pool = F.concat_ws("|", "division", "sex")
+    key = lambda kind, c: F.xxhash64(F.lit(kind), pool, c)
     obs = x.groupBy("division", "sex", "red_id", "blue_id", "red_t", "blue_t").agg(F.count("*").alias("n"), F.sum("won").alias("won"))
-
-    def solve(pdf):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        fighters, f = np.unique(np.concatenate([pdf.red_id, pdf.blue_id]), return_inverse=True)
-        trainers, u = np.unique(np.concatenate([pdf.red_t, pdf.blue_t]), return_inverse=True)
-        (fr, fb), (tr, tb) = np.split(f, 2), np.split(u, 2)
-        n, won_, level, effect = pdf.n.to_numpy(float), pdf.won.to_numpy(float), np.zeros(len(fighters)), np.zeros(len(trainers))
-        for _ in range(passes):
-            p = 1 / (1 + np.exp(-(level[fr] - level[fb] + effect[tr] - effect[tb])))
-            g, h = won_ - n * p, n * p * (1 - p)
-            both = lambda a, b, size, v, s: np.bincount(a, v, size) + s * np.bincount(b, v, size)
-            gl, hl = both(fr, fb, len(level), g, -1) - fighter_penalty * level, both(fr, fb, len(level), h, 1) + fighter_penalty
-            gt, ht = both(tr, tb, len(effect), g, -1) - trainer_penalty * effect, both(tr, tb, len(effect), h, 1) + trainer_penalty
-            level, effect = level + step * gl / hl, effect + step * gt / ht
-        return pd.DataFrame({"division": pdf.division.iloc[0], "sex": pdf.sex.iloc[0], "trainer_id": trainers, "points": effect * 400 / np.log(10)})
-
-    return obs.groupBy("division", "sex").applyInPandas(solve, "division string, sex string, trainer_id long, points double")
+    obs = written(obs.select("division", "sex", "red_t", "blue_t", "n", "won", key("f", "red_id").alias("fr"), key("f", "blue_id").alias("fb"), key("t", "red_t").alias("tr"), key("t", "blue_t").alias("tb")), "impact-observations")
+    named = obs.select("division", "sex", F.explode(F.array(F.struct(F.col("red_t").alias("trainer_id"), F.col("tr").alias("p")), F.struct(F.col("blue_t").alias("trainer_id"), F.col("tb").alias("p")))).alias("x"))
+    trainers = written(named.select("division", "sex", "x.*").distinct(), "impact-trainers")
+    penalties = obs.select(F.explode(F.array("fr", "fb")).alias("p"), F.lit(fighter_penalty).alias("penalty")).union(obs.select(F.explode(F.array("tr", "tb")), F.lit(trainer_penalty))).distinct()
+    now = written(penalties.select("p", "penalty", F.lit(0.0).alias("v"), F.lit(0.0).alias("h")), "impact-values")
+    for _ in range(passes):
+        at = obs
+        for c in ("fr", "fb", "tr", "tb"):
+            at = at.join(now.select(F.col("p").alias(c), F.col("v").alias(f"v_{c}")), c)
+        p = sigmoid(F.col("v_fr") - F.col("v_fb") + F.col("v_tr") - F.col("v_tb"))
+        at = at.select("fr", "fb", "tr", "tb", (F.col("won") - F.col("n") * p).alias("g"), (F.col("n") * p * (1 - p)).alias("h"))
+        each = F.array(*[F.struct(F.col(c).alias("p"), (F.col("g") * sign).alias("g"), "h") for c, sign in (("fr", 1), ("tr", 1), ("fb", -1), ("tb", -1))])
+        sums = at.select(F.explode(each).alias("e")).groupBy("e.p").agg(F.sum("e.g").alias("g"), F.sum("e.h").alias("h"))
+        old, now = now, sums.join(now.drop("h"), "p")
+        moved = F.col("v") + step * (F.col("g") - F.col("penalty") * F.col("v")) / (F.col("h") + F.col("penalty"))
+        now = written(now.select("p", "penalty", moved.alias("v"), (F.col("h") + F.col("penalty")).alias("h")), "impact-values")
+        # the values have settled once none moves any more
+        if now.join(old.select("p", F.col("v").alias("old")), "p").agg(F.max(F.abs(F.col("v") - F.col("old")))).first()[0] < SETTLED:
+            break
+    points = lambda c: c * F.lit(400 / np.log(10))
+    out = trainers.join(now, "p").select("division", "sex", "trainer_id", points(F.col("v")).alias("points"), points(1 / F.sqrt("h")).alias("error"))
+    verdict = F.when(F.abs("points") < F.col("error"), "no difference shown").when(F.abs("points") < 2 * F.col("error"), "perhaps").otherwise("shown")
+    return out.withColumn("verdict", verdict)
 
 
 def surprise_share(w: League) -> DataFrame:

@@ -26,15 +26,6 @@ def head_trainer(w: League, start_required: bool = False) -> DataFrame:
     return x.groupBy("bout_id", "boxer_id").agg(F.min_by("person_id", F.struct("start", "person_id")).alias("trainer_id"))
 
 
-def as_of(rows: DataFrame, keys: DataFrame, on: str, value: Column, row_time: str, key_time: str, strict: bool = False) -> DataFrame:
-    """JOIN11, JOIN12: to each key the value of the latest row of the same ``on`` up to (or before) its time."""
-    r = rows.select(F.col(on).alias("_on"), F.col(row_time).alias("_t"), value.alias("_v"), *[F.col(c) for c in ("bout_id",) if c in rows.columns and c not in keys.columns])
-    before = F.col("_t") < F.col(key_time) if strict else F.col("_t") <= F.col(key_time)
-    tie = F.struct("_t", *[c for c in ("bout_id",) if c in r.columns])
-    best = keys.join(r, (keys[on] == r["_on"]) & before, "left").groupBy(*keys.columns).agg(F.max_by("_v", F.when(F.col("_t").isNotNull(), tie)).alias("as_of"))
-    return best
-
-
 def rating_at(w: League, day: dt.date, strict: bool = False) -> DataFrame:
     """JOIN11 for all fighters on one day: the last rating up to it, 1500 before any."""
     upto = F.col("date") < F.lit(day) if strict else F.col("date") <= F.lit(day)
@@ -89,17 +80,22 @@ def without_bout(w: League) -> DataFrame:
     return f.unionByName(e)
 
 
-def similar_fighters(w: League, k: int = 5) -> DataFrame:
-    """JOIN16, MDL26: nearest styles within the pool, by a six-number vector; match = max(0, round(100 - 38 d)).
+def similar_fighters(w: League, asking: Column, k: int = 5, blocks: int = 64) -> DataFrame:
+    """JOIN16, MDL26: nearest styles of the ``asking`` fighters within their sex, by a six-number vector; match = max(0, round(100 - 38 d)).
 
-    The asking side is the ten smallest ids, ten rows, so the join is a scan of the pool.
+    Everyone asked about is held against the whole pool, in blocks: a block of the pool meets a block of those who ask, each
+    block keeps its ``k`` nearest, and only those are ranked.
     """
     c = w.careers.where("bouts >= 5")
     dims = [F.col("ko_rate"), F.col("win_rate"), F.coalesce((F.col("age") - 30) / 8, F.lit(0.0)), F.col("avg_rounds") / 12, F.when(F.col("stance") == "Southpaw", 1.0).otherwise(0.0), (F.col("rating") - 1500) / 200]
     v = c.select("boxer_id", "sex", F.array(*[d.cast("double") for d in dims]).alias("v"))
-    ask = F.broadcast(v.where("boxer_id < 10").select(F.col("boxer_id").alias("of_id"), "sex", F.col("v").alias("u")))
+    across = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    ask = v.where(asking).select(F.col("boxer_id").alias("of_id"), "sex", F.col("v").alias("u"), across.alias("block"))
     d = F.sqrt(F.aggregate(F.zip_with("v", "u", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    x = v.join(ask, "sex").where("boxer_id <> of_id").withColumn("d", F.round(d, 9))
+    v = v.withColumn("block", F.pmod(F.xxhash64("boxer_id"), F.lit(blocks)).cast("int"))
+    x = v.join(ask, ["sex", "block"]).where("boxer_id <> of_id").select("of_id", "block", "boxer_id", F.round(d, 9).alias("d"))
+    best = Window.partitionBy("of_id", "block").orderBy("d", "boxer_id")
+    x = x.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
     x = x.withColumn("rank", F.row_number().over(Window.partitionBy("of_id").orderBy("d", "boxer_id"))).where(F.col("rank") <= k)
     return x.select("of_id", "rank", "boxer_id", F.greatest(F.lit(0), F.floor(100 - 38 * F.col("d") + 0.5)).cast("long").alias("match"))
 

@@ -2,46 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_if
 from ..plans.league import League
+from ..storage import written
+from .canon import ACCENTED, PLAIN, fnv1a
 from .documents import name_key
 
-# Spellings of results, tried in this order.
-METHOD_PATTERNS = (
-    ("TDRAW", r"^t(ech\w*\.? ?)?draw"), ("DRAW", r"\bdraw\b"), ("NC", r"no contest|\bnc\b"), ("RTD", r"\brtd\b|retire"), ("TKO", r"\btko\b|tech\w*\.? (ko|knock)"), ("KO", r"\bko\b|knock"), ("DQ", r"\bdq\b|disq"),
-    ("TD", r"\btd\b|tech\w*\.? dec"), ("SD", r"\bsd\b|split"), ("MD", r"\bmd\b|majority"), ("UD", r"\bud\b|unan|decision|points"),
-)
-
-
-def method_of(text: Column) -> Column:
-    """FN09: the result that a spelling stands for; null for none."""
-    t, out = F.lower(F.trim(text)), F.when(F.lit(False), F.lit(""))
-    for name, pattern in METHOD_PATTERNS:
-        out = out.when(t.rlike(pattern), name)
-    return out
-
-
-def spelled_methods(w: League) -> DataFrame:
-    """FN09 over results spelled in several ways, counted by what was meant and what was read."""
-    forms = {"KO": "Knockout", "TKO": "Tech. knockout (3)", "RTD": "Corner retirement", "DQ": "Disqualified", "UD": "Unanimous", "MD": "Majority decision", "SD": "split dec.", "TD": "Tech. decision", "DRAW": "Draw", "TDRAW": "Tech. draw", "NC": "No contest"}
-    spelled = F.element_at(F.create_map(*[F.lit(x) for p in forms.items() for x in p]), F.col("method"))
-    x = w.bouts.where("method IS NOT NULL").select("method", F.when(F.col("bout_id") % 2 == 0, F.lower("method")).otherwise(spelled).alias("spelled"))
-    return x.groupBy("method", method_of(F.col("spelled")).alias("read")).agg(F.count("*").alias("n"))
-
-
-def country_key(name: Column) -> Column:
-    """FN10: a country's canonical key: letters in lower case, with two long names shortened."""
-    key = F.regexp_replace(F.lower(name), "[^a-z]", "")
-    return F.when(key == "unitedkingdom", "uk").when(key == "unitedstates", "us").otherwise(key)
-
-
-def countries(w: League) -> DataFrame:
-    return w.raw("nation").select("n_nationkey", country_key(F.col("n_name")).alias("key"))
-
-
 def day_functions(w: League) -> DataFrame:
     """FN12: day of the year as text, the day a week on, months since, and whether a text is a real day."""
     day = F.concat(F.year("date").cast("string"), F.lit("-02-"), F.lpad((28 + F.col("event_id") % 3).cast("string"), 2, "0"))
@@ -49,8 +20,8 @@ def day_functions(w: League) -> DataFrame:
 
 
 def hashes(w: League) -> DataFrame:
-    """FN14: digests of names as fingerprints."""
-    return w.fighters.select("boxer_id", F.substring(F.sha1("name"), 1, 12).alias("sha1"), F.substring(F.sha2("name", 256), 1, 16).alias("sha256"), F.md5("name").alias("md5"))
+    """FN14: digests of names as fingerprints, and their FNV-1a."""
+    return w.fighters.select("boxer_id", fnv1a(F.col("name")).alias("fnv"), F.substring(F.sha1("name"), 1, 12).alias("sha1"), F.substring(F.sha2("name", 256), 1, 16).alias("sha256"), F.md5("name").alias("md5"))
 
 
 def money_text(c: Column) -> Column:
@@ -77,29 +48,36 @@ def folded_names(w: League) -> DataFrame:
     return w.raw("documents").select("doc_id", F.md5(F.regexp_replace(t, "[^a-z ]", "")).alias("folded"))
 
 
-def duplicate_profiles(w: League) -> DataFrame:
-    """LNK01: profiles of the same name key, birth year and division; the one with most bouts is kept.
+def duplicate_profiles(profiles: DataFrame, least: int = 3) -> DataFrame:
+    """LNK01: profiles (``boxer_id``, ``name``, ``birth_year``, ``bouts``) of one folded name and birth year and ``least`` bouts or more; the busiest is kept.
 
-    Names are cut so that some fall together.
+    Profiles without a birth year are left alone.
     """
-    c = w.careers.where("birth_year IS NOT NULL").select("boxer_id", F.concat(F.lit("n"), (F.col("boxer_id") % 40).cast("string")).alias("key"), "birth_year", "division", "bouts")
-    x = c.groupBy("key", "birth_year", "division").agg(F.count("*").alias("n"), F.max_by("boxer_id", F.struct("bouts", F.negative("boxer_id"))).alias("keep_id"))
-    return x.where("n > 1")
+    key = F.regexp_replace(F.translate(F.lower("name"), ACCENTED, PLAIN), "[^a-z0-9]+", "")
+    x = profiles.where(F.col("birth_year").isNotNull() & (F.col("bouts") >= least)).groupBy(key.alias("key"), "birth_year")
+    return x.agg(F.count("*").alias("n"), F.max_by("boxer_id", F.struct("bouts", F.negative("boxer_id"))).alias("keep_id")).where("n > 1")
 
 
-def three_pass_linkage(w: League) -> DataFrame:
-    """LNK04: suppliers linked to customers: by exact key for some, then name key and nation where unique on both sides, then by nation alone where unique.
+def three_pass_linkage(left: DataFrame, right: DataFrame) -> DataFrame:
+    """LNK04: ``left`` rows linked to ``right`` rows (both: ``id``, ``external_id``, ``name``, ``year``, ``nation``).
 
-    What a pass has claimed on either side is out of the next.
+    By external id; then by name and year where unique on both sides; then by name where unique on both sides and the
+    nation agrees.  What a pass has claimed on either side is out of the next.
     """
-    s = w.raw("supplier").select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 7).alias("name"))
-    c = w.raw("customer").where("c_custkey < 300").select(F.col("c_custkey").alias("c"), F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 7).alias("name"))
-    first = s.where("s % 10 = 0").join(c, s["s"] == c["c"]).select("s", "c", F.lit(1).alias("pass"))
-    found = first
-    for number, keys in ((2, ["name", "nation"]), (3, ["nation"])):
-        left, right = s.join(found, "s", "left_anti"), c.join(found, "c", "left_anti")
-        one = lambda df, k, v: df.groupBy(*k).agg(F.count("*").alias("n"), F.min(v).alias(v)).where("n = 1").drop("n")
-        found = found.unionByName(one(left, keys, "s").join(one(right, keys, "c"), keys).select("s", "c", F.lit(number).alias("pass")))
+    sides = {"l": left, "r": right}
+    rows = {s: df.select(F.col("id").alias(s), "external_id", F.regexp_replace(F.translate(F.lower("name"), ACCENTED, PLAIN), "[^a-z0-9]+", "").alias("name"), "year", "nation") for s, df in sides.items()}
+    found = None
+    for number, keys, agree in ((1, ["external_id"], []), (2, ["name", "year"], []), (3, ["name"], ["nation"])):
+        unique = []
+        for s, df in rows.items():
+            open_ = df if found is None else df.join(found, s, "left_anti")
+            kept = open_.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("n"), F.min(s).alias(s), *[F.min(c).alias(f"{c}_{s}") for c in agree])
+            unique.append(kept.where("n = 1").drop("n"))
+        hits = unique[0].join(unique[1], keys)
+        for c in agree:
+            hits = hits.where(F.col(f"{c}_l") == F.col(f"{c}_r"))
+        hits = written(hits.select("l", "r", F.lit(number).alias("pass")), "linkage")
+        found = hits if found is None else found.unionByName(hits)
     return found
 
 
@@ -111,16 +89,19 @@ def venue_spellings(w: League) -> DataFrame:
     return x.withColumn("r", F.row_number().over(own)).where("r = 1").select("country", "key", F.col("spelling").alias("chosen"))
 
 
-def claims(w: League) -> DataFrame:
-    """JOIN13, LNK10: claims of a day and a fighter held against bouts within a day of it; only a single hit counts.
+def checked_claims(claims: DataFrame, bouts: DataFrame) -> DataFrame:
+    """JOIN13, LNK10: claims (``claim_id``, ``day``, ``name``, ``claimed``, ``distance``) held against bouts (``bout_id``, ``date``, ``name``, ``method``, ``rounds``).
 
-    A claim is every fiftieth bout, its day moved by up to a day.
+    A claim meets bouts of the same name within a day of its own; only a single hit counts, and for decisions the
+    scheduled distance must agree.  Claims without a hit are open.
     """
-    c = w.decided.where("bout_id % 50 = 1").select(F.col("bout_id").alias("claim_id"), F.date_add("date", (F.col("bout_id") % 3 - 1).cast("int")).alias("day"), "red_id", F.col("method").alias("claimed"))
-    days = c.withColumn("date", F.explode(F.array(F.date_sub("day", 1), F.col("day"), F.date_add("day", 1))))
-    hits = days.join(w.decided.select("bout_id", "date", "red_id", "method"), ["date", "red_id"]).groupBy("claim_id", "claimed").agg(F.count("*").alias("hits"), F.min("bout_id").alias("bout_id"), F.min("method").alias("method"))
-    verdict = F.when(F.col("hits") != 1, "ambiguous").when(F.col("claimed") == F.col("method"), "agrees").otherwise("conflict")
-    return hits.select("claim_id", F.when(F.col("hits") == 1, F.col("bout_id")).alias("bout_id"), verdict.alias("verdict"))
+    days = claims.withColumn("date", F.explode(F.array(F.date_sub("day", 1), F.col("day"), F.date_add("day", 1))))
+    hits = days.join(bouts, ["date", "name"]).groupBy("claim_id").agg(F.count("*").alias("hits"), F.min("bout_id").alias("bout_id"), F.min("method").alias("method"), F.min("rounds").alias("rounds"))
+    x = claims.join(hits, "claim_id", "left")
+    apart = F.col("claimed").isin("UD", "MD", "SD") & (F.col("rounds") != F.col("distance"))
+    verdict = F.when(F.col("hits").isNull(), "no bout").when(F.col("hits") > 1, "ambiguous").when(apart, "other distance")
+    verdict = verdict.when(F.col("method").isNull(), "only source").when(F.col("claimed") == F.col("method"), "agrees").otherwise("conflict")
+    return x.select("claim_id", F.when(F.col("hits") == 1, F.col("bout_id")).alias("bout_id"), verdict.alias("verdict"))
 
 
 def agreement(w: League) -> DataFrame:
@@ -174,15 +155,30 @@ def picks_in_time(w: League) -> DataFrame:
     return e.join(c, "card").groupBy((F.to_date("ts") < F.col("date")).alias("in_time")).agg(F.count("*").alias("n"))
 
 
-def post_limits(w: League, most: int = 3) -> DataFrame:
-    """STR11: users and ten-minute windows with more events than ``most``."""
-    x = w.raw("events").groupBy("user_id", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n")).where(F.col("n") > most)
-    return x.select("user_id", F.col("w.start").alias("start"), "n")
+def post_limits(posts: DataFrame, who: str, most: int, window: str) -> DataFrame:
+    """STR11: more than ``most`` posts of one user or address in a window of time (batch: aligned windows)."""
+    x = posts.groupBy(who, F.window("ts", window).alias("w")).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    return x.select(F.col(who).cast("string").alias("who"), F.col("w.start").alias("start"), "n")
+
 
+def post_limits_of(w: League) -> DataFrame:
+    """STR11: all three limits: a user's ten minutes, an address's ten minutes, a new account's (its first day) posts of a day."""
+    e = w.raw("events").select("event_id", "user_id", "ts", F.pmod("event_id", F.lit(7)).alias("address"))
+    first = e.groupBy("user_id").agg(F.min("ts").alias("since"))
+    new = e.join(first, "user_id").where(F.col("ts") < F.col("since") + F.expr("INTERVAL 1 DAY"))
+    limits = [("user", post_limits(e, "user_id", 1, "10 minutes")), ("address", post_limits(e, "address", 3, "10 minutes")), ("new account", post_limits(new, "user_id", 2, "1 day"))]
+    return reduce(DataFrame.unionByName, [x.select(F.lit(kind).alias("limit"), "who", "start", "n") for kind, x in limits])
 
-def reporters(w: League, least: int = 6) -> DataFrame:
-    """STR12: days and kinds of event with ``least`` distinct users or more."""
-    return w.raw("events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.countDistinct("user_id").alias("users")).where(F.col("users") >= least)
+
+def reporters(reports: DataFrame, least: int = 6, days: int = 7, posts: int = 3) -> DataFrame:
+    """STR12: subjects that ``least`` different people report whose first post is ``days`` old and who have ``posts`` or more by then.
+
+    ``reports``: ``subject``, ``user_id``, ``ts``; a report is a post of its author too.
+    """
+    own = Window.partitionBy("user_id").orderBy("ts")
+    x = reports.withColumn("since", F.first("ts").over(own)).withColumn("before", F.row_number().over(own) - 1)
+    old = (F.col("ts") >= F.col("since") + F.expr(f"INTERVAL {days} DAYS")) & (F.col("before") >= posts)
+    return x.where(old).groupBy("subject").agg(F.countDistinct("user_id").alias("users")).where(F.col("users") >= least)
 
 
 def part_keys(w: League) -> DataFrame:

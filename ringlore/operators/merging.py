@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import count_if
 from ..plans.league import League
 from ..storage import written
+from .graph import connected_components
 
 FIELDS = ["method", "winner_id", "end_round", "round_time"]
 
@@ -123,10 +124,16 @@ def card_conflicts(w: League) -> DataFrame:
     return c.where(~ok.when(F.col("method") == "SD", (F.col("with_winner") == 2) & (F.col("against") == 1)).when(F.col("method") == "TD", F.col("with_winner") >= 2).otherwise(True))
 
 
-def reconciliation(w: League) -> DataFrame:
-    """DQ08: what is held of a fighter's record against a supplier's totals: complete, partial, conflict."""
+def supplier_totals(w: League) -> DataFrame:
+    """A supplier's wins of each fighter: as held, but for men of two classes, of whom some are short and some have more."""
     k = F.col("boxer_id")
-    x = w.careers.select("boxer_id", "wins", "losses", "draws", (F.col("wins") + F.when(k % 41 == 0, -1).when(k % 5 == 0, k % 3).otherwise(0)).alias("sup_wins"))
+    off = F.when(k % 41 == 0, -1).when(k % 5 == 0, k % 3).otherwise(0)
+    return w.careers.select("boxer_id", (F.col("wins") + F.when((F.col("sex") == "male") & F.col("division").isin("BUILDING", "MACHINERY"), off).otherwise(0)).alias("sup_wins"))
+
+
+def reconciliation(w: League, totals: DataFrame | None = None) -> DataFrame:
+    """DQ08: what is held of a fighter's record against a supplier's totals: complete, partial, conflict."""
+    x = w.careers.select("boxer_id", "wins", "losses", "draws").join(supplier_totals(w) if totals is None else totals, "boxer_id")
     return x.withColumn("verdict", F.when(F.col("wins") == F.col("sup_wins"), "complete").when(F.col("wins") < F.col("sup_wins"), "partial").otherwise("conflict"))
 
 
@@ -147,18 +154,9 @@ def coherent_core(w: League) -> DataFrame:
 
 
 def components(w: League) -> DataFrame:
-    """DQ13: fighters by the smallest id that bouts link them to: labels fall along edges, then along labels, until they rest."""
-    edges = written(w.counted.select("boxer_id", "opp_id").distinct(), "edges")
-    label = written(edges.select("boxer_id").distinct().withColumn("label", F.col("boxer_id")), "labels")
-    state: tuple | None = None
-    while True:
-        near = edges.join(label.withColumnRenamed("boxer_id", "opp_id"), "opp_id").groupBy("boxer_id").agg(F.min("label").alias("near"))
-        step = label.join(near, "boxer_id", "left").select("boxer_id", F.least("label", F.coalesce("near", "label")).alias("label"))
-        label = written(step, "labels")
-        now = tuple(label.agg(F.sum("label"), F.count("*")).first())
-        if now == state:
-            return label
-        state = now
+    """DQ13: fighters by the smallest id that bouts link them to."""
+    found = connected_components(w.counted.select(F.col("boxer_id").alias("u"), F.col("opp_id").alias("v")))
+    return found.select(F.col("node").alias("boxer_id"), F.col("root").alias("label"))
 
 
 def stratified_sample(w: League, n: int = 10, seed: int = 7) -> DataFrame:

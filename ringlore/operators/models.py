@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import clamp, count_if, expected, half_up, is_decision, is_stoppage, weighted_parts
+from ..functions.columns import clamp, count_if, counts, expected, half_up, is_decision, is_stoppage, weighted_parts
 from ..plans.league import League
 from .aggregates import punch_totals
 from .careers import ORDER, running_record
+from .graph import connected_components
 
 # Weights of the win model's terms, of the fight score's parts, and limits.
 WIN_WEIGHTS = {"rating": np.log(10) / 400, "reach": 0.016, "age": 0.03, "idle": 0.01, "power": 0.2, "chin": 0.2}
@@ -17,27 +21,43 @@ DRAW_SHARE, LEAST_CHANCE, MOST_REACH = 0.03, 0.04, 12.0
 SCORE_WEIGHTS = {"knockdowns": 0.17, "finish": 0.20, "action": 0.20, "matchup": 0.16, "upset": 0.09, "stakes": 0.08, "comeback": 0.10}
 
 
-def elo(w: League, k: float = 24.0, start: float = 1500.0, bonus: float = 1.15) -> DataFrame:
-    """MDL01: ratings before and after each counted bout by replay in order of date.
+def elo_ratings(w: League, k: float = 24.0, start: float = 1500.0, bonus: float = 1.15) -> DataFrame:
+    """MDL01: ratings before each bout and what it changes, by replay in order of date; a bout that doesn't count changes nothing.
 
-    A rating depends on all bouts before it of all fighters that are linked by bouts.  Bouts never cross a division
-    and sex, so each of these pools is replayed on its own; a pool's rows are narrow (five numbers a bout).
+    A rating depends on all bouts before it of all fighters that are linked by bouts, whatever their class.  So bouts
+    are dealt by connected component and stream through their task in order of date; a task holds one batch of narrow
+    rows and the ratings of one component.  A component of very many bouts is one task's work, as replay is sequential.
     """
+    links = connected_components(w.bouts.select(F.col("red_id").alias("u"), F.col("blue_id").alias("v")))
 
-    def replay(bouts):  # noqa: ANN001, ANN202
-        bouts = bouts.sort_values(["date", "bout_id"])
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rating: dict[int, float] = {}
-        pre_red, pre_blue, change = [], [], []
-        for r, b, s, stop in zip(bouts.red_id, bouts.blue_id, bouts.score, bouts.stopped):
-            x, y = rating.get(r, start), rating.get(b, start)
-            d = k * (bonus if stop else 1.0) * (s - 1 / (1 + 10 ** ((y - x) / 400)))
-            rating[r], rating[b] = x + d, y - d
-            pre_red.append(x), pre_blue.append(y), change.append(d)
-        return bouts.assign(pre_red=pre_red, pre_blue=pre_blue, change=change)[["bout_id", "red_id", "blue_id", "pre_red", "pre_blue", "change"]]
-
-    score = F.when(F.col("winner_id").isNull(), 0.5).when(F.col("winner_id") == F.col("red_id"), 1.0).otherwise(0.0)
-    rows = w.decided.select("division", "sex", "bout_id", "date", "red_id", "blue_id", score.alias("score"), is_stoppage(F.col("method")).alias("stopped"))
-    return rows.groupBy("division", "sex").applyInPandas(replay, "bout_id long, red_id long, blue_id long, pre_red double, pre_blue double, change double")
+        component = None
+        for batch in batches:
+            x = batch.to_pydict()
+            pre_red, pre_blue, change = [], [], []
+            for c, r, b, s, stop in zip(x["component"], x["red_id"], x["blue_id"], x["score"], x["stopped"]):
+                if c != component:
+                    component = c
+                    rating.clear()
+                p, q = rating.get(r, start), rating.get(b, start)
+                d = 0.0 if s is None else k * (bonus if stop else 1.0) * (s - 1 / (1 + 10 ** ((q - p) / 400)))
+                rating[r], rating[b] = p + d, q - d
+                pre_red.append(p), pre_blue.append(q), change.append(d)
+            columns = [batch.column("bout_id"), *[pa.array(v, pa.float64()) for v in (pre_red, pre_blue, change, [-d for d in change])]]
+            yield pa.record_batch(columns, names=["bout_id", "red_pre", "blue_pre", "red_change", "blue_change"])
+
+    score = F.when(~counts(F.col("method")), None).when(F.col("winner_id").isNull(), 0.5).when(F.col("winner_id") == F.col("red_id"), 1.0).otherwise(0.0)
+    rows = w.bouts.select("bout_id", "date", "red_id", "blue_id", score.alias("score"), is_stoppage(F.col("method")).alias("stopped"))
+    rows = rows.join(links.select(F.col("node").alias("red_id"), F.col("root").alias("component")), "red_id")
+    dealt = rows.repartition("component").sortWithinPartitions("component", *ORDER)
+    return dealt.mapInArrow(replay, "bout_id long, red_pre double, blue_pre double, red_change double, blue_change double")
+
+
+def elo(w: League) -> DataFrame:
+    """MDL01: Elo of the bouts that count."""
+    x = w.decided.select("bout_id", "red_id", "blue_id").join(elo_ratings(w), "bout_id")
+    return x.select("bout_id", "red_id", "blue_id", F.col("red_pre").alias("pre_red"), F.col("blue_pre").alias("pre_blue"), F.col("red_change").alias("change"))
 
 
 def win_terms(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
@@ -60,21 +80,44 @@ def sigmoid(z: Column) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def predictions(w: League) -> DataFrame:
-    """MDL02, MDL03, MDL04: chances of each upcoming bout, the rating's shift, and the chance of an early end."""
-    c = w.careers
+FEATURES = ["rating", "reach", "age", "idle", "ko_rate", "ko_loss_rate"]
+
+
+def upcoming_pairs(w: League) -> DataFrame:
+    """MDL05: upcoming bouts with what the win model asks of both corners today."""
     idle = F.coalesce(F.datediff(F.lit(w.as_of), "last_fight") / 30.4, F.lit(24.0))
     loss_rate = F.when(F.col("bouts") > 0, F.col("ko_losses") / F.col("bouts")).otherwise(0.0)
-    f = c.select("boxer_id", "rating", F.col("reach_cm").cast("double").alias("reach"), F.col("age").cast("double").alias("age"), idle.alias("idle"), "ko_rate", loss_rate.alias("ko_loss_rate"))
-    names = [n for n in f.columns if n != "boxer_id"]
-    side = lambda s: f.select(F.col("boxer_id").alias(f"{s}_id"), *[F.col(n).alias(f"{s}_{n}") for n in names])
-    x = w.bouts.where("upcoming").select("bout_id", "red_id", "blue_id").join(side("red"), "red_id").join(side("blue"), "blue_id")
-    a, b = ({n: F.col(f"{s}_{n}") for n in names} for s in ("red", "blue"))
+    f = w.careers.select("boxer_id", "rating", F.col("reach_cm").cast("double").alias("reach"), F.col("age").cast("double").alias("age"), idle.alias("idle"), "ko_rate", loss_rate.alias("ko_loss_rate"))
+    side = lambda s: f.select(F.col("boxer_id").alias(f"{s}_id"), *[F.col(n).alias(f"{s}_{n}") for n in FEATURES])
+    return w.bouts.where("upcoming").select("bout_id", "red_id", "blue_id").join(side("red"), "red_id").join(side("blue"), "blue_id")
+
+
+def corners() -> tuple[dict[str, Column], dict[str, Column]]:
+    return tuple({n: F.col(f"{s}_{n}") for n in FEATURES} for s in ("red", "blue"))
+
+
+def decisive_chance(z: Column) -> Column:
+    return clamp(sigmoid(z), LEAST_CHANCE, 1 - LEAST_CHANCE)
+
+
+def predictions(w: League) -> DataFrame:
+    """MDL02, MDL03, MDL04: chances of each upcoming bout, the rating's shift, and the chance of an early end."""
+    a, b = corners()
     terms = win_terms(a, b)
     z = sum(terms.values(), F.lit(0.0))
-    decisive = clamp(sigmoid(z), LEAST_CHANCE, 1 - LEAST_CHANCE)
+    decisive = decisive_chance(z)
     stop = clamp(0.22 + 0.35 * (a["ko_rate"] + b["ko_rate"]) + 0.2 * (a["ko_loss_rate"] + b["ko_loss_rate"]), 0.1, 0.85)
-    return x.select("bout_id", "red_id", "blue_id", (decisive * (1 - DRAW_SHARE)).alias("p_red"), ((1 - decisive) * (1 - DRAW_SHARE)).alias("p_blue"), (sigmoid(z) - sigmoid(z - terms["rating"])).alias("rating_shift"), stop.alias("p_stop"))
+    return upcoming_pairs(w).select("bout_id", "red_id", "blue_id", (decisive * (1 - DRAW_SHARE)).alias("p_red"), ((1 - decisive) * (1 - DRAW_SHARE)).alias("p_blue"), (sigmoid(z) - sigmoid(z - terms["rating"])).alias("rating_shift"), stop.alias("p_stop"))
+
+
+def prediction_factors(w: League, least: float = 0.004) -> DataFrame:
+    """MDL06, MDL03: what moves the chance of each upcoming bout and by how much; rating always, others beyond ``least``; and how sure the call is."""
+    terms = win_terms(*corners())
+    z = sum(terms.values(), F.lit(0.0))
+    shifts = F.array(*[F.struct(F.lit(n).alias("factor"), (sigmoid(z) - sigmoid(z - t)).alias("shift")) for n, t in terms.items()])
+    said = F.filter(shifts, lambda s: (s["factor"] == "rating") | (F.abs(s["shift"]) > least))
+    gap = F.abs(2 * decisive_chance(z) - 1) * (1 - DRAW_SHARE)
+    return upcoming_pairs(w).select("bout_id", confidence(gap).alias("confidence"), F.explode(said).alias("f")).select("bout_id", "confidence", "f.*")
 
 
 def upset_watch(w: League, n: int = 50) -> DataFrame:
@@ -113,7 +156,7 @@ def calibration(w: League) -> DataFrame:
     return calls(w).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.avg("chance").alias("expected"), F.avg(F.col("right").cast("double")).alias("actual"))
 
 
-def fight_scores(w: League) -> DataFrame:
+def score_parts(w: League) -> DataFrame:
     """MDL22: 0 to 100 for each eligible bout, from seven parts; parts that are unknown are left out and the rest scaled up."""
     b = w.decided.where("method <> 'DQ' AND rounds >= 6")
     pre = w.counted.where("side = 'red'").select("bout_id", F.col("pre").alias("ra"), F.col("opp_pre").alias("rb"))
@@ -143,7 +186,34 @@ def fight_scores(w: League) -> DataFrame:
         "comeback": F.when(decided, clamp(F.when(red_won, F.col("kd_red")).otherwise(F.col("kd_blue")) / 2)).otherwise(0.0),
     }
     total, weight = weighted_parts([(SCORE_WEIGHTS[n], c) for n, c in parts.items()])
-    return x.select("bout_id", "date", "division", half_up(F.round(100 * total / weight, 9)).alias("score"), F.round(weight, 9).alias("coverage"))
+    known = F.struct(*[c.cast("double").alias(n) for n, c in parts.items()]).alias("parts")
+    return x.select("bout_id", "date", "division", half_up(F.round(100 * total / weight, 9)).alias("score"), F.round(weight, 9).alias("coverage"), known)
+
+
+def fight_scores(w: League) -> DataFrame:
+    return w.scores.drop("parts")
+
+
+def score_reasons(w: League, least: float = 0.45, most: int = 4) -> DataFrame:
+    """MDL23: the parts that speak for a score, ``least`` or more of what they can be, by weight, the heaviest first."""
+    each = F.array(*[F.struct((-F.lit(v) * F.col(f"parts.{n}")).alias("order"), F.lit(n).alias("part"), F.col(f"parts.{n}").alias("value")) for n, v in SCORE_WEIGHTS.items()])
+    best = F.slice(F.array_sort(F.filter(each, lambda p: p["value"] >= least)), 1, most)
+    return w.scores.select("bout_id", "score", F.array_join(F.transform(best, lambda p: p["part"]), ",").alias("reasons")).where("reasons <> ''")
+
+
+def score_tier(score: Column) -> Column:
+    """PRJ04: a word for a fight score."""
+    return F.when(score >= 70, "classic").when(score >= 55, "great").when(score >= 40, "good").when(score >= 25, "solid").otherwise("routine")
+
+
+def confidence(gap: Column) -> Column:
+    """PRJ04: a word for the difference of two chances."""
+    return F.when(gap < 0.12, "Toss-up").when(gap < 0.3, "Lean").when(gap < 0.55, "Clear favourite").otherwise("Heavy favourite")
+
+
+def score_tiers(w: League) -> DataFrame:
+    """PRJ04: fights and mean score by year and tier."""
+    return w.scores.groupBy(F.year("date").alias("year"), score_tier(F.col("score")).alias("tier")).agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"))
 
 
 def fights_of_the_year(w: League, n: int = 10) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +47,7 @@ def accumulators(w: League, quality: float = 1540) -> DataFrame:
         F.max("post").alias("peak"), F.max_by("date", first_peak).alias("peak_date"), F.sum(F.when(win & (F.col("opp_pre") >= quality), 1).otherwise(0)).cast("long").alias("quality_wins"),
         F.sum(F.when(win & F.col("title").isNotNull(), 1).otherwise(0)).cast("long").alias("title_wins"),
     )
-    r = w.reigns.groupBy(F.col("champion_id").alias("boxer_id")).agg(F.sum("defences").cast("long").alias("defences"), F.sum("days").cast("long").alias("reign_days"), F.countDistinct("division").alias("divisions"))
+    r = w.reigns.groupBy(F.col("champion_id").alias("boxer_id")).agg(F.sum("defences").cast("long").alias("defences"), F.sum("counted_days").cast("long").alias("reign_days"), F.countDistinct("division").alias("divisions"))
     out = x.join(r, "boxer_id", "left").join(longest_run(w, "W", draws_break=False), "boxer_id", "left").withColumnRenamed("longest", "win_streak")
     return out.fillna(0, ["defences", "reign_days", "divisions", "win_streak"])
 
@@ -62,7 +64,7 @@ def record_list(w: League, which: str, n: int = 25, sex: str | None = None, divi
     c = scope(w.careers).select("boxer_id", "name", "wins", "kos", "bouts", "rating")
     if which in ("longest-reign", "reign-defences"):
         value = "days" if which == "longest-reign" else "defences"
-        r = scope(w.reigns.withColumnRenamed("champion_id", "boxer_id")).join(w.fighters.select("boxer_id", "name"), "boxer_id")
+        r = scope(w.reigns.withColumnRenamed("champion_id", "boxer_id").withColumn("days", F.col("counted_days"))).join(w.fighters.select("boxer_id", "name"), "boxer_id")
         return top(r.where(F.col(value) > 0).select("boxer_id", "name", *BELT, "reign_no", F.col(value).alias("value"), "days"), n, "value", F.desc("days"), "name", "title_org", "title", "division", "sex", "reign_no").drop("days")
     if which in ("wins", "kos"):
         return top(c.where(F.col(which) > 0).select("boxer_id", "name", F.col(which).alias("value")), n, "value", "name")
@@ -78,6 +80,15 @@ def record_list(w: League, which: str, n: int = 25, sex: str | None = None, divi
     return top(a.where(F.col(column) > least).select("boxer_id", "name", half_up(F.col(column)).alias("value")), n, "value", "name")
 
 
+FIGHTER_LISTS = ("greatest", "peak", "wins", "kos", "ko-rate", "win-streak", "quality-wins", "title-wins", "defences", "divisions", "longest-reign", "reign-defences")
+
+
+def records_of(w: League, n: int = 10) -> DataFrame:
+    """REC17: the places of fighters in the lists of fighters and reigns, the first ``n`` of each; a fighter's best place in a list."""
+    lists = [record_list(w, which, n).select("boxer_id", F.lit(which).alias("list"), "rank") for which in FIGHTER_LISTS]
+    return reduce(DataFrame.unionByName, lists).groupBy("boxer_id", "list").agg(F.min("rank").alias("rank"))
+
+
 def fastest_finishes(w: League, n: int = 25) -> DataFrame:
     """REC15: stoppages whose clock is known, shortest first, then earliest."""
     x = w.bouts.where(is_stoppage(F.col("method")) & F.col("round_time").rlike(r"^\d+:\d{2}$") & F.col("end_round").isNotNull())

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.league import League
+from .canon import in_country
 
 
 @dataclasses.dataclass(frozen=True)
@@ -31,14 +32,21 @@ class Filters:
     missed_weight: bool = False
     champion: str | None = None
     trainer_id: int | None = None
+    trainer_name: str | None = None
+    team_now: bool = False
+    gym_nation: str | None = None
+    new_trainer_since: str | None = None
+    record: str | None = None
 
     def columns(self) -> list[Column]:
-        out = [F.col(n) == v for n in ("division", "sex", "stance", "country", "active", "archetype") if (v := getattr(self, n)) is not None]
+        out = [F.col(n) == v for n in ("division", "sex", "stance", "active", "archetype") if (v := getattr(self, n)) is not None]
+        out += [in_country(F.col("country"), self.country)] if self.country else []
+        out += [{"winning": F.col("wins") > F.col("losses"), "losing": F.col("wins") < F.col("losses")}[self.record]] if self.record else []
         out += [(F.col("losses") == 0) & (F.col("bouts") > 0)] * self.undefeated
         out += [F.lower("name").contains(self.text.lower())] if self.text else []
         out += [(F.col("streak_type") == "W") & (F.col("streak") >= self.win_streak)] if self.win_streak else []
         # a rating is compared as it is shown, rounded
-        shown = {"rating": F.floor(F.col("rating") + 0.5)}
+        shown = {"rating": F.floor(F.col("rating") + 0.5), "debut_year": F.year("debut")}
         out += [shown.get(n, F.col(n)) >= v for n, v in self.least.items()] + [shown.get(n, F.col(n)) <= v for n, v in self.most.items()]
         out += [F.col("last_fight") >= F.lit(self.fought_since).cast("date")] if self.fought_since else []
         return out + ([F.col("last_fight") <= F.lit(self.fought_until).cast("date")] if self.fought_until else [])
@@ -51,8 +59,21 @@ def search(w: League, f: Filters) -> DataFrame:
         x = x.join(w.weigh_ins.where("made = false"), "boxer_id", "left_semi")
     if f.champion:
         x = x.join(champions(w, f.champion), "boxer_id", "left_semi")
+    team = w.stints.where("end IS NULL") if f.team_now else w.stints
     if f.trainer_id is not None:
-        x = x.join(w.stints.where(F.col("person_id") == f.trainer_id), "boxer_id", "left_semi")
+        x = x.join(team.where(F.col("person_id") == f.trainer_id), "boxer_id", "left_semi")
+    if f.trainer_name:
+        named = w.raw("supplier").where(F.lower("s_name").contains(f.trainer_name.lower())).select(F.col("s_suppkey").alias("person_id"))
+        x = x.join(team.join(named, "person_id", "left_semi"), "boxer_id", "left_semi")
+    if f.gym_nation:
+        n = w.raw("nation").where(F.lower("n_name").contains(f.gym_nation.lower()))
+        gym = w.raw("supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("person_id"))
+        x = x.join(team.join(gym, "person_id", "left_semi"), "boxer_id", "left_semi")
+    if f.new_trainer_since:
+        own = Window.partitionBy("boxer_id").orderBy("start")
+        moved = w.stints.withColumn("before", F.lag("person_id").over(own)).where(F.col("before") != F.col("person_id"))
+        recent = (F.col("start") >= F.lit(f.new_trainer_since).cast("date")) & (F.col("start") <= F.lit(w.as_of))
+        x = x.join(moved.where(recent), "boxer_id", "left_semi")
     return x
 
 
@@ -103,11 +124,11 @@ def word_index(w: League) -> DataFrame:
     return x.select("p_partkey", F.explode(F.array_distinct(F.concat("w", pairs))).alias("word")).groupBy("word").agg(F.countDistinct("p_partkey").alias("names"))
 
 
-def unique_names(w: League) -> DataFrame:
-    """SRCH05: words of part names that belong to one name alone."""
-    words = F.filter(F.split(F.lower("p_name"), " "), lambda x: x != "")
-    x = w.raw("part").select("p_name", F.explode(words).alias("word")).distinct()
-    return x.groupBy("word").agg(F.count("*").alias("owners"), F.min("p_name").alias("name")).where("owners = 1").select("word", "name")
+def unique_names(names: DataFrame) -> DataFrame:
+    """SRCH05: words of names (``name``) that belong to one name alone."""
+    words = F.filter(F.split(F.lower("name"), r"[\s#\-.,']+"), lambda x: x != "")
+    x = names.select("name", F.explode(words).alias("word")).distinct()
+    return x.groupBy("word").agg(F.count("*").alias("owners"), F.min("name").alias("name")).where("owners = 1").select("word", "name")
 
 
 def osa_distance(a: str, b: str, most: int = 2) -> int:
@@ -148,12 +169,26 @@ def fuzzy_words(w: League, asked: list[str]) -> DataFrame:
     return near.withColumn("distance", distance("word", "asked")).where(F.col("distance") <= F.col("slips")).select("asked", "word", "distance", "n")
 
 
-def names_in_text(w: League) -> DataFrame:
-    """SRCH07: documents that hold a word pair that is a benchmark item's beginning: n-gram lookup by equality."""
-    first = F.concat_ws(" ", F.slice(F.split(F.lower("text"), r"\s+"), 1, 3))
-    names = w.raw("benchmark").select("item_id", first.alias("gram")).groupBy("gram").agg(F.min("item_id").alias("item_id"), F.count("*").alias("owners")).where("owners = 1")
+def _grams(text: str, n: int) -> Column:
+    """All runs of ``n`` words of a text."""
     # bound to a variable, or else the split would be done again for every place
-    of = lambda words: F.when(F.size(words) > 2, F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))))
-    grams = F.transform(F.array(F.split(F.lower("text"), r"\s+")), of)[0]
-    docs = w.raw("documents").select("doc_id", F.explode(grams).alias("gram"))
-    return docs.join(F.broadcast(names.select("gram", "item_id")), "gram").groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("times"))
+    of = lambda words: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.concat_ws(" ", F.slice(words, i + 1, n))))
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
+    return F.coalesce(F.transform(F.array(words), of)[0], F.array().cast("array<string>"))
+
+
+def names_in_text(names: DataFrame, texts: DataFrame, least: int = 2, most: int = 5) -> DataFrame:
+    """SRCH07: texts (``doc_id``, ``text``) that hold names (``name_id``, ``name``) of ``least`` words or more, by equal runs of words.
+
+    A name of up to ``most`` words is one run; of a longer one every run of ``most`` words counts.  A run that several
+    names share counts for each.  Both sides are shuffled by run; neither is broadcast.
+    """
+    words = F.filter(F.split(F.lower("name"), r"\s+"), lambda x: x != "")
+    n = F.least(F.size(words), F.lit(most)).alias("n")
+    rows = names.select("name_id", "name", n).where(F.col("n") >= least)
+    lengths = [r["n"] for r in rows.select("n").distinct().collect()]  # at most `most` numbers
+    runs = [(rows.where(F.col("n") == k).select("name_id", F.explode(_grams("name", k)).alias("gram")), texts.select("doc_id", F.explode(_grams("text", k)).alias("gram"))) for k in lengths]
+    hits = [a.distinct().join(b, "gram") for a, b in runs]
+    if not hits:
+        hits = [rows.select("name_id", F.lit(None).cast("long").alias("doc_id"), "name").limit(0).select(F.col("name").alias("gram"), "name_id", "doc_id")]
+    return reduce(DataFrame.unionByName, hits).groupBy("name_id").agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("times"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..plans.league import League
 
+#: 18 league months without a title bout
+DORMANT_DAYS = 18 * 30.4
 BELT = ["title_org", "title", "division", "sex"]
 
 
@@ -28,7 +30,12 @@ def lineage(w: League) -> DataFrame:
     r = r.withColumn("end", F.lead("start").over(after)).withColumn("next_how", F.lead("how").over(after))
     r = r.withColumn("ended_by", F.when(F.col("next_how") == "vacant", "vacated").when(F.col("next_how") == "won", "lost").when(F.col("next_how") == "inherited", "passed"))
     r = r.withColumn("from_id", F.when(F.col("how") != "inherited", F.col("from_id")))
-    return r.withColumn("days", F.greatest(F.lit(0), F.datediff(F.coalesce("end", F.lit(w.as_of)), "start")).cast("long")).drop("next_how")
+    r = r.withColumn("days", F.greatest(F.lit(0), F.datediff(F.coalesce("end", F.lit(w.as_of)), "start")).cast("long")).drop("next_how")
+    # a reign that still runs on a dormant belt lasts, for records, to the belt's last title bout
+    resting = w.fighters.where("NOT active").select(F.col("boxer_id").alias("champion_id"), F.lit(True).alias("resting"))
+    r = r.join(resting, "champion_id", "left")
+    dormant = F.col("end").isNull() & (F.coalesce("resting", F.lit(False)) | (F.datediff(F.lit(w.as_of), "last_date") > DORMANT_DAYS))
+    return r.withColumn("counted_days", F.when(dormant, F.greatest(F.lit(0), F.datediff("last_date", "start"))).otherwise(F.col("days")).cast("long")).drop("resting")
 
 
 def belts(w: League) -> DataFrame:
@@ -42,5 +49,5 @@ def belts(w: League) -> DataFrame:
         F.max("days").alias("longest_days"), F.max("defences").alias("most_defences"), F.sum("defences").alias("defences"), F.count("*").alias("reigns"),
     )
     b = b.join(w.fighters.select(F.col("boxer_id").alias("holder_id"), F.col("active").alias("holder_active")), "holder_id")
-    old = F.datediff(F.lit(w.as_of), "last_date") > 18 * 30.4
+    old = F.datediff(F.lit(w.as_of), "last_date") > DORMANT_DAYS
     return b.withColumn("dormant", ~F.col("holder_active") | old).drop("holder_active")

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import clamp, count_if, counts, expected, half_up, is_stoppage, share
+from ..functions.columns import clamp, count_if, counts, expected, half_up, share
 from ..plans.league import League
 from .careers import ORDER, running_record
 from .joins import bouts_in_stints, head_trainer, rating_at
@@ -99,17 +99,15 @@ def action_percentile(w: League) -> DataFrame:
 def leaderboard(w: League, least: int = 10) -> DataFrame:
     """MDL30, MDL31, WIN18: users' picks of past bouts graded; 1 + (1 - p) points for a right one; shared places.
 
-    A pick is an event row: bout by its id, corner by its parity.
+    A pick is an event row that is no view: the card of its number, round the number of cards, and there the headline of
+    the decided bouts; the corner by the event's parity.
     """
-    from pyspark.sql import Column
-
-    ev = w.raw("events").where("event_type <> 'view'").select("event_id", "user_id")
-    bout_no = w.decided.where("winner_id IS NOT NULL").select("bout_id", "red_id", "winner_id")
-    keyed = bout_no.withColumn("k", F.pmod(F.col("bout_id"), F.lit(5000)))
-    one = keyed.groupBy("k").agg(F.min(F.struct("bout_id", "red_id", "winner_id")).alias("b")).select("k", "b.*")
+    cards = w.events.count()
+    ev = w.raw("events").where("event_type <> 'view'").select("event_id", "user_id", F.pmod("event_id", F.lit(cards)).alias("card"))
+    b = w.decided.where("winner_id IS NOT NULL").groupBy(F.col("event_id").alias("card")).agg(F.max_by(F.struct("bout_id", "red_id", "winner_id"), F.struct("position", "bout_id")).alias("b")).select("card", "b.*")
     p = w.counted.where("side = 'red'").select("bout_id", expected(F.col("pre"), F.col("opp_pre")).alias("p_red"))
-    x = ev.withColumn("k", F.pmod(F.col("event_id"), F.lit(5000))).join(one, "k").join(p, "bout_id")
-    red: Column = F.col("event_id") % 2 == 0
+    x = ev.join(b, "card").join(p, "bout_id")
+    red = F.col("event_id") % 2 == 0
     right = red == (F.col("winner_id") == F.col("red_id"))
     chance = F.when(red, F.col("p_red")).otherwise(1 - F.col("p_red"))
     t = x.groupBy("user_id").agg(F.count("*").alias("graded"), count_if(right).alias("right"), F.round(F.sum(F.when(right, 2 - chance).otherwise(0.0)), 9).alias("points")).where(F.col("graded") >= least)
@@ -222,14 +220,9 @@ def trainer_ids(w: League) -> DataFrame:
 
 
 def ledger_grades(w: League) -> DataFrame:
-    """MDL29, JOIN12: of the daily snapshots of each bout of 1999 the last one strictly before its day, graded; draws are void."""
-    b = w.bouts.where("year(date) = 1999 AND method IS NOT NULL").select("bout_id", "date", "method", "winner_id", "red_id")
+    """MDL29, JOIN12: of the daily snapshots of each past bout the last one strictly before its day, graded; draws are void."""
+    b = w.bouts.where("method IS NOT NULL").select("bout_id", "date", "method", "winner_id", "red_id")
     snap = b.select("bout_id", "date", F.explode(F.array(*[F.date_sub("date", d) for d in (0, 1, 3)])).alias("locked_on")).withColumn("red_pick", (F.col("bout_id") + F.datediff("date", "locked_on")) % 2 == 0)
     last = snap.where(F.col("locked_on") < F.col("date")).groupBy("bout_id").agg(F.max_by("red_pick", "locked_on").alias("red_pick"))
     state = F.when(F.col("winner_id").isNull() | ~counts(F.col("method")), "void").when(F.col("red_pick") == (F.col("winner_id") == F.col("red_id")), "right").otherwise("wrong")
     return b.join(last, "bout_id").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
-
-
-def stoppage_share_by_rank(w: League) -> DataFrame:
-    """REC17: ranked fighters with the stoppage wins of their careers."""
-    return division_ranking(w).where("rank <= 5").join(w.counted.where((F.col("result") == "W") & is_stoppage(F.col("method"))), ["boxer_id"], "left").groupBy("boxer_id", "rank").agg(F.count("bout_id").alias("stoppage_wins"))

@@ -36,8 +36,9 @@ bouts1 AS (
         4 + 2 * (l_linenumber % 5) AS rounds
     FROM bouts0),
 bouts AS (
-    SELECT b.bout_id, b.event_id, b.date, b.cancelled, b.country, b.venue, b.division, b.sex, r.boxer_id AS red_id, u.boxer_id AS blue_id, method,
-        CASE WHEN method IS NULL OR method IN ('DRAW', 'TDRAW', 'NC') THEN NULL WHEN q <= 28 THEN r.boxer_id ELSE u.boxer_id END AS winner_id, rounds,
+    SELECT b.bout_id, b.event_id, b.date, b.cancelled, b.country, b.venue, b.sex, r.boxer_id AS red_id, u.boxer_id AS blue_id, r.name AS red_name, method,
+        CASE WHEN l_partkey % 7 <> 3 THEN b.division ELSE coalesce(map {'BUILDING': 'AUTOMOBILE', 'AUTOMOBILE': 'MACHINERY', 'MACHINERY': 'FURNITURE', 'FURNITURE': 'HOUSEHOLD'}[b.division], b.division) END AS division,
+        CASE WHEN method IS NULL OR method IN ('DRAW', 'TDRAW', 'NC') THEN NULL WHEN r.boxer_id % 149 = 0 THEN r.boxer_id WHEN u.boxer_id % 149 = 0 THEN u.boxer_id WHEN q <= 28 THEN r.boxer_id ELSE u.boxer_id END AS winner_id, rounds,
         CASE WHEN method IS NULL THEN NULL WHEN method IN ('KO', 'TKO', 'RTD', 'DQ', 'TD', 'TDRAW') THEN CASE WHEN l_partkey % 29 <> 0 THEN 1 + l_suppkey % rounds END
             ELSE rounds END AS end_round,
         CASE WHEN l_partkey % 9 <> 0 THEN (l_suppkey % 3) || ':' || lpad((l_partkey % 60)::VARCHAR, 2, '0') END AS round_time,
@@ -80,11 +81,14 @@ titles1 AS (
 reigns0 AS (
     SELECT title_org, title, division, sex, reign_no, arg_min(winner_id, (date, bout_id)) AS champion_id, min(date) AS start, arg_min(how, (date, bout_id)) AS how,
         count(*) - 1 AS defences, max(date) AS last_date, arg_min(loser_id, (date, bout_id)) AS from0 FROM titles1 GROUP BY ALL),
-reigns AS (
+reigns1 AS (
     SELECT *, CASE WHEN how <> 'inherited' THEN from0 END AS from_id, lead(start) OVER b AS "end",
         CASE lead(how) OVER b WHEN 'vacant' THEN 'vacated' WHEN 'won' THEN 'lost' WHEN 'inherited' THEN 'passed' END AS ended_by,
         greatest(0, datediff('day', start, coalesce(lead(start) OVER b, DATE '2000-06-30'))) AS days
     FROM reigns0 WINDOW b AS (PARTITION BY title_org, title, division, sex ORDER BY reign_no)),
+reigns AS (
+    SELECT r.*, CASE WHEN "end" IS NULL AND (NOT f.active OR datediff('day', last_date, DATE '2000-06-30') > 547) THEN datediff('day', start, last_date) ELSE days END AS counted_days
+    FROM reigns1 r JOIN fighters f ON champion_id = boxer_id),
 stints AS (
     SELECT boxer_id, (boxer_id + i * (1 + boxer_id % 3)) % (SELECT count(*) FROM supplier) AS person_id, make_date(1995 + 2 * i, 1 + boxer_id % 12, 1) AS start,
         CASE WHEN i < 3 THEN make_date(1997 + 2 * i, 1 + boxer_id % 12, 1) END AS "end" FROM fighters, (SELECT unnest([0, 1, 2, 3])::BIGINT AS i)),
@@ -93,7 +97,7 @@ cards0 AS (
     SELECT b.*, seat, 10 * rounds - 2 AS top, 1 + (bout_id + seat) % 5 AS gap,
         CASE WHEN winner_id IS NULL THEN (bout_id + seat) % 2 = 0 ELSE winner_id = red_id END AS r0, method IN ('MD', 'DRAW', 'TDRAW') AND seat = 3 AS even
     FROM bouts b, (SELECT unnest([1, 2, 3])::BIGINT AS seat) WHERE method IN ('UD', 'MD', 'SD', 'TD', 'DRAW', 'TDRAW')),
-cards1 AS (SELECT *, CASE WHEN method = 'SD' AND seat = 3 THEN NOT r0 ELSE r0 END AS red_won FROM cards0),
+cards1 AS (SELECT *, CASE WHEN (method = 'SD' AND seat = 3) OR (bout_id % 101 = 0 AND seat = 2) THEN NOT r0 ELSE r0 END AS red_won FROM cards0),
 cards AS (
     SELECT bout_id, date, method, seat, (supp + seat) % 23 AS judge_id, CASE WHEN even OR red_won THEN top ELSE top - gap END AS red,
         CASE WHEN even OR NOT red_won THEN top ELSE top - gap END AS blue, rounds, winner_id, red_id, blue_id FROM cards1),
@@ -122,7 +126,7 @@ runs AS (
 acc0 AS (
     SELECT boxer_id, max(post) AS peak, arg_max(date, (post, -epoch(date), -bout_id)) AS peak_date, count(*) FILTER (result = 'W' AND opp_pre >= 1540) AS quality_wins,
         count(*) FILTER (result = 'W' AND title IS NOT NULL) AS title_wins FROM won GROUP BY ALL),
-held AS (SELECT champion_id AS boxer_id, sum(defences)::BIGINT AS defences, sum(days)::BIGINT AS reign_days, count(DISTINCT division) AS divisions FROM reigns GROUP BY ALL),
+held AS (SELECT champion_id AS boxer_id, sum(defences)::BIGINT AS defences, sum(counted_days)::BIGINT AS reign_days, count(DISTINCT division) AS divisions FROM reigns GROUP BY ALL),
 acc AS (
     SELECT a.*, coalesce(defences, 0) AS defences, coalesce(reign_days, 0) AS reign_days, coalesce(divisions, 0) AS divisions, coalesce(longest, 0) AS win_streak
     FROM acc0 a LEFT JOIN held USING (boxer_id) LEFT JOIN runs USING (boxer_id))
@@ -217,7 +221,7 @@ _QUERIES = {
     "join16": """SELECT of_id, rank, boxer_id, greatest(0, floor(100 - 38 * d + 0.5))::BIGINT AS match FROM (SELECT *, row_number() OVER (PARTITION BY of_id ORDER BY d, boxer_id) AS rank FROM (
         SELECT a.boxer_id AS of_id, b.boxer_id, round(sqrt((a.ko_rate - b.ko_rate) ** 2 + (a.win_rate - b.win_rate) ** 2 + (coalesce((a.age - 30) / 8, 0) - coalesce((b.age - 30) / 8, 0)) ** 2 + (a.avg_rounds / 12 - b.avg_rounds / 12) ** 2
         + ((coalesce(a.stance, '') = 'Southpaw')::INT - (coalesce(b.stance, '') = 'Southpaw')::INT) ** 2 + ((a.rating - b.rating) / 200) ** 2), 9) AS d
-        FROM careers a JOIN careers b ON a.sex = b.sex AND a.boxer_id <> b.boxer_id WHERE a.bouts >= 5 AND b.bouts >= 5 AND a.boxer_id < 10)) WHERE rank <= 5""",
+        FROM careers a JOIN careers b ON a.sex = b.sex AND a.boxer_id <> b.boxer_id WHERE a.bouts >= 5 AND b.bouts >= 5 AND a.boxer_id % 20 = 0)) WHERE rank <= 5""",
     "join18": "SELECT boxer_id, count(event_id) AS cards, count(*) FILTER (cancelled) AS cancelled FROM fighters LEFT JOIN league_events ON boxer_id = host_id GROUP BY ALL",
     "win01": "SELECT division, sex, boxer_id, rating, rank FROM ranking",
     "win02": """SELECT division, sex, boxer_id, rank, row_number() OVER (PARTITION BY division, sex ORDER BY old DESC, boxer_id) - rank AS moved, rating - old AS rating_change FROM ranking
@@ -250,8 +254,8 @@ _QUERIES = {
     "rec08": _ranked("SELECT boxer_id, name, title_wins AS value FROM careers JOIN acc USING (boxer_id) WHERE title_wins > 0", "value DESC, name"),
     "rec09": _ranked("SELECT boxer_id, name, defences AS value FROM careers JOIN acc USING (boxer_id) WHERE defences > 0", "value DESC, name"),
     "rec10": _ranked("SELECT boxer_id, name, divisions AS value FROM careers JOIN acc USING (boxer_id) WHERE divisions > 1", "value DESC, name"),
-    "rec11": _ranked("SELECT r.*, name, champion_id AS boxer_id, days AS value FROM reigns r JOIN fighters f ON champion_id = f.boxer_id WHERE days > 0", "value DESC, days DESC, name, title_org, title, division, sex, reign_no", "boxer_id, name, title_org, title, division, sex, reign_no::BIGINT AS reign_no, value"),
-    "rec12": _ranked("SELECT r.*, name, champion_id AS boxer_id, defences AS value FROM reigns r JOIN fighters f ON champion_id = f.boxer_id WHERE defences > 0", "value DESC, days DESC, name, title_org, title, division, sex, reign_no", "boxer_id, name, title_org, title, division, sex, reign_no::BIGINT AS reign_no, value"),
+    "rec11": _ranked("SELECT r.* EXCLUDE (days), counted_days AS days, name, champion_id AS boxer_id, counted_days AS value FROM reigns r JOIN fighters f ON champion_id = f.boxer_id WHERE counted_days > 0", "value DESC, days DESC, name, title_org, title, division, sex, reign_no", "boxer_id, name, title_org, title, division, sex, reign_no::BIGINT AS reign_no, value"),
+    "rec12": _ranked("SELECT r.* EXCLUDE (days), counted_days AS days, name, champion_id AS boxer_id, defences AS value FROM reigns r JOIN fighters f ON champion_id = f.boxer_id WHERE defences > 0", "value DESC, days DESC, name, title_org, title, division, sex, reign_no", "boxer_id, name, title_org, title, division, sex, reign_no::BIGINT AS reign_no, value"),
     "rec15": """SELECT bout_id, date, (end_round - 1) * 180 + split_part(round_time, ':', 1)::INT * 60 + split_part(round_time, ':', 2)::INT AS seconds FROM bouts WHERE stopped AND round_time IS NOT NULL AND end_round IS NOT NULL ORDER BY seconds, date, bout_id LIMIT 25""",
     "rec16": "SELECT bout_id, date, kd_red + kd_blue AS knockdowns FROM bouts WHERE method IS NOT NULL AND kd_red + kd_blue >= 2 ORDER BY knockdowns DESC, date DESC, bout_id LIMIT 25",
     "vw08": "SELECT bout_id, boxer_id, opp_id, opp_pre - pre AS gap FROM won WHERE result = 'W' AND pre <> 1500 AND opp_pre <> 1500 AND opp_pre > pre ORDER BY gap DESC, bout_id LIMIT 200",
@@ -319,9 +323,9 @@ _MORE = {
         FROM (SELECT p_partkey, list_filter(regexp_split_to_array(lower(p_name), '[\\s\\-.,'']+'), lambda x: x <> '') AS w FROM part)) GROUP BY ALL""",
     "srch04": """SELECT kind, id, name FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY name, id) AS n FROM (SELECT 'fighter' AS kind, boxer_id AS id, name FROM fighters UNION ALL SELECT 'country', n_nationkey, n_name FROM nation
         UNION ALL SELECT 'trainer', s_suppkey, s_name FROM supplier UNION ALL SELECT 'part', p_partkey, p_name FROM part UNION ALL SELECT 'event', event_id, 'Card ' || event_id FROM league_events) WHERE contains(lower(name), '12')) WHERE n <= 5""",
-    "srch05": "SELECT word, min(p_name) AS name FROM (SELECT DISTINCT p_name, unnest(string_split(lower(p_name), ' ')) AS word FROM part) WHERE word <> '' GROUP BY word HAVING count(*) = 1",
-    "srch07": """SELECT item_id, count(DISTINCT doc_id) AS documents, count(*) AS times FROM (SELECT gram, min(item_id) AS item_id FROM (SELECT item_id, array_to_string(regexp_split_to_array(lower(text), '\\s+')[1:3], ' ') AS gram FROM benchmark) GROUP BY gram HAVING count(*) = 1)
-        JOIN (SELECT doc_id, unnest(list_transform(range(1, greatest(1, len(w) - 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS gram FROM (SELECT doc_id, regexp_split_to_array(lower(text), '\\s+') AS w FROM documents)) USING (gram) GROUP BY item_id""",
+    "srch05": "SELECT word, min(c_name) AS name FROM (SELECT DISTINCT c_name, unnest(list_filter(regexp_split_to_array(lower(c_name), '[ #\\-.,'']+'), lambda x: x <> '')) AS word FROM customer) GROUP BY word HAVING count(*) = 1",
+    "srch07": r"""SELECT name_id, count(DISTINCT doc_id) AS documents, count(*) AS times FROM (SELECT DISTINCT item_id AS name_id, unnest(list_transform(range(1, greatest(1, len(w) - 3)), lambda i: array_to_string(w[i:i + 4], ' '))) AS gram FROM (SELECT item_id, string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ') AS w FROM benchmark))
+        JOIN (SELECT doc_id, unnest(list_transform(range(1, greatest(1, len(w) - 3)), lambda i: array_to_string(w[i:i + 4], ' '))) AS gram FROM (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ') AS w FROM documents)) USING (gram) GROUP BY name_id""",
     "set03": """SELECT DISTINCT champion_id AS boxer_id FROM reigns WHERE champion_id NOT IN (SELECT champion_id FROM reigns WHERE "end" IS NULL)""",
     "mdl02": f"@{_FEATURES} SELECT bout_id, red_id, blue_id, round(p_red, 6) AS p_red, round(0.97 - p_red, 6) AS p_blue, round(1 / (1 + exp(-(t_rating + t_rest))) - 1 / (1 + exp(-t_rest)), 6) AS rating_shift, round(p_stop, 6) AS p_stop FROM chances",
     "mdl20": f"@{_FEATURES} SELECT bout_id, CASE WHEN p_red < 0.97 - p_red THEN red_id ELSE blue_id END AS underdog_id, round(c, 6) AS chance, CASE WHEN c >= 0.4 THEN 'toss-up' WHEN c >= 0.28 THEN 'live' ELSE 'longshot' END AS tier FROM (SELECT *, round(least(p_red, 0.97 - p_red), 9) AS c FROM chances) ORDER BY c DESC, bout_id LIMIT 50",
@@ -362,7 +366,7 @@ _MORE = {
     "dq05": """SELECT boxer_id, person_id, start, next FROM (SELECT boxer_id, person_id, start, CASE WHEN boxer_id % 5 = 0 THEN "end" + 365 ELSE "end" END AS fin, lead(start) OVER (PARTITION BY boxer_id ORDER BY start, person_id) AS next FROM stints) WHERE next < coalesce(fin, DATE '9999-12-31')""",
     "dq06": """SELECT * FROM (SELECT bout_id, method, count(*) FILTER (v = 1) AS with_winner, count(*) FILTER (v = 0) AS even, count(*) FILTER (v = -1) AS against FROM (SELECT *, CASE WHEN red = blue THEN 0 WHEN winner_id IS NULL THEN 0 WHEN (red > blue) = (winner_id = red_id) THEN 1 ELSE -1 END AS v FROM cards) GROUP BY ALL)
         WHERE NOT CASE method WHEN 'UD' THEN with_winner = 3 WHEN 'MD' THEN with_winner = 2 AND even = 1 WHEN 'SD' THEN with_winner = 2 AND against = 1 WHEN 'TD' THEN with_winner >= 2 ELSE true END""",
-    "dq08": "SELECT *, CASE WHEN wins = sup_wins THEN 'complete' WHEN wins < sup_wins THEN 'partial' ELSE 'conflict' END AS verdict FROM (SELECT boxer_id, wins, losses, draws, wins + CASE WHEN boxer_id % 41 = 0 THEN -1 WHEN boxer_id % 5 = 0 THEN boxer_id % 3 ELSE 0 END AS sup_wins FROM careers)",
+    "dq08": "SELECT *, CASE WHEN wins = sup_wins THEN 'complete' WHEN wins < sup_wins THEN 'partial' ELSE 'conflict' END AS verdict FROM (SELECT boxer_id, wins, losses, draws, wins + CASE WHEN sex = 'female' OR division NOT IN ('BUILDING', 'MACHINERY') THEN 0 WHEN boxer_id % 41 = 0 THEN -1 WHEN boxer_id % 5 = 0 THEN boxer_id % 3 ELSE 0 END AS sup_wins FROM careers)",
     "dq16": "SELECT division, sex, boxer_id FROM (SELECT *, row_number() OVER (PARTITION BY division, sex ORDER BY md5('7:' || boxer_id), boxer_id) AS k FROM fighters) WHERE k <= 10",
     "dq19": """SELECT CASE WHEN cancelled THEN 'cancelled' WHEN method IS NULL AND date > DATE '2000-06-30' THEN 'not yet' WHEN method IS NULL THEN 'no method' WHEN winner_id IS NULL AND method NOT IN ('DRAW', 'TDRAW', 'NC') THEN 'decision without winner'
         WHEN end_round > rounds THEN 'rounds raised' WHEN end_round IS NULL THEN 'end unknown' ELSE 'settled' END AS reason, count(*) AS n FROM bouts GROUP BY 1""",
@@ -371,13 +375,27 @@ _MORE = {
         FROM bouts WHERE counted)) GROUP BY a_id, b_id, c HAVING count(*) > 1""",
 }
 
+_LISTS = [
+    ("greatest", """SELECT boxer_id, name, rating, floor(round(100 * (0.30 * least(1, greatest(0, (peak - 1500) / 300)) + 0.25 * least(1, quality_wins / 8) + 0.15 * least(1, reign_days / 2920) + 0.10 * least(1, defences / 15)
+        + 0.10 * least(1, win_streak / 30)) / 0.9, 9) + 0.5)::BIGINT AS value FROM careers JOIN acc USING (boxer_id) WHERE bouts >= 10""", "value DESC, rating DESC, name"),
+    ("peak", "SELECT boxer_id, name, floor(peak + 0.5)::BIGINT AS value FROM careers JOIN acc USING (boxer_id) WHERE bouts > 0", "value DESC, name"),
+    ("wins", "SELECT boxer_id, name, wins AS value FROM careers WHERE wins > 0", "value DESC, name"),
+    ("kos", "SELECT boxer_id, name, kos AS value FROM careers WHERE kos > 0", "value DESC, name"),
+    ("ko-rate", "SELECT boxer_id, name, kos / wins AS value, wins FROM careers WHERE wins >= 15", "value DESC, wins DESC, name"),
+    *[(n, f"SELECT boxer_id, name, {c} AS value FROM careers JOIN acc USING (boxer_id) WHERE {c} > {least}", "value DESC, name")
+      for n, c, least in (("win-streak", "win_streak", 0), ("quality-wins", "quality_wins", 0), ("title-wins", "title_wins", 0), ("defences", "defences", 0), ("divisions", "divisions", 1))],
+    *[(n, f"SELECT r.*, name, champion_id AS boxer_id, {c} AS value FROM reigns r JOIN fighters f ON champion_id = f.boxer_id WHERE {c} > 0", "value DESC, counted_days DESC, name, title_org, title, division, sex, reign_no")
+      for n, c in (("longest-reign", "counted_days"), ("reign-defences", "defences"))],
+]
+
 _LAST = {
     "prj01": """SELECT bout_id, b.country, r.name AS red_name, u.name AS blue_name, r.country AS red_country, u.country AS blue_country FROM bouts b JOIN fighters r ON red_id = r.boxer_id JOIN fighters u ON blue_id = u.boxer_id WHERE counted AND title IS NOT NULL""",
     "prj02": "SELECT boxer_id, wins || '-' || losses || '-' || draws AS record, CASE WHEN wins > losses THEN 'winning' WHEN wins < losses THEN 'losing' ELSE 'even' END AS balance FROM careers",
     "join02": """SELECT region, count(*) AS events, count(*) FILTER (cancelled) AS cancelled FROM league_events LEFT JOIN (SELECT n_name AS country, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey <= 2) USING (country) GROUP BY ALL""",
     "join10": "SELECT trainer_id, count(*) AS bouts FROM (SELECT bout_id, boxer_id, arg_min(person_id, (start, person_id)) AS trainer_id FROM instint GROUP BY ALL) GROUP BY ALL",
-    "join13": """SELECT claim_id, CASE WHEN count(*) = 1 THEN min(b.bout_id) END AS bout_id, CASE WHEN count(*) <> 1 THEN 'ambiguous' WHEN claimed = min(b.method) THEN 'agrees' ELSE 'conflict' END AS verdict FROM (SELECT bout_id AS claim_id, (date + (bout_id % 3 - 1)::INT)::DATE AS day, red_id, method AS claimed FROM bouts WHERE counted AND bout_id % 50 = 1) c
-        JOIN bouts b ON b.counted AND b.red_id = c.red_id AND b.date BETWEEN day - 1 AND day + 1 GROUP BY claim_id, claimed""",
+    "join13": """SELECT claim_id, CASE WHEN hits = 1 THEN bout_id END AS bout_id, CASE WHEN hits = 0 THEN 'no bout' WHEN hits > 1 THEN 'ambiguous' WHEN claimed IN ('UD', 'MD', 'SD') AND rounds <> distance THEN 'other distance' WHEN method IS NULL THEN 'only source' WHEN claimed = method THEN 'agrees' ELSE 'conflict' END AS verdict
+        FROM (SELECT claim_id, claimed, distance, count(b.bout_id) AS hits, min(b.bout_id) AS bout_id, min(b.method) AS method, min(b.rounds) AS rounds FROM (SELECT bout_id AS claim_id, (date + (bout_id % 4 - 1)::INT)::DATE AS day, red_name AS name, CASE WHEN bout_id % 17 = 0 THEN 'KO' ELSE coalesce(method, 'UD') END AS claimed,
+        rounds + CASE WHEN bout_id % 19 = 0 THEN 2 ELSE 0 END AS distance FROM bouts WHERE NOT cancelled) c LEFT JOIN (SELECT * FROM bouts WHERE NOT cancelled) b ON b.red_name = c.name AND b.date BETWEEN day - 1 AND day + 1 GROUP BY ALL)""",
     "agg17": """SELECT (part + supp) % 17 AS referee_id, count(*) AS bouts, count(*) FILTER (s) AS stoppages, round(count(*) FILTER (s) / count(*), 6) AS rate, round(avg(end_round) FILTER (s), 6) AS avg_round, round(count(*) FILTER (s AND end_round <= 3) / count(*) FILTER (s), 6) AS early
         FROM (SELECT *, method IN ('KO', 'TKO') AND end_round IS NOT NULL AS s FROM bouts WHERE counted) GROUP BY 1""",
     "agg19": """SELECT boxer_id, person_id, start, count(*) FILTER (result = 'W') AS wins, count(*) FILTER (result = 'L') AS losses, count(*) FILTER (result = 'D') AS draws, arg_max(post, (date, bout_id)) - arg_min(pre, (date, bout_id)) AS change FROM instint GROUP BY ALL""",
@@ -389,8 +407,8 @@ _LAST = {
         round(CASE WHEN count(*) OVER p > 0 THEN count(*) FILTER (result = 'L' AND stopped) OVER p / count(*) OVER p ELSE 0 END, 6) AS ko_loss_rate FROM won WINDOW o AS (PARTITION BY boxer_id ORDER BY date, bout_id), p AS (PARTITION BY boxer_id ORDER BY date, bout_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     "win15": """SELECT bout_id, round((rank() OVER (ORDER BY landed) - 1) / count(*) OVER (), 6) AS percentile FROM (SELECT bout_id, sum(landed) AS landed FROM (SELECT bout_id, boxer_id, coalesce(sum(landed) FILTER (round = 0), sum(landed) FILTER (round > 0)) AS landed FROM punches GROUP BY ALL) GROUP BY ALL)""",
     "win18": """SELECT user_id, graded, "right", round(points, 6) AS points, round(accuracy, 6) AS accuracy, rank() OVER (ORDER BY points DESC, accuracy DESC) AS place FROM (SELECT user_id, count(*) AS graded, count(*) FILTER (ok) AS "right", round(sum(CASE WHEN ok THEN 2 - p ELSE 0 END), 9) AS points, round(count(*) FILTER (ok) / count(*), 9) AS accuracy FROM (
-        SELECT user_id, (event_id % 2 = 0) = (winner_id = red_id) AS ok, CASE WHEN event_id % 2 = 0 THEN q ELSE 1 - q END AS p FROM (SELECT event_id, user_id FROM events WHERE event_type <> 'view') e
-        JOIN (SELECT bout_id, red_id, winner_id, bout_id % 5000 AS k, row_number() OVER (PARTITION BY bout_id % 5000 ORDER BY bout_id) AS n FROM bouts WHERE counted AND winner_id IS NOT NULL) b ON b.n = 1 AND b.k = e.event_id % 5000
+        SELECT user_id, (event_id % 2 = 0) = (winner_id = red_id) AS ok, CASE WHEN event_id % 2 = 0 THEN q ELSE 1 - q END AS p FROM (SELECT event_id, user_id, event_id % (SELECT count(*) FROM league_events) AS card FROM events WHERE event_type <> 'view') e
+        JOIN (SELECT event_id AS card, arg_max(bout_id, (position, bout_id)) AS bout_id FROM bouts WHERE counted AND winner_id IS NOT NULL GROUP BY ALL) h USING (card) JOIN (SELECT bout_id, red_id, winner_id FROM bouts) b USING (bout_id)
         JOIN (SELECT bout_id, 1 / (1 + pow(10, (opp_pre - pre) / 400)) AS q FROM won WHERE side = 'red') USING (bout_id)) GROUP BY user_id HAVING count(*) >= 3 ORDER BY points DESC, accuracy DESC, user_id LIMIT 50)""",
     "win22": """SELECT boxer_id, row_number() OVER (PARTITION BY division, sex ORDER BY b DESC, boxer_id) AS rank_before, row_number() OVER (PARTITION BY division, sex ORDER BY a DESC, boxer_id) AS rank_after FROM eligible
         JOIN (SELECT boxer_id, coalesce(arg_max(post, (date, bout_id)) FILTER (date < DATE '2000-03-01'), 1500) AS b, coalesce(arg_max(post, (date, bout_id)) FILTER (date <= DATE '2000-03-01'), 1500) AS a FROM fighters LEFT JOIN won USING (boxer_id) GROUP BY ALL) USING (boxer_id)""",
@@ -410,35 +428,48 @@ _LAST = {
     "mdl18": """SELECT count(*) AS moves, round(avg(a), 6) AS after, round(avg(b), 6) AS before, round(stddev_samp(a - b), 6) AS sd FROM (SELECT boxer_id, moved, avg(won) FILTER (post_move) AS a, avg(won) FILTER (NOT post_move) AS b FROM (
         SELECT *, row_number() OVER (PARTITION BY boxer_id, moved, post_move ORDER BY abs(datediff('day', moved, date)), bout_id) AS n FROM (SELECT w.boxer_id, bout_id, date, CASE WHEN result = 'W' THEN 1.0 ELSE 0.0 END AS won, moved, date >= moved AS post_move FROM won w
         JOIN (SELECT boxer_id, start AS moved, person_id, lag(person_id) OVER (PARTITION BY boxer_id ORDER BY start) AS prev FROM stints) s ON s.boxer_id = w.boxer_id AND prev <> person_id)) WHERE n <= 6 GROUP BY ALL HAVING count(*) FILTER (post_move) >= 3 AND count(*) FILTER (NOT post_move) >= 2)""",
-    "mdl29": """SELECT CASE WHEN winner_id IS NULL THEN 'void' WHEN ((bout_id + 1) % 2 = 0) = (winner_id = red_id) THEN 'right' ELSE 'wrong' END AS state, count(*) AS n FROM bouts WHERE year(date) = 1999 AND method IS NOT NULL GROUP BY 1""",
-    "rec17": "SELECT r.boxer_id, rank, count(bout_id) AS stoppage_wins FROM ranking r LEFT JOIN (SELECT * FROM won WHERE result = 'W' AND stopped) w USING (boxer_id) WHERE rank <= 5 GROUP BY ALL",
+    "mdl29": """SELECT CASE WHEN winner_id IS NULL THEN 'void' WHEN ((bout_id + 1) % 2 = 0) = (winner_id = red_id) THEN 'right' ELSE 'wrong' END AS state, count(*) AS n FROM bouts WHERE method IS NOT NULL GROUP BY 1""",
+    "rec17": " UNION ALL ".join(f"SELECT boxer_id, '{n}' AS list, min(rank) AS rank FROM (SELECT boxer_id, row_number() OVER (ORDER BY {o}) AS rank FROM ({r}))  WHERE rank <= 10 GROUP BY boxer_id" for n, r, o in _LISTS),
     "mdl32": "SELECT bout_id, boxer_id, max(usd) - min(usd) <= 0.05 * max(usd) AS agree FROM purses WHERE usd IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
     "fn01": "SELECT doc_id, md5(regexp_replace(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüçñß', 'aaaaaaeeeeiiiiooooouuuucns'), '[^a-z ]', '', 'g')) AS folded FROM documents",
     "fn03": r"SELECT array_to_string(list_sort(list_filter(regexp_split_to_array(lower(p_type), '[\s\-.,'']+'), lambda x: x <> '')), ' ') AS key, count(*) AS n FROM part GROUP BY 1",
-    "fn09": "SELECT method, method AS read, count(*) AS n FROM bouts WHERE method IS NOT NULL GROUP BY ALL",
-    "fn10": "SELECT n_nationkey, CASE k WHEN 'unitedkingdom' THEN 'uk' WHEN 'unitedstates' THEN 'us' ELSE k END AS key FROM (SELECT n_nationkey, regexp_replace(lower(n_name), '[^a-z]', '', 'g') AS k FROM nation)",
+    "fn09": "SELECT s AS spelled, r AS read, count(*) AS n FROM bouts JOIN (VALUES (0, 'KO', 'KO'), (1, 'Knock-Out', 'KO'), (2, 'k.o.', 'KO'), (3, 'TKO', 'TKO'), (4, 'Technical Knockout', 'TKO'), (5, 'Referee Stoppage', 'TKO'), (6, 'stopped', 'TKO'), (7, 'RSC', 'TKO'), (8, 'Corner Retirement', 'RTD'), (9, 'corner stoppage', 'RTD'), (10, 'Disqualification', 'DQ'), (11, 'Decision - Unanimous', 'UD'), (12, 'Unanimous Decision (117-111)', 'UD'), (13, 'pts', 'UD'), (14, 'points', 'UD'), (15, 'Decision - Split', 'SD'), (16, 'Majority Decision', 'MD'), (17, 'Technical points', 'TD'), (18, 'Decision (technical)', 'TD'), (19, 'Tech decision', 'TD'), (20, 'Technical Draw', 'TDRAW'), (21, 'drawn', 'DRAW'), (22, 'Majority draw', 'DRAW'), (23, 'No Contest', 'NC'), (24, 'N/C', 'NC'), (25, 'no decision', 'NC'), (26, 'N/D', 'NC'), (27, 'walkover', NULL), (28, '', NULL)) v(i, s, r) ON bout_id % 29 = i GROUP BY ALL",
+    "fn08": "SELECT s AS spelled, r AS read, count(*) AS n FROM fighters JOIN (VALUES (0, 'Welterweight', 'Welterweight'), (1, 'Jr. Welterweight', 'Super Lightweight'), (2, 'Light-Middle', 'Super Welterweight'), (3, '154lbs', 'Super Welterweight'), (4, 'Super-Middle', 'Super Middleweight'), (5, 'Women''s Featherweight', 'Featherweight'), (6, 'Super Light (140)', 'Super Lightweight'), (7, 'Over 200 lbs', 'Heavyweight'), (8, '200+', 'Heavyweight'), (9, 'Junior Lightweight', 'Super Featherweight'), (10, 'heavy', 'Heavyweight'), (11, 'Cruiserweight (200 lbs)', 'Cruiserweight'), (12, '160 pounds', 'Middleweight'), (13, 'Atomweight', 'Minimumweight'), (14, 'Catchweight', NULL), (15, 'super fly', 'Super Flyweight')) v(i, s, r) ON boxer_id % 16 = i GROUP BY ALL",
+    "fn11": "SELECT s AS spelled, r AS read, count(*) AS n FROM league_events JOIN (VALUES (0, 'ShowTime', 'Showtime'), (1, 'Showtime PPV', 'Showtime'), (2, 'ESPN 2', 'ESPN'), (3, 'ESPN+ PPV', 'ESPN+'), (4, 'espn +', 'ESPN+'), (5, 'BT Sport 1', 'TNT Sports'), (6, 'TNT Sports 1', 'TNT Sports'), (7, 'TrillerTV PPV US', 'TrillerTV'), (8, 'Triller TV', 'TrillerTV'), (9, 'Pay Per View', NULL), (10, 'N/A', NULL), (11, 'string', NULL), (12, ' Canal  Uno ', 'Canal Uno'), (13, 'DAZN', 'DAZN'), (14, 'Fox Sports 1', 'FOX'), (15, 'Sky Box Office', 'Sky Sports'), (16, 'fubotv', 'Fubo'), (17, 'Foxtel', 'Foxtel'), (18, 'hbo', 'HBO'), (19, 'Amazon Prime', 'Amazon Prime Video'), (20, '', NULL)) v(i, s, r) ON event_id % 21 = i GROUP BY ALL",
+    "fn13": "SELECT division, min(end_round) AS median, max(of) AS n FROM (SELECT division, end_round, row_number() OVER (PARTITION BY division ORDER BY end_round) AS k, count(*) OVER (PARTITION BY division) AS of FROM bouts WHERE counted AND end_round IS NOT NULL) WHERE k > of // 2 GROUP BY division",
+    "fn17": """SELECT event_id, floor(round((l * (0.8707 - 0.131979 * pow(p, 2) + pow(p, 4) * (-0.013791 + pow(p, 4) * (0.003971 * pow(p, 2) - 0.001529 * pow(p, 4)))) * s + 500) * 10, 6) + 0.5) / 10 AS x,
+        floor(round((h / 2 - p * (1.007226 + pow(p, 2) * (0.015085 + pow(p, 4) * (-0.044475 + 0.028874 * pow(p, 2) - 0.005916 * pow(p, 4)))) * s) * 10, 6) + 0.5) / 10 AS y FROM (SELECT *, round(2 * (pi() / 2) * (1.007226 + pow(pi() / 2, 2) * (0.015085 + pow(pi() / 2, 4) * (-0.044475 + 0.028874 * pow(pi() / 2, 2) - 0.005916 * pow(pi() / 2, 4)))) * s) AS h
+        FROM (SELECT event_id, radians((event_id * 37) % 181 - 90) AS p, radians((event_id * 53) % 361 - 180) AS l, 1000 / (2 * pi() * 0.8707) AS s FROM league_events))""",
+    "lnk08": "SELECT 'broadcaster:broadcaster-' || trim(regexp_replace(replace(lower(r), '+', '-plus'), '[^a-z0-9]+', '-', 'g'), '-') AS external_id, r AS name, count(*) AS cards FROM league_events JOIN (VALUES (0, 'Showtime'), (1, 'Showtime'), (2, 'ESPN'), (3, 'ESPN+'), (4, 'ESPN+'), (5, 'TNT Sports'), (6, 'TNT Sports'), (7, 'TrillerTV'), (8, 'TrillerTV'), (12, 'Canal Uno'), (13, 'DAZN'), (14, 'FOX'), (15, 'Sky Sports'), (16, 'Fubo'), (17, 'Foxtel'), (18, 'HBO'), (19, 'Amazon Prime Video')) v(i, r) ON event_id % 21 = i GROUP BY ALL",
+    "fn10": "SELECT s AS spelled, r AS read, count(*) AS n FROM league_events JOIN (VALUES (0, 'USA', 'United States'), (1, 'U.S.', 'United States'), (2, 'United States of America', 'United States'), (3, 'The Netherlands', 'The Netherlands'), (4, 'Holland', 'Netherlands'), (5, 'Türkiye', 'Turkey'), (6, 'Great Britain', 'United Kingdom'), (7, 'England', 'England'), (8, 'Northern Ireland', 'Northern Ireland'), (9, 'New South Wales', 'Australia'), (10, 'DR Congo', 'Congo - Kinshasa'), (11, 'NATION_3', 'NATION_3'), (12, ' Ghana ', 'Ghana')) v(i, s, r) ON event_id % 13 = i GROUP BY ALL",
     "fn12": """SELECT event_id, strftime(date, '%m-%d') AS md, (date + 7)::DATE AS next_week, round(datediff('day', date, DATE '2000-06-30') / 30.4, 6) AS months, event_id % 3 = 0 OR (event_id % 3 = 1 AND year(date) % 4 = 0) AS real_day FROM league_events""",
-    "fn14": "SELECT boxer_id, sha1(name)[1:12] AS sha1, sha256(name)[1:16] AS sha256, md5(name) AS md5 FROM fighters",
+    "fn14": "SELECT boxer_id, sha1(name)[1:12] AS sha1, sha256(name)[1:16] AS sha256, md5(name) AS md5, list_reduce(list_prepend(2166136261::HUGEINT, list_transform(range(1, length(name) + 1), lambda i: ascii(name[i])::HUGEINT)), lambda h, c: xor(h, c) * 16777619 % 4294967296)::BIGINT AS fnv FROM fighters",
     "fn16": """SELECT o_orderkey, CASE WHEN o_totalprice >= 1e6 THEN format('${:.1f}M', floor(o_totalprice / 1e6 * 10 + 0.5) / 10) WHEN o_totalprice >= 1e3 THEN format('${:.1f}k', floor(o_totalprice / 1e3 * 10 + 0.5) / 10) ELSE '$' || floor(o_totalprice + 0.5)::BIGINT END AS price FROM orders""",
     "fn20": r"""SELECT p_partkey, array_to_string(list_sort(list_distinct(w)), '|') AS sorted, array_to_string(w[1:2], '|') AS first_two, len(list_filter(w, lambda x: length(x) < 4)) = 0 AS all_long FROM (SELECT p_partkey, list_filter(regexp_split_to_array(p_type, '[\s\-]+'), lambda x: x <> '') AS w FROM part)""",
-    "lnk01": "SELECT 'n' || boxer_id % 40 AS key, birth_year, division, count(*) AS n, arg_max(boxer_id, (bouts, -boxer_id)) AS keep_id FROM careers WHERE birth_year IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 1",
+    "lnk01": """SELECT regexp_replace(translate(lower(name), 'áàâäãåāéèêëēíìîïīóòôöõōúùûüūçñýÿ', 'aaaaaaaeeeeeiiiiioooooouuuuucnyy'), '[^a-z0-9]+', '', 'g') AS key, birth_year, count(*) AS n, arg_max(boxer_id, (bouts, -boxer_id)) AS keep_id
+        FROM (SELECT boxer_id, ['José ', 'Jose ', 'JOSE ', 'Luis ', 'Lúis '][boxer_id % 5 + 1] || (boxer_id * 37 + 11) % 211 AS name, birth_year, bouts FROM careers) WHERE birth_year IS NOT NULL AND bouts >= 3 GROUP BY 1, 2 HAVING count(*) > 1""",
     "lnk06": """SELECT country, key, spelling AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY country, key ORDER BY n DESC, length(spelling) DESC, spelling) AS r FROM (SELECT country, regexp_replace(lower(spelling), '[^a-z0-9]', '', 'g') AS key, spelling, count(*) AS n FROM (
         SELECT country, CASE event_id % 5 WHEN 0 THEN upper(venue) WHEN 1 THEN venue || '.' ELSE venue END AS spelling FROM league_events) GROUP BY ALL)) WHERE r = 1""",
-    "lnk04": """@s AS (SELECT s_suppkey AS s, s_nationkey AS nation, s_suppkey % 7 AS name FROM supplier), c AS (SELECT c_custkey AS c, c_nationkey AS nation, c_custkey % 7 AS name FROM customer WHERE c_custkey < 300),
-        p1 AS (SELECT s.s, c.c, 1 AS pass FROM s JOIN c ON s.s = c.c WHERE s.s % 10 = 0),
-        p2 AS (SELECT min(a.s) AS s, min(b.c) AS c, 2 AS pass FROM (SELECT nation, name, min(s) AS s FROM s WHERE s NOT IN (SELECT s FROM p1) GROUP BY ALL HAVING count(*) = 1) a
-            JOIN (SELECT nation, name, min(c) AS c FROM c WHERE c NOT IN (SELECT c FROM p1) GROUP BY ALL HAVING count(*) = 1) b USING (nation, name) GROUP BY nation, name),
+    "lnk04": """@s AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 10 = 0 THEN s_suppkey END AS ext, (s_suppkey * 53 + 7) % 5003 AS name, CASE WHEN s_suppkey % 3 <> 0 THEN 1955 + s_suppkey % 30 END AS year, s_nationkey AS nation FROM supplier),
+        c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN c_custkey END AS ext, (c_custkey * 37 + 7) % 5003 AS name, CASE WHEN c_custkey % 3 <> 0 THEN 1955 + c_custkey % 30 END AS year, c_nationkey AS nation FROM customer),
+        p1 AS (SELECT s.id AS l, c.id AS r, 1 AS pass FROM s JOIN c USING (ext)),
+        p2 AS (SELECT a.id AS l, b.id AS r, 2 AS pass FROM (SELECT name, year, min(id) AS id FROM s WHERE year IS NOT NULL AND id NOT IN (SELECT l FROM p1) GROUP BY ALL HAVING count(*) = 1) a
+            JOIN (SELECT name, year, min(id) AS id FROM c WHERE year IS NOT NULL AND id NOT IN (SELECT r FROM p1) GROUP BY ALL HAVING count(*) = 1) b USING (name, year)),
         p12 AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2),
-        p3 AS (SELECT a.s, b.c, 3 AS pass FROM (SELECT nation, min(s) AS s FROM s WHERE s NOT IN (SELECT s FROM p12) GROUP BY ALL HAVING count(*) = 1) a JOIN (SELECT nation, min(c) AS c FROM c WHERE c NOT IN (SELECT c FROM p12) GROUP BY ALL HAVING count(*) = 1) b USING (nation))
+        p3 AS (SELECT a.id AS l, b.id AS r, 3 AS pass FROM (SELECT name, min(id) AS id, min(nation) AS nation FROM s WHERE id NOT IN (SELECT l FROM p12) GROUP BY name HAVING count(*) = 1) a
+            JOIN (SELECT name, min(id) AS id, min(nation) AS nation FROM c WHERE id NOT IN (SELECT r FROM p12) GROUP BY name HAVING count(*) = 1) b ON a.name = b.name AND a.nation = b.nation)
         SELECT * FROM p12 UNION ALL SELECT * FROM p3""",
     "dq02": """SELECT code, basis, count(*) AS n FROM (SELECT basis, CASE WHEN usd IS NULL THEN 'no-amount' WHEN usd <= 0 THEN 'not-positive' WHEN basis = 'estimated' AND usd > 90000 THEN 'large-estimate' WHEN usd > 100000 THEN 'very-large' END AS code FROM purses) WHERE code IS NOT NULL GROUP BY ALL""",
     "dq07": "SELECT event_id FROM league_events WHERE NOT cancelled AND event_id IN (SELECT event_id FROM bouts) AND event_id NOT IN (SELECT event_id FROM bouts WHERE method IS NOT NULL AND bout_id % 2 = 0)",
-    "dq11": """@ok AS (SELECT boxer_id FROM careers WHERE NOT boxer_id % 41 = 0 AND (boxer_id % 5 <> 0 OR boxer_id % 3 = 0)) SELECT count(*) FILTER (red_id IN (SELECT boxer_id FROM ok) AND blue_id IN (SELECT boxer_id FROM ok)) AS bouts, count(*) AS of FROM bouts""",
+    "dq11": """@ok AS (SELECT boxer_id FROM careers WHERE sex = 'female' OR division NOT IN ('BUILDING', 'MACHINERY') OR (NOT boxer_id % 41 = 0 AND (boxer_id % 5 <> 0 OR boxer_id % 3 = 0))) SELECT count(*) FILTER (red_id IN (SELECT boxer_id FROM ok) AND blue_id IN (SELECT boxer_id FROM ok)) AS bouts, count(*) AS of FROM bouts""",
     "dq14": """SELECT 'many-draws' AS code, count(*) FILTER (draws > 6) AS n FROM careers UNION ALL SELECT 'no-losses', count(*) FILTER (losses = 0 AND bouts > 10) FROM careers UNION ALL SELECT 'very-young', (SELECT count(*) FROM (SELECT boxer_id, min(date) AS debut FROM won GROUP BY ALL) JOIN fighters USING (boxer_id) WHERE year(debut) - birth_year < 15)
         UNION ALL SELECT 'all-kos', count(*) FILTER (kos = wins AND wins >= 5) FROM careers UNION ALL SELECT 'inactive-recent', count(*) FILTER (NOT active AND last_fight > DATE '2000-06-01') FROM careers""",
     "str06": "SELECT bout_id, 'NC' AS new, CASE WHEN bout_id % 2 = 0 THEN false ELSE method <> 'UD' END AS moved FROM bouts WHERE method IS NOT NULL AND bout_id % 97 = 0",
-    "str11": "SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 3",
-    "str12": "SELECT event_type, ts::DATE AS day, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2 HAVING count(DISTINCT user_id) >= 6",
+    "str11": """SELECT 'user' AS "limit", user_id::VARCHAR AS who, time_bucket(INTERVAL 10 MINUTE, ts) AS start, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1
+        UNION ALL SELECT 'address', (event_id % 7)::VARCHAR, time_bucket(INTERVAL 10 MINUTE, ts), count(*) FROM events GROUP BY ALL HAVING count(*) > 3
+        UNION ALL SELECT 'new account', user_id::VARCHAR, date_trunc('day', ts)::TIMESTAMP, count(*) FROM (SELECT *, min(ts) OVER (PARTITION BY user_id) AS since FROM events) WHERE ts < since + INTERVAL 1 DAY GROUP BY ALL HAVING count(*) > 2""",
+    "str12": """SELECT event_type AS subject, count(DISTINCT user_id) AS users FROM (SELECT *, min(ts) OVER (PARTITION BY user_id) AS since, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS before FROM events)
+        WHERE ts >= since + INTERVAL 7 DAY AND before >= 3 GROUP BY ALL HAVING count(DISTINCT user_id) >= 6""",
     "str16": "SELECT ts::DATE < date AS in_time, count(*) AS n FROM events e JOIN league_events l ON l.event_id = e.event_id * 4 GROUP BY 1",
 }
 
@@ -448,15 +479,29 @@ _CHECKS = {
     "flt04": _FACTS + "wins >= 25 AND bouts >= 60 AND losses <= 35 AND draws <= 4",
     "flt05": _FACTS + "kos >= 10 AND ko_rate >= 0.5 AND ko_losses <= 15",
     "flt08": _FACTS + "last_fight BETWEEN DATE '2000-05-01' AND DATE '2000-06-15'",
-    "flt10": _FACTS + "reach_cm >= 180 AND age BETWEEN 25 AND 30 AND height_cm <= 190",
+    "flt10": _FACTS + "reach_cm >= 180 AND age BETWEEN 25 AND 30 AND height_cm <= 190 AND boxer_id IN (SELECT boxer_id FROM won GROUP BY boxer_id HAVING year(min(date)) BETWEEN 1992 AND 1999)",
+    "flt09": _FACTS + "wins < losses AND sex = 'female'",
+    "flt14_name": _FACTS + """boxer_id IN (SELECT boxer_id FROM stints JOIN supplier ON person_id = s_suppkey WHERE "end" IS NULL AND contains(lower(s_name), '0003'))""",
+    "flt14_gym": _FACTS + """division = 'HOUSEHOLD' AND boxer_id IN (SELECT boxer_id FROM stints JOIN supplier ON person_id = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE "end" IS NULL AND contains(lower(n_name), 'nation_1'))""",
+    "flt16_new": _FACTS + "division = 'BUILDING' AND boxer_id IN (SELECT boxer_id FROM (SELECT *, lag(person_id) OVER (PARTITION BY boxer_id ORDER BY start) AS p FROM stints) WHERE p <> person_id AND start BETWEEN DATE '1999-09-30' AND DATE '2000-06-30')",
+    "flt18": _FACTS + "country = 'NATION_4' AND stance = 'Orthodox' AND active",
+    "prj04": f"@{_SCORES} SELECT year(date) AS year, CASE WHEN score >= 70 THEN 'classic' WHEN score >= 55 THEN 'great' WHEN score >= 40 THEN 'good' WHEN score >= 25 THEN 'solid' ELSE 'routine' END AS tier, count(*) AS n, round(avg(score), 6) AS mean_score FROM scores GROUP BY ALL",
+    "mdl06": f"""@{_FEATURES}, terms AS (SELECT bout_id, unnest([{{'factor': 'rating', 't': ln(10) / 400 * (a.rating - b.rating)}}, {{'factor': 'reach', 't': CASE WHEN a.reach_cm IS NOT NULL AND b.reach_cm IS NOT NULL THEN 0.016 * least(12, greatest(-12, a.reach_cm - b.reach_cm)) ELSE 0 END}},
+        {{'factor': 'age', 't': CASE WHEN a.age IS NOT NULL AND b.age IS NOT NULL THEN 0.03 * (greatest(0, b.age - 34) - greatest(0, a.age - 34)) ELSE 0 END}}, {{'factor': 'idle', 't': 0.01 * (greatest(0, b.idle - 12) - greatest(0, a.idle - 12))}},
+        {{'factor': 'power', 't': 0.2 * (a.ko_rate - b.ko_rate)}}, {{'factor': 'chin', 't': 0.2 * (b.chin - a.chin)}}]) AS u FROM bouts JOIN feat a ON red_id = a.boxer_id JOIN feat b ON blue_id = b.boxer_id WHERE upcoming),
+        s AS (SELECT bout_id, u.factor AS factor, u.t AS t, sum(u.t) OVER (PARTITION BY bout_id) AS z FROM terms),
+        g AS (SELECT *, 1 / (1 + exp(-z)) - 1 / (1 + exp(-(z - t))) AS shift, abs(2 * least(0.96, greatest(0.04, 1 / (1 + exp(-z)))) - 1) * 0.97 AS gap FROM s)
+        SELECT bout_id, CASE WHEN gap < 0.12 THEN 'Toss-up' WHEN gap < 0.3 THEN 'Lean' WHEN gap < 0.55 THEN 'Clear favourite' ELSE 'Heavy favourite' END AS confidence, factor, round(shift, 6) AS shift FROM g WHERE factor = 'rating' OR abs(shift) > 0.004""",
+    "mdl23": f"""@{_SCORES}, each AS (SELECT bout_id, unnest([{{'n': 'knockdowns', 'w': 0.17, 'v': k}}, {{'n': 'finish', 'w': 0.20, 'v': f}}, {{'n': 'action', 'w': 0.20, 'v': a}}, {{'n': 'matchup', 'w': 0.16, 'v': m}}, {{'n': 'upset', 'w': 0.09, 'v': u}}, {{'n': 'stakes', 'w': 0.08, 'v': s}}, {{'n': 'comeback', 'w': 0.10, 'v': c}}]) AS p FROM part)
+        SELECT bout_id, score, string_agg(n, ',' ORDER BY r) AS reasons FROM (SELECT bout_id, p.n AS n, row_number() OVER (PARTITION BY bout_id ORDER BY p.w::DOUBLE * p.v::DOUBLE DESC, p.n) AS r FROM each WHERE p.v >= 0.45) JOIN scores USING (bout_id) WHERE r <= 4 GROUP BY bout_id, score""",
     "flt11": _FACTS + "floor(rating + 0.5) BETWEEN 1504 AND 1548",
     "flt16": _FACTS + "division = 'BUILDING' AND boxer_id IN (SELECT boxer_id FROM weights WHERE NOT made)",
     "flt22": "SELECT rounds, count(*) AS n FROM bouts WHERE counted AND method <> 'DQ' AND rounds >= 6 GROUP BY ALL",
-    "mdl07": """@nxt AS (SELECT * FROM bouts WHERE upcoming ORDER BY date, bout_id LIMIT 200),
-        d AS (SELECT n.bout_id, a.rating - b.rating AS r, CASE WHEN a.reach_cm IS NOT NULL AND b.reach_cm IS NOT NULL THEN least(12, greatest(-12, a.reach_cm - b.reach_cm)) ELSE 0 END AS reach,
-            CASE WHEN a.age IS NOT NULL AND b.age IS NOT NULL THEN greatest(0, b.age - 34) - greatest(0, a.age - 34) ELSE 0 END AS age, a.ko_rate - b.ko_rate AS ko FROM nxt n JOIN careers a ON red_id = a.boxer_id JOIN careers b ON blue_id = b.boxer_id),
-        p AS (SELECT 'Balanced' AS preset, 1.0::DOUBLE AS f, 0.016::DOUBLE AS wr, 0.03::DOUBLE AS wa, 0.2::DOUBLE AS wk UNION ALL SELECT 'Pure Elo', 1, 0, 0, 0 UNION ALL SELECT 'Old school', 0.6, 0.04, 0.03, 0.6 UNION ALL SELECT 'Father Time', 1, 0.016, 0.09, 0.2)
-        SELECT bout_id, preset, round(1 / (1 + exp(-(ln(10) / 400 * f * r + wr * reach + wa * age + wk * ko))), 6) AS p_red FROM d, p""",
+    "mdl07": f"""@{_FEATURES}, d AS (SELECT bout_id, a.rating - b.rating AS r, CASE WHEN a.reach_cm IS NOT NULL AND b.reach_cm IS NOT NULL THEN least(12, greatest(-12, a.reach_cm - b.reach_cm)) ELSE 0 END AS reach,
+            CASE WHEN a.age IS NOT NULL AND b.age IS NOT NULL THEN greatest(0, b.age - 34) - greatest(0, a.age - 34) ELSE 0 END AS age, greatest(0, b.idle - 12) - greatest(0, a.idle - 12) AS idle, a.ko_rate - b.ko_rate AS ko, b.chin - a.chin AS chin
+            FROM bouts JOIN feat a ON red_id = a.boxer_id JOIN feat b ON blue_id = b.boxer_id WHERE upcoming),
+        p AS (SELECT 'Balanced' AS preset, 1.0::DOUBLE AS f, 0.016::DOUBLE AS wr, 0.03::DOUBLE AS wa, 0.01::DOUBLE AS wi, 0.2::DOUBLE AS wk, 0.2::DOUBLE AS wc UNION ALL SELECT 'Pure Elo', 1, 0, 0, 0, 0, 0 UNION ALL SELECT 'Old school', 0.6, 0.04, 0.03, 0.01, 0.6, 0.6 UNION ALL SELECT 'Father Time', 1, 0.016, 0.09, 0.04, 0.2, 0.2)
+        SELECT bout_id, preset, round(1 / (1 + exp(-(ln(10) / 400 * f * r + wr * reach + wa * age + wi * idle + wk * ko + wc * chin))), 6) AS p_red FROM d, p""",
     "mdl14": """SELECT count(*) AS n, round(avg(-ln(CASE WHEN result = 'W' THEN p ELSE 1 - p END)), 6) AS log_loss, round(avg(pow(CASE WHEN result = 'W' THEN 1 - p ELSE p END, 2)), 6) AS brier FROM (SELECT result, 1 / (1 + pow(10, (opp_pre - pre) / 400)) AS p FROM won WHERE side = 'red' AND result <> 'D')""",
     "lnk05": "SELECT name, count(*) AS reigns, sum(days)::BIGINT AS days FROM reigns JOIN fighters ON champion_id = boxer_id GROUP BY ALL",
     "str04": f"""SELECT field, kind, CASE WHEN kind = 'fill' OR (kind = 'replace' AND field = 'end_round' AND abs(try_cast(old AS INT) - try_cast("new" AS INT)) <= 2) THEN 'taken' ELSE 'waits' END AS decision, count(*) AS n FROM ({_CHANGES}) GROUP BY ALL""",
@@ -464,7 +509,7 @@ _CHECKS = {
         SELECT boxer_id, count(*) AS wins, count(*) FILTER (date <= DATE '2000-06-30' - 60) AS earlier FROM won WHERE result = 'W' GROUP BY ALL)) GROUP BY 1""",
     "dq15": """SELECT 'fighters-without-bout' AS code, count(*) AS n FROM fighters WHERE boxer_id NOT IN (SELECT boxer_id FROM lb) UNION ALL SELECT 'self-fights', count(*) FROM bouts WHERE red_id = blue_id UNION ALL SELECT 'late-rounds', count(*) FROM bouts WHERE end_round > rounds
         UNION ALL SELECT 'title-without-winner', count(*) FROM bouts WHERE title IS NOT NULL AND method IS NOT NULL AND winner_id IS NULL UNION ALL SELECT 'cards-only-cancelled', count(*) FROM league_events WHERE event_id NOT IN (SELECT event_id FROM bouts WHERE NOT cancelled)""",
-    "vw09": "SELECT boxer_id, bout_id, CASE WHEN upcoming THEN 'upcoming' ELSE result END AS what FROM lb WHERE boxer_id % 50 = 0 AND ((counted AND date >= DATE '2000-06-01') OR (upcoming AND date <= DATE '2000-07-14'))",
+    "vw09": """SELECT user_id, boxer_id, bout_id, CASE WHEN upcoming THEN 'upcoming' ELSE result END AS what FROM lb JOIN (SELECT DISTINCT user_id, event_id % (SELECT count(*) FROM fighters) AS boxer_id FROM events) USING (boxer_id) WHERE (counted AND date > DATE '2000-06-30' - 30) OR (upcoming AND date <= DATE '2000-07-14')""",
 }
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .operators import aggregates as agg
-from .operators import careers, checks, documents, joins, linkage, merging, models, rankings, search, titles, views
+from .operators import canon, careers, checks, documents, joins, linkage, merging, models, rankings, search, titles, views
 from .oracle import ORACLE_SQL  # noqa: F401
 from .plans.league import League, league
+from .sources import star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -89,7 +90,7 @@ for _key, _make in {
     "join12": lambda w: joins.rating_at(w, ELO_DAY, strict=True),
     "join14": joins.top_pairs,
     "join15": lambda w: joins.candidates(w, 6),
-    "join16": joins.similar_fighters,
+    "join16": lambda w: joins.similar_fighters(w, F.col("boxer_id") % 20 == 0),
     "join18": agg.host_record,
     "win01": rankings.division_ranking,
     "win02": rankings.rank_movement,
@@ -143,8 +144,8 @@ for _key, _make in {
     "srch01": lambda w: search.type_ahead(w, "re"),
     "srch03": search.word_index,
     "srch04": lambda w: search.global_search(w, "12"),
-    "srch05": search.unique_names,
-    "srch07": search.names_in_text,
+    "srch05": lambda w: search.unique_names(w.raw("customer").select(F.col("c_name").alias("name"))),
+    "srch07": lambda w: search.names_in_text(w.raw("benchmark").select(F.col("item_id").alias("name_id"), F.col("text").alias("name")), w.raw("documents")),
     "set03": lambda w: search.champions(w, "former"),
     "mdl01_elo": models.elo,
     "mdl02": models.predictions,
@@ -191,12 +192,18 @@ for _key, _make in {
     register(_key, _make)
 
 
+def broadcaster_cards(w: League) -> DataFrame:
+    """LNK08: cards of each broadcaster's organisation."""
+    orgs, links = canon.broadcaster_links(w.events.select("event_id", star.spelled(F.col("event_id"), star.CHANNELS).alias("broadcaster")))
+    return orgs.join(links.groupBy("external_id").agg(F.count("*").alias("cards")), "external_id")
+
+
 for _key, _make in {
     "prj01": views.with_names,
     "prj02": lambda w: w.careers.select("boxer_id", "record", F.when(F.col("wins") > F.col("losses"), "winning").when(F.col("wins") < F.col("losses"), "losing").otherwise("even").alias("balance")),
     "join02": views.enriched_events,
     "join10": views.trainer_ids,
-    "join13": linkage.claims,
+    "join13": lambda w: linkage.checked_claims(star.claims(w), w.bouts.where("NOT cancelled").select("bout_id", "date", F.col("red_name").alias("name"), "method", "rounds")),
     "join17_fuzzy": lambda w: search.fuzzy_words(w, ["smlal", "widgte", "anvli", "gizmoo", "gear"]),
     "agg17": views.referee_stats,
     "agg19": views.stint_records,
@@ -221,26 +228,31 @@ for _key, _make in {
     "mdl25": views.pairings,
     "mdl18": views.switch_study,
     "mdl29": views.ledger_grades,
-    "rec17": views.stoppage_share_by_rank,
+    "rec17": rankings.records_of,
     "mdl32": linkage.agreement,
     "fn01": linkage.folded_names,
     "fn03": linkage.part_keys,
-    "fn09": linkage.spelled_methods,
-    "fn10": linkage.countries,
+    "fn08": lambda w: canon.read_as(w.fighters, star.spelled(F.col("boxer_id"), star.CLASS_NAMES), canon.division_of(F.col("spelled"))),
+    "fn09": lambda w: canon.read_as(w.bouts, star.spelled(F.col("bout_id"), star.RESULTS), canon.method_of(F.col("spelled"))),
+    "fn10": lambda w: canon.read_as(w.events, star.spelled(F.col("event_id"), star.PLACES), canon.country_of(F.col("spelled"))),
+    "fn11": lambda w: canon.read_as(w.events, star.spelled(F.col("event_id"), star.CHANNELS), canon.broadcaster_of(F.col("spelled"))),
+    "fn13": lambda w: canon.upper_medians(w.decided, "division", "end_round"),
+    "fn17": lambda w: w.events.select("event_id", *[c.alias(n) for c, n in zip(canon.natural_earth((F.col("event_id") * 37) % 181 - 90, (F.col("event_id") * 53) % 361 - 180), "xy")]),
+    "lnk08": lambda w: broadcaster_cards(w),
     "fn12": linkage.day_functions,
     "fn14": linkage.hashes,
     "fn16": linkage.order_prices,
     "fn20": linkage.array_functions,
-    "lnk01": linkage.duplicate_profiles,
-    "lnk04": linkage.three_pass_linkage,
+    "lnk01": lambda w: linkage.duplicate_profiles(star.profiles(w)),
+    "lnk04": lambda w: linkage.three_pass_linkage(star.people(w, "supplier", "s_suppkey", "s_nationkey", 53), star.people(w, "customer", "c_custkey", "c_nationkey", 37)),
     "lnk06": linkage.venue_spellings,
     "dq02": linkage.money_issues,
     "dq07": linkage.emptied_cards,
     "dq11": linkage.restricted,
     "dq14": linkage.surprises,
     "str06": linkage.corrected,
-    "str11": linkage.post_limits,
-    "str12": linkage.reporters,
+    "str11": linkage.post_limits_of,
+    "str12": lambda w: linkage.reporters(w.raw("events").select(F.col("event_type").alias("subject"), "user_id", "ts")),
     "str16": linkage.picks_in_time,
 }.items():
     register(_key, _make)
@@ -257,7 +269,15 @@ for _key, _make in {
     "flt04": _found(least={"wins": 25, "bouts": 60}, most={"losses": 35, "draws": 4}),
     "flt05": _found(least={"kos": 10, "ko_rate": 0.5}, most={"ko_losses": 15}),
     "flt08": _found(fought_since="2000-05-01", fought_until="2000-06-15"),
-    "flt10": _found(least={"reach_cm": 180, "age": 25}, most={"height_cm": 190, "age": 30}),
+    "flt09": _found(record="losing", sex="female"),
+    "flt10": _found(least={"reach_cm": 180, "age": 25, "debut_year": 1992}, most={"height_cm": 190, "age": 30, "debut_year": 1999}),
+    "flt14_name": _found(trainer_name="0003", team_now=True),
+    "flt14_gym": _found(gym_nation="nation_1", team_now=True, division="HOUSEHOLD"),
+    "flt16_new": _found(new_trainer_since="1999-09-30", division="BUILDING"),
+    "flt18": _found(country="NATION_4", stance="Orthodox", active=True),
+    "prj04": models.score_tiers,
+    "mdl06": models.prediction_factors,
+    "mdl23": models.score_reasons,
     "flt11": _found(least={"rating": 1504}, most={"rating": 1548}),
     "flt16": _found(missed_weight=True, division="BUILDING"),
     "flt22": lambda w: w.decided.where("method <> 'DQ' AND rounds >= 6").groupBy("rounds").agg(F.count("*").alias("n")),
@@ -268,6 +288,6 @@ for _key, _make in {
     "str04": checks.rule_decisions,
     "str15": checks.lagging,
     "dq15": checks.audit,
-    "vw09": checks.watchlist,
+    "vw09": lambda w: checks.watchlist(w, checks.watched_by_events(w)),
 }.items():
     register(_key, _make)

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import counts
+
 AS_OF = dt.date(2000, 6, 30)
+#: lightest first
+CLASSES = ("BUILDING", "AUTOMOBILE", "MACHINERY", "FURNITURE", "HOUSEHOLD")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,12 +72,17 @@ def bouts(spark: SparkSession, sf_dir: str, home: DataFrame, events: DataFrame,
     x = x.withColumn("method", F.when(~F.col("cancelled") & (F.col("date") <= F.lit(as_of)), raw))
     seat = lambda side: home.select("division", "sex", F.col("pos").alias(f"{side}_pos"), F.col("boxer_id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"))
     x = x.join(seat("red"), ["division", "sex", "red_pos"]).join(seat("blue"), ["division", "sex", "blue_pos"])
-    won = F.when(F.col("method").isNull() | F.col("method").isin("DRAW", "TDRAW", "NC"), None).when(q <= 28, F.col("red_id")).otherwise(F.col("blue_id"))
+    # some never lose; every seventh bout is fought a class above the pair's own
+    won = F.when(F.col("method").isNull() | F.col("method").isin("DRAW", "TDRAW", "NC"), None).when(F.col("red_id") % 149 == 0, F.col("red_id")).when(F.col("blue_id") % 149 == 0, F.col("blue_id"))
+    won = won.when(q <= 28, F.col("red_id")).otherwise(F.col("blue_id"))
+    heavier = F.col("division")
+    for light, heavy in zip(CLASSES, CLASSES[1:]):
+        heavier = F.when((part % 7 == 3) & (F.col("division") == light), heavy).otherwise(heavier)
     rounds = (4 + 2 * (line % 5)).cast("int")
     early = F.col("method").isin("KO", "TKO", "RTD", "DQ", "TD", "TDRAW")
     end = F.when(F.col("method").isNull(), None).when(early, F.when(part % 29 != 0, 1 + supp % rounds)).otherwise(rounds)
     return x.select(
-        "bout_id", "event_id", "event_name", "date", "cancelled", "country", "venue", "promoter", "division", "sex", "red_id", "blue_id", "red_name", "blue_name",
+        "bout_id", "event_id", "event_name", "date", "cancelled", "country", "venue", "promoter", heavier.alias("division"), "sex", "red_id", "blue_id", "red_name", "blue_name",
         "method", won.alias("winner_id"), rounds.alias("rounds"), end.cast("int").alias("end_round"),
         F.when(part % 9 != 0, F.concat((supp % 3).cast("string"), F.lit(":"), F.lpad((part % 60).cast("string"), 2, "0"))).alias("round_time"),
         F.when(q % 7 == 0, 1 + q % 2).otherwise(0).cast("int").alias("kd_red"), F.when(part % 8 == 0, 1).otherwise(0).cast("int").alias("kd_blue"),
@@ -82,3 +91,62 @@ def bouts(spark: SparkSession, sf_dir: str, home: DataFrame, events: DataFrame,
         line.cast("int").alias("position"), part.alias("part"), supp.alias("supp"), "l_returnflag", "l_extendedprice",
         (~F.col("cancelled") & F.col("method").isNull()).alias("upcoming"),
     )
+
+
+def running_score(w) -> DataFrame:  # noqa: ANN001
+    """Ratings of a league that need no replay: 1500 and 8 for each win so far, less 8 for each loss."""
+    counted, win = counts(F.col("method")), F.col("winner_id")
+    delta = lambda me: F.when(~counted | win.isNull(), 0).when(win == F.col(me), 8).otherwise(-8)
+    # the running sums go over narrow rows
+    corners = F.array(*[F.struct(F.lit(s == "red").alias("red"), F.col(f"{s}_id").alias("boxer_id"), delta(f"{s}_id").alias("delta")) for s in ("red", "blue")])
+    x = w.bouts.select("bout_id", "date", F.explode(corners).alias("c")).select("bout_id", "date", "c.*")
+    before = Window.partitionBy("boxer_id").orderBy("date", "bout_id").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.select("bout_id", "red", (1500.0 + F.coalesce(F.sum("delta").over(before), F.lit(0))).alias("pre"), "delta")
+    own = lambda s, c, n: F.max(F.when(F.col("red") == (s == "red"), F.col(c))).alias(f"{s}_{n}")
+    return x.groupBy("bout_id").agg(*[own(s, c, n) for s in ("red", "blue") for c, n in (("pre", "pre"), ("delta", "change"))])
+
+
+def spelled(number: Column, spellings: list[str]) -> Column:
+    """One of the spellings by a row's number."""
+    return F.element_at(F.array(*[F.lit(s) for s in spellings]), (F.pmod(number, F.lit(len(spellings))) + 1).cast("int"))
+
+
+def profiles(w) -> DataFrame:  # noqa: ANN001
+    """Fighters under names of which some are the same but for case and accents."""
+    k = F.col("boxer_id")
+    name = F.concat(spelled(k, ["José ", "Jose ", "JOSE ", "Luis ", "Lúis "]), ((k * 37 + 11) % 211).cast("string"))
+    return w.careers.select("boxer_id", name.alias("name"), "birth_year", "bouts")
+
+
+def people(w, table: str, key: str, nation: str, factor: int) -> DataFrame:  # noqa: ANN001
+    """Suppliers or customers as people of two registers: an external id for some, a name, a year, a nation."""
+    k = F.col(key)
+    return w.raw(table).select(
+        k.alias("id"), F.when(k % 10 == 0, F.concat(F.lit("x"), k.cast("string"))).alias("external_id"), F.concat(F.lit("Ana "), ((k * factor + 7) % 5003).cast("string")).alias("name"),
+        F.when(k % 3 != 0, 1955 + k % 30).cast("int").alias("year"), F.col(nation).alias("nation"),
+    )
+
+
+def claims(w) -> DataFrame:  # noqa: ANN001
+    """A source's claim about every bout that is not cancelled: its day up to two days off, some results and distances told otherwise."""
+    k = F.col("bout_id")
+    told = F.when(k % 17 == 0, "KO").otherwise(F.coalesce("method", F.lit("UD")))
+    return w.bouts.where("NOT cancelled").select(
+        k.alias("claim_id"), F.date_add("date", (k % 4 - 1).cast("int")).alias("day"), F.col("red_name").alias("name"), told.alias("claimed"), (F.col("rounds") + F.when(k % 19 == 0, 2).otherwise(0)).alias("distance"),
+    )
+
+
+# Spellings as sources give them, for the queries that read them.
+RESULTS = [
+    "KO", "Knock-Out", "k.o.", "TKO", "Technical Knockout", "Referee Stoppage", "stopped", "RSC", "Corner Retirement", "corner stoppage", "Disqualification", "Decision - Unanimous", "Unanimous Decision (117-111)", "pts", "points",
+    "Decision - Split", "Majority Decision", "Technical points", "Decision (technical)", "Tech decision", "Technical Draw", "drawn", "Majority draw", "No Contest", "N/C", "no decision", "N/D", "walkover", "",
+]
+CLASS_NAMES = [
+    "Welterweight", "Jr. Welterweight", "Light-Middle", "154lbs", "Super-Middle", "Women's Featherweight", "Super Light (140)", "Over 200 lbs", "200+", "Junior Lightweight", "heavy", "Cruiserweight (200 lbs)", "160 pounds",
+    "Atomweight", "Catchweight", "super fly",
+]
+CHANNELS = [
+    "ShowTime", "Showtime PPV", "ESPN 2", "ESPN+ PPV", "espn +", "BT Sport 1", "TNT Sports 1", "TrillerTV PPV US", "Triller TV", "Pay Per View", "N/A", "string", " Canal  Uno ", "DAZN", "Fox Sports 1", "Sky Box Office", "fubotv", "Foxtel", "hbo",
+    "Amazon Prime", "",
+]
+PLACES = ["USA", "U.S.", "United States of America", "The Netherlands", "Holland", "Türkiye", "Great Britain", "England", "Northern Ireland", "New South Wales", "DR Congo", "NATION_3", " Ghana "]
