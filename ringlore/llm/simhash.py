@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import connected_components
 from .common import join_per_key, text_of, written
-from .components import connected_components
 from .textcodes import slices
 
 SEED, BITS, MOST_BITS, PIVOTS = 42, 64, 3, 32

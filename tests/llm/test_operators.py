@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 
 from ringlore.llm import ann, bpe, exact_dedup, packing, pii, quality, sharding, simhash, textcodes, token_store, tool_chat
 from ringlore.llm.common import new_path, numbered, running_total
-from ringlore.llm.components import connected_components
-
+from ringlore.operators.graph import connected_components
 from test_near_dedup import brute_links, brute_sets, brute_stay
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, digest string, size string, _id string, node int"
