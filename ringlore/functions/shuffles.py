@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 def join_per_key(rows: DataFrame, table: DataFrame, key: str, total: int, most_heavy: int = 1000) -> DataFrame:
     """``rows`` inner-joined with ``table``, which has one row per key and, in ``n``, how many rows have that key.
 
-    ``total``: the number of rows.  Keys of more than ``total / most_heavy`` rows (and of more than 64), fewer than
-    ``most_heavy`` by arithmetic, are broadcast, so that no task gets a hot key; the others are shuffled.
+    ``total``: the number of rows, or more.  Keys of more than ``total / most_heavy`` rows (and of more than 64), fewer
+    than ``most_heavy`` by arithmetic, are broadcast and their rows dealt evenly; the others meet by a shuffle.
+    Keys are longs.
     """
     limit = max(64, total // most_heavy)
-    heavy, rest = table.where(F.col("n") > limit), table.where(F.col("n") <= limit)
-    known = rows.join(F.broadcast(heavy), key)
-    return known.unionByName(rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(rest, key))
+    own = [c for c in table.columns if c != key]
+    heavy = table.where(F.col("n") > limit).select(key, F.struct(*own).alias("_heavy"))
+    rest = table.where(F.col("n") <= limit).select(F.col(key).alias("_key"), F.struct(*own).alias("_rest"))
+    x = rows.join(F.broadcast(heavy), key, "left")
+    # a heavy key's rows are sent anywhere; what they might meet there is not looked at
+    x = x.withColumn("_key", F.when(F.col("_heavy").isNotNull(), F.xxhash64(*rows.columns)).otherwise(F.col(key)))
+    x = x.join(rest, "_key", "left").withColumn("_found", F.coalesce("_heavy", "_rest")).where("_found IS NOT NULL")
+    return x.select(*rows.columns, "_found.*")

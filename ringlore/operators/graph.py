@@ -1,7 +1,7 @@
 """DQ13: connected components by alternating large-star and small-star steps.
 
 Kiveris et al., "Connected components in MapReduce and beyond".  Each step is a minimum per node and a
-join; nothing is collected, each step is a table in the shared folder, and hubs' minima are broadcast.
+join; nothing is collected, each round is a table in the shared folder, and hubs' minima are broadcast.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     total, state = edges.count(), None
     while True:
-        wide = written(_large_star(edges, total).where("u != v").distinct(), "stars")
-        edges = written(_small_star(wide, total).where("u != v").distinct(), "stars")
+        wide = _large_star(edges, total).where("u != v").distinct()
+        edges = written(_small_star(wide, 2 * total).where("u != v").distinct(), "stars")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             break
