@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import clamp, count_if, counts, expected, half_up, share
+from ..functions.columns import count_if, counts, expected, half_up, share
 from ..plans.league import League
 from .careers import ORDER, running_record
 from .joins import bouts_in_stints, head_trainer, rating_at
@@ -186,23 +186,6 @@ def endings(w: League) -> DataFrame:
     return p.select("bout_id", *[(F.col(f"p_{s}") * e).alias(f"{s}_{n}") for s in ("red", "blue") for n, e in (("stop", F.col("p_stop")), ("points", 1 - F.col("p_stop")))])
 
 
-def pairings(w: League, top: int = 8, n: int = 40) -> DataFrame:
-    """MDL24, MDL25: fights to make: pairs among the first of each pool, by evenness, quality and freshness.
-
-    A pool brings ``top`` rows, so pairs are at most 28 a pool.
-    """
-    r = division_ranking(w).where(F.col("rank") <= top)
-    a, b = r.alias("a"), r.alias("b")
-    x = a.join(b, (F.col("a.division") == F.col("b.division")) & (F.col("a.sex") == F.col("b.sex")) & (F.col("a.rank") < F.col("b.rank")))
-    x = x.select(F.col("a.boxer_id").alias("a_id"), F.col("b.boxer_id").alias("b_id"), F.col("a.rating").alias("ra"), F.col("b.rating").alias("rb"))
-    met = w.decided.groupBy(F.least("red_id", "blue_id").alias("lo"), F.greatest("red_id", "blue_id").alias("hi")).agg(F.count("*").alias("met"))
-    x = x.join(met, (F.least("a_id", "b_id") == F.col("lo")) & (F.greatest("a_id", "b_id") == F.col("hi")), "left")
-    p = expected(F.col("ra"), F.col("rb"))
-    fresh = F.when(F.coalesce("met", F.lit(0)) == 0, 1.0).when(F.col("met") == 1, 0.6).otherwise(0.2)
-    score = 0.5 * (1 - F.abs(2 * p - 1)) + 0.3 * clamp(((F.col("ra") + F.col("rb")) / 2 - 1500) / 250) + 0.2 * fresh
-    return x.select("a_id", "b_id", half_up(F.round(100 * score, 9)).alias("score")).orderBy(F.desc("score"), "a_id", "b_id").limit(n)
-
-
 def switch_study(w: League) -> DataFrame:
     """MDL18: win rate of up to six bouts before and after a change of trainer, where there are two before and three after."""
     s = w.stints.withColumn("prev", F.lag("person_id").over(Window.partitionBy("boxer_id").orderBy("start"))).where("prev IS NOT NULL AND prev <> person_id").select("boxer_id", F.col("start").alias("moved"))

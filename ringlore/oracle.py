@@ -422,9 +422,6 @@ _LAST = {
     "vw14": "SELECT division, sex, count(*) AS ranked, round(avg(CASE WHEN bouts < 60 THEN 1.0 ELSE 0.0 END), 6) AS partial_share FROM ranking GROUP BY ALL",
     "mdl10": f'@{_CALLS} SELECT year(date) AS year, count(*) AS n, round(avg("right"::INT), 6) AS accuracy, round(avg(-log2(CASE WHEN "right" THEN chance ELSE 1 - chance END)), 6) AS surprise FROM calls GROUP BY 1',
     "mdl28": f"@{_FEATURES} SELECT bout_id, round(p_red * p_stop, 6) AS red_stop, round(p_red * (1 - p_stop), 6) AS red_points, round((0.97 - p_red) * p_stop, 6) AS blue_stop, round((0.97 - p_red) * (1 - p_stop), 6) AS blue_points FROM chances",
-    "mdl25": """SELECT a_id, b_id, floor(round(100 * (0.5 * (1 - abs(2 * p - 1)) + 0.3 * least(1, greatest(0, ((ra + rb) / 2 - 1500) / 250)) + 0.2 * CASE met WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 ELSE 0.2 END), 9) + 0.5)::BIGINT AS score FROM (
-        SELECT a.boxer_id AS a_id, b.boxer_id AS b_id, a.rating AS ra, b.rating AS rb, 1 / (1 + pow(10, (b.rating - a.rating) / 400)) AS p, (SELECT count(*) FROM bouts m WHERE m.counted AND least(m.red_id, m.blue_id) = least(a.boxer_id, b.boxer_id) AND greatest(m.red_id, m.blue_id) = greatest(a.boxer_id, b.boxer_id)) AS met
-        FROM ranking a JOIN ranking b ON a.division = b.division AND a.sex = b.sex AND a.rank < b.rank AND b.rank <= 8) ORDER BY score DESC, a_id, b_id LIMIT 40""",
     "mdl18": """SELECT count(*) AS moves, round(avg(a), 6) AS after, round(avg(b), 6) AS before, round(stddev_samp(a - b), 6) AS sd FROM (SELECT boxer_id, moved, avg(won) FILTER (post_move) AS a, avg(won) FILTER (NOT post_move) AS b FROM (
         SELECT *, row_number() OVER (PARTITION BY boxer_id, moved, post_move ORDER BY abs(datediff('day', moved, date)), bout_id) AS n FROM (SELECT w.boxer_id, bout_id, date, CASE WHEN result = 'W' THEN 1.0 ELSE 0.0 END AS won, moved, date >= moved AS post_move FROM won w
         JOIN (SELECT boxer_id, start AS moved, person_id, lag(person_id) OVER (PARTITION BY boxer_id ORDER BY start) AS prev FROM stints) s ON s.boxer_id = w.boxer_id AND prev <> person_id)) WHERE n <= 6 GROUP BY ALL HAVING count(*) FILTER (post_move) >= 3 AND count(*) FILTER (NOT post_move) >= 2)""",
@@ -512,10 +509,68 @@ _CHECKS = {
     "vw09": """SELECT user_id, boxer_id, bout_id, CASE WHEN upcoming THEN 'upcoming' ELSE result END AS what FROM lb JOIN (SELECT DISTINCT user_id, event_id % (SELECT count(*) FROM fighters) AS boxer_id FROM events) USING (boxer_id) WHERE (counted AND date > DATE '2000-06-30' - 30) OR (upcoming AND date <= DATE '2000-07-14')""",
 }
 
+_RECAPS = f"""{_CALLS},
+tc AS (SELECT bout_id, CASE WHEN k = 1 THEN 'crowned' ELSE 'defended' END AS title_change, k - 1 AS defence FROM (SELECT bout_id, row_number() OVER (PARTITION BY title_org, title, division, sex, reign_no ORDER BY date, bout_id) AS k FROM titles1)),
+rec0 AS (
+    SELECT bout_id, date, boxer_id, result, stopped, pre, post, count(*) FILTER (result = 'W') OVER h || '-' || count(*) FILTER (result = 'L') OVER h || '-' || count(*) FILTER (result = 'D') OVER h AS record,
+        count(*) FILTER (result <> 'W') OVER h AS nw, count(*) FILTER (result <> 'L') OVER h AS nl, count(*) OVER b AS fb, count(*) FILTER (result = 'L') OVER b AS lb, count(*) FILTER (result = 'L' AND stopped) OVER b AS sb
+    FROM won WINDOW h AS (PARTITION BY boxer_id ORDER BY date, bout_id), b AS (PARTITION BY boxer_id ORDER BY date, bout_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+rec1 AS (SELECT *, row_number() OVER (PARTITION BY boxer_id, result, CASE result WHEN 'W' THEN nw ELSE nl END ORDER BY date, bout_id) AS run FROM rec0),
+recaps AS (
+    SELECT a.bout_id, a.date, a.boxer_id AS winner_id, a.pre AS winner_before, a.post AS winner_after, a.record AS winner_record, a.run AS win_run, b.boxer_id AS loser_id, b.pre AS loser_before, b.post AS loser_after, b.record AS loser_record, b.run AS loss_run,
+        CASE WHEN b.fb >= 5 AND b.lb = 0 THEN b.fb END AS unbeaten_ended, CASE WHEN b.stopped AND b.sb = 0 AND b.fb >= 3 AND NOT (b.fb >= 5 AND b.lb = 0) THEN b.fb END AS first_stoppage,
+        CASE WHEN c."right" THEN c.chance ELSE 1 - c.chance END AS p, c."right" AS ok, title_change, defence
+    FROM rec1 a JOIN rec1 b ON a.bout_id = b.bout_id AND a.result = 'W' AND b.result = 'L' LEFT JOIN calls c ON c.bout_id = a.bout_id LEFT JOIN tc ON tc.bout_id = a.bout_id)"""
+_BELTS = """belts AS (SELECT r.*, NOT f.active OR datediff('day', last_date, DATE '2000-06-30') > 547 AS dormant FROM (SELECT title_org, title, division, sex, arg_max(champion_id, reign_no) AS holder_id, max(last_date) AS last_date FROM reigns GROUP BY ALL) r JOIN fighters f ON holder_id = boxer_id)"""
+_OFFICIAL = f"""{_BELTS}, bodies AS (SELECT unnest(['WBA', 'WBC', 'IBF', 'WBO']) AS body, unnest([0, 1, 2, 3]) AS n),
+official AS (
+    SELECT body, division, sex, 'champion' AS kind, NULL::BIGINT AS rank, holder_id AS boxer_id FROM belts JOIN bodies ON n = title_org WHERE title = 'World Title'
+    UNION ALL SELECT body, division, sex, 'contender', k, boxer_id FROM (SELECT body, division, sex, boxer_id, rank - bodies.n - CASE WHEN body IN ('WBC', 'IBF') THEN 0 ELSE 1 END AS k FROM ranking, bodies) WHERE k BETWEEN 1 AND 15)"""
+_STORIES = {
+    "vw02": f"""@{_RECAPS} SELECT bout_id, date, winner_id, winner_before, winner_after, winner_record, win_run, loser_id, loser_before, loser_after, loser_record, loss_run, unbeaten_ended, first_stoppage, round(p, 6) AS chance, title_change, defence,
+        CASE WHEN p < 0.25 THEN 'major-upset' WHEN p < 0.4 THEN 'upset' WHEN p >= 0.75 THEN 'heavy-favourite' WHEN p >= 0.6 THEN 'expected' WHEN p IS NOT NULL THEN 'close' END AS surprise FROM recaps""",
+    "vw03": f"""@{_RECAPS}, x AS (SELECT r.*, b.event_id, b.stopped, b.end_round, (b.end_round - 1) * 180 + coalesce(split_part(b.round_time, ':', 1)::INT * 60 + split_part(b.round_time, ':', 2)::INT, 0) AS seconds FROM recaps r JOIN bouts b USING (bout_id) WHERE NOT b.cancelled)
+        SELECT event_id, count(*) AS decided, count(*) FILTER (stopped) AS early, count(*) FILTER (title_change = 'crowned') AS crowned, count(*) FILTER (title_change = 'defended') AS defended, count(ok) AS called, count(*) FILTER (ok) AS called_right,
+        arg_min(bout_id, (p, bout_id)) FILTER (p < 0.4) AS upset_id, arg_min(bout_id, (seconds, bout_id)) FILTER (stopped AND end_round IS NOT NULL) AS fastest_id, arg_min(winner_id, (-win_run, bout_id)) FILTER (win_run >= 3) AS run_id,
+        max(win_run) FILTER (win_run >= 3) AS run, count(unbeaten_ended) AS unbeaten_ended FROM x GROUP BY event_id""",
+    "vw05": """@d AS (SELECT strftime(date, '%m-%d') AS day, count(*) AS fights, count(DISTINCT year(date)) AS years FROM bouts WHERE method IS NOT NULL AND NOT cancelled AND date <= DATE '2000-06-30' GROUP BY 1)
+        SELECT *, coalesce(lead(day) OVER (ORDER BY day), (SELECT min(day) FROM d)) AS next_day FROM d""",
+    "vw06": f"""@{_BELTS}, c AS (SELECT k.*, r.rank FROM careers k LEFT JOIN (SELECT boxer_id, rank FROM ranking) r USING (boxer_id)),
+        x AS (SELECT bout_id, red_id, blue_id, b.title, title_vacant, holder_id, a AS r, o AS u FROM bouts b JOIN c a ON red_id = a.boxer_id JOIN c o ON blue_id = o.boxer_id LEFT JOIN belts t ON t.title_org = b.title_org AND t.title = b.title AND t.division = b.division AND t.sex = b.sex WHERE upcoming)
+        SELECT bout_id, """ + ", ".join(f"CASE WHEN r.{c} {'>' if more else '<'} u.{c} THEN 'red' WHEN r.{c} <> u.{c} THEN 'blue' END AS {c}" for c, more in (("win_rate", 1), ("ko_rate", 1), ("rating", 1), ("rank", 0), ("age", 0), ("height_cm", 1), ("reach_cm", 1)))
+        + """, CASE WHEN r.streak >= 2 AND r.streak_type <> 'D' THEN r.streak_type || r.streak END AS red_form, CASE WHEN u.streak >= 2 AND u.streak_type <> 'D' THEN u.streak_type || u.streak END AS blue_form,
+        CASE WHEN title IS NULL THEN NULL WHEN title_vacant OR holder_id IS NULL THEN 'vacant' WHEN holder_id IN (red_id, blue_id) THEN 'defence' ELSE 'on the line' END AS belt FROM x""",
+    "vw12": """SELECT boxer_id, name || ' is a ' || CASE WHEN age IS NOT NULL THEN age || '-year-old ' ELSE '' END || CASE WHEN stance IS NOT NULL THEN lower(stance) || ' ' ELSE '' END || lower(division) || ' from ' || country || ', ' || wins || '-' || losses || '-' || draws || ' with ' || kos || ' knockouts ('
+        || floor(round(100 * ko_rate, 9) + 0.5)::BIGINT || '% of wins). Rated ' || floor(rating + 0.5)::BIGINT || ', #' || rank() OVER (PARTITION BY division, sex ORDER BY rating DESC) || ' of the class.' AS line FROM careers WHERE active""",
+    "vw12_matchup": f"""@{_FEATURES}, g AS (SELECT *, abs(2 * p_red - 0.97) AS gap FROM chances) SELECT bout_id, CASE WHEN gap < 0.12 THEN 'Toss-up' WHEN gap < 0.3 THEN 'Lean' WHEN gap < 0.55 THEN 'Clear favourite' ELSE 'Heavy favourite' END || ': ' || name || ' '
+        || floor(round(100 * greatest(p_red, 0.97 - p_red), 9) + 0.5)::BIGINT || '%. ' || CASE WHEN p_stop > 0.5 THEN 'Expect a stoppage.' ELSE 'Likely goes the distance.' END AS line FROM g JOIN fighters ON boxer_id = CASE WHEN p_red >= 0.97 - p_red THEN red_id ELSE blue_id END""",
+    "vw13": f"""@{_OFFICIAL} SELECT division, sex, body, coalesce(string_agg(boxer_id::VARCHAR, ',' ORDER BY boxer_id) FILTER (kind = 'champion'), '') AS champions, coalesce(string_agg(boxer_id::VARCHAR, ',' ORDER BY rank, boxer_id) FILTER (kind = 'contender'), '') AS contenders,
+        list_position(['WBA', 'WBC', 'IBF', 'WBO'], body) AS place FROM official GROUP BY ALL""",
+    "vw13_fighters": f"""@{_OFFICIAL} SELECT boxer_id, string_agg(said, '; ' ORDER BY list_position(['WBA', 'WBC', 'IBF', 'WBO'], body), coalesce(rank, 0), said) AS places FROM (SELECT *, body || ' ' || sex || ' ' || division || ' ' || coalesce(rank::VARCHAR, 'champion') AS said FROM official) GROUP BY ALL""",
+    "snk05": f"@{_OFFICIAL} SELECT * FROM official",
+    "win17": "SELECT archetype, boxer_id, rating FROM careers WHERE bouts >= 8 QUALIFY row_number() OVER (PARTITION BY archetype ORDER BY rating DESC, boxer_id) <= 400",
+    "mdl25": f"""@{_BELTS}, c AS (SELECT k.*, rank, CASE WHEN bouts > 0 THEN ko_losses / bouts ELSE 0 END AS chin, coalesce(m, 24) AS idle, CASE WHEN NOT active THEN 0 WHEN m IS NULL THEN 0.5 WHEN m < 1.5 THEN 0.15 WHEN m < 2 THEN 0.45 WHEN m <= 9 THEN 1 WHEN m <= 18 THEN 0.7 WHEN m <= 30 THEN 0.4 ELSE 0.15 END AS fresh
+            FROM (SELECT *, datediff('day', last_fight, DATE '2000-06-30') / 30.4 AS m FROM careers) k JOIN (SELECT boxer_id, rank FROM ranking WHERE rank <= 8) USING (boxer_id)),
+        met AS (SELECT least(red_id, blue_id) AS lo, greatest(red_id, blue_id) AS hi, count(*) AS met, arg_min(method, (date, bout_id)) AS fm FROM bouts WHERE counted GROUP BY 1, 2),
+        live AS (SELECT * FROM belts WHERE NOT dormant),
+        x AS (SELECT a.boxer_id AS a_id, b.boxer_id AS b_id, a.rating AS ra, b.rating AS rb, a.rank AS ka, b.rank AS kb, a.fresh AS fa, b.fresh AS fb, a.ko_rate + b.ko_rate AS ko, met, fm, least(a.archetype, b.archetype) || '|' || greatest(a.archetype, b.archetype) AS pair,
+            1 / (1 + exp(-(ln(10) / 400 * (a.rating - b.rating) + CASE WHEN a.reach_cm IS NOT NULL AND b.reach_cm IS NOT NULL THEN 0.016 * least(12, greatest(-12, a.reach_cm - b.reach_cm)) ELSE 0 END
+            + CASE WHEN a.age IS NOT NULL AND b.age IS NOT NULL THEN 0.03 * (greatest(0, b.age - 34) - greatest(0, a.age - 34)) ELSE 0 END + 0.01 * (greatest(0, b.idle - 12) - greatest(0, a.idle - 12)) + 0.2 * (a.ko_rate - b.ko_rate) + 0.2 * (b.chin - a.chin)))) AS p0,
+            EXISTS (SELECT 1 FROM live WHERE holder_id = a.boxer_id) AS ha, EXISTS (SELECT 1 FROM live WHERE holder_id = b.boxer_id) AS hb,
+            EXISTS (SELECT 1 FROM live l JOIN live m ON l.division = m.division AND l.title = m.title AND l.title_org <> m.title_org AND l.sex = m.sex WHERE l.holder_id = a.boxer_id AND m.holder_id = b.boxer_id) AS unify
+            FROM c a JOIN c b ON a.division = b.division AND a.sex = b.sex AND a.rank < b.rank LEFT JOIN met ON lo = least(a.boxer_id, b.boxer_id) AND hi = greatest(a.boxer_id, b.boxer_id)),
+        y AS (SELECT *, 0.28 * least(1, greatest(0, 1 - abs(2 * least(0.96, greatest(0.04, p0)) - 1) * 0.97)) + 0.18 * least(1, greatest(0, 1 - abs(ra - rb) / 320 + CASE WHEN ka <= 10 AND kb <= 10 THEN 0.2 ELSE 0 END))
+            + 0.14 * least(1, greatest(0, 0.4 * coalesce(map {{'Iron-Chin Brawler|Knockout Artist': 1.0, 'Knockout Artist|Knockout Artist': 0.9, 'Iron-Chin Brawler|Iron-Chin Brawler': 0.85, 'Counter-Puncher|Knockout Artist': 0.85, 'Counter-Puncher|Volume Boxer': 0.78, 'Counter-Puncher|Iron-Chin Brawler': 0.8, 'Technician|Volume Boxer': 0.7,
+                'Counter-Puncher|Technician': 0.55, 'Technician|Technician': 0.45, 'Volume Boxer|Volume Boxer': 0.6, 'Knockout Artist|Technician': 0.75, 'Knockout Artist|Volume Boxer': 0.8, 'Iron-Chin Brawler|Technician': 0.7, 'Iron-Chin Brawler|Volume Boxer': 0.75}}[pair]::DOUBLE, CASE WHEN contains(pair, 'Journeyman') THEN 0.2 WHEN contains(pair, 'Prospect') THEN 0.35 ELSE 0.5 END)
+                + 0.35 * ko / 2 + 0.25 * least(1, greatest(0, ((ra + rb) / 2 - 1450) / 300)))) + 0.14 * least(fa, fb) + 0.12 * CASE WHEN met IS NULL THEN 1 WHEN met > 1 THEN 0.15 WHEN fm IN ('SD', 'MD', 'DRAW', 'TD', 'TDRAW') THEN 0.7 ELSE 0.35 END
+            + 0.14 * CASE WHEN unify THEN 1 WHEN (ha OR hb) AND CASE WHEN ha THEN kb ELSE ka END <= 5 THEN 0.75 WHEN ha OR hb THEN 0.3 ELSE 0 END AS total FROM x)
+        SELECT a_id, b_id, floor(round(100 * total, 9) + 0.5)::BIGINT AS score FROM y ORDER BY score DESC, a_id, b_id LIMIT 40""",
+}
+
 
 def _whole(query: str) -> str:
     """The league's expressions and the query; one that begins with @ brings expressions of its own."""
     return f"{LEAGUE}, {query[1:]}" if query.startswith("@") else f"{LEAGUE} {query}"
 
 
-ORACLE_SQL = {k: _whole(q) for k, q in (_QUERIES | _MORE | _LAST | _CHECKS).items()}
+ORACLE_SQL = {k: _whole(q) for k, q in (_QUERIES | _MORE | _LAST | _CHECKS | _STORIES).items()}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .operators import aggregates as agg
-from .operators import canon, careers, checks, documents, joins, linkage, merging, models, rankings, search, titles, views
+from .operators import canon, careers, checks, documents, joins, linkage, merging, models, rankings, search, stories, titles, views
 from .oracle import ORACLE_SQL  # noqa: F401
 from .plans.league import League, league
 from .sources import star
@@ -225,7 +225,17 @@ for _key, _make in {
     "vw14": views.ranking_depth,
     "mdl10": views.year_end_ranks,
     "mdl28": views.endings,
-    "mdl25": views.pairings,
+    "mdl25": stories.pairings,
+    "vw02": stories.recaps,
+    "vw03": stories.nights,
+    "vw05": stories.day_index,
+    "vw06": stories.previews,
+    "vw12": stories.scouting_lines,
+    "vw12_matchup": stories.matchup_lines,
+    "vw13": lambda w: stories.official_by_division(stories.official(w)),
+    "vw13_fighters": lambda w: stories.official_by_fighter(stories.official(w)),
+    "snk05": stories.official,
+    "win17": stories.style_sample,
     "mdl18": views.switch_study,
     "mdl29": views.ledger_grades,
     "rec17": rankings.records_of,
