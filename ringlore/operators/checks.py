@@ -13,7 +13,7 @@ from .joins import head_trainer
 from .models import WIN_WEIGHTS, corners, sigmoid, upcoming_pairs, win_terms
 
 #: change in a parameter below which a fit has settled
-SETTLED = 1e-9
+SETTLED = 1e-6
 #: MDL07. Presets as values of the win model's weights that differ from the model's own.
 PRESETS = {
     "Balanced": {},

@@ -125,16 +125,27 @@ def card_conflicts(w: League) -> DataFrame:
 
 
 def supplier_totals(w: League) -> DataFrame:
-    """A supplier's wins of each fighter: as held, but for men of two classes, of whom some are short and some have more."""
-    k = F.col("boxer_id")
-    off = F.when(k % 41 == 0, -1).when(k % 5 == 0, k % 3).otherwise(0)
-    return w.careers.select("boxer_id", (F.col("wins") + F.when((F.col("sex") == "male") & F.col("division").isin("BUILDING", "MACHINERY"), off).otherwise(0)).alias("sup_wins"))
+    """A supplier's record of each fighter: as held, but for men of two classes, of whom some are short and some have more or other results."""
+    k, touched = F.col("boxer_id"), (F.col("sex") == "male") & F.col("division").isin("BUILDING", "MACHINERY")
+    off = lambda c: F.when(touched, c).otherwise(0)
+    return w.careers.select(
+        "boxer_id", (F.col("wins") + off(F.when(k % 41 == 0, -1).when(k % 5 == 0, k % 3).otherwise(0))).alias("sup_wins"), (F.col("losses") + off(F.when(k % 82 == 0, 1).otherwise(0))).alias("sup_losses"),
+        (F.col("draws") - off(F.when(k % 123 == 0, 1).otherwise(0))).alias("sup_draws"),
+    )
+
+
+def record_verdict(own: list[Column], told: list[Column]) -> Column:
+    """Whether wins, losses and draws held are all those told (complete), no more of any (partial), or more of one (conflict)."""
+    more = reduce(lambda a, b: a | b, [a > b for a, b in zip(own, told)])
+    same = reduce(lambda a, b: a & b, [a == b for a, b in zip(own, told)])
+    return F.when(more, "conflict").when(same, "complete").otherwise("partial")
 
 
 def reconciliation(w: League, totals: DataFrame | None = None) -> DataFrame:
     """DQ08: what is held of a fighter's record against a supplier's totals: complete, partial, conflict."""
-    x = w.careers.select("boxer_id", "wins", "losses", "draws").join(supplier_totals(w) if totals is None else totals, "boxer_id")
-    return x.withColumn("verdict", F.when(F.col("wins") == F.col("sup_wins"), "complete").when(F.col("wins") < F.col("sup_wins"), "partial").otherwise("conflict"))
+    names = ("wins", "losses", "draws")
+    x = w.careers.select("boxer_id", *names).join(supplier_totals(w) if totals is None else totals, "boxer_id")
+    return x.withColumn("verdict", record_verdict([F.col(n) for n in names], [F.col(f"sup_{n}") for n in names]))
 
 
 def coherent_core(w: League) -> DataFrame:

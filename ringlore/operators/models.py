@@ -257,37 +257,6 @@ def style_map(w: League, steps: int = 120) -> DataFrame:
     return y.crossJoin(F.broadcast(ends)).select("boxer_id", scaled("x"), scaled("y"))  # one row of bounds
 
 
-def logistic_fit(w: League, penalty: float = 1.0, rounds: int = 30, tolerance: float = 1e-7) -> DataFrame:
-    """MDL12, MDL13, MDL14: ridge logistic regression of a red win on differences going in, by Newton steps.
-
-    Each step aggregates the gradient and Hessian, a few dozen numbers, in one pass; the driver solves.
-    """
-    r = running_record(w)
-    names = ["rating", "wins", "kos", "losses"]
-    own = [((F.col("pre") - 1500) / 100), F.col("wins_before") / 10, F.col("kos_before") / 10, F.col("losses_before") / 10]
-    red = r.select("bout_id", "boxer_id", "result", *[c.alias(n) for c, n in zip(own, names)])
-    x = w.decided.where("winner_id IS NOT NULL").select("bout_id", "red_id", "blue_id")
-    x = x.join(red.withColumnRenamed("boxer_id", "red_id"), ["bout_id", "red_id"]).join(red.select("bout_id", F.col("boxer_id").alias("blue_id"), *[F.col(n).alias(f"o_{n}") for n in names]), ["bout_id", "blue_id"])
-    x = x.select((F.col("result") == "W").cast("double").alias("y"), *[(F.col(n) - F.col(f"o_{n}")).alias(n) for n in names]).cache()
-    beta = np.zeros(len(names) + 1)
-    cols = [F.lit(1.0), *[F.col(n) for n in names]]
-    for _ in range(rounds):
-        p = sigmoid(sum((float(b) * c for b, c in zip(beta, cols)), F.lit(0.0)))
-        pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-        s = x.agg(*[F.sum((F.col("y") - p) * c).alias(f"g{i}") for i, c in enumerate(cols)], *[F.sum(p * (1 - p) * cols[i] * cols[j]).alias(f"h{i}_{j}") for i, j in pairs]).first()
-        g, h = np.array([s[f"g{i}"] or 0.0 for i in range(len(cols))]), np.zeros((len(cols),) * 2)
-        for i, j in pairs:
-            h[i, j] = h[j, i] = s[f"h{i}_{j}"] or 0.0
-        g[1:] -= penalty * beta[1:]
-        h[1:, 1:] += penalty * np.eye(len(names))
-        step = np.linalg.solve(h + 1e-12 * np.eye(len(cols)), g)
-        beta = beta + step
-        if np.abs(step).max() < tolerance:
-            break
-    se = np.sqrt(np.diag(np.linalg.inv(h + 1e-12 * np.eye(len(cols)))))
-    return w.spark.createDataFrame([(n, float(b), float(s)) for n, b, s in zip(["intercept", *names], beta, se)], "term string, weight double, error double")
-
-
 def tier_record(w: League) -> DataFrame:
     """MDL21: how often underdogs of each tier won."""
     tier = F.when(1 - F.col("chance") >= 0.4, "toss-up").when(1 - F.col("chance") >= 0.28, "live").otherwise("longshot")

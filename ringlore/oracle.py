@@ -366,7 +366,6 @@ _MORE = {
     "dq05": """SELECT boxer_id, person_id, start, next FROM (SELECT boxer_id, person_id, start, CASE WHEN boxer_id % 5 = 0 THEN "end" + 365 ELSE "end" END AS fin, lead(start) OVER (PARTITION BY boxer_id ORDER BY start, person_id) AS next FROM stints) WHERE next < coalesce(fin, DATE '9999-12-31')""",
     "dq06": """SELECT * FROM (SELECT bout_id, method, count(*) FILTER (v = 1) AS with_winner, count(*) FILTER (v = 0) AS even, count(*) FILTER (v = -1) AS against FROM (SELECT *, CASE WHEN red = blue THEN 0 WHEN winner_id IS NULL THEN 0 WHEN (red > blue) = (winner_id = red_id) THEN 1 ELSE -1 END AS v FROM cards) GROUP BY ALL)
         WHERE NOT CASE method WHEN 'UD' THEN with_winner = 3 WHEN 'MD' THEN with_winner = 2 AND even = 1 WHEN 'SD' THEN with_winner = 2 AND against = 1 WHEN 'TD' THEN with_winner >= 2 ELSE true END""",
-    "dq08": "SELECT *, CASE WHEN wins = sup_wins THEN 'complete' WHEN wins < sup_wins THEN 'partial' ELSE 'conflict' END AS verdict FROM (SELECT boxer_id, wins, losses, draws, wins + CASE WHEN sex = 'female' OR division NOT IN ('BUILDING', 'MACHINERY') THEN 0 WHEN boxer_id % 41 = 0 THEN -1 WHEN boxer_id % 5 = 0 THEN boxer_id % 3 ELSE 0 END AS sup_wins FROM careers)",
     "dq16": "SELECT division, sex, boxer_id FROM (SELECT *, row_number() OVER (PARTITION BY division, sex ORDER BY md5('7:' || boxer_id), boxer_id) AS k FROM fighters) WHERE k <= 10",
     "dq19": """SELECT CASE WHEN cancelled THEN 'cancelled' WHEN method IS NULL AND date > DATE '2000-06-30' THEN 'not yet' WHEN method IS NULL THEN 'no method' WHEN winner_id IS NULL AND method NOT IN ('DRAW', 'TDRAW', 'NC') THEN 'decision without winner'
         WHEN end_round > rounds THEN 'rounds raised' WHEN end_round IS NULL THEN 'end unknown' ELSE 'settled' END AS reason, count(*) AS n FROM bouts GROUP BY 1""",
@@ -526,7 +525,52 @@ _OFFICIAL = f"""{_BELTS}, bodies AS (SELECT unnest(['WBA', 'WBC', 'IBF', 'WBO'])
 official AS (
     SELECT body, division, sex, 'champion' AS kind, NULL::BIGINT AS rank, holder_id AS boxer_id FROM belts JOIN bodies ON n = title_org WHERE title = 'World Title'
     UNION ALL SELECT body, division, sex, 'contender', k, boxer_id FROM (SELECT body, division, sex, boxer_id, rank - bodies.n - CASE WHEN body IN ('WBC', 'IBF') THEN 0 ELSE 1 END AS k FROM ranking, bodies) WHERE k BETWEEN 1 AND 15)"""
+_SUP = """sup AS (SELECT boxer_id, wins, losses, draws, wins + CASE WHEN NOT t THEN 0 WHEN boxer_id % 41 = 0 THEN -1 WHEN boxer_id % 5 = 0 THEN boxer_id % 3 ELSE 0 END AS sup_wins, losses + CASE WHEN t AND boxer_id % 82 = 0 THEN 1 ELSE 0 END AS sup_losses,
+    draws - CASE WHEN t AND boxer_id % 123 = 0 THEN 1 ELSE 0 END AS sup_draws FROM (SELECT *, sex = 'male' AND division IN ('BUILDING', 'MACHINERY') AS t FROM careers)),
+rec AS (SELECT *, CASE WHEN wins > sup_wins OR losses > sup_losses OR draws > sup_draws THEN 'conflict' WHEN wins = sup_wins AND losses = sup_losses AND draws = sup_draws THEN 'complete' ELSE 'partial' END AS verdict FROM sup)"""
 _STORIES = {
+    "dq08": f"@{_SUP} SELECT * FROM rec",
+    "dq10": f"""@{_SUP}, f AS (SELECT w.*, r.sup_wins, r.sup_losses, r.sup_draws, datediff('day', lag(date) OVER (PARTITION BY w.boxer_id, opp_id ORDER BY date, bout_id), date) <= 30 AS again, count(*) OVER (PARTITION BY w.boxer_id, date) > 1 AS twice, date < DATE '2000-06-16' AS old
+            FROM won w JOIN (SELECT * FROM rec WHERE verdict = 'conflict') r USING (boxer_id)),
+        g AS (SELECT boxer_id, sup_wins AS sw, sup_losses AS sl, sup_draws AS sd, count(*) FILTER (result = 'W') AS w, count(*) FILTER (result = 'L') AS l, count(*) FILTER (result = 'D') AS d, coalesce(bool_or(again), false) AS again, bool_or(twice) AS twice,
+            count(*) FILTER (result = 'W' AND old) <= sup_wins AND count(*) FILTER (result = 'L' AND old) <= sup_losses AND count(*) FILTER (result = 'D' AND old) <= sup_draws AS recent,
+            count(*) FILTER (result = 'W' AND rounds > 3) <= sup_wins AND count(*) FILTER (result = 'L' AND rounds > 3) <= sup_losses AND count(*) FILTER (result = 'D' AND rounds > 3) <= sup_draws AS short FROM f GROUP BY boxer_id, sup_wins, sup_losses, sup_draws),
+        h AS (SELECT *, w > 0 AND w - 1 <= sw AND l + 1 <= sl AND d <= sd AS fw, l > 0 AND w + 1 <= sw AND l - 1 <= sl AND d <= sd AS fl FROM g),
+        e AS (SELECT x.boxer_id, max(CASE WHEN o.verdict = 'conflict' AND o.wins + gain <= o.sup_wins AND o.losses - gain <= o.sup_losses AND o.draws <= o.sup_draws THEN 2
+            WHEN o.verdict = 'complete' OR (o.verdict = 'partial' AND (o.wins + gain > o.sup_wins OR o.losses - gain > o.sup_losses OR o.draws > o.sup_draws)) THEN 0 ELSE 1 END) AS k
+            FROM (SELECT w.boxer_id, opp_id, CASE result WHEN 'W' THEN 1 ELSE -1 END AS gain FROM won w JOIN h USING (boxer_id) WHERE (result = 'W' AND fw) OR (result = 'L' AND fl)) x JOIN rec o ON o.boxer_id = x.opp_id GROUP BY x.boxer_id)
+        SELECT boxer_id, coalesce(nullif(concat_ws(',', CASE WHEN d > sd THEN 'draw' END, CASE WHEN again THEN 'repeat' END, CASE WHEN twice THEN 'same-day' END, CASE WHEN recent THEN 'recent' END, CASE WHEN short THEN 'short' END,
+            CASE WHEN NOT (again OR twice OR recent OR short) AND w > sw THEN 'wins' END, CASE WHEN NOT (again OR twice OR recent OR short) AND l > sl THEN 'losses' END, CASE WHEN fw OR fl THEN 'flipped' END), ''), 'unexplained') AS causes,
+            ['contradicted', 'open', 'mutual'][k + 1] AS flip FROM h LEFT JOIN e USING (boxer_id)""",
+    "dq18": """@edits AS (SELECT event_id AS k, event_id % ((SELECT count(*) FROM fighters) + 50) AS boxer_id, CASE event_id % 3 WHEN 0 THEN upper(s_name) WHEN 1 THEN s_name ELSE 'New Coach ' || event_id % 17 END AS name FROM events JOIN supplier ON s_suppkey = event_id % (SELECT count(*) FROM supplier) WHERE event_id % 4 >= 2),
+        placed AS (SELECT e.*, p.person FROM edits e LEFT JOIN (SELECT lower(s_name) AS key, min('p' || s_suppkey) AS person FROM supplier GROUP BY 1) p ON lower(name) = key)
+        SELECT source, person, count(*) AS n FROM (SELECT 'feed' AS source, 'p' || person_id AS person FROM stints WHERE boxer_id % 7 <> 0
+            UNION ALL SELECT 'Community edit', coalesce(person, 'community:' || trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-')) FROM placed WHERE boxer_id IN (SELECT boxer_id FROM fighters)
+            UNION ALL SELECT 'skipped', '' FROM placed WHERE boxer_id NOT IN (SELECT boxer_id FROM fighters)) GROUP BY ALL""",
+    "str05": f"""@c AS (SELECT bout_id, bout_id || ':' || field AS target, sha256('{{"kind":"' || kind || '"' || CASE WHEN "new" IS NULL THEN '' ELSE ',"new":"' || "new" || '"' END || '}}')[1:32] AS fp FROM ({_CHANGES}))
+        SELECT target, CASE WHEN bout_id % 4 = 0 THEN CASE WHEN bout_id % 8 = 0 THEN 'unchanged' ELSE 'updated' END WHEN bout_id % 4 = 1 AND bout_id % 60 < 30 THEN 'remembered' ELSE 'added' END AS outcome FROM c
+        UNION ALL SELECT bout_id || ':ghost', 'superseded' FROM bouts WHERE bout_id % 50 = 3 AND NOT ends_with(bout_id::VARCHAR, '3003')""",
+    "lnk07": """@v AS (SELECT DISTINCT venue || '|' || country AS venue_id, venue AS name, 'City ' || split_part(venue, ' ', 2)::BIGINT % 7 || ' ' || country AS city, country FROM league_events),
+        g AS (SELECT n_nationkey::BIGINT AS n, n_name, h, [1000 + h * 10, 1200, 900 + n_nationkey][1:n_nationkey % 4] AS caps FROM nation, (SELECT unnest(range(40)) AS h)),
+        c AS (SELECT n * 1000 + h * 10 AS qid, 'Hall ' || h AS label, 'Hall ' || h AS name, 'City ' || h % 7 || ' ' || n_name AS place, n_name, caps FROM g WHERE (n + h) % 3 <> 0
+            UNION ALL SELECT n * 1000 + h * 10 + 1, 'Old Hall', 'Hall ' || h, 'City 99', n_name, caps FROM g WHERE (n * h) % 4 = 1
+            UNION ALL SELECT n * 1000 + h * 10 + 2, 'Hall ' || h, 'Hall ' || h, 'City ' || h % 7 || ' ' || n_name, n_name, caps FROM g WHERE (n + 2 * h) % 11 = 0),
+        x AS (SELECT v.venue_id, count(c.qid) AS named, count(*) FILTER (place = city) AS nc, count(*) FILTER (n_name = country) AS nl, count(*) FILTER (place = city AND label = c.name) AS lc, count(*) FILTER (n_name = country AND label = c.name) AS ll,
+            arg_min(c, qid) FILTER (place = city) AS oc, arg_min(c, qid) FILTER (n_name = country) AS ol, arg_min(c, qid) FILTER (place = city AND label = c.name) AS bc, arg_min(c, qid) FILTER (n_name = country AND label = c.name) AS bl FROM v LEFT JOIN c ON c.name = v.name GROUP BY ALL),
+        y AS (SELECT *, CASE WHEN nc > 0 THEN CASE WHEN nc = 1 THEN oc WHEN lc = 1 THEN bc END WHEN nl = 1 THEN ol WHEN nl > 1 AND ll = 1 THEN bl END AS t FROM x)
+        SELECT venue_id, CASE WHEN named = 0 THEN 'no such name' WHEN nc = 0 AND nl = 0 THEN 'elsewhere' WHEN t IS NULL THEN 'ambiguous' ELSE 'matched' END AS status, t.qid AS qid, CASE WHEN t IS NOT NULL THEN CASE WHEN nc > 0 THEN 'city' ELSE 'country' END END AS basis,
+            list_median(t.caps)::DOUBLE AS capacity FROM y""",
+    "mdl12": """@gain AS (SELECT bout_id, boxer_id, w.night_lb, coalesce(avg(w.night_lb - w.official_lb) OVER (PARTITION BY boxer_id ORDER BY date, bout_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rehyd FROM weights w WHERE bout_id IN (SELECT bout_id FROM bouts WHERE counted)),
+        head AS (SELECT bout_id, boxer_id, date, max(result) AS result, min(start) AS since, arg_min(person_id, (start, person_id)) AS person FROM instint GROUP BY ALL),
+        led AS (SELECT person, bout_id, sum(n) OVER p AS n, sum(won) OVER p AS won FROM (SELECT person, date, bout_id, count(*) FILTER (result <> 'D') AS n, count(*) FILTER (result = 'W') AS won FROM head GROUP BY ALL) WINDOW p AS (PARTITION BY person ORDER BY date, bout_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        run AS (SELECT w.bout_id, w.boxer_id, w.date, w.pre / 100 AS elo, f.reach_cm AS reach, year(w.date) - f.birth_year AS age, coalesce(least(36, datediff('day', lag(w.date) OVER o, w.date) / 30.4), 12) AS idle, count(*) OVER p AS before,
+            CASE WHEN count(*) FILTER (result = 'W') OVER p > 0 THEN count(*) FILTER (result = 'W' AND stopped) OVER p / count(*) FILTER (result = 'W') OVER p ELSE 0 END AS ko, CASE WHEN count(*) OVER p > 0 THEN count(*) FILTER (result = 'L' AND stopped) OVER p / count(*) OVER p ELSE 0 END AS chin
+            FROM won w JOIN fighters f ON f.boxer_id = w.boxer_id WINDOW o AS (PARTITION BY w.boxer_id ORDER BY w.date, w.bout_id), p AS (PARTITION BY w.boxer_id ORDER BY w.date, w.bout_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        s AS (SELECT r.*, ln(1 + before) AS exp, coalesce(g.rehyd, 0) AS rehyd, g.night_lb AS edge, CASE WHEN datediff('day', since, r.date) / 30.4 < 6 THEN 1 ELSE 0 END AS fresh, CASE WHEN led.n >= 8 THEN led.won / led.n ELSE 0.5 END AS tw
+            FROM run r LEFT JOIN gain g ON g.bout_id = r.bout_id AND g.boxer_id = r.boxer_id LEFT JOIN head h ON h.bout_id = r.bout_id AND h.boxer_id = r.boxer_id LEFT JOIN led ON led.bout_id = r.bout_id AND led.person = h.person WHERE before >= 1)
+        SELECT b.bout_id, b.date, ((winner_id = red_id) <> (b.bout_id % 2 = 1))::BIGINT AS y, """ + ", ".join(
+        f"round(CASE WHEN b.bout_id % 2 = 1 THEN -1 ELSE 1 END * coalesce(r.{c} - u.{c}, 0)::DOUBLE, 6) AS {n}" for n, c in (("elo", "elo"), ("reach", "reach"), ("age", "age"), ("idle", "idle"), ("ko", "ko"), ("chin", "chin"), ("exp", "exp"), ("rehyd", "rehyd"), ("weight_edge", "edge"), ("new_trainer", "fresh"), ("trainer_wins", "tw"))
+    ) + " FROM bouts b JOIN s r ON r.bout_id = b.bout_id AND r.boxer_id = red_id JOIN s u ON u.bout_id = b.bout_id AND u.boxer_id = blue_id WHERE winner_id IS NOT NULL",
     "vw02": f"""@{_RECAPS} SELECT bout_id, date, winner_id, winner_before, winner_after, winner_record, win_run, loser_id, loser_before, loser_after, loser_record, loss_run, unbeaten_ended, first_stoppage, round(p, 6) AS chance, title_change, defence,
         CASE WHEN p < 0.25 THEN 'major-upset' WHEN p < 0.4 THEN 'upset' WHEN p >= 0.75 THEN 'heavy-favourite' WHEN p >= 0.6 THEN 'expected' WHEN p IS NOT NULL THEN 'close' END AS surprise FROM recaps""",
     "vw03": f"""@{_RECAPS}, x AS (SELECT r.*, b.event_id, b.stopped, b.end_round, (b.end_round - 1) * 180 + coalesce(split_part(b.round_time, ':', 1)::INT * 60 + split_part(b.round_time, ':', 2)::INT, 0) AS seconds FROM recaps r JOIN bouts b USING (bout_id) WHERE NOT b.cancelled)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .operators import aggregates as agg
-from .operators import canon, careers, checks, documents, joins, linkage, merging, models, rankings, search, stories, titles, views
+from .operators import canon, careers, checks, documents, fits, joins, linkage, merging, models, rankings, reviews, search, stories, titles, views
 from .oracle import ORACLE_SQL  # noqa: F401
 from .plans.league import League, league
 from .sources import star
@@ -152,7 +152,9 @@ for _key, _make in {
     "mdl08": models.calls,
     "mdl09": models.calls_summary,
     "mdl11": models.calibration,
-    "mdl13_irls": models.logistic_fit,
+    "mdl12": fits.win_rows,
+    "mdl13_irls": fits.win_fit,
+    "mdl16_finish": fits.finish_fit,
     "mdl19": models.trainer_lift,
     "mdl20": models.upset_watch,
     "mdl21": models.tier_record,
@@ -198,7 +200,40 @@ def broadcaster_cards(w: League) -> DataFrame:
     return orgs.join(links.groupBy("external_id").agg(F.count("*").alias("cards")), "external_id")
 
 
+def keyed_changes(w: League) -> DataFrame:
+    """Changes of the two snapshots, each with its target."""
+    c = merging.changes(w)
+    return c.select("bout_id", F.concat_ws(":", F.col("bout_id").cast("string"), "field").alias("target"), "kind", "new", F.lit(0).alias("place"))
+
+
+def proposals(w: League) -> DataFrame:
+    """STR05."""
+    c = keyed_changes(w)
+    return reviews.reconciled_proposals(c, star.proposals(w, c), F.lit(w.as_of), ~F.col("target").endswith("3003:ghost"))
+
+
+def community_teams(w: League) -> DataFrame:
+    """DQ18: stints by source and person once the edits are replayed; every seventh fighter's stints came from former edits."""
+    source = F.when(F.col("boxer_id") % 7 == 0, reviews.EDIT_SOURCE).otherwise("feed")
+    held = w.stints.select("boxer_id", F.concat(F.lit("p"), F.col("person_id").cast("string")).alias("person"), "start", source.alias("source"))
+    people = w.raw("supplier").select(F.concat(F.lit("p"), F.col("s_suppkey").cast("string")).alias("person"), F.col("s_name").alias("name"))
+    rows, skipped = reviews.replayed_contributions(held, star.contributions(w), people, w.fighters.select("boxer_id"))
+    return rows.select("source", "person").unionByName(skipped.select(F.lit("skipped").alias("source"), F.lit("").alias("person"))).groupBy("source", "person").agg(F.count("*").alias("n"))
+
+
+def capped_draws(w: League) -> DataFrame:
+    """LNK03: some fighters' suppliers count a draw less than is held, or don't count."""
+    k = F.col("boxer_id")
+    totals = w.careers.where("boxer_id % 5 <> 0").select("boxer_id", F.greatest(F.lit(0), F.col("draws") - F.when(k % 3 == 0, 1).otherwise(0)).alias("draws"))
+    return reviews.capped_draws(w.bouts.where("method = 'DRAW'").select("bout_id", "red_id", "blue_id"), totals)
+
+
 for _key, _make in {
+    "dq10": reviews.explained_conflicts,
+    "dq18": community_teams,
+    "str05": proposals,
+    "lnk03_draws": capped_draws,
+    "lnk07": lambda w: reviews.decided_venues(*star.venues(w)),
     "prj01": views.with_names,
     "prj02": lambda w: w.careers.select("boxer_id", "record", F.when(F.col("wins") > F.col("losses"), "winning").when(F.col("wins") < F.col("losses"), "losing").otherwise("even").alias("balance")),
     "join02": views.enriched_events,
