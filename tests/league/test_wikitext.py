@@ -1,0 +1,82 @@
+"""Reign lists and record tables of wikitext."""
+
+from ringlore.sources import wikitext
+
+REIGNS = """== Key ==
+{| class="wikitable"
+! Symbol !! Meaning
+|-
+| x || y
+|}
+== Welterweight ==
+{| class="wikitable"
+! Reign !! Name !! Dates !! Defences
+|-
+! 1
+| [[Ann Example (boxer)|Ann Example]] || 11 Jan – 28 Dec 1991 || 3
+|-
+! rowspan=2 | 2
+| Bo Sample (2)<br>(def. Ann Example){{efn|note
+| with a bar}}
+| 5 – 12 June 1990 || –
+|-
+| Cy Second || March 1994 – 1995 || 1
+|-
+| colspan="4" | Vacated
+|-
+! 3
+| Di Now || 31 February 1996 – present || 0
+|-
+! 4
+| Ed Now || 1 March 1996 – present || 0
+|}
+=== Interim ===
+{| class="wikitable"
+! Reign !! Name !! Dates !! Defences
+|-
+! 1
+| Fay Interim || 2001-02-03 || 0
+|-
+! 2
+| Gus Interim || 3 May 2001 – 1 May 2001 || 0
+|}
+"""
+RECORD = """==Professional boxing record==
+{| class="wikitable"
+|-
+! No. !! Result !! Record !! Opponent !! Type !! Round, time !! Date !! Location
+|-
+| 5 || {{yes2|Win}} || 3–1–1 || [[Al Other|Al O.]] || TKO || 4 (10), 2:31 || 19 September 1980 || Rome<ref>{{cite web
+| url=x}}</ref>
+|-
+| 4 || Draw || 2–1–1 || Bob || SD || 8 || Sep 1, 1980 || Rome
+|-
+| 3 || No contest || 2–1 || Cal || KO || 2:10 (6) || 1980-07-31 || Rome
+|-
+| 2 || Loss || 2–1 || Dan || PTS? || 6 || 1980-06-31 || Rome
+|-
+| 1 || style="x" | Win || 1–0 || Eve || UD || 6 || July 4, 1979 || Rome
+|}
+"""
+
+
+def test_reigns(spark):
+    got = wikitext.reigns(REIGNS)
+    assert [(r["number"], r["name"], r["start"], r["end"], r["current"], r["defences"], r["category"]) for r in got] == [
+        (1, "Ann Example", "1991-01-11", "1991-12-28", False, 3, ""),
+        (2, "Bo Sample", "1990-06-05", "1990-06-12", False, None, ""),
+        (2, "Cy Second", "1994-03", "1995", False, 1, ""),
+        (4, "Ed Now", "1996-03-01", None, True, 0, ""),
+    ]
+    pages = spark.createDataFrame([(7, REIGNS), (8, None), (None, "no table"), (9, "== Welterweight ==\n{|")], "page_id long, body string")
+    rows = wikitext.parsed(pages, "page_id", "body", wikitext.reigns, wikitext.REIGN).collect()
+    assert {r.page for r in rows} == {7} and len(rows) == 4 and {r.division for r in rows} == {"Welterweight"}
+
+
+def test_record(spark):
+    assert [tuple(r.values()) for r in wikitext.record(RECORD)] == [
+        ("win", "Al O.", "TKO", 4, 10, "1980-09-19"), ("draw", "Bob", "DRAW", 8, 8, "1980-09-01"), ("nc", "Cal", "NC", 2, 6, "1980-07-31"), ("win", "Eve", "UD", 6, 6, "1979-07-04"),
+    ]
+    assert wikitext.record(RECORD.replace("Opponent", "Who")) == [] and wikitext.record("") == []
+    pages = spark.createDataFrame([(1, RECORD), (2, "")], "page_id long, body string")
+    assert wikitext.parsed(pages, "page_id", "body", wikitext.record, wikitext.RECORD).count() == 4
