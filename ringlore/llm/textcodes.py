@@ -11,6 +11,7 @@ gathers.  The only state is a bounded memo of words and pieces.
 from __future__ import annotations
 
 import codecs
+import ctypes
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -156,7 +157,7 @@ class TextCoder:
     is full it becomes the old half, and what the old one held and nothing used is forgotten.
     """
 
-    def __init__(self, encoder: Encoder, drop_space: bool, limit: int = 200_000) -> None:
+    def __init__(self, encoder: Encoder, drop_space: bool, limit: int = 120_000) -> None:
         self.encoder, self.drop_space, self.limit = encoder, drop_space, limit
         self.seen: dict[bytes | str, int] = {}
         self.store = _Store()
@@ -256,8 +257,11 @@ class TextCoder:
         return self._ids(texts)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 5 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``most`` bytes of the texts in ``column``, or sum of its numbers (or one row)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``most`` bytes of the texts in ``column``, or sum of its numbers (or one row).
+
+    At the end of a task what is free goes back to the machine, as Python workers stay for later stages.
+    """
     for batch in batches:
         cells = batch.column(column)
         sizes = pc.fill_null(cells if pa.types.is_integer(cells.type) else pc.binary_length(cells), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -266,6 +270,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 5 << 20)
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def as_binary(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
