@@ -4,7 +4,8 @@ Texts are equal when their SHA-256 after white space normalisation is equal.  A
 (Spark's ``freqItems``: at most ``1 / support`` counters, no frequent digest missed) proposes the
 frequent digests; their exact counts are then taken, and the winners, at most ``1 / support`` rows by
 arithmetic, are broadcast: their copies are settled on the map side and never shuffled.  All other
-digests, none with more than ``support`` of the rows, go through one ordinary shuffle.
+digests, none with more than ``support`` of the rows, go through one ordinary shuffle.  ``support`` falls as the
+rows grow, so that no such group has more than about a million rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,12 @@ def digest_of(text_col: str = "text") -> Column:
     return F.sha2(F.regexp_replace(text_of(text_col), SPACES, " "), 256)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = 0.0005) -> DataFrame:
+def support_for(rows: int) -> float:
+    """The share of rows from which a digest counts as frequent."""
+    return min(5e-4, max(1e-5, 1e6 / max(1, rows)))
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float | None = None) -> DataFrame:
     """One row per document: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
     Of equal texts the row with the smallest id stays.  Null text counts as empty, so null and empty
@@ -33,13 +39,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), digest_of(text_col).alias("digest")),
         "digests",
     )
+    total = rows.count()
+    support = support_for(total) if support is None else support
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
     frequent = rows.stat.freqItems(["digest"], support).select(F.explode("digest_freqItems").alias("digest"))
     winners = (
         rows.join(F.broadcast(frequent.distinct()), "digest")
         .groupBy("digest")
         .agg(F.count("*").alias("size"), F.min(order).alias("first"))
-        .where(F.col("size") >= F.lit(max(2.0, support * rows.count())))
+        .where(F.col("size") >= F.lit(max(2.0, support * total)))
     )
     winners = written(winners, "heavy-digests")
     heavy = rows.join(F.broadcast(winners), "digest")
@@ -55,7 +63,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = 0.0005) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float | None = None) -> DataFrame:
     """The documents that stay, with their own columns (see :func:`exact_groups`)."""
     groups = exact_groups(docs, id_col, text_col, support).select(id_col, "text_sha256", F.col("kept").alias("stays"))
     return keep_marked(docs, {id_col: F.col(id_col), "text_sha256": digest_of(text_col)}, groups)

@@ -45,12 +45,17 @@ CONTEXT = {
     "phone": ("phone", "call", "tel", "mobile", "fax", "telefon"),
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
     "short_card": ("card", "visa", "credit", "amex", "karte", "carte", "tarjeta"),
-    "local_phone": ("phone", "call us", "tel.", "tel:", "mobile", "telefon"),
+    "local_phone": ("phone", "call us", "tel", "mobile", "telefon"),
 }
+#: a context word counts as a whole word, not within another one
+_NEAR_WORDS = {kind: re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, words))})s?(?!\w)") for kind, words in CONTEXT.items()}
 #: score of a confirmed match before its context
 START = {"email": 0.8, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "short_card": 0.5, "local_phone": 0.5}
 
 
+_CUT_LEFT, _CUT_RIGHT = re.compile(r"^\w+"), re.compile(r"\w+$")
+
+
 class Span(NamedTuple):
     kind: str
     start: int
@@ -116,9 +121,13 @@ def further_spans(text: str) -> list[tuple[str, int, int]]:
 
 def score(text: str, kind: str, start: int, end: int) -> float:
     """The kind's start, raised where a word of its context stands within ``NEAR`` characters."""
-    near = text[max(0, start - NEAR) : start] + " " + text[end : end + NEAR // 2]
-    words = near.lower()
-    return min(1.0, START[kind] + 0.2 * any(w in words for w in CONTEXT[kind]))
+    # words that the window cuts are none
+    left = text[max(0, start - NEAR - 1) : start]
+    left = left if start <= NEAR else _CUT_LEFT.sub("", left)
+    right = text[end : end + NEAR // 2 + 1]
+    right = right if end + NEAR // 2 >= len(text) else _CUT_RIGHT.sub("", right)
+    near = f"{left} \n {right}"
+    return min(1.0, START[kind] + 0.2 * bool(_NEAR_WORDS[kind].search(near.lower())))
 
 
 def find(text: str) -> list[Span]:

@@ -32,10 +32,11 @@ SAMPLE_ROWS, SAMPLE_BYTES, EPOCHS, RATE = 3000, 16 << 20, 8, 0.5
 
 
 class Model(NamedTuple):
-    """The part of each feature in the logit of class 1, and the bias."""
+    """The part of each feature in the logit of class 1, and the bias; ``learned``: whether there were labels of both classes."""
 
     part: np.ndarray
     bias: float
+    learned: bool = True
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -105,7 +106,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: floa
     bias = np.log(share / (1 - share))
     part = np.zeros(BUCKETS, np.float32)
     if len(set(labels.tolist())) < 2:
-        return Model(part, float(bias) if len(labels) else 0.0)
+        return Model(part, float(bias) if len(labels) else 0.0, False)
     docs = []
     for i in range(0, len(texts), 256):
         f = features(pa.array(texts[i : i + 256], pa.string()))
@@ -198,7 +199,13 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.7) -> DataFrame:
-    """The documents that score ``least`` or more, with their own columns."""
+    """The documents that score ``least`` or more, with their own columns.
+
+    Null and empty texts score by the bias alone.  Repeated rows and null ids are each judged by their text.  A model that
+    had no two classes to learn from rejects nothing.
+    """
+    if not model.learned:
+        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col, SLICE):

@@ -75,6 +75,16 @@ def _medians(rows: DataFrame, wanted: dict[int, Range], smallest: float) -> dict
     return cut
 
 
+def metadata_rows(docs: DataFrame, dims: tuple[str, ...], id_col: str, text_col: str) -> DataFrame:
+    """``doc_id``, ``size``, ``text_crc32``, a whole number for each dimension (``c0``, ``c1``...) and a ``tie`` by hash of every document."""
+    text = text_of(text_col)
+    sized = docs.withColumn("size", (F.octet_length(text) + 16).cast("long")).withColumn("_crc", F.crc32(text)).withColumn("_row", F.monotonically_increasing_id())
+    axes = coordinates(docs, list(dims))
+    as_int = [F.floor(F.least(F.lit(1.0), c) * ((1 << COORD_BITS) - 1)).cast("long").alias(f"c{i}") for i, c in enumerate(axes.values())]
+    tie = F.pmod(F.xxhash64(F.col(id_col), F.col("_row")), F.lit(1 << TIE_BITS)).alias("tie")
+    return sized.select(F.col(id_col).alias("doc_id"), "size", F.col("_crc").alias("text_crc32"), *as_int, tie)
+
+
 def shard_documents(
     docs: DataFrame, shards: int = 40, dims: tuple[str, ...] = ("lang", "source"), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -82,16 +92,13 @@ def shard_documents(
 
     ``size``: UTF-8 bytes of the text (null: none) and 16.  Ties along a dimension are split by a hash of id and
     row, so equal metadata, one source with a third of all rows, or repeated rows do not make a shard larger.
-    Columns of ``dims`` that are absent are left out.  ``slot`` is the place in the shard, in order of ids.
+    Columns of ``dims`` that are absent are left out; a null in one counts as 0.  Null ids are placed like others; of no
+    documents there are no rows.  ``slot`` is the place in the shard, in order of ids.
     """
-    text = text_of(text_col)
-    sized = docs.withColumn("size", (F.octet_length(text) + 16).cast("long")).withColumn("_crc", F.crc32(text)).withColumn("_row", F.monotonically_increasing_id())
-    axes = coordinates(docs, list(dims))
-    as_int = [F.floor(F.least(F.lit(1.0), c) * ((1 << COORD_BITS) - 1)).cast("long").alias(f"c{i}") for i, c in enumerate(axes.values())]
-    tie = F.pmod(F.xxhash64(F.col(id_col), F.col("_row")), F.lit(1 << TIE_BITS)).alias("tie")
-    rows = written(sized.select(F.col(id_col).alias("doc_id"), "size", F.col("_crc").alias("text_crc32"), *as_int, tie, F.lit(0).alias("node")), "kd-rows")
+    rows = written(metadata_rows(docs, dims, id_col, text_col).withColumn("node", F.lit(0)), "kd-rows")
+    n_axes = sum(c[0] == "c" and c[1:].isdigit() for c in rows.columns)
     total = rows.agg(F.sum("size")).first()[0] or 0
-    smallest, nodes, n_axes = TOLERANCE * total / shards, {0: Node(0, shards)}, len(as_int)
+    smallest, nodes = TOLERANCE * total / shards, {0: Node(0, shards)}
     while any(n.shards > 1 for n in nodes.values()) and total:
         ends = [f(F.col(f"c{i}")).alias(f"{w}{i}") for i in range(n_axes) for w, f in (("low", F.min), ("high", F.max))]
         seen = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("bytes"), *ends).collect()}  # a row a node
@@ -116,7 +123,7 @@ def shard_documents(
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Writes the documents to ``path``, a folder ``shard=N`` for each shard; ids must be unique. A column of that name gets the folders an underscore."""
+    """Writes the documents to ``path``, a folder ``shard=N`` for each shard; ids must be unique, a null id may stand once. A column of that name gets the folders an underscore."""
     key, shard = unused(docs, "_id"), unused(docs, "shard")
     own = placed.select(F.col("doc_id").alias(key), F.col("shard").alias(shard))
     docs.join(own, docs[id_col].eqNullSafe(own[key])).drop(key).write.partitionBy(shard).parquet(path)
