@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import count_if
 from ..plans.league import League
+from ..sources import star
 from ..storage import written
 from .graph import connected_components
+from .validation import validated
 
 FIELDS = ["method", "winner_id", "end_round", "round_time"]
 
@@ -80,27 +82,16 @@ def list_diff(w: League) -> DataFrame:
 
 
 def issues(w: League) -> DataFrame:
-    """DQ01: one row per broken rule and row: severity, code, entity and id."""
-    b, f = w.bouts, w.fighters
-    rule = lambda df, sev, code, kind, key, test: df.where(test).select(F.lit(sev).alias("severity"), F.lit(code).alias("code"), F.lit(kind).alias("entity"), F.col(key).alias("id"))
-    late = F.datediff("date", F.lit(w.as_of))
-    checks = [
-        rule(b, "error", "method-without-winner", "bout", "bout_id", F.col("winner_id").isNull() & F.col("method").isin("KO", "TKO", "RTD", "UD", "MD", "SD", "TD", "DQ")),
-        rule(b, "warning", "stoppage-without-round", "bout", "bout_id", F.col("method").isin("KO", "TKO", "RTD") & F.col("end_round").isNull()),
-        rule(b, "warning", "no-clock", "bout", "bout_id", F.col("method").isin("KO", "TKO") & F.col("round_time").isNull()),
-        rule(b, "warning", "far-future", "bout", "bout_id", late > 365),
-        rule(f, "info", "no-birth-year", "fighter", "boxer_id", F.col("birth_year").isNull()),
-        rule(f, "warning", "reach-without-height", "fighter", "boxer_id", F.col("reach_cm").isNotNull() & F.col("height_cm").isNull()),
-        rule(f, "warning", "odd-reach", "fighter", "boxer_id", F.abs(F.col("reach_cm") - F.col("height_cm")) > 11),
-    ]
-    return reduce(DataFrame.unionByName, checks)
+    """DQ01 of the league as a supplier might deliver it."""
+    return validated(star.feed(w), w.as_of.isoformat())[0]
 
 
 def issue_groups(w: League) -> DataFrame:
     """DQ03: issues by code with the two smallest ids."""
-    ranked = issues(w).withColumn("n", F.row_number().over(Window.partitionBy("code", "entity").orderBy("id")))
-    two = ranked.where("n <= 2").groupBy("code", "entity").agg(F.array_join(F.array_sort(F.collect_list(F.col("id"))), ",").alias("examples"))
-    return issues(w).groupBy("severity", "code", "entity").agg(F.count("*").alias("n")).join(two, ["code", "entity"])
+    found = written(issues(w), "issues")
+    ranked = found.withColumn("n", F.row_number().over(Window.partitionBy("code", "entity").orderBy("id")))
+    two = ranked.where("n <= 2").groupBy("code", "entity").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("examples"))
+    return found.groupBy("severity", "code", "entity").agg(F.count("*").alias("n")).join(two, ["code", "entity"])
 
 
 def double_bookings(w: League) -> DataFrame:

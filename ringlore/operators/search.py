@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,19 +155,37 @@ def allowed_slips(word: str | int) -> int:
     return 0 if n <= 3 else 1 if n <= 6 else 2
 
 
+@F.pandas_udf("int")
+def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([osa_distance(x, y) for x, y in zip(a, b)], dtype="int32")
+
+
+def near_words(words: DataFrame, asked: list[str]) -> DataFrame:
+    """SRCH02, JOIN17: ``words`` (column ``word``) within the allowed slips of the asked ones; a filter by length and by plain distance stays in the JVM."""
+    ask = F.broadcast(words.sparkSession.createDataFrame([(a, allowed_slips(a)) for a in asked], "asked string, slips int"))  # as many rows as are asked
+    near = words.join(ask, (F.abs(F.length("word") - F.length("asked")) <= F.col("slips")) & (F.levenshtein("word", "asked") <= 2 * F.col("slips")))
+    return near.withColumn("distance", _distance("word", "asked")).where(F.col("distance") <= F.col("slips")).drop("slips")
+
+
 def fuzzy_words(w: League, asked: list[str]) -> DataFrame:
-    """SRCH02, JOIN17: words of part names within the allowed slips of the asked ones; length and first filter in the JVM."""
+    """JOIN17: words of part names near the asked ones."""
     words = w.raw("part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
-    ask = F.broadcast(w.spark.createDataFrame([(a, allowed_slips(a)) for a in asked], "asked string, slips int"))
+    return near_words(words, asked).select("asked", "word", "distance", "n")
 
-    @F.pandas_udf("int")
-    def distance(a, b):  # noqa: ANN001, ANN202
-        import pandas as pd
 
-        return pd.Series([osa_distance(x, y) for x, y in zip(a, b)], dtype="int32")
+def by_name(rows: DataFrame, typed: str) -> DataFrame:
+    """SRCH08, SRCH02: rows (``id``, ``name``, ``rank``) that hold every word typed; if none does, those with a word near each, fewest slips first.
 
-    near = words.join(ask, (F.abs(F.length("word") - F.length("asked")) <= F.col("slips")) & (F.levenshtein("word", "asked") <= 2 * F.col("slips")))
-    return near.withColumn("distance", distance("word", "asked")).where(F.col("distance") <= F.col("slips")).select("asked", "word", "distance", "n")
+    ``slips`` is 0 for the former.  Nothing typed is every row.
+    """
+    asked = list(dict.fromkeys(typed.lower().split()))
+    exact = reduce(DataFrame.where, [F.lower("name").contains(a) for a in asked], rows)
+    if not asked or not exact.isEmpty():
+        return exact.select("id", "name", "rank", F.lit(0).alias("slips"))
+    each = rows.select("id", "name", "rank", F.explode(F.array_distinct(F.split(F.lower("name"), r"[\s\-]+"))).alias("word"))
+    near = near_words(each.select("word").distinct(), asked)
+    best = each.join(near, "word").groupBy("id", "name", "rank", "asked").agg(F.min("distance").alias("slips"))
+    return best.groupBy("id", "name", "rank").agg(F.count("*").alias("n"), F.sum("slips").cast("long").alias("slips")).where(F.col("n") == len(asked)).drop("n")
 
 
 def _grams(text: str, n: int) -> Column:

@@ -267,13 +267,70 @@ _CHANGES = f"""SELECT bout_id, u.field, u.old, u.new, CASE WHEN u.old IS NULL TH
     SELECT h.bout_id, unnest([{{'field': 'method', 'old': h.method, 'new': g.method}}, {{'field': 'winner_id', 'old': h.winner_id::VARCHAR, 'new': g.winner_id::VARCHAR}},
     {{'field': 'end_round', 'old': h.end_round::VARCHAR, 'new': g.end_round::VARCHAR}}, {{'field': 'round_time', 'old': h.round_time, 'new': g.round_time}}]) AS u
     FROM {_HELD} h JOIN {_GIVEN} g USING (bout_id)) WHERE u.old IS DISTINCT FROM u.new"""
-_ISSUES = """SELECT 'error' AS severity, 'method-without-winner' AS code, 'bout' AS entity, bout_id AS id FROM bouts WHERE winner_id IS NULL AND method IN ('KO', 'TKO', 'RTD', 'UD', 'MD', 'SD', 'TD', 'DQ')
-    UNION ALL SELECT 'warning', 'stoppage-without-round', 'bout', bout_id FROM bouts WHERE stopped AND end_round IS NULL
-    UNION ALL SELECT 'warning', 'no-clock', 'bout', bout_id FROM bouts WHERE method IN ('KO', 'TKO') AND round_time IS NULL
-    UNION ALL SELECT 'warning', 'far-future', 'bout', bout_id FROM bouts WHERE date > DATE '2000-06-30' + INTERVAL 365 DAY
-    UNION ALL SELECT 'info', 'no-birth-year', 'fighter', boxer_id FROM fighters WHERE birth_year IS NULL
-    UNION ALL SELECT 'warning', 'reach-without-height', 'fighter', boxer_id FROM fighters WHERE reach_cm IS NOT NULL AND height_cm IS NULL
-    UNION ALL SELECT 'warning', 'odd-reach', 'fighter', boxer_id FROM fighters WHERE abs(reach_cm - height_cm) > 11"""
+_FEED = """fb0 AS (SELECT boxer_id AS k, CASE WHEN boxer_id % 211 = 5 THEN NULL WHEN boxer_id % 97 = 1 THEN 'b' || (boxer_id - 1) ELSE 'b' || boxer_id END AS id, * FROM fighters),
+fb1 AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) AS nth FROM fb0),
+fb2 AS (SELECT *, CASE WHEN id IS NULL THEN 'missing_id' WHEN nth > 1 THEN 'dup_id' WHEN k % 61 = 2 THEN 'unknown_division' END AS err, CASE WHEN k % 43 = 3 THEN 300 ELSE height_cm END AS h, CASE WHEN k % 47 = 4 THEN 90 WHEN k % 53 = 6 THEN height_cm + 40 ELSE reach_cm END AS r FROM fb1),
+fb AS (SELECT * FROM fb2 WHERE err IS NULL),
+fe AS (SELECT 'e' || event_id AS id, date AS day FROM league_events WHERE event_id % 89 <> 1),
+fx0 AS (SELECT bout_id AS k, CASE WHEN bout_id % 1009 = 1 THEN NULL ELSE 'x' || bout_id END AS id, CASE WHEN bout_id % 113 = 2 THEN 'e-1' ELSE 'e' || event_id END AS event, 'b' || red_id AS red, CASE WHEN bout_id % 127 = 3 THEN 'b' || red_id ELSE 'b' || blue_id END AS blue, cancelled,
+    CASE WHEN bout_id % 131 = 4 THEN 'XX' WHEN upcoming AND bout_id % 13 = 1 THEN 'KO' WHEN cancelled AND bout_id % 3 = 0 THEN 'UD' ELSE method END AS method, CASE WHEN bout_id % 137 = 5 THEN 99 ELSE rounds END AS rounds, CASE WHEN bout_id % 139 = 6 THEN rounds + 1 ELSE end_round END AS end_round,
+    CASE WHEN bout_id % 149 = 7 THEN NULL WHEN bout_id % 151 = 8 THEN 'b999999999' WHEN (upcoming AND bout_id % 13 = 1) OR (cancelled AND bout_id % 3 = 0) THEN 'b' || red_id ELSE 'b' || winner_id END AS winner, kd_red FROM bouts),
+fx1 AS (SELECT x.*, e.day, CASE WHEN x.id IS NULL THEN 'missing_id' WHEN e.id IS NULL OR r.id IS NULL OR u.id IS NULL THEN 'bad_reference' WHEN red = blue THEN 'same_fighter' WHEN k % 107 = 4 THEN 'unknown_division' WHEN method = 'XX' THEN 'unknown_method' WHEN rounds = 99 OR end_round > rounds OR end_round < 1 THEN 'bad_round'
+    WHEN (method IS NULL AND winner IS NOT NULL) OR (method IN ('DRAW', 'TDRAW', 'NC') AND winner IS NOT NULL) OR (method NOT IN ('DRAW', 'TDRAW', 'NC') AND winner IS NULL) THEN 'result_inconsistent' WHEN winner NOT IN (red, blue) THEN 'winner_not_in_bout' END AS err
+    FROM fx0 x LEFT JOIN fe e ON e.id = event LEFT JOIN fb r ON r.id = red LEFT JOIN fb u ON u.id = blue),
+fx AS (SELECT * FROM fx1 WHERE err IS NULL),
+fs0 AS (SELECT boxer_id || '#' || year(start) AS ref, 'b' || boxer_id AS boxer, boxer_id AS k, person_id, strftime(start, '%Y-%m-%d') AS s0, strftime(CASE WHEN boxer_id % 17 = 5 THEN start - 9 WHEN boxer_id % 5 = 0 THEN "end" + 365 ELSE "end" END, '%Y-%m-%d') AS fin FROM stints),
+fs1 AS (SELECT *, CASE WHEN k % 19 = 4 THEN '1999-13-01' ELSE s0 END AS since, CASE WHEN k % 31 = 2 THEN NULL WHEN k % 23 = 3 THEN 'p-1' ELSE 'p' || person_id END AS person FROM fs0),
+fs2 AS (SELECT *, CASE WHEN boxer NOT IN (SELECT id FROM fb) THEN 'bad_reference' WHEN k % 29 <> 1 AND person IS NULL THEN 'stint_no_entity' WHEN k % 29 = 1 THEN 'unknown_role' WHEN person = 'p-1' THEN 'bad_reference' WHEN k % 19 = 4 THEN 'bad_date' WHEN fin < since THEN 'stint_bad_dates' END AS err FROM fs1),
+fs AS (SELECT *, lag(fin) OVER o AS before, row_number() OVER o AS n FROM fs2 WHERE err IS NULL WINDOW o AS (PARTITION BY boxer ORDER BY since, ref)),
+fw AS (SELECT 'x' || bout_id || '/b' || boxer_id AS ref, CASE WHEN bout_id % 173 = 1 THEN 'b6' ELSE 'b' || boxer_id END AS boxer, x.id AS bout, x.red, x.blue, CASE WHEN bout_id % 179 = 2 THEN 30.0 ELSE official_lb END AS o,
+    CASE WHEN bout_id % 181 = 3 THEN official_lb - 10 WHEN bout_id % 191 = 4 THEN official_lb + 50 ELSE night_lb END AS night, CASE WHEN bout_id % 193 = 5 THEN limit_lb + 20 ELSE limit_lb END AS lim, limit_lb AS std, CASE WHEN bout_id % 197 = 6 THEN NOT made ELSE made END AS made
+    FROM weights LEFT JOIN fx x ON x.id = 'x' || bout_id),
+fw1 AS (SELECT *, CASE WHEN bout IS NULL OR boxer NOT IN (SELECT id FROM fb) THEN 'bad_reference' WHEN boxer NOT IN (red, blue) THEN 'not_in_bout' END AS err FROM fw),
+fc AS (SELECT 'x' || c.bout_id || '#' || seat AS ref, x.id AS bout, x.method, x.winner, x.red AS rid, x.blue AS uid, CASE WHEN c.bout_id % 227 = 4 THEN 'p-1' ELSE 'p' || (judge_id % 10) END AS judge, CASE WHEN c.bout_id % 199 = 1 AND seat = 3 THEN 2 ELSE seat END AS seat,
+    CASE WHEN c.bout_id % 241 = 2 AND seat = 1 THEN 200 ELSE c.red END AS r, c.blue AS u, CASE WHEN x.method IN ('TD', 'TDRAW') AND x.end_round IS NOT NULL THEN x.end_round ELSE x.rounds END AS scored FROM cards c LEFT JOIN fx x ON x.id = 'x' || c.bout_id WHERE NOT (c.bout_id % 223 = 3 AND seat = 3)),
+fc1 AS (SELECT *, CASE WHEN bout IS NULL OR judge = 'p-1' OR judge NOT IN (SELECT 'p' || s_suppkey FROM supplier) THEN 'bad_reference' END AS err, CASE WHEN r > u THEN rid WHEN u > r THEN uid ELSE 'even' END AS side FROM fc),
+fc2 AS (SELECT bout, method, winner, count(*) AS n, count(DISTINCT seat) AS seats, bool_or(greatest(r, u) > 10 * scored OR least(r, u) < 6 * scored) AS wide, count(*) FILTER (side = winner) AS won, count(*) FILTER (side = 'even') AS ev, count(*) FILTER (side = rid) AS rr, count(*) FILTER (side = uid) AS uu
+    FROM fc1 WHERE err IS NULL GROUP BY ALL),
+fp AS (SELECT 'x' || p.bout_id || '/b' || boxer_id || '/r' || round // 7 AS ref, CASE WHEN x.id IS NULL OR 'b' || boxer_id NOT IN (SELECT id FROM fb) THEN 'bad_reference' END AS err, p.bout_id % 229 = 1 AS odd FROM punches p LEFT JOIN fx x ON x.id = 'x' || p.bout_id),
+fk AS (SELECT 'x' || bout_id || '/b' || boxer_id AS ref, CASE WHEN bout_id % 233 = 1 THEN 'b6' ELSE 'b' || boxer_id END AS boxer, CASE WHEN bout_id % 239 = 2 THEN 'p-1' ELSE 'p' || (boxer_id % 5) END AS person, x.id AS bout, x.red, x.blue FROM won LEFT JOIN fx x ON x.id = 'x' || bout_id),
+fk1 AS (SELECT *, CASE WHEN bout IS NULL OR boxer NOT IN (SELECT id FROM fb) OR person = 'p-1' OR person NOT IN (SELECT 'p' || s_suppkey FROM supplier) THEN 'bad_reference' END AS err FROM fk),
+issues AS (
+    SELECT 'error' AS severity, err AS code, 'boxer' AS entity, coalesce(id, '(blank)') AS id FROM fb2 WHERE err IS NOT NULL
+    UNION ALL SELECT 'warning', 'implausible_height', 'boxer', id FROM fb WHERE h NOT BETWEEN 120 AND 230
+    UNION ALL SELECT 'warning', 'implausible_reach', 'boxer', id FROM fb WHERE r NOT BETWEEN 120 AND 250
+    UNION ALL SELECT 'warning', 'reach_height_mismatch', 'boxer', id FROM fb WHERE r BETWEEN 120 AND 250 AND r - h NOT BETWEEN -12 AND 25
+    UNION ALL SELECT 'warning', 'debut_age', 'boxer', id FROM fb WHERE k % 37 = 0 AND birth_year IS NOT NULL
+    UNION ALL SELECT 'warning', 'retired_before_debut', 'boxer', id FROM fb WHERE k % 59 = 7 AND birth_year IS NOT NULL
+    UNION ALL SELECT 'warning', 'unknown_sex', 'boxer', id FROM fb WHERE k % 67 = 8
+    UNION ALL SELECT 'warning', 'bad_birth_date', 'boxer', id FROM fb WHERE k % 71 = 9
+    UNION ALL SELECT 'error', 'bad_date', 'event', 'e' || event_id FROM league_events WHERE event_id % 89 = 1
+    UNION ALL SELECT 'error', err, 'bout', coalesce(id, '(blank)') FROM fx1 WHERE err IS NOT NULL
+    UNION ALL SELECT 'warning', 'result_in_future', 'bout', id FROM fx WHERE method IS NOT NULL AND day > DATE '2000-06-30' AND NOT cancelled
+    UNION ALL SELECT 'warning', 'result_on_cancelled', 'bout', id FROM fx WHERE method IS NOT NULL AND cancelled
+    UNION ALL SELECT 'warning', 'missing_end_round', 'bout', id FROM fx WHERE method IN ('KO', 'TKO', 'RTD', 'DQ', 'TD', 'TDRAW') AND end_round IS NULL
+    UNION ALL SELECT 'warning', 'odds_invalid', 'bout', id FROM fx WHERE k % 157 = 9
+    UNION ALL SELECT 'warning', 'kd_negative', 'bout', id FROM fx WHERE k % 163 = 10
+    UNION ALL SELECT 'warning', 'fighter_double_booked', 'boxer', who FROM (SELECT unnest([red, blue]) AS who, day FROM fx WHERE NOT cancelled) GROUP BY who, day HAVING count(*) > 1
+    UNION ALL SELECT 'error', err, 'stint', ref FROM fs2 WHERE err IS NOT NULL
+    UNION ALL SELECT DISTINCT 'warning', 'head_trainer_overlap', 'boxer', boxer FROM fs WHERE n > 1 AND (before IS NULL OR since < before)
+    UNION ALL SELECT 'error', err, 'weigh_in', ref FROM fw1 WHERE err IS NOT NULL
+    UNION ALL SELECT 'warning', 'weight_implausible', 'weigh_in', ref FROM fw1 WHERE err IS NULL AND o NOT BETWEEN 80 AND 400
+    UNION ALL SELECT 'warning', 'fight_night_below_official', 'weigh_in', ref FROM fw1 WHERE err IS NULL AND night < o - 6
+    UNION ALL SELECT 'warning', 'rehydration_implausible', 'weigh_in', ref FROM fw1 WHERE err IS NULL AND night > o + 40
+    UNION ALL SELECT 'warning', 'limit_mismatch', 'weigh_in', ref FROM fw1 WHERE err IS NULL AND abs(lim - std) > 8
+    UNION ALL SELECT 'warning', 'made_weight_inconsistent', 'weigh_in', ref FROM fw1 WHERE err IS NULL AND ((made AND o > lim + 0.05) OR (NOT made AND o <= lim))
+    UNION ALL SELECT 'error', err, 'scorecard', ref FROM fc1 WHERE err IS NOT NULL
+    UNION ALL SELECT 'warning', 'scorecard_duplicate_seat', 'bout', bout FROM fc2 WHERE seats < n
+    UNION ALL SELECT 'warning', 'scorecard_range', 'bout', bout FROM fc2 WHERE wide
+    UNION ALL SELECT 'warning', 'scorecard_incomplete', 'bout', bout FROM fc2 WHERE method IN ('UD', 'MD', 'SD', 'TD', 'DRAW', 'TDRAW') AND n <> 3
+    UNION ALL SELECT 'warning', 'scorecard_result_mismatch', 'bout', bout FROM fc2 WHERE n = 3 AND NOT CASE method WHEN 'UD' THEN won = 3 WHEN 'MD' THEN won = 2 AND ev = 1 WHEN 'SD' THEN won = 2 AND ev = 0 WHEN 'TD' THEN won >= 2 WHEN 'DRAW' THEN ev >= 2 OR (rr = 1 AND uu = 1) WHEN 'TDRAW' THEN ev >= 2 OR (rr = 1 AND uu = 1) ELSE true END
+    UNION ALL SELECT 'error', err, 'punch_stat', ref FROM fp WHERE err IS NOT NULL
+    UNION ALL SELECT 'warning', 'punch_inconsistent', 'punch_stat', ref FROM fp WHERE err IS NULL AND odd
+    UNION ALL SELECT 'error', err, 'corner', ref FROM fk1 WHERE err IS NOT NULL
+    UNION ALL SELECT 'warning', 'corner_not_in_bout', 'corner', ref FROM fk1 WHERE err IS NULL AND boxer NOT IN (red, blue)
+    UNION ALL SELECT 'warning', 'event_emptied', 'event', id FROM fe WHERE id IN (SELECT event FROM fx1 WHERE err IS DISTINCT FROM 'missing_id') AND id NOT IN (SELECT event FROM fx)
+    UNION ALL SELECT 'info', 'orphan_people', 'person', n::VARCHAR FROM (SELECT count(*) AS n FROM supplier WHERE 'p' || s_suppkey NOT IN (SELECT person FROM fs UNION SELECT judge FROM fc1 WHERE err IS NULL UNION SELECT person FROM fk1 WHERE err IS NULL)) WHERE n > 0)"""
 _CALLS = """calls0 AS (
     SELECT b.bout_id, b.date, b.division, r.pre AS ra, r.opp_pre AS rb, b.winner_id = b.red_id AS red_won, CASE WHEN r.pre = r.opp_pre THEN b.bout_id % 2 = 0 ELSE r.pre > r.opp_pre END AS red_fav
     FROM bouts b JOIN (SELECT *, row_number() OVER (PARTITION BY boxer_id ORDER BY date, bout_id) AS nth FROM won) r ON r.bout_id = b.bout_id AND r.boxer_id = b.red_id AND r.nth > 1
@@ -360,8 +417,8 @@ _MORE = {
     "str03": f"SELECT field, count(*) AS n, count(*) FILTER (kind = 'clear') AS cleared, count(*) >= 100 AND count(*) / (SELECT count(*) FROM {_HELD}) > 0.3 AS refused FROM ({_CHANGES}) GROUP BY field",
     "str17": f"""SELECT CASE WHEN h.bout_id IS NULL THEN 'added' WHEN g.bout_id IS NULL THEN 'removed' WHEN h.method IS DISTINCT FROM g.method OR h.winner_id IS DISTINCT FROM g.winner_id OR h.end_round IS DISTINCT FROM g.end_round
         OR h.round_time IS DISTINCT FROM g.round_time THEN 'changed' ELSE 'same' END AS what, count(*) AS n FROM {_HELD} h FULL JOIN {_GIVEN} g ON h.bout_id = g.bout_id GROUP BY 1""",
-    "dq01": _ISSUES,
-    "dq03": f"SELECT severity, code, entity, count(*) AS n, array_to_string(list_sort(list(id))[1:2]::VARCHAR[], ',') AS examples FROM ({_ISSUES}) GROUP BY ALL",
+    "dq01": f"@{_FEED} SELECT * FROM issues",
+    "dq03": f"@{_FEED} SELECT severity, code, entity, count(*) AS n, array_to_string(list_sort(list(id))[1:2], ',') AS examples FROM issues GROUP BY ALL",
     "dq04": "SELECT boxer_id, date, count(*) AS bouts FROM lb WHERE NOT cancelled GROUP BY ALL HAVING count(*) > 1",
     "dq05": """SELECT boxer_id, person_id, start, next FROM (SELECT boxer_id, person_id, start, CASE WHEN boxer_id % 5 = 0 THEN "end" + 365 ELSE "end" END AS fin, lead(start) OVER (PARTITION BY boxer_id ORDER BY start, person_id) AS next FROM stints) WHERE next < coalesce(fin, DATE '9999-12-31')""",
     "dq06": """SELECT * FROM (SELECT bout_id, method, count(*) FILTER (v = 1) AS with_winner, count(*) FILTER (v = 0) AS even, count(*) FILTER (v = -1) AS against FROM (SELECT *, CASE WHEN red = blue THEN 0 WHEN winner_id IS NULL THEN 0 WHEN (red > blue) = (winner_id = red_id) THEN 1 ELSE -1 END AS v FROM cards) GROUP BY ALL)
@@ -529,6 +586,11 @@ _SUP = """sup AS (SELECT boxer_id, wins, losses, draws, wins + CASE WHEN NOT t T
     draws - CASE WHEN t AND boxer_id % 123 = 0 THEN 1 ELSE 0 END AS sup_draws FROM (SELECT *, sex = 'male' AND division IN ('BUILDING', 'MACHINERY') AS t FROM careers)),
 rec AS (SELECT *, CASE WHEN wins > sup_wins OR losses > sup_losses OR draws > sup_draws THEN 'conflict' WHEN wins = sup_wins AND losses = sup_losses AND draws = sup_draws THEN 'complete' ELSE 'partial' END AS verdict FROM sup)"""
 _STORIES = {
+    "srch08": "SELECT p_partkey AS id, p_name AS name, p_size::BIGINT AS rank, 0::BIGINT AS slips FROM part WHERE contains(lower(p_name), 'red') AND contains(lower(p_name), 'widg')",
+    "srch02": """SELECT id, name, rank, sum(d)::BIGINT AS slips FROM (SELECT p_partkey AS id, p_name AS name, p_size::BIGINT AS rank, asked, min(damerau_levenshtein(word, asked)) AS d FROM (SELECT *, unnest(string_split(lower(p_name), ' ')) AS word FROM part),
+        (VALUES ('smlal', 1), ('widgte', 1)) v(asked, most) WHERE damerau_levenshtein(word, asked) <= most GROUP BY ALL) GROUP BY ALL HAVING count(*) = 2""",
+    "join17_fuzzy": """SELECT asked, word, damerau_levenshtein(word, asked) AS distance, n FROM (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS word FROM part) WHERE word <> '' GROUP BY ALL), (VALUES ('smlal'), ('widgte'), ('anvli'), ('gizmoo'), ('gear')) v(asked)
+        WHERE damerau_levenshtein(word, asked) <= CASE WHEN length(asked) <= 3 THEN 0 WHEN length(asked) <= 6 THEN 1 ELSE 2 END""",
     "dq08": f"@{_SUP} SELECT * FROM rec",
     "dq10": f"""@{_SUP}, f AS (SELECT w.*, r.sup_wins, r.sup_losses, r.sup_draws, datediff('day', lag(date) OVER (PARTITION BY w.boxer_id, opp_id ORDER BY date, bout_id), date) <= 30 AS again, count(*) OVER (PARTITION BY w.boxer_id, date) > 1 AS twice, date < DATE '2000-06-16' AS old
             FROM won w JOIN (SELECT * FROM rec WHERE verdict = 'conflict') r USING (boxer_id)),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import counts
 from ..sources import star
-from ..storage import written
+from ..storage import release, written
 
 
 class League:
@@ -154,3 +154,10 @@ def league(spark: SparkSession, sf_dir: str) -> League:
     """The league of a folder as the registered queries see it, with ratings that SQL can say; a session builds its frames once."""
     key = (spark.sparkContext.applicationId, sf_dir)
     return _leagues.setdefault(key, League(spark, sf_dir, ratings=star.running_score))
+
+
+def close(spark: SparkSession) -> int:
+    """Forgets the session's leagues and deletes all working tables; results that read them must have been saved."""
+    for key in [k for k in _leagues if k[0] == spark.sparkContext.applicationId]:
+        del _leagues[key]
+    return release(spark)

@@ -127,6 +127,11 @@ for _key, _make in {
     register(_key, _make)
 
 
+def parts(w: League) -> DataFrame:
+    """Part names as a list, ranked by size."""
+    return w.raw("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("rank"))
+
+
 FIGHTER_SEARCH = search.Filters(sex="male", active=True, least={"wins": 20, "rating": 1500, "height_cm": 165}, most={"losses": 40}, fought_since="2000-01-01")
 VIA_SEARCH = search.Filters(champion="former", missed_weight=True, stance="Southpaw")
 
@@ -146,6 +151,8 @@ for _key, _make in {
     "srch04": lambda w: search.global_search(w, "12"),
     "srch05": lambda w: search.unique_names(w.raw("customer").select(F.col("c_name").alias("name"))),
     "srch07": lambda w: search.names_in_text(w.raw("benchmark").select(F.col("item_id").alias("name_id"), F.col("text").alias("name")), w.raw("documents")),
+    "srch02": lambda w: search.by_name(parts(w), "smlal widgte"),
+    "srch08": lambda w: search.by_name(parts(w), "RED widg"),
     "set03": lambda w: search.champions(w, "former"),
     "mdl01_elo": models.elo,
     "mdl02": models.predictions,

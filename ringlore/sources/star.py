@@ -184,3 +184,39 @@ def venues(w) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
     kinds = [((n + h) % 3 != 0, name, F.array(name), city(h, F.col("n_name"))), ((n * h) % 4 == 1, old, F.array(name, old), F.lit("City 99")), ((n + 2 * h) % 11 == 0, name, F.array(name), city(h, F.col("n_name")))]
     each = F.array_compact(F.array(*[F.when(test, F.struct((n * 1000 + h * 10 + i).alias("qid"), label.alias("label"), names.alias("names"), F.array(at).alias("places"), F.array("n_name").alias("countries"), caps.alias("caps"))) for i, (test, label, names, at) in enumerate(kinds)]))
     return v, grid.select(F.explode(each).alias("c")).select("c.*")
+
+
+def feed(w):  # noqa: ANN001, ANN201
+    """The league as a supplier might deliver it, with a fault of each kind here and there."""
+    from ..operators.validation import Feed
+
+    k, b = "boxer_id", "bout_id"
+    boxers = w.fighters.selectExpr(
+        f"{k} AS row", f"CASE WHEN {k} % 211 = 5 THEN NULL WHEN {k} % 97 = 1 THEN 'b' || ({k} - 1) ELSE 'b' || {k} END AS id", f"CASE WHEN {k} % 61 = 2 THEN 'Catchweight' ELSE 'Welter' END AS division",
+        f"CASE WHEN {k} % 43 = 3 THEN 300 ELSE height_cm END AS height_cm", f"CASE WHEN {k} % 47 = 4 THEN 90 WHEN {k} % 53 = 6 THEN height_cm + 40 ELSE reach_cm END AS reach_cm", "birth_year",
+        f"birth_year + CASE WHEN {k} % 37 = 0 THEN 9 ELSE 20 END AS turned_pro", "birth_year + 20 AS debut", f"CASE WHEN {k} % 59 = 7 THEN birth_year + 19 END AS retired", f"CASE WHEN {k} % 67 = 8 THEN 'unknown' ELSE sex END AS sex",
+        f"CASE WHEN {k} % 71 = 9 THEN '1990-02-31' ELSE birth_year || '-05-05' END AS birth_date",
+    )
+    events = w.events.selectExpr("event_id AS row", "'e' || event_id AS id", "CASE WHEN event_id % 89 = 1 THEN '2000-02-30' ELSE date_format(date, 'yyyy-MM-dd') END AS date")
+    early, late = f"upcoming AND {b} % 13 = 1", f"cancelled AND {b} % 3 = 0"
+    bouts = w.bouts.selectExpr(
+        f"{b} AS row", f"CASE WHEN {b} % 1009 = 1 THEN NULL ELSE 'x' || {b} END AS id", f"CASE WHEN {b} % 113 = 2 THEN 'e-1' ELSE 'e' || event_id END AS event", "'b' || red_id AS red", f"CASE WHEN {b} % 127 = 3 THEN 'b' || red_id ELSE 'b' || blue_id END AS blue",
+        f"CASE WHEN {b} % 107 = 4 THEN 'Catchweight' ELSE 'Welterweight' END AS division", f"CASE WHEN {b} % 131 = 4 THEN 'XX' WHEN {early} THEN 'KO' WHEN {late} THEN 'UD' ELSE method END AS method", f"CASE WHEN {b} % 137 = 5 THEN 99 ELSE rounds END AS rounds",
+        f"CASE WHEN {b} % 139 = 6 THEN rounds + 1 ELSE end_round END AS end_round", f"CASE WHEN {b} % 149 = 7 THEN NULL WHEN {b} % 151 = 8 THEN 'b999999999' WHEN ({early}) OR ({late}) THEN 'b' || red_id ELSE 'b' || winner_id END AS winner", "cancelled",
+        f"CASE WHEN {b} % 157 = 9 THEN 0.5D ELSE 1.9D END AS odds", f"CASE WHEN {b} % 163 = 10 THEN -1 ELSE kd_red END AS knockdowns",
+    )
+    people = w.raw("supplier").selectExpr("s_suppkey AS row", "'p' || s_suppkey AS id")
+    stints = w.stints.selectExpr(
+        f"{k} || '#' || year(start) AS ref", f"'b' || {k} AS boxer", f"CASE WHEN {k} % 29 = 1 THEN 'mascot' ELSE 'head_trainer' END AS role", f"CASE WHEN {k} % 31 = 2 THEN NULL WHEN {k} % 23 = 3 THEN 'p-1' ELSE 'p' || person_id END AS person", "CAST(NULL AS STRING) AS org",
+        f"CASE WHEN {k} % 19 = 4 THEN '1999-13-01' ELSE date_format(start, 'yyyy-MM-dd') END AS start", f"date_format(CASE WHEN {k} % 17 = 5 THEN date_sub(start, 9) WHEN {k} % 5 = 0 THEN date_add(`end`, 365) ELSE `end` END, 'yyyy-MM-dd') AS `end`",
+    )
+    weigh_ins = w.weigh_ins.selectExpr(
+        f"'x' || {b} || '/b' || {k} AS ref", f"'x' || {b} AS bout", f"CASE WHEN {b} % 173 = 1 THEN 'b6' ELSE 'b' || {k} END AS boxer", f"CASE WHEN {b} % 179 = 2 THEN 30.0D ELSE official_lb END AS official_lb",
+        f"CASE WHEN {b} % 181 = 3 THEN official_lb - 10 WHEN {b} % 191 = 4 THEN official_lb + 50 ELSE night_lb END AS night_lb", f"CASE WHEN {b} % 193 = 5 THEN limit_lb + 20 ELSE limit_lb END AS limit_lb", "limit_lb AS class_lb", f"CASE WHEN {b} % 197 = 6 THEN NOT made ELSE made END AS made",
+    )
+    scorecards = w.scorecards.where(f"NOT ({b} % 223 = 3 AND seat = 3)").selectExpr(
+        f"'x' || {b} || '#' || seat AS ref", f"'x' || {b} AS bout", f"CASE WHEN {b} % 227 = 4 THEN 'p-1' ELSE 'p' || (judge_id % 10) END AS judge", f"CASE WHEN {b} % 199 = 1 AND seat = 3 THEN 2 ELSE seat END AS seat", f"CASE WHEN {b} % 241 = 2 AND seat = 1 THEN 200 ELSE red END AS red", "blue"
+    )
+    punches = w.punches.selectExpr(f"'x' || {b} || '/b' || {k} || '/r' || round AS ref", f"'x' || {b} AS bout", f"'b' || {k} AS boxer", f"landed + CASE WHEN {b} % 229 = 1 THEN -1 ELSE 9 END AS thrown", "landed")
+    corners = w.counted.selectExpr(f"'x' || {b} || '/b' || {k} AS ref", f"'x' || {b} AS bout", f"CASE WHEN {b} % 233 = 1 THEN 'b6' ELSE 'b' || {k} END AS boxer", f"CASE WHEN {b} % 239 = 2 THEN 'p-1' ELSE 'p' || ({k} % 5) END AS person")
+    return Feed(boxers, events, bouts, people, stints, weigh_ins, scorecards, punches, corners)

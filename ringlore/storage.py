@@ -22,15 +22,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_paths: dict[str, list[str]] = {}
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path of its own in the shared folder."""
-    return f"{shared_folder(spark)}/ringlore-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/ringlore-{label}-{uuid.uuid4().hex}"
+    _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes this application's working tables; to be called once the results that read them are saved. How many there were."""
+    paths = _paths.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        remove(spark, path)
+    return len(paths)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a written table: its work is done once and its lineage is cut."""
     path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "lz4").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
