@@ -155,16 +155,16 @@ def allowed_slips(word: str | int) -> int:
     return 0 if n <= 3 else 1 if n <= 6 else 2
 
 
-@F.pandas_udf("int")
-def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([osa_distance(x, y) for x, y in zip(a, b)], dtype="int32")
-
-
 def near_words(words: DataFrame, asked: list[str]) -> DataFrame:
     """SRCH02, JOIN17: ``words`` (column ``word``) within the allowed slips of the asked ones; a filter by length and by plain distance stays in the JVM."""
+
+    @F.pandas_udf("int")
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([osa_distance(x, y) for x, y in zip(a, b)], dtype="int32")
+
     ask = F.broadcast(words.sparkSession.createDataFrame([(a, allowed_slips(a)) for a in asked], "asked string, slips int"))  # as many rows as are asked
     near = words.join(ask, (F.abs(F.length("word") - F.length("asked")) <= F.col("slips")) & (F.levenshtein("word", "asked") <= 2 * F.col("slips")))
-    return near.withColumn("distance", _distance("word", "asked")).where(F.col("distance") <= F.col("slips")).drop("slips")
+    return near.withColumn("distance", distance("word", "asked")).where(F.col("distance") <= F.col("slips")).drop("slips")
 
 
 def fuzzy_words(w: League, asked: list[str]) -> DataFrame:
