@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import count_if
 from ..plans.league import League
+from ..sources import star
 from ..storage import written
 from .canon import ACCENTED, PLAIN, fnv1a
 from .documents import name_key
+from .validation import validated_money
 
 def day_functions(w: League) -> DataFrame:
     """FN12: day of the year as text, the day a week on, months since, and whether a text is a real day."""
@@ -111,10 +113,8 @@ def agreement(w: League) -> DataFrame:
 
 
 def money_issues(w: League) -> DataFrame:
-    """DQ02: purses that are missing, odd or of a weak basis, by code."""
-    u = F.col("usd")
-    code = F.when(u.isNull(), "no-amount").when(u <= 0, "not-positive").when((F.col("basis") == "estimated") & (u > 90_000), "large-estimate").when(u > 100_000, "very-large")
-    return w.purses.select(code.alias("code"), "basis").where("code IS NOT NULL").groupBy("code", "basis").agg(F.count("*").alias("n"))
+    """DQ02 of money as suppliers might deliver it."""
+    return validated_money(*star.money(w), w.as_of.isoformat())[0]
 
 
 def emptied_cards(w: League) -> DataFrame:

@@ -1,4 +1,4 @@
-"""DQ01: a feed's rows against rules: errors drop a row and what refers to it, warnings are told and kept."""
+"""DQ01, DQ02: a feed's rows and money against rules: errors drop a row and what refers to it, warnings are told and kept."""
 
 from __future__ import annotations
 
@@ -136,3 +136,74 @@ def validated(feed: Feed, today: str) -> tuple[DataFrame, Feed]:
     clean = lambda df, table: df.select(table.columns)
     kept = Feed(*[clean(df, t) for df, t in zip((boxers, events.join(emptied.select("id"), "id", "left_anti"), bouts, people, stints, weighed, cards, punches, corners), feed)])
     return reduce(DataFrame.unionByName, found), kept
+
+
+#: most dollars of a card's part, of a purse; most viewers
+MOST_CARD, MOST_PURSE, MOST_VIEWERS = 2_000_000_000, 600_000_000, 400_000_000
+
+
+class Money(NamedTuple):
+    """Amounts in dollars, each with ``ref``, ``basis``, ``source``, ``url`` and ``retrieved`` (text)."""
+
+    financials: DataFrame  # event, gate, sold, capacity, site_fee, buys, price, revenue
+    purses: DataFrame  # bout, boxer, guaranteed, bonus, total
+    broadcasts: DataFrame  # event, broadcaster, platform, average, peak
+    earnings: DataFrame  # boxer, year, total, ring, off_ring
+    weights: DataFrame  # bout, boxer, official_lb, night_lb, limit_lb
+
+
+def validated_money(money: Money, feed: Feed, today: str) -> tuple[DataFrame, Money]:
+    """DQ02: (issues as of :func:`validated`, the money without rows in error) against a feed that is valid itself.
+
+    Of rows of one ``ref`` the first in order of all their columns is kept.  Rows without a URL are told once a kind, by number.
+    """
+    found: list[DataFrame] = []
+    named: Rules = [("bad_basis", "basis NOT IN ('disclosed', 'reported', 'estimated')"), ("missing_source", "coalesce(trim(source), '') = ''")]
+    told: Rules = [("bad_retrieved_at", "retrieved IS NOT NULL AND try_to_date(retrieved, 'yyyy-MM-dd') IS NULL"), ("bad_source_url", "url IS NOT NULL AND NOT url RLIKE '^https?://'")]
+    below = lambda *names: " OR ".join(f"{n} < 0" for n in names)
+    parts = lambda whole, a, b: f"abs({a} + {b} - {whole}) > greatest(1000, {whole} * 0.02)"
+
+    def check(rows: DataFrame, entity: str, before: Rules, after: str | None, warnings: Rules) -> DataFrame:
+        """Rules before the provenance, the code of a repeat, and warnings."""
+        issues, kept = _told(rows, entity, [*before, *named], [])
+        found.append(issues)
+        if after:
+            n = F.row_number().over(Window.partitionBy("ref").orderBy(*[c for c in rows.columns if c != "ref"]))
+            issues, kept = _told(kept.withColumn("_n", n), entity, [(after, "_n > 1")], [])
+            found.append(issues)
+        issues, kept = _told(kept, entity, [], [*told, *warnings])
+        without = kept.where("url IS NULL").agg(F.count("*").alias("n")).where("n > 0")
+        found.extend([issues, without.select(F.lit("info").alias("severity"), F.lit("no_source_url").alias("code"), F.lit(entity).alias("entity"), F.col("n").cast("string").alias("id"))])
+        return kept
+
+    known = lambda df, by, table, flag: _known(df, by, table, flag)
+    sides = feed.bouts.select(F.col("id").alias("bout"), F.col("red").alias("b_red"), F.col("blue").alias("b_blue"))
+    at = lambda df: known(df.join(sides, "bout", "left"), "boxer", feed.boxers, "boxer_known")
+    financials = check(
+        known(money.financials, "event", feed.events, "card"), "financials", [("bad_reference", "NOT card"), ("negative_amount", below("gate", "sold", "capacity", "site_fee", "buys", "price", "revenue"))], None,
+        [
+            ("implausible_amount", f"greatest(gate, site_fee, revenue) > {MOST_CARD}"), ("tickets_over_capacity", "sold > capacity"), ("ppv_revenue_mismatch", "buys * price > 0 AND abs(revenue - buys * price) / (buys * price) > 0.2"),
+            ("implausible_ppv_price", "price < 5 OR price > 150"), ("implausible_ticket_price", "sold > 0 AND (gate / sold < 5 OR gate / sold > 20000)"),
+        ],
+    )
+    total = "coalesce(total, coalesce(guaranteed, 0) + coalesce(bonus, 0))"
+    purses = check(
+        at(money.purses), "purse", [("bad_reference", "b_red IS NULL OR NOT boxer_known"), ("negative_amount", below("guaranteed", "bonus", "total")), ("empty_purse", "coalesce(guaranteed, bonus, total) IS NULL")], "dup_purse",
+        [("purse_not_in_bout", "boxer NOT IN (b_red, b_blue)"), ("implausible_purse", f"{total} > {MOST_PURSE}"), ("purse_total_below_guarantee", "total + 1 < guaranteed"), ("purse_parts_mismatch", parts("total", "guaranteed", "bonus"))],
+    )
+    broadcasts = check(
+        known(money.broadcasts, "event", feed.events, "card"), "broadcast",
+        [("bad_reference", "NOT card"), ("missing_broadcaster", "coalesce(trim(broadcaster), '') = ''"), ("bad_platform", "platform NOT IN ('ppv', 'streaming', 'subscription', 'free-tv')"), ("negative_amount", below("average", "peak"))], "dup_broadcast",
+        [("peak_below_average", "peak < average"), ("implausible_audience", f"coalesce(peak, average, 0) > {MOST_VIEWERS}")],
+    )
+    earnings = check(
+        known(money.earnings, "boxer", feed.boxers, "boxer_known"), "earning", [("bad_reference", "NOT boxer_known"), ("bad_year", f"NOT year BETWEEN 1900 AND {int(today[:4])}"), ("negative_amount", f"total IS NULL OR {below('total', 'ring', 'off_ring')}")], "dup_earning",
+        [("earning_parts_mismatch", parts("total", "ring", "off_ring")), ("implausible_earning", f"total > {2 * MOST_PURSE}")],
+    )
+    odd = " OR ".join(f"NOT {c} BETWEEN 85 AND 400" for c in ("official_lb", "night_lb", "limit_lb"))
+    weights = check(
+        at(money.weights), "weigh_in", [("bad_reference", "b_red IS NULL OR NOT boxer_known"), ("weigh_in_not_in_bout", "boxer NOT IN (b_red, b_blue)"), ("bad_weight", f"coalesce(official_lb, night_lb) IS NULL OR {below('official_lb', 'night_lb', 'limit_lb')}")], "dup_weigh_in",
+        [("implausible_weight", odd), ("fight_night_below_weigh_in", "night_lb < official_lb - 3")],
+    )
+    kept = Money(*[df.select(t.columns) for df, t in zip((financials, purses, broadcasts, earnings, weights), money)])
+    return reduce(DataFrame.unionByName, found), kept

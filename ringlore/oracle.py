@@ -275,7 +275,7 @@ fe AS (SELECT 'e' || event_id AS id, date AS day FROM league_events WHERE event_
 fx0 AS (SELECT bout_id AS k, CASE WHEN bout_id % 1009 = 1 THEN NULL ELSE 'x' || bout_id END AS id, CASE WHEN bout_id % 113 = 2 THEN 'e-1' ELSE 'e' || event_id END AS event, 'b' || red_id AS red, CASE WHEN bout_id % 127 = 3 THEN 'b' || red_id ELSE 'b' || blue_id END AS blue, cancelled,
     CASE WHEN bout_id % 131 = 4 THEN 'XX' WHEN upcoming AND bout_id % 13 = 1 THEN 'KO' WHEN cancelled AND bout_id % 3 = 0 THEN 'UD' ELSE method END AS method, CASE WHEN bout_id % 137 = 5 THEN 99 ELSE rounds END AS rounds, CASE WHEN bout_id % 139 = 6 THEN rounds + 1 ELSE end_round END AS end_round,
     CASE WHEN bout_id % 149 = 7 THEN NULL WHEN bout_id % 151 = 8 THEN 'b999999999' WHEN (upcoming AND bout_id % 13 = 1) OR (cancelled AND bout_id % 3 = 0) THEN 'b' || red_id ELSE 'b' || winner_id END AS winner, kd_red FROM bouts),
-fx1 AS (SELECT x.*, e.day, CASE WHEN x.id IS NULL THEN 'missing_id' WHEN e.id IS NULL OR r.id IS NULL OR u.id IS NULL THEN 'bad_reference' WHEN red = blue THEN 'same_fighter' WHEN k % 107 = 4 THEN 'unknown_division' WHEN method = 'XX' THEN 'unknown_method' WHEN rounds = 99 OR end_round > rounds OR end_round < 1 THEN 'bad_round'
+fx1 AS (SELECT x.*, e.day, CASE WHEN x.id IS NULL THEN 'missing_id' WHEN e.id IS NULL OR r.id IS NULL OR u.id IS NULL THEN 'bad_reference' WHEN red = blue THEN 'same_fighter' WHEN x.k % 107 = 4 THEN 'unknown_division' WHEN method = 'XX' THEN 'unknown_method' WHEN rounds = 99 OR end_round > rounds OR end_round < 1 THEN 'bad_round'
     WHEN (method IS NULL AND winner IS NOT NULL) OR (method IN ('DRAW', 'TDRAW', 'NC') AND winner IS NOT NULL) OR (method NOT IN ('DRAW', 'TDRAW', 'NC') AND winner IS NULL) THEN 'result_inconsistent' WHEN winner NOT IN (red, blue) THEN 'winner_not_in_bout' END AS err
     FROM fx0 x LEFT JOIN fe e ON e.id = event LEFT JOIN fb r ON r.id = red LEFT JOIN fb u ON u.id = blue),
 fx AS (SELECT * FROM fx1 WHERE err IS NULL),
@@ -512,7 +512,6 @@ _LAST = {
         p3 AS (SELECT a.id AS l, b.id AS r, 3 AS pass FROM (SELECT name, min(id) AS id, min(nation) AS nation FROM s WHERE id NOT IN (SELECT l FROM p12) GROUP BY name HAVING count(*) = 1) a
             JOIN (SELECT name, min(id) AS id, min(nation) AS nation FROM c WHERE id NOT IN (SELECT r FROM p12) GROUP BY name HAVING count(*) = 1) b ON a.name = b.name AND a.nation = b.nation)
         SELECT * FROM p12 UNION ALL SELECT * FROM p3""",
-    "dq02": """SELECT code, basis, count(*) AS n FROM (SELECT basis, CASE WHEN usd IS NULL THEN 'no-amount' WHEN usd <= 0 THEN 'not-positive' WHEN basis = 'estimated' AND usd > 90000 THEN 'large-estimate' WHEN usd > 100000 THEN 'very-large' END AS code FROM purses) WHERE code IS NOT NULL GROUP BY ALL""",
     "dq07": "SELECT event_id FROM league_events WHERE NOT cancelled AND event_id IN (SELECT event_id FROM bouts) AND event_id NOT IN (SELECT event_id FROM bouts WHERE method IS NOT NULL AND bout_id % 2 = 0)",
     "dq11": """@ok AS (SELECT boxer_id FROM careers WHERE sex = 'female' OR division NOT IN ('BUILDING', 'MACHINERY') OR (NOT boxer_id % 41 = 0 AND (boxer_id % 5 <> 0 OR boxer_id % 3 = 0))) SELECT count(*) FILTER (red_id IN (SELECT boxer_id FROM ok) AND blue_id IN (SELECT boxer_id FROM ok)) AS bouts, count(*) AS of FROM bouts""",
     "dq14": """SELECT 'many-draws' AS code, count(*) FILTER (draws > 6) AS n FROM careers UNION ALL SELECT 'no-losses', count(*) FILTER (losses = 0 AND bouts > 10) FROM careers UNION ALL SELECT 'very-young', (SELECT count(*) FROM (SELECT boxer_id, min(date) AS debut FROM won GROUP BY ALL) JOIN fighters USING (boxer_id) WHERE year(debut) - birth_year < 15)
@@ -585,7 +584,43 @@ official AS (
 _SUP = """sup AS (SELECT boxer_id, wins, losses, draws, wins + CASE WHEN NOT t THEN 0 WHEN boxer_id % 41 = 0 THEN -1 WHEN boxer_id % 5 = 0 THEN boxer_id % 3 ELSE 0 END AS sup_wins, losses + CASE WHEN t AND boxer_id % 82 = 0 THEN 1 ELSE 0 END AS sup_losses,
     draws - CASE WHEN t AND boxer_id % 123 = 0 THEN 1 ELSE 0 END AS sup_draws FROM (SELECT *, sex = 'male' AND division IN ('BUILDING', 'MACHINERY') AS t FROM careers)),
 rec AS (SELECT *, CASE WHEN wins > sup_wins OR losses > sup_losses OR draws > sup_draws THEN 'conflict' WHEN wins = sup_wins AND losses = sup_losses AND draws = sup_draws THEN 'complete' ELSE 'partial' END AS verdict FROM sup)"""
+def _money_told(n: str) -> str:
+    return f"CASE WHEN {n} % 43 = 6 THEN 'bad_basis' WHEN {n} % 47 = 7 THEN 'missing_source' END AS unnamed, {n} % 61 = 10 AS old, {n} % 53 = 8 AS bare, {n} % 53 <> 8 AND {n} % 59 = 9 AS ftp"
+
+
+_MONEY_FRAMES = {
+    "financials": f"""SELECT 'e' || event_id || '/desk' AS ref, 0 AS o, CASE WHEN event_id % 83 = 1 THEN 'bad_reference' WHEN event_id % 79 = 2 THEN 'negative_amount' END AS early, {_money_told('event_id')},
+        [CASE WHEN gate > 2e9 THEN 'implausible_amount' END, CASE WHEN sold > capacity THEN 'tickets_over_capacity' END, CASE WHEN buys * price > 0 AND abs(revenue - buys * price) / (buys * price) > 0.2 THEN 'ppv_revenue_mismatch' END, CASE WHEN price > 150 THEN 'implausible_ppv_price' END,
+        CASE WHEN gate / sold < 5 OR gate / sold > 20000 THEN 'implausible_ticket_price' END] AS w FROM (SELECT event_id, CASE WHEN event_id % 67 = 11 THEN 3e9 ELSE event_id % 1000 * 1000.0 END AS gate, event_id % 9000 + 100 AS sold, CASE WHEN event_id % 31 = 3 THEN 50 ELSE 20000 END AS capacity,
+        CASE WHEN event_id % 3 = 0 THEN event_id * 10 END AS buys, CASE WHEN event_id % 37 = 4 THEN 500 ELSE 60 END AS price, CASE WHEN event_id % 3 = 0 THEN event_id * 600 * CASE WHEN event_id % 41 = 5 THEN 2 ELSE 1 END END AS revenue FROM league_events)""",
+    "purse": f"""SELECT 'x' || bout_id || '/b' || who AS ref, CASE WHEN n % 89 = 2 THEN 'x-1' ELSE 'x' || bout_id END || '|' || bx AS o, CASE WHEN n % 89 = 2 THEN 'bad_reference' WHEN least(g, b, t) < 0 THEN 'negative_amount' WHEN coalesce(g, b, t) IS NULL THEN 'empty_purse' END AS early, {_money_told('n')},
+        [CASE WHEN bx NOT IN (boxer_id, opp_id) THEN 'purse_not_in_bout' END, CASE WHEN t > 6e8 THEN 'implausible_purse' END, CASE WHEN t + 1 < g THEN 'purse_total_below_guarantee' END, CASE WHEN abs(g + b - t) > greatest(1000, t * 0.02) THEN 'purse_parts_mismatch' END] AS w, g, b, t, n
+        FROM (SELECT *, CASE WHEN n % 97 = 3 THEN 6 ELSE who END AS bx, CASE WHEN n % 73 = 4 THEN -1 WHEN n % 71 = 5 THEN NULL WHEN n % 67 = 6 THEN u * 2 ELSE u * 0.75 END::DOUBLE AS g, CASE WHEN n % 71 = 5 THEN NULL WHEN n % 31 = 7 THEN u ELSE u * 0.25 END::DOUBLE AS b,
+        CASE WHEN n % 71 = 5 THEN NULL WHEN n % 103 = 8 THEN 7e8 ELSE u END::DOUBLE AS t FROM (SELECT bout_id, boxer_id, opp_id, bout_id + boxer_id AS n, (bout_id % 900 + 100) * 1000.0::DOUBLE AS u, CASE WHEN (bout_id + boxer_id) % 101 = 1 THEN opp_id ELSE boxer_id END AS who FROM won))""",
+    "broadcast": f"""SELECT 'e' || CASE WHEN event_id % 29 = 1 THEN event_id - 1 ELSE event_id END || '/one' AS ref, 'e' || event_id AS o, CASE WHEN event_id % 83 = 1 THEN 'bad_reference' WHEN event_id % 37 = 2 THEN 'missing_broadcaster' WHEN event_id % 31 = 3 THEN 'bad_platform' WHEN event_id % 41 = 4 THEN 'negative_amount' END AS early,
+        {_money_told('event_id')}, [CASE WHEN peak < event_id * 10 THEN 'peak_below_average' END, CASE WHEN peak > 4e8 THEN 'implausible_audience' END] AS w FROM (SELECT *, CASE WHEN event_id % 19 = 5 THEN event_id WHEN event_id % 67 = 6 THEN 500000000 ELSE event_id * 20 END AS peak FROM league_events)""",
+    "earning": f"""SELECT 'b' || CASE WHEN boxer_id % 29 = 1 THEN boxer_id - 1 ELSE boxer_id END || '/1999' AS ref, 'b' || boxer_id AS o, CASE WHEN boxer_id % 83 = 1 THEN 'bad_reference' WHEN boxer_id % 37 = 2 THEN 'bad_year' WHEN t IS NULL OR boxer_id % 41 = 5 THEN 'negative_amount' END AS early, {_money_told('boxer_id')},
+        [CASE WHEN abs(r + boxer_id * 50000 - t) > greatest(1000, t * 0.02) THEN 'earning_parts_mismatch' END, CASE WHEN t > 1.2e9 THEN 'implausible_earning' END] AS w
+        FROM (SELECT boxer_id, CASE WHEN boxer_id % 31 = 3 THEN NULL WHEN boxer_id % 23 = 4 THEN 1.3e9 ELSE boxer_id * 100000 END AS t, CASE WHEN boxer_id % 19 = 6 THEN boxer_id * 100000 ELSE boxer_id * 50000 END AS r FROM fighters)""",
+    "weigh_in": f"""SELECT 'x' || bout_id || '/b' || who AS ref, CASE WHEN n % 89 = 2 THEN 'x-1' ELSE 'x' || bout_id END || '|' || bx AS o, CASE WHEN n % 89 = 2 THEN 'bad_reference' WHEN bx NOT IN (boxer_id, opp_id) THEN 'weigh_in_not_in_bout' WHEN coalesce(g, b) IS NULL OR least(g, b) < 0 THEN 'bad_weight' END AS early, {_money_told('n')},
+        [CASE WHEN g NOT BETWEEN 85 AND 400 OR b NOT BETWEEN 85 AND 400 THEN 'implausible_weight' END, CASE WHEN b < g - 3 THEN 'fight_night_below_weigh_in' END] AS w, g, b, n
+        FROM (SELECT *, CASE WHEN n % 97 = 3 THEN 6 ELSE who END AS bx, CASE WHEN n % 73 = 4 THEN -1 WHEN n % 71 = 5 THEN NULL WHEN n % 67 = 6 THEN 30 ELSE official_lb END AS g, CASE WHEN n % 71 = 5 THEN NULL WHEN n % 31 = 7 THEN official_lb - 5 ELSE night_lb END AS b
+        FROM (SELECT *, bout_id + boxer_id AS n, CASE WHEN (bout_id + boxer_id) % 101 = 1 THEN opp_id ELSE boxer_id END AS who FROM weights))""",
+}
+_REPEATS = {"purse": "dup_purse", "broadcast": "dup_broadcast", "earning": "dup_earning", "weigh_in": "dup_weigh_in"}
+
+
+def _money(entity: str, frame: str) -> str:
+    """A repeat's warnings are those of whichever row is kept, so refs with a repeat are told by their number of rows alone."""
+    again = f"CASE WHEN count(*) OVER (PARTITION BY ref) > 1 THEN true ELSE false END" if entity in _REPEATS else "false"
+    return f"""SELECT 'error' AS severity, coalesce(early, unnamed) AS code, '{entity}' AS entity, ref AS id FROM ({frame}) WHERE coalesce(early, unnamed) IS NOT NULL
+        UNION ALL SELECT u.s, u.c, '{entity}', ref FROM (SELECT ref, unnest(list_filter(list_concat([CASE WHEN old THEN {{'s': 'warning', 'c': 'bad_retrieved_at'}} END, CASE WHEN ftp THEN {{'s': 'warning', 'c': 'bad_source_url'}} END], list_transform(w, lambda c: CASE WHEN c IS NOT NULL THEN {{'s': 'warning', 'c': c}} END)), lambda x: x IS NOT NULL)) AS u
+            FROM (SELECT *, {again} AS again FROM ({frame}) WHERE coalesce(early, unnamed) IS NULL) WHERE NOT again)
+        {f"UNION ALL SELECT 'error', '{_REPEATS[entity]}', '{entity}', ref FROM (SELECT ref, unnest(range(count(*) - 1)) FROM ({frame}) WHERE coalesce(early, unnamed) IS NULL GROUP BY ref HAVING count(*) > 1)" if entity in _REPEATS else ''}"""
+
+
 _STORIES = {
+    "dq02": " UNION ALL ".join(_money(k, v) for k, v in _MONEY_FRAMES.items()),
     "srch08": "SELECT p_partkey AS id, p_name AS name, p_size::BIGINT AS rank, 0::BIGINT AS slips FROM part WHERE contains(lower(p_name), 'red') AND contains(lower(p_name), 'widg')",
     "srch02": """SELECT id, name, rank, sum(d)::BIGINT AS slips FROM (SELECT p_partkey AS id, p_name AS name, p_size::BIGINT AS rank, asked, min(damerau_levenshtein(word, asked)) AS d FROM (SELECT *, unnest(string_split(lower(p_name), ' ')) AS word FROM part),
         (VALUES ('smlal', 1), ('widgte', 1)) v(asked, most) WHERE damerau_levenshtein(word, asked) <= most GROUP BY ALL) GROUP BY ALL HAVING count(*) = 2""",
