@@ -17,7 +17,7 @@ def test_core_of_long_and_short_careers(spark):
     pairs = [(1, 2), (2, 3), (3, 4), (4, 5), (6, 7), (7, 8), (9, 11), (12, 41)]
     met = pairs + [(b, a) for a, b in pairs]
     ids = sorted({a for a, _ in met} | {30})
-    careers = spark.createDataFrame([(i, 50 if i in (6, 8) else 100 if i in (7, 9, 30) else 3, 20, 2) for i in ids], "boxer_id long, wins long, losses long, draws long")
+    careers = spark.createDataFrame([(i, 50 if i in (6, 8) else 100 if i in (7, 9, 30) else 3, 20, 2, "male", "BUILDING") for i in ids], "boxer_id long, wins long, losses long, draws long, sex string, division string")
     w = SimpleNamespace(careers=careers, counted=spark.createDataFrame(met, "boxer_id long, opp_id long"))
     complete = {r.boxer_id for r in merging.reconciliation(w).where("verdict = 'complete'").collect()}
     assert complete == set(ids) - {5, 41}
