@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import text_of
-from .textcodes import slices
+from .textcodes import give_back, slices
 
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4)
 #: characters that are scored at a time
@@ -181,7 +181,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return train([], np.zeros(0, np.int64))
     keys = docs.sparkSession.createDataFrame(chosen, T.StructType([texts.schema["_id"], T.StructField("_quality", T.IntegerType())]))
     got = texts.join(F.broadcast(keys), "_id").groupBy("_id", "_quality").agg(F.max("_text").alias("_text")).orderBy("_id").toArrow()
-    return train(got["_text"].to_pylist(), got["_quality"].to_numpy().astype(np.int64))
+    labels, texts = got["_quality"].to_numpy().astype(np.int64), got["_text"].to_pylist()
+    del got
+    model = train(texts, labels)
+    del texts
+    give_back()
+    return model
 
 
 def _score_task(model: Model):
