@@ -11,7 +11,7 @@ def join_per_key(rows: DataFrame, table: DataFrame, key: str, total: int, most_h
 
     ``total``: the number of rows, or more.  Keys of more than ``total / most_heavy`` rows (and of more than 64), fewer
     than ``most_heavy`` by arithmetic, are broadcast and their rows dealt evenly; the others meet by a shuffle.
-    Keys are longs.
+    Keys are longs or strings.
     """
     limit = max(64, total // most_heavy)
     own = [c for c in table.columns if c != key]
@@ -19,6 +19,6 @@ def join_per_key(rows: DataFrame, table: DataFrame, key: str, total: int, most_h
     rest = table.where(F.col("n") <= limit).select(F.col(key).alias("_key"), F.struct(*own).alias("_rest"))
     x = rows.join(F.broadcast(heavy), key, "left")
     # a heavy key's rows are sent anywhere; what they might meet there is not looked at
-    x = x.withColumn("_key", F.when(F.col("_heavy").isNotNull(), F.xxhash64(*rows.columns)).otherwise(F.col(key)))
+    x = x.withColumn("_key", F.when(F.col("_heavy").isNotNull(), F.xxhash64(*rows.columns).cast(rows.schema[key].dataType)).otherwise(F.col(key)))
     x = x.join(rest, "_key", "left").withColumn("_found", F.coalesce("_heavy", "_rest")).where("_found IS NOT NULL")
     return x.select(*rows.columns, "_found.*")
