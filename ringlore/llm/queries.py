@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, packing, pii, quality, sharding, simhash, token_store, tool_chat
+from . import ann, bpe, exact_dedup, manifest, packing, pii, quality, sharding, simhash, token_store, tool_chat
 from .common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +80,22 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op12_merkle_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document. Nulls are leaves like others, rows of a null id are never tampered with, repeated rows each have a leaf."""
+    docs = _table(spark, sf_dir, "documents")
+    # what tampering makes of a row: its letters A-Z in lower case, where 3 divides the checksum of its id
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, lowered).otherwise(F.col("text"))
+    docs = docs.withColumn("altered", manifest.leaf_digest([tampered if f == "text" else F.col(f) for f in manifest.FIELDS]))
+    path = new_path(spark, "merkle-store")
+    manifest.write_manifest(docs, path, carry=("altered",))
+    proved = manifest.prove(spark, path)
+    proved = proved.withColumn("folded_root", manifest.folded(F.col("carry_altered"), F.col("path")))
+    return proved.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -92,9 +109,14 @@ QUERIES: dict[str, Query] = {
         op8_learned_partitions,
         op9_byte_level_bpe,
         op10_quality_classifier,
+        op12_merkle_descent,
     )
 }
 
+#: The unsigned crc32 of a column's decimal digits: a table-free loop over bytes and bits.
+_CRC32 = """xor(4294967295, list_reduce([4294967295] || list_transform(string_split({}::VARCHAR, ''), lambda c: ascii(c)),
+    lambda x, b: list_reduce([xor(x, b)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)))"""
+
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
@@ -121,4 +143,39 @@ ORACLE_SQL = {
                 || '","result":' || CASE WHEN linked THEN to_json(content) ELSE 'null' END || '}' AS line,
             row_number() OVER (PARTITION BY conv_id ORDER BY level, turn, call_id) - 1 AS position
         FROM joined""",
+    "op12_merkle_descent": f"""
+        WITH RECURSIVE fields AS (
+            SELECT doc_id, lang, a, b, text, doc_id IS NOT NULL AND {_CRC32.format("coalesce(doc_id, 0)")} % 3 = 0 AS hit FROM (
+                SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+                    coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS b FROM documents)),
+        leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS branch FROM (
+                SELECT doc_id, lang, sha256(a || b || coalesce(strlen(text) || ':' || text, '-')) AS leaf, CASE WHEN hit
+                    THEN sha256(a || b || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) ELSE leaf END AS altered FROM fields)),
+        nodes AS (
+            SELECT branch, 0 AS level, rank AS pos, leaf AS h, count(*) OVER (PARTITION BY branch) AS n FROM leaves
+            UNION ALL
+            SELECT branch, level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM nodes WHERE n > 1 GROUP BY branch, level, pos // 8),
+        trunk AS (
+            SELECT 0 AS level, branch AS pos, h, count(*) OVER () AS n FROM nodes WHERE n = 1
+            UNION ALL
+            SELECT level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM trunk WHERE n > 1 GROUP BY level, pos // 8),
+        siblings AS (
+            SELECT a.branch, a.level, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before,
+                coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+            FROM nodes a JOIN nodes b ON a.branch = b.branch AND a.level = b.level AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY ALL
+            UNION ALL
+            SELECT NULL, a.level, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), ''), coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '')
+            FROM trunk a JOIN trunk b ON a.level = b.level AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY ALL),
+        tops AS (SELECT branch, level AS height, h AS subroot FROM nodes WHERE n = 1),
+        folds AS (
+            SELECT row_number() OVER () AS id, doc_id, leaf, branch, rank AS pos, 0 AS level, altered AS h, '' AS proof, false AS up FROM leaves
+            UNION ALL
+            SELECT f.id, f.doc_id, f.leaf, f.branch, CASE WHEN s.pos IS NULL THEN f.branch ELSE f.pos // 8 END, CASE WHEN s.pos IS NULL THEN 0 ELSE f.level + 1 END,
+                CASE WHEN s.pos IS NULL THEN f.h ELSE sha256(s.before || f.h || s.after) END, CASE WHEN s.pos IS NULL THEN f.proof ELSE f.proof || s.before || s.after END, f.up OR s.pos IS NULL
+            FROM folds f LEFT JOIN siblings s ON s.branch IS NOT DISTINCT FROM CASE WHEN f.up THEN NULL ELSE f.branch END AND s.level = f.level AND s.pos = f.pos
+            WHERE s.pos IS NOT NULL OR NOT f.up),
+        ends AS (SELECT * FROM folds WHERE up QUALIFY row_number() OVER (PARTITION BY id ORDER BY level DESC) = 1)
+        SELECT e.doc_id, e.leaf, t.subroot, r.h AS root, sha256(e.proof) AS proof_sha256, e.h AS folded_root, e.h = r.h AS verified
+        FROM ends e JOIN tops t ON t.branch = e.branch, (SELECT h FROM trunk WHERE n = 1) r""",
 }
