@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, manifest, packing, pii, quality, sharding, simhash, token_store, tool_chat
+from . import ann, bpe, exact_dedup, manifest, packing, pii, prefix_trie, quality, sharding, simhash, token_store, tool_chat
 from .common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per node. Turns of a null conversation belong to none; a null turn comes first; repeated turns each count."""
+    return prefix_trie.prefix_nodes(prefix_trie.rebuilt(prefix_trie.conversation_rows(_table(spark, sf_dir, "conversations"))))
+
+
 def op12_merkle_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per document. Nulls are leaves like others, rows of a null id are never tampered with, repeated rows each have a leaf."""
     docs = _table(spark, sf_dir, "documents")
@@ -109,6 +114,7 @@ QUERIES: dict[str, Query] = {
         op8_learned_partitions,
         op9_byte_level_bpe,
         op10_quality_classifier,
+        op11_prefix_trie,
         op12_merkle_descent,
     )
 }
@@ -143,6 +149,26 @@ ORACLE_SQL = {
                 || '","result":' || CASE WHEN linked THEN to_json(content) ELSE 'null' END || '}' AS line,
             row_number() OVER (PARTITION BY conv_id ORDER BY level, turn, call_id) - 1 AS position
         FROM joined""",
+    "op11_prefix_trie": f"""
+        WITH own AS (
+            SELECT conv_id, list(sha256(strlen(r) || ':' || r || t) ORDER BY turn NULLS FIRST, r, sha256(t)) AS turns,
+                list(len(list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) ORDER BY turn NULLS FIRST, r, sha256(t)) AS words
+            FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+        heads AS (SELECT *, {_CRC32.format("conv_id")} % 4 AS h FROM own),
+        paths AS (
+            SELECT c.conv_id, coalesce(b.turns[1:c.h], []) || c.turns[c.h + 1:] AS turns, coalesce(b.words[1:c.h], []) || c.words[c.h + 1:] AS words
+            FROM heads c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20),
+        prefixes AS (SELECT conv_id, len(turns) AS own_depth, unnest(range(len(turns) + 1)) AS depth, turns, words FROM paths),
+        nodes AS (
+            SELECT turns[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN depth > 0 THEN words[depth] ELSE 0 END) AS words,
+                sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (own_depth = depth), '')) AS ends_sha256
+            FROM prefixes GROUP BY turns[1:depth], depth),
+        kids AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+        whole AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (path)),
+        above AS (SELECT path[1:d] AS path, (n_children = 0)::INT AS leaf, (n_convs - 1) * words AS saved FROM (SELECT *, unnest(range(depth + 1)) AS d FROM whole)),
+        sums AS (SELECT path, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM above GROUP BY path)
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+        FROM whole n JOIN sums USING (path) LEFT JOIN whole p ON n.depth > 0 AND p.path = n.path[1:n.depth - 1]""",
     "op12_merkle_descent": f"""
         WITH RECURSIVE fields AS (
             SELECT doc_id, lang, a, b, text, doc_id IS NOT NULL AND {_CRC32.format("coalesce(doc_id, 0)")} % 3 = 0 AS hit FROM (
