@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def join_per_key(rows: DataFrame, table: DataFrame, key: str, total: int, most_heavy: int = 1000) -> DataFrame:
+def join_per_key(rows: DataFrame, table: DataFrame, key: str | list[str], total: int, most_heavy: int = 1000) -> DataFrame:
     """``rows`` inner-joined with ``table``, which has one row per key and, in ``n``, how many rows have that key.
 
     ``total``: the number of rows, or more.  Keys of more than ``total / most_heavy`` rows (and of more than 64), fewer
     than ``most_heavy`` by arithmetic, are broadcast and their rows dealt evenly; the others meet by a shuffle.
-    Keys are longs or strings.
+    Keys are one or several columns, the first of them a long or a string.
     """
+    keys = [key] if isinstance(key, str) else key
     limit = max(64, total // most_heavy)
-    own = [c for c in table.columns if c != key]
-    heavy = table.where(F.col("n") > limit).select(key, F.struct(*own).alias("_heavy"))
-    rest = table.where(F.col("n") <= limit).select(F.col(key).alias("_key"), F.struct(*own).alias("_rest"))
-    x = rows.join(F.broadcast(heavy), key, "left")
+    own = [c for c in table.columns if c not in keys]
+    heavy = table.where(F.col("n") > limit).select(*keys, F.struct(*own).alias("_heavy"))
+    rest = table.where(F.col("n") <= limit).select(F.col(keys[0]).alias("_key"), *keys[1:], F.struct(*own).alias("_rest"))
+    x = rows.join(F.broadcast(heavy), keys, "left")
     # a heavy key's rows are sent anywhere; what they might meet there is not looked at
-    x = x.withColumn("_key", F.when(F.col("_heavy").isNotNull(), F.xxhash64(*rows.columns).cast(rows.schema[key].dataType)).otherwise(F.col(key)))
-    x = x.join(rest, "_key", "left").withColumn("_found", F.coalesce("_heavy", "_rest")).where("_found IS NOT NULL")
+    anywhere = F.xxhash64(*rows.columns).cast(rows.schema[keys[0]].dataType)
+    x = x.withColumn("_key", F.when(F.col("_heavy").isNotNull(), anywhere).otherwise(F.col(keys[0])))
+    x = x.join(rest, ["_key", *keys[1:]], "left").withColumn("_found", F.coalesce("_heavy", "_rest")).where("_found IS NOT NULL")
     return x.select(*rows.columns, "_found.*")
