@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, manifest, packing, pii, prefix_trie, quality, sharding, simhash, token_store, tool_chat
+from . import ann, bpe, exact_dedup, manifest, packing, pii, prefix_trie, quality, repeats, sharding, simhash, token_store, tool_chat
 from .common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,12 @@ def op12_merkle_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_fm_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document. Null and empty texts have no words; repeated ids and rows as :func:`repeats.remove_repeats` says."""
+    found = repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -116,6 +122,7 @@ QUERIES: dict[str, Query] = {
         op10_quality_classifier,
         op11_prefix_trie,
         op12_merkle_descent,
+        op13_fm_index_repeats,
     )
 }
 
@@ -204,4 +211,15 @@ ORACLE_SQL = {
         ends AS (SELECT * FROM folds WHERE up QUALIFY row_number() OVER (PARTITION BY id ORDER BY level DESC) = 1)
         SELECT e.doc_id, e.leaf, t.subroot, r.h AS root, sha256(e.proof) AS proof_sha256, e.h AS folded_root, e.h = r.h AS verified
         FROM ends e JOIN tops t ON t.branch = e.branch, (SELECT h FROM trunk WHERE n = 1) r""",
+    "op13_fm_index_repeats": r"""
+        WITH split AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+        each AS (SELECT doc_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM split),
+        joined AS (SELECT *, i + 19 <= n AS whole, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS win FROM each),
+        windows AS (SELECT *, whole AND row_number() OVER (PARTITION BY whole, win ORDER BY doc_id NULLS LAST, i) > 1 AS again FROM joined),
+        covered AS (SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM windows),
+        kept AS (
+            SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+            FROM covered GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
+        FROM split d LEFT JOIN kept k ON k.doc_id IS NOT DISTINCT FROM d.doc_id""",
 }
