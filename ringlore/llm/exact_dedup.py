@@ -4,13 +4,13 @@ Texts are equal when their SHA-256 after white space normalisation is equal.  A
 (Spark's ``freqItems``: at most ``1 / support`` counters, no frequent digest missed) proposes the
 frequent digests; their exact counts are then taken, and the winners, at most ``1 / support`` rows by
 arithmetic, are broadcast: their copies are settled on the map side and never shuffled.  All other
-digests, none with more than ``support`` of the rows, go through one ordinary shuffle.  ``support`` falls as the
-rows grow, so that no such group has more than about a million rows.
+digests are counted with partial sums before a shuffle, and rows of digests that occur more than once meet
+their count in a join, so no group of equal rows is gathered anywhere, however many rows there are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep_marked, text_of, written
@@ -24,8 +24,8 @@ def digest_of(text_col: str = "text") -> Column:
 
 
 def support_for(rows: int) -> float:
-    """The share of rows from which a digest counts as frequent."""
-    return min(5e-4, max(1e-5, 1e6 / max(1, rows)))
+    """The share of rows from which a digest counts as frequent; ``freqItems`` takes no smaller one than 1e-4."""
+    return min(5e-4, max(1e-4, 1e6 / max(1, rows)))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float | None = None) -> DataFrame:
@@ -51,9 +51,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     winners = written(winners, "heavy-digests")
     heavy = rows.join(F.broadcast(winners), "digest")
-    group = Window.partitionBy("digest")
     rest = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-    rest = rest.withColumn("size", F.count("*").over(group)).withColumn("first", F.min(order).over(group))
+    several = rest.groupBy("digest").agg(F.count("*").alias("size"), F.min(order).alias("first")).where("size > 1")
+    rest = rest.join(several, "digest", "left").withColumn("size", F.coalesce("size", F.lit(1))).withColumn("first", F.coalesce("first", order))
     return heavy.unionByName(rest).select(
         F.col("id").alias(id_col),
         F.col("first.id").alias("keep_id"),
