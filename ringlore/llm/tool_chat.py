@@ -15,21 +15,68 @@ from pyspark.sql import functions as F
 
 from .common import numbered, written
 
+#: nesting up to which a call's arguments count as JSON
+DEEPEST = 100
+
 _KINDS: dict[str, tuple[type, ...]] = {"string": (str,), "integer": (int,), "number": (int, float), "boolean": (bool,), "array": (list,), "object": (dict,), "null": (type(None),)}
 
 
 def canonical(value: Any) -> str:
     """JSON with sorted keys, no spaces, and letters as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def parsed(text: str | None) -> tuple[Any, str | None]:
+    """The value of a JSON text, or the text itself and what is wrong with it.
+
+    Numbers that JSON does not have, lone surrogates (which no encoding can write) and nesting beyond ``DEEPEST`` are refused.
+    """
+
+    def refuse(name: str) -> None:
+        raise ValueError(name)
+
+    try:
+        value = json.loads(text or "", parse_constant=refuse)
+        open_, depth = [value], 0
+        while open_:
+            depth += 1
+            if depth > DEEPEST:
+                return text, "arguments are nested too deeply"
+            open_ = [x for v in open_ if isinstance(v, (list, dict)) for x in (v.values() if isinstance(v, dict) else v)]
+        canonical(value).encode()
+    except UnicodeEncodeError:
+        return text, "arguments hold a lone surrogate"
+    except RecursionError:
+        return text, "arguments are nested too deeply"
+    except ValueError:
+        return text, "arguments are no JSON"
+    return value, None
+
+
+def _same(a: Any, b: Any) -> bool:
+    """Equal as JSON: true is not 1, and 1.0 is."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(a[k], b[k]) for k in a)
+    return a == b
+
+
+def _is_kind(value: Any, kind: str) -> bool:
+    if isinstance(value, bool):
+        return kind == "boolean"
+    return isinstance(value, _KINDS[kind]) or kind == "integer" and isinstance(value, float) and value.is_integer()
 
 
 def first_problem(value: Any, schema: dict[str, Any], at: str = "$") -> str | None:
     """Why the value does not fit the schema, or None. Knows types, enums, bounds, lengths, items and properties."""
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds or []
-    if kinds and not any(isinstance(value, _KINDS[k]) and (not isinstance(value, bool) or k == "boolean") for k in kinds):
+    if kinds and not any(_is_kind(value, k) for k in kinds):
         return f"{at}: not of type {'|'.join(kinds)}"
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(_same(value, x) for x in schema["enum"]):
         return f"{at}: not one of the allowed values"
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         if value < schema.get("minimum", value):
@@ -89,7 +136,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str
     ``calls``: ``conv_id``, ``turn``, ``call_id``, ``name``, ``arguments`` (JSON text), ``depends_on`` (array of ids).
     ``results``: ``conv_id``, ``call_id``, ``turn``, ``content``.  ``schemas``: JSON schema of each tool's arguments.
     Of several calls or results of one identifier the one of the first turn counts.  ``problem`` says what is wrong
-    with a call (unknown tool, no JSON, schema, circular dependency); such calls are kept, with ``valid`` false.
+    with a call (unknown tool, no JSON, a lone surrogate, nesting over ``DEEPEST``, schema, circular dependency); such calls are kept, with ``valid`` false.
     Null or empty arguments are no JSON.  A call without a result has ``linked`` false and a null result.  Results
     without a call are not returned.  Null identifiers link to nothing and are left out.  Other columns are not read.
     """
@@ -107,11 +154,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str
         import pandas as pd
 
         def one(i, tool, text, result, has, circular):  # noqa: ANN001, ANN202
-            value, problem = text, None
-            try:
-                value = json.loads(text or "")
-            except ValueError:
-                problem = "arguments are no JSON"
+            value, problem = parsed(text)
             if problem is None:
                 problem = first_problem(value, schemas[tool]) if tool in schemas else "unknown tool"
             problem = problem or ("circular dependency" if circular else None)

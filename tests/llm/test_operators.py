@@ -429,3 +429,33 @@ def test_pipeline(spark, tmp_path):
             assert set(after) == set(before) and all(t == before[i] or pii.base_spans(before[i]) for i, t in after.items()) and not any("@mail" in t for t in after.values())
     encode = library(BYTE)
     assert {r.doc_id: r.n for r in rows.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == {i: len(encode(t)) + 1 for i, t in before.items()}
+
+
+def test_support_stays_within_what_the_counters_take(spark):
+    for rows in (0, 10, 10**9, 2 * 10**10, 10**13):
+        assert 1e-4 <= exact_dedup.support_for(rows) <= 5e-4
+    # a group that is not frequent is joined with its count, however large
+    docs = spark.createDataFrame([(i, "same" if i % 2 else f"t{i // 4}") for i in range(4000)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs, support=0.9).collect()}
+    assert got == {i: (1, 2000, i == 1) if i % 2 else (i - i % 4, 2, i % 4 == 0) for i in range(4000)}
+
+
+def test_arguments_that_are_no_json(spark):
+    texts = {
+        "surrogate": '{"text":"\\ud800","limit":30}', "pair": '{"text":"\\ud83d\\ude00","limit":30}', "deep": "[" * 200_000 + "]" * 200_000, "rather deep": "[" * 150 + "]" * 150,
+        "nan": '{"text":"x","limit":NaN}', "infinite": '{"text":"x","limit":1e999}', "whole float": '{"text":"x","limit":30.0}', "true": '{"text":"x","limit":true}', "none": None,
+    }
+    calls = spark.createDataFrame([(1, i, k, "search", t, []) for i, (k, t) in enumerate(texts.items())], "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    got = {r.call_id: r for r in tool_chat.link_calls(calls, results, tool_chat.SCHEMAS).collect()}
+    assert {k: r.problem for k, r in got.items()} == {
+        "surrogate": "arguments hold a lone surrogate", "pair": None, "deep": "arguments are nested too deeply", "rather deep": "arguments are nested too deeply", "nan": "arguments are no JSON",
+        "infinite": "arguments are no JSON", "whole float": None, "true": "$.limit: not of type integer", "none": "arguments are no JSON",
+    }
+    for k, r in got.items():
+        assert json.loads(r.line, parse_constant=lambda _: 1 / 0)["arguments"] == (json.loads(texts[k]) if k in ("pair", "whole float", "true") else texts[k])
+
+
+def test_enum_tells_true_from_one():
+    schema = {"enum": [1, "a", [True]]}
+    assert [tool_chat.first_problem(x, schema) is None for x in (1, 1.0, True, "a", [True], [1])] == [True, True, False, True, True, False]
