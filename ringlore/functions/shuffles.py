@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def join_per_key(rows: DataFrame, table: DataFrame, key: str | list[str], total: int, most_heavy: int = 1000) -> DataFrame:
     """``rows`` inner-joined with ``table``, which has one row per key and, in ``n``, how many rows have that key.
@@ -24,3 +26,32 @@ def join_per_key(rows: DataFrame, table: DataFrame, key: str | list[str], total:
     x = x.withColumn("_key", F.when(F.col("_heavy").isNotNull(), anywhere).otherwise(F.col(keys[0])))
     x = x.join(rest, ["_key", *keys[1:]], "left").withColumn("_found", F.coalesce("_heavy", "_rest")).where("_found IS NOT NULL")
     return x.select(*rows.columns, "_found.*")
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, values: list[str], strict: bool = False, ties: list[str] | None = None) -> DataFrame:
+    """JOIN11, JOIN12: each row of ``left`` with ``values`` of the last row of ``right`` of its key at or before (``strict``: before) its own ``at``.
+
+    Of right rows of one key and time the last in order of ``ties`` counts (none given: of their values).  Rows of ``left`` without a match, or
+    with a null key or time, have nulls.  Both sides are dealt by ranges of (key, time), so a key of any size falls into several
+    tasks; the last value of a range is carried into the next ones of its key by a table of a few rows a range.
+    """
+    ties = ties or values
+    own, theirs = F.struct(*left.columns), F.struct(*values)
+    known = right.where(F.col(key).isNotNull() & F.col(at).isNotNull())
+    shape = [F.col(key).alias("key"), F.col(at).alias("at")]
+    # at the same time, what is looked up stands before who looks, or behind
+    a = left.select(*shape, F.lit(0 if strict else 1).alias("side"), F.lit(None).cast(known.select(F.struct(*ties)).schema[0].dataType).alias("tie"), own.alias("own"), F.lit(None).cast(known.select(theirs).schema[0].dataType).alias("value"))
+    b = known.select(*shape, F.lit(1 if strict else 0).alias("side"), F.struct(*ties).alias("tie"), F.lit(None).cast(left.select(own).schema[0].dataType).alias("own"), theirs.alias("value"))
+    order = ["key", "at", "side", "tie"]
+    rows = written(a.unionByName(b), "as-of-rows").repartitionByRange(*order, F.xxhash64("own")).sortWithinPartitions(*order)
+    rows = written(rows.withColumn("place", F.monotonically_increasing_id()).withColumn("range", F.shiftright("place", 33)), "as-of-ranges")
+    upto = Window.partitionBy("range", "key").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumn("found", F.last("value", ignorenulls=True).over(upto)).where("own IS NOT NULL")
+    # keys that a range begins with may have begun in one before it
+    edges = rows.groupBy("range").agg(F.min_by("key", "place").alias("key")).where("key IS NOT NULL")
+    lasts = rows.where("value IS NOT NULL").join(F.broadcast(edges.select("key").distinct()), "key").groupBy("range", "key").agg(F.max_by("value", "place").alias("value"))
+    before = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = edges.join(lasts, ["range", "key"], "full").withColumn("carried", F.last("value", ignorenulls=True).over(before)).where("carried IS NOT NULL")
+    out = inside.join(F.broadcast(carried.select("range", "key", "carried")), ["range", "key"], "left").withColumn("found", F.coalesce("found", "carried"))
+    found = F.when(F.col("own").getField(key).isNotNull() & F.col("own").getField(at).isNotNull(), F.col("found"))
+    return out.select("own.*", *[found.getField(v).alias(v) for v in values])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import months_before
+from ..functions.shuffles import as_of
 from ..plans.league import League
 
 
@@ -26,13 +27,32 @@ def head_trainer(w: League, start_required: bool = False) -> DataFrame:
     return x.groupBy("bout_id", "boxer_id").agg(F.min_by("person_id", F.struct("start", "person_id")).alias("trainer_id"))
 
 
-def rating_at(w: League, day: dt.date, strict: bool = False) -> DataFrame:
-    """JOIN11 for all fighters on one day: the last rating up to it, 1500 before any."""
-    upto = F.col("date") < F.lit(day) if strict else F.col("date") <= F.lit(day)
-    got = w.counted.where(upto).groupBy("boxer_id").agg(F.max_by("post", F.struct("date", "bout_id")).alias("rating"))
+def rating_on(w: League, day: dt.date) -> DataFrame:
+    """The rating of every fighter at the end of one day, 1500 before any bout: one aggregate, since the day is the same for all."""
+    got = w.counted.where(F.col("date") <= F.lit(day)).groupBy("boxer_id").agg(F.max_by("post", F.struct("date", "bout_id")).alias("rating"))
     return w.fighters.select("boxer_id").join(got, "boxer_id", "left").select("boxer_id", F.coalesce("rating", F.lit(1500.0)).alias("rating"))
 
 
+def rating_at(w: League, rows: DataFrame, strict: bool = False) -> DataFrame:
+    """JOIN11, JOIN12: ``rows`` (``boxer_id``, ``date`` and others) with each one's ``rating`` on its own day, 1500 before any bout.
+
+    A bout on that day counts unless ``strict``; of several on one day the last by id.
+    """
+    after = w.counted.select("boxer_id", "date", "bout_id", F.col("post").alias("rating"))
+    return as_of(rows, after, "boxer_id", "date", ["rating"], strict, ties=["bout_id"]).withColumn("rating", F.coalesce("rating", F.lit(1500.0)))
+
+
+def stint_start_ratings(w: League) -> DataFrame:
+    """JOIN11: ratings at the start of stints."""
+    starts = w.stints.where("start IS NOT NULL").select("boxer_id", "person_id", F.col("start").alias("date"))
+    return rating_at(w, starts)
+
+
+def ratings_going_in(w: League) -> DataFrame:
+    """JOIN12: ratings before the day of each bout, of its red corner."""
+    return rating_at(w, w.bouts.select("bout_id", F.col("red_id").alias("boxer_id"), "date"), strict=True).select("bout_id", "boxer_id", "rating")
+
+
 def head_to_head(w: League) -> DataFrame:
     """JOIN06: pairs that met three times or more, with the record of the one of smaller id."""
     a, b = F.least("red_id", "blue_id").alias("a_id"), F.greatest("red_id", "blue_id").alias("b_id")

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_if
+from ..functions.names import folded, name_key
 from ..plans.league import League
 from ..sources import star
 from ..storage import written
-from .canon import ACCENTED, PLAIN, fnv1a
-from .documents import name_key
+from .canon import fnv1a
+from .documents import name_key as sorted_words_key
 from .validation import validated_money
 
 def day_functions(w: League) -> DataFrame:
@@ -43,44 +44,78 @@ def array_functions(w: League) -> DataFrame:
     return w.raw("part").select("p_partkey", F.array_join(F.array_sort(F.array_distinct(words)), "|").alias("sorted"), F.array_join(F.slice(words, 1, 2), "|").alias("first_two"), F.forall(words, lambda x: F.length(x) >= 4).alias("all_long"))
 
 
-def folded_names(w: League) -> DataFrame:
-    """FN01: ASCII folding of names: marks dropped and case folded by a table of Latin letters."""
-    accented, plain = "áàâäãåéèêëíìîïóòôöõúùûüçñß", "aaaaaaeeeeiiiiooooouuuucns"
-    t = F.translate(F.lower("text"), accented, plain)
-    return w.raw("documents").select("doc_id", F.md5(F.regexp_replace(t, "[^a-z ]", "")).alias("folded"))
+def folded_texts(w: League) -> DataFrame:
+    """FN01: documents as spellings meet."""
+    return w.raw("documents").select("doc_id", F.md5(folded(F.col("text"))).alias("folded"))
 
 
 def duplicate_profiles(profiles: DataFrame, least: int = 3) -> DataFrame:
-    """LNK01: profiles (``boxer_id``, ``name``, ``birth_year``, ``bouts``) of one folded name and birth year and ``least`` bouts or more; the busiest is kept.
+    """LNK01: one person under several profiles: the same folded name, birth year and career total of ``least`` bouts or more.
 
-    Profiles without a birth year are left alone.
+    ``profiles``: ``boxer_id``, ``name``, ``birth_year``, ``wins``, ``losses``, ``draws`` (the total as the supplier counts it) and ``bouts``
+    (how many are held).  The busiest profile is kept, of equals the one of smaller id.  A name without letters, an unknown year or an
+    unknown total meets nobody.  Returns ``key``, ``birth_year``, ``n``, ``keep_id`` and ``ids`` (all of the group, ascending).
     """
-    key = F.regexp_replace(F.translate(F.lower("name"), ACCENTED, PLAIN), "[^a-z0-9]+", "")
-    x = profiles.where(F.col("birth_year").isNotNull() & (F.col("bouts") >= least)).groupBy(key.alias("key"), "birth_year")
-    return x.agg(F.count("*").alias("n"), F.max_by("boxer_id", F.struct("bouts", F.negative("boxer_id"))).alias("keep_id")).where("n > 1")
+    total = ["wins", "losses", "draws"]
+    known = profiles.dropna(subset=["birth_year", *total]).where(F.col("wins") + F.col("losses") + F.col("draws") >= least)
+    x = known.withColumn("key", name_key(F.col("name"))).where("key IS NOT NULL").groupBy("key", "birth_year", *total)
+    x = x.agg(F.count("*").alias("n"), F.max_by("boxer_id", F.struct("bouts", F.negative("boxer_id"))).alias("keep_id"), F.array_sort(F.collect_list("boxer_id")).alias("ids"))
+    return x.where("n > 1").select("key", "birth_year", "n", "keep_id", "ids")
 
 
-def three_pass_linkage(left: DataFrame, right: DataFrame) -> DataFrame:
-    """LNK04: ``left`` rows linked to ``right`` rows (both: ``id``, ``external_id``, ``name``, ``year``, ``nation``).
+def merged_profiles(profiles: DataFrame, bouts: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """LNK01: profiles without those that are another's copy, and bouts (``red_id``, ``blue_id``, ``winner_id``) that name the kept ones."""
+    groups = duplicate_profiles(profiles, least).select("keep_id", F.explode("ids").alias("gone"))
+    into = written(groups.where("gone <> keep_id"), "merged-profiles")
+    for c in ("red_id", "blue_id", "winner_id"):
+        to = into.select(F.col("gone").alias(c), F.col("keep_id").alias("_keep"))
+        bouts = bouts.join(to, c, "left").withColumn(c, F.coalesce("_keep", c)).select(*bouts.columns)
+    return profiles.join(into.select(F.col("gone").alias("boxer_id")), "boxer_id", "left_anti").select(*profiles.columns), bouts
 
-    By external id; then by name and year where unique on both sides; then by name where unique on both sides and the
-    nation agrees.  What a pass has claimed on either side is out of the next.
+
+# Nations that count as one with the United Kingdom.
+HOME_NATIONS = ("england", "scotland", "wales", "northern ireland", "great britain")
+
+
+def nation_key(nation: Column) -> Column:
+    key = name_key(nation.cast("string"))
+    return F.when(key.isin(*HOME_NATIONS), "united kingdom").otherwise(key)
+
+
+def career_fits(born: Column, died: Column, first: Column, last: Column) -> Column:
+    """Whether a life fits a career, as far as its years are known: no bout before 14, none over 50 years after birth, none after death."""
+    parts = [first < born + 14, last > born + 50, last > died]
+    return ~reduce(lambda a, b: a | b, [F.coalesce(p, F.lit(False)) for p in parts])
+
+
+def three_pass_linkage(ours: DataFrame, staged: DataFrame) -> DataFrame:
+    """LNK04: ``ours`` linked to ``staged`` people (both: ``id``, ``external_id``, ``name``, ``year``, ``nation``).
+
+    ``ours`` also have ``first_year`` and ``last_year`` of their bouts, ``staged`` a ``death_year``.  By external id; then by folded name and
+    year, unique on both sides; then by folded name, unique on both sides, where the nation agrees (home nations are one), the years
+    don't differ by over one, and the life fits the career.  What a pass has claimed on either side is out of the next; an external id whose years
+    differ by over one claims both sides and links nothing.  Names without letters never link.  Returns ``l``, ``r``, ``pass``.
     """
-    sides = {"l": left, "r": right}
-    rows = {s: df.select(F.col("id").alias(s), "external_id", F.regexp_replace(F.translate(F.lower("name"), ACCENTED, PLAIN), "[^a-z0-9]+", "").alias("name"), "year", "nation") for s, df in sides.items()}
-    found = None
-    for number, keys, agree in ((1, ["external_id"], []), (2, ["name", "year"], []), (3, ["name"], ["nation"])):
+    own = ["first_year", "last_year"]
+    rows = {
+        "l": ours.select(F.col("id").alias("l"), "external_id", name_key(F.col("name")).alias("name"), "year", nation_key(F.col("nation")).alias("nation"), *own),
+        "r": staged.select(F.col("id").alias("r"), "external_id", name_key(F.col("name")).alias("name"), "year", nation_key(F.col("nation")).alias("nation"), "death_year"),
+    }
+    apart = F.coalesce(F.abs(F.col("year_l") - F.col("year_r")) > 1, F.lit(False))
+    fits = career_fits(F.col("year_r"), F.col("death_year_r"), F.col("first_year_l"), F.col("last_year_l"))
+    claimed = None
+    for number, keys, linked in ((1, ["external_id"], ~apart), (2, ["name", "year"], F.lit(True)), (3, ["name"], (F.col("nation_l") == F.col("nation_r")) & ~apart & fits)):
         unique = []
         for s, df in rows.items():
-            open_ = df if found is None else df.join(found, s, "left_anti")
-            kept = open_.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("n"), F.min(s).alias(s), *[F.min(c).alias(f"{c}_{s}") for c in agree])
+            open_ = df if claimed is None else df.join(claimed, s, "left_anti")
+            others = [c for c in df.columns if c != s]
+            kept = open_.dropna(subset=keys).groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("n"), F.min(s).alias(s), *[F.min(c).alias(f"{c}_{s}") for c in others])
             unique.append(kept.where("n = 1").drop("n"))
-        hits = unique[0].join(unique[1], keys)
-        for c in agree:
-            hits = hits.where(F.col(f"{c}_l") == F.col(f"{c}_r"))
-        hits = written(hits.select("l", "r", F.lit(number).alias("pass")), "linkage")
-        found = hits if found is None else found.unionByName(hits)
-    return found
+        hits = unique[0].join(unique[1], [f"_{k}" for k in keys])
+        hits = hits.withColumn("linked", linked)
+        hits = written((hits if number == 1 else hits.where("linked")).select("l", "r", F.lit(number).alias("pass"), "linked"), "linkage")
+        claimed = hits if claimed is None else claimed.unionByName(hits)
+    return claimed.where("linked").drop("linked")
 
 
 def venue_spellings(w: League) -> DataFrame:
@@ -183,4 +218,4 @@ def reporters(reports: DataFrame, least: int = 6, days: int = 7, posts: int = 3)
 
 def part_keys(w: League) -> DataFrame:
     """FN03: part brands and types by their sorted words."""
-    return w.raw("part").groupBy(name_key(F.col("p_type")).alias("key")).agg(F.count("*").alias("n"))
+    return w.raw("part").groupBy(sorted_words_key(F.col("p_type")).alias("key")).agg(F.count("*").alias("n"))

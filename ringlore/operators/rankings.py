@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import clamp, half_up, is_stoppage, months_before, seconds_in
 from ..plans.league import League
 from .careers import ORDER, longest_run
-from .joins import rating_at
+from .joins import rating_on
 from .titles import BELT
 
 
@@ -28,7 +28,7 @@ def division_ranking(w: League) -> DataFrame:
 
 def rank_movement(w: League, months: float = 3) -> DataFrame:
     """WIN02: places gained within today's pool since ``months`` ago, by the ratings of then."""
-    then = rating_at(w, months_before(w.as_of, months)).withColumnRenamed("rating", "old")
+    then = rating_on(w, months_before(w.as_of, months)).withColumnRenamed("rating", "old")
     x = division_ranking(w).join(then, "boxer_id")
     old_rank = F.row_number().over(Window.partitionBy("division", "sex").orderBy(F.desc("old"), "boxer_id"))
     return x.select("division", "sex", "boxer_id", "rank", (old_rank - F.col("rank")).alias("moved"), (F.col("rating") - F.col("old")).alias("rating_change"))

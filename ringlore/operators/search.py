@@ -8,7 +8,9 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.names import folded, folded_word
 from ..plans.league import League
 from .canon import in_country
 
@@ -44,7 +46,7 @@ class Filters:
         out += [in_country(F.col("country"), self.country)] if self.country else []
         out += [{"winning": F.col("wins") > F.col("losses"), "losing": F.col("wins") < F.col("losses")}[self.record]] if self.record else []
         out += [(F.col("losses") == 0) & (F.col("bouts") > 0)] * self.undefeated
-        out += [F.lower("name").contains(self.text.lower())] if self.text else []
+        out += [folded(F.col("name")).contains(folded_word(self.text))] if self.text else []
         out += [(F.col("streak_type") == "W") & (F.col("streak") >= self.win_streak)] if self.win_streak else []
         # a rating is compared as it is shown, rounded
         shown = {"rating": F.floor(F.col("rating") + 0.5), "debut_year": F.year("debut")}
@@ -86,8 +88,9 @@ def champions(w: League, which: str) -> DataFrame:
 
 
 def sort_unknown_last(df: DataFrame, by: str, descending: bool, *ties: str) -> DataFrame:
-    """ORD01, ORD03: unknown values last in either direction."""
-    return df.orderBy(F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last(), *ties)
+    """ORD01, ORD03: unknown values last in either direction; texts in order of their folded spelling."""
+    value = folded(F.col(by)) if isinstance(df.schema[by].dataType, T.StringType) else F.col(by)
+    return df.orderBy(value.desc_nulls_last() if descending else value.asc_nulls_last(), *ties)
 
 
 def page(df: DataFrame, order: list[Column | str], number: int, size: int) -> DataFrame:
@@ -99,8 +102,9 @@ def page(df: DataFrame, order: list[Column | str], number: int, size: int) -> Da
 
 def type_ahead(w: League, text: str, limit: int = 10, table: str = "part", column: str = "p_name", key: str = "p_partkey") -> DataFrame:
     """SRCH01, ORD08: names that hold every word; those that begin with the text first, then at a word, then anywhere."""
-    words, whole = text.lower().split(), text.lower()
-    name = F.lower(F.col(column))
+    whole = folded_word(text)
+    words = whole.split()
+    name = folded(F.col(column))
     x = reduce(DataFrame.where, [name.contains(t) for t in words], w.raw(table))
     rank = F.when(name.startswith(whole), 0).when(F.concat(F.lit(" "), name).contains(f" {whole}"), 1).otherwise(2)
     return x.select(F.col(key).alias("id"), F.col(column).alias("name"), rank.alias("rank")).orderBy("rank", "name", "id").limit(limit)
@@ -178,11 +182,11 @@ def by_name(rows: DataFrame, typed: str) -> DataFrame:
 
     ``slips`` is 0 for the former.  Nothing typed is every row.
     """
-    asked = list(dict.fromkeys(typed.lower().split()))
-    exact = reduce(DataFrame.where, [F.lower("name").contains(a) for a in asked], rows)
+    asked = list(dict.fromkeys(folded_word(typed).split()))
+    exact = reduce(DataFrame.where, [folded(F.col("name")).contains(a) for a in asked], rows)
     if not asked or not exact.isEmpty():
         return exact.select("id", "name", "rank", F.lit(0).alias("slips"))
-    each = rows.select("id", "name", "rank", F.explode(F.array_distinct(F.split(F.lower("name"), r"[\s\-]+"))).alias("word"))
+    each = rows.select("id", "name", "rank", F.explode(F.array_distinct(F.split(folded(F.col("name")), r"[\s\-]+"))).alias("word"))
     near = near_words(each.select("word").distinct(), asked)
     best = each.join(near, "word").groupBy("id", "name", "rank", "asked").agg(F.min("distance").alias("slips"))
     return best.groupBy("id", "name", "rank").agg(F.count("*").alias("n"), F.sum("slips").cast("long").alias("slips")).where(F.col("n") == len(asked)).drop("n")

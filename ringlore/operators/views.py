@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_if, counts, expected, half_up, share
+from ..functions.shuffles import as_of
 from ..plans.league import League
 from .careers import ORDER, running_record
 from .joins import bouts_in_stints, head_trainer, rating_at
@@ -118,8 +119,8 @@ def leaderboard(w: League, least: int = 10) -> DataFrame:
 
 def rank_before_and_after(w: League, day: dt.date = dt.date(2000, 3, 1)) -> DataFrame:
     """WIN22: today's eligible pool by the ratings before a day and after it."""
-    pool = eligible(w).select("boxer_id", "division", "sex")
-    x = pool.join(rating_at(w, day, strict=True).withColumnRenamed("rating", "before"), "boxer_id").join(rating_at(w, day).withColumnRenamed("rating", "after"), "boxer_id")
+    pool = eligible(w).select("boxer_id", "division", "sex", F.lit(day).alias("date"))
+    x = rating_at(w, rating_at(w, pool, strict=True).withColumnRenamed("rating", "before")).withColumnRenamed("rating", "after")
     own = Window.partitionBy("division", "sex")
     return x.select("boxer_id", F.row_number().over(own.orderBy(F.desc("before"), "boxer_id")).alias("rank_before"), F.row_number().over(own.orderBy(F.desc("after"), "boxer_id")).alias("rank_after"))
 
@@ -206,6 +207,6 @@ def ledger_grades(w: League) -> DataFrame:
     """MDL29, JOIN12: of the daily snapshots of each past bout the last one strictly before its day, graded; draws are void."""
     b = w.bouts.where("method IS NOT NULL").select("bout_id", "date", "method", "winner_id", "red_id")
     snap = b.select("bout_id", "date", F.explode(F.array(*[F.date_sub("date", d) for d in (0, 1, 3)])).alias("locked_on")).withColumn("red_pick", (F.col("bout_id") + F.datediff("date", "locked_on")) % 2 == 0)
-    last = snap.where(F.col("locked_on") < F.col("date")).groupBy("bout_id").agg(F.max_by("red_pick", "locked_on").alias("red_pick"))
+    last = as_of(b, snap.select("bout_id", F.col("locked_on").alias("date"), "red_pick"), "bout_id", "date", ["red_pick"], strict=True).where("red_pick IS NOT NULL")
     state = F.when(F.col("winner_id").isNull() | ~counts(F.col("method")), "void").when(F.col("red_pick") == (F.col("winner_id") == F.col("red_id")), "right").otherwise("wrong")
-    return b.join(last, "bout_id").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+    return last.groupBy(state.alias("state")).agg(F.count("*").alias("n"))

@@ -213,8 +213,6 @@ _QUERIES = {
         JOIN (SELECT opp_id, count(*) AS met, count(*) FILTER (result = 'W') AS won FROM won WHERE boxer_id = 52 GROUP BY ALL) b USING (opp_id) WHERE opp_id NOT IN (4, 52)""",
     "join08": 'SELECT bout_id, boxer_id, person_id, start, "end" FROM instint',
     "join09": "SELECT bout_id, boxer_id, arg_min(person_id, (start, person_id)) AS trainer_id FROM instint GROUP BY ALL",
-    "join11": "SELECT boxer_id, coalesce(arg_max(post, (date, bout_id)), 1500) AS rating FROM fighters LEFT JOIN (SELECT * FROM won WHERE date <= DATE '1999-12-31') USING (boxer_id) GROUP BY ALL",
-    "join12": "SELECT boxer_id, coalesce(arg_max(post, (date, bout_id)), 1500) AS rating FROM fighters LEFT JOIN (SELECT * FROM won WHERE date < DATE '1999-12-31') USING (boxer_id) GROUP BY ALL",
     "join14": "SELECT a.boxer_id AS a_id, b.boxer_id AS b_id, abs(a.rating - b.rating) AS gap FROM ranking a JOIN ranking b ON a.rank < b.rank AND b.rank <= 8 AND a.division = 'BUILDING' AND b.division = 'BUILDING' AND a.sex = 'male' AND b.sex = 'male'",
     "join15": """SELECT c.boxer_id, abs(c.rating - m.rating) AS gap FROM careers c JOIN careers m ON m.boxer_id = 6 AND c.division = m.division AND c.sex = m.sex WHERE c.boxer_id <> 6 AND c.bouts >= 4 AND c.active AND abs(c.rating - m.rating) <= 100
         AND c.boxer_id NOT IN (SELECT opp_id FROM lb WHERE boxer_id = 6) AND c.boxer_id NOT IN (SELECT boxer_id FROM lb WHERE upcoming AND date <= DATE '2000-07-14')""",
@@ -484,7 +482,6 @@ _LAST = {
     "mdl29": """SELECT CASE WHEN winner_id IS NULL THEN 'void' WHEN ((bout_id + 1) % 2 = 0) = (winner_id = red_id) THEN 'right' ELSE 'wrong' END AS state, count(*) AS n FROM bouts WHERE method IS NOT NULL GROUP BY 1""",
     "rec17": " UNION ALL ".join(f"SELECT boxer_id, '{n}' AS list, min(rank) AS rank FROM (SELECT boxer_id, row_number() OVER (ORDER BY {o}) AS rank FROM ({r}))  WHERE rank <= 10 GROUP BY boxer_id" for n, r, o in _LISTS),
     "mdl32": "SELECT bout_id, boxer_id, max(usd) - min(usd) <= 0.05 * max(usd) AS agree FROM purses WHERE usd IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
-    "fn01": "SELECT doc_id, md5(regexp_replace(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüçñß', 'aaaaaaeeeeiiiiooooouuuucns'), '[^a-z ]', '', 'g')) AS folded FROM documents",
     "fn03": r"SELECT array_to_string(list_sort(list_filter(regexp_split_to_array(lower(p_type), '[\s\-.,'']+'), lambda x: x <> '')), ' ') AS key, count(*) AS n FROM part GROUP BY 1",
     "fn09": "SELECT s AS spelled, r AS read, count(*) AS n FROM bouts JOIN (VALUES (0, 'KO', 'KO'), (1, 'Knock-Out', 'KO'), (2, 'k.o.', 'KO'), (3, 'TKO', 'TKO'), (4, 'Technical Knockout', 'TKO'), (5, 'Referee Stoppage', 'TKO'), (6, 'stopped', 'TKO'), (7, 'RSC', 'TKO'), (8, 'Corner Retirement', 'RTD'), (9, 'corner stoppage', 'RTD'), (10, 'Disqualification', 'DQ'), (11, 'Decision - Unanimous', 'UD'), (12, 'Unanimous Decision (117-111)', 'UD'), (13, 'pts', 'UD'), (14, 'points', 'UD'), (15, 'Decision - Split', 'SD'), (16, 'Majority Decision', 'MD'), (17, 'Technical points', 'TD'), (18, 'Decision (technical)', 'TD'), (19, 'Tech decision', 'TD'), (20, 'Technical Draw', 'TDRAW'), (21, 'drawn', 'DRAW'), (22, 'Majority draw', 'DRAW'), (23, 'No Contest', 'NC'), (24, 'N/C', 'NC'), (25, 'no decision', 'NC'), (26, 'N/D', 'NC'), (27, 'walkover', NULL), (28, '', NULL)) v(i, s, r) ON bout_id % 29 = i GROUP BY ALL",
     "fn08": "SELECT s AS spelled, r AS read, count(*) AS n FROM fighters JOIN (VALUES (0, 'Welterweight', 'Welterweight'), (1, 'Jr. Welterweight', 'Super Lightweight'), (2, 'Light-Middle', 'Super Welterweight'), (3, '154lbs', 'Super Welterweight'), (4, 'Super-Middle', 'Super Middleweight'), (5, 'Women''s Featherweight', 'Featherweight'), (6, 'Super Light (140)', 'Super Lightweight'), (7, 'Over 200 lbs', 'Heavyweight'), (8, '200+', 'Heavyweight'), (9, 'Junior Lightweight', 'Super Featherweight'), (10, 'heavy', 'Heavyweight'), (11, 'Cruiserweight (200 lbs)', 'Cruiserweight'), (12, '160 pounds', 'Middleweight'), (13, 'Atomweight', 'Minimumweight'), (14, 'Catchweight', NULL), (15, 'super fly', 'Super Flyweight')) v(i, s, r) ON boxer_id % 16 = i GROUP BY ALL",
@@ -499,19 +496,8 @@ _LAST = {
     "fn14": "SELECT boxer_id, sha1(name)[1:12] AS sha1, sha256(name)[1:16] AS sha256, md5(name) AS md5, list_reduce(list_prepend(2166136261::HUGEINT, list_transform(range(1, length(name) + 1), lambda i: ascii(name[i])::HUGEINT)), lambda h, c: xor(h, c) * 16777619 % 4294967296)::BIGINT AS fnv FROM fighters",
     "fn16": """SELECT o_orderkey, CASE WHEN o_totalprice >= 1e6 THEN format('${:.1f}M', floor(o_totalprice / 1e6 * 10 + 0.5) / 10) WHEN o_totalprice >= 1e3 THEN format('${:.1f}k', floor(o_totalprice / 1e3 * 10 + 0.5) / 10) ELSE '$' || floor(o_totalprice + 0.5)::BIGINT END AS price FROM orders""",
     "fn20": r"""SELECT p_partkey, array_to_string(list_sort(list_distinct(w)), '|') AS sorted, array_to_string(w[1:2], '|') AS first_two, len(list_filter(w, lambda x: length(x) < 4)) = 0 AS all_long FROM (SELECT p_partkey, list_filter(regexp_split_to_array(p_type, '[\s\-]+'), lambda x: x <> '') AS w FROM part)""",
-    "lnk01": """SELECT regexp_replace(translate(lower(name), 'áàâäãåāéèêëēíìîïīóòôöõōúùûüūçñýÿ', 'aaaaaaaeeeeeiiiiioooooouuuuucnyy'), '[^a-z0-9]+', '', 'g') AS key, birth_year, count(*) AS n, arg_max(boxer_id, (bouts, -boxer_id)) AS keep_id
-        FROM (SELECT boxer_id, ['José ', 'Jose ', 'JOSE ', 'Luis ', 'Lúis '][boxer_id % 5 + 1] || (boxer_id * 37 + 11) % 211 AS name, birth_year, bouts FROM careers) WHERE birth_year IS NOT NULL AND bouts >= 3 GROUP BY 1, 2 HAVING count(*) > 1""",
     "lnk06": """SELECT country, key, spelling AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY country, key ORDER BY n DESC, length(spelling) DESC, spelling) AS r FROM (SELECT country, regexp_replace(lower(spelling), '[^a-z0-9]', '', 'g') AS key, spelling, count(*) AS n FROM (
         SELECT country, CASE event_id % 5 WHEN 0 THEN upper(venue) WHEN 1 THEN venue || '.' ELSE venue END AS spelling FROM league_events) GROUP BY ALL)) WHERE r = 1""",
-    "lnk04": """@s AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 10 = 0 THEN s_suppkey END AS ext, (s_suppkey * 53 + 7) % 5003 AS name, CASE WHEN s_suppkey % 3 <> 0 THEN 1955 + s_suppkey % 30 END AS year, s_nationkey AS nation FROM supplier),
-        c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN c_custkey END AS ext, (c_custkey * 37 + 7) % 5003 AS name, CASE WHEN c_custkey % 3 <> 0 THEN 1955 + c_custkey % 30 END AS year, c_nationkey AS nation FROM customer),
-        p1 AS (SELECT s.id AS l, c.id AS r, 1 AS pass FROM s JOIN c USING (ext)),
-        p2 AS (SELECT a.id AS l, b.id AS r, 2 AS pass FROM (SELECT name, year, min(id) AS id FROM s WHERE year IS NOT NULL AND id NOT IN (SELECT l FROM p1) GROUP BY ALL HAVING count(*) = 1) a
-            JOIN (SELECT name, year, min(id) AS id FROM c WHERE year IS NOT NULL AND id NOT IN (SELECT r FROM p1) GROUP BY ALL HAVING count(*) = 1) b USING (name, year)),
-        p12 AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2),
-        p3 AS (SELECT a.id AS l, b.id AS r, 3 AS pass FROM (SELECT name, min(id) AS id, min(nation) AS nation FROM s WHERE id NOT IN (SELECT l FROM p12) GROUP BY name HAVING count(*) = 1) a
-            JOIN (SELECT name, min(id) AS id, min(nation) AS nation FROM c WHERE id NOT IN (SELECT r FROM p12) GROUP BY name HAVING count(*) = 1) b ON a.name = b.name AND a.nation = b.nation)
-        SELECT * FROM p12 UNION ALL SELECT * FROM p3""",
     "dq07": "SELECT event_id FROM league_events WHERE NOT cancelled AND event_id IN (SELECT event_id FROM bouts) AND event_id NOT IN (SELECT event_id FROM bouts WHERE method IS NOT NULL AND bout_id % 2 = 0)",
     "dq11": """@ok AS (SELECT boxer_id FROM careers WHERE sex = 'female' OR division NOT IN ('BUILDING', 'MACHINERY') OR (NOT boxer_id % 41 = 0 AND (boxer_id % 5 <> 0 OR boxer_id % 3 = 0))) SELECT count(*) FILTER (red_id IN (SELECT boxer_id FROM ok) AND blue_id IN (SELECT boxer_id FROM ok)) AS bouts, count(*) AS of FROM bouts""",
     "dq14": """SELECT 'many-draws' AS code, count(*) FILTER (draws > 6) AS n FROM careers UNION ALL SELECT 'no-losses', count(*) FILTER (losses = 0 AND bouts > 10) FROM careers UNION ALL SELECT 'very-young', (SELECT count(*) FROM (SELECT boxer_id, min(date) AS debut FROM won GROUP BY ALL) JOIN fighters USING (boxer_id) WHERE year(debut) - birth_year < 15)
@@ -709,9 +695,62 @@ _STORIES = {
 }
 
 
+def _folded(x: str) -> str:
+    """A text as spellings meet, for the characters that the tables hold."""
+    x = f"regexp_replace(strip_accents({x}), '[\u064b-\u065f\u0670\u0640]', '', 'g')"
+    x = f"translate(lower(translate({x}, 'أإآٱىة', 'اااايه')), 'łđðøı', 'lddoi')"
+    x = f"replace(replace(replace(replace({x}, 'æ', 'ae'), 'œ', 'oe'), 'ß', 'ss'), 'þ', 'th')"
+    for long, short in (("junior", "jr"), ("senior", "sr"), ("2nd", "ii"), ("3rd", "iii"), ("4th", "iv")):
+        x = rf"regexp_replace({x}, '\b{long}\b', '{short}', 'g')"
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
+def _name_key(x: str) -> str:
+    return rf"nullif(trim(regexp_replace({_folded(x)}, '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g')), '')"
+
+
+_PROFILES = f"""profiles AS (
+    SELECT boxer_id, {_name_key("name")} AS key, CASE WHEN p % 13 <> 0 THEN 1955 + p % 30 END AS birth_year, p % 40 + CASE WHEN p % 7 = 0 THEN boxer_id % 2 ELSE 0 END AS wins,
+        CASE WHEN p % 17 <> 0 THEN p % 9 END AS losses, p % 3 AS draws, bouts, name
+    FROM (SELECT boxer_id, boxer_id // 2 AS p, bouts, CASE WHEN boxer_id % 2 = 0
+        THEN ['José Peña', 'Łukasz Østby', 'Šimun Đurek', 'Иван Ёлкин', 'أحمد علي', 'Zoë Groß', 'Jörg Ælin Junior', 'O’Néa-Lee', 'محمد سعيد', 'Ivan Petrov'][p % 10 + 1]
+        ELSE ['JOSE PENA', 'lukasz ostby', 'Simun Durek', 'ИВАН ЕЛКИН', 'احمد على', 'Zoe  Gross', 'Jorg Aelin Jr.', 'O Nea Lee', 'محمود سعيد', 'Иван Петров'][p % 10 + 1] END || ' ' || p % 211 AS name FROM careers)),
+copies AS (
+    SELECT key, birth_year, count(*) AS n, arg_max(boxer_id, (bouts, -boxer_id)) AS keep_id, list(boxer_id ORDER BY boxer_id) AS ids FROM profiles
+    WHERE birth_year IS NOT NULL AND key IS NOT NULL AND wins + losses + draws >= 3 GROUP BY key, birth_year, wins, losses, draws HAVING count(*) > 1)"""
+
+_REGISTERS = ", ".join(
+    f"""{t} AS (SELECT {key} AS id, CASE WHEN {key} % 10 = 0 THEN {key} END AS ext, ({key} * {factor} + 7) % 5003 AS name, CASE WHEN {key} % 3 <> 0 THEN 1955 + {key} % 30 + {late} END AS year,
+        CASE WHEN {nation} IN (3, 4) THEN -1 ELSE {nation} % 3 END AS nation, 1975 + {key} % 25 AS first, 1975 + {key} % 25 + {key} % 12 AS last, CASE WHEN {key} % 6 = 0 THEN 1985 + {key} % 20 END AS died FROM {table})"""
+    for t, table, key, nation, factor, late in (("s", "supplier", "s_suppkey", "s_nationkey", 53, "0"), ("c", "customer", "c_custkey", "c_nationkey", 37, "CASE WHEN c_custkey % 20 = 0 THEN 5 ELSE 0 END"))
+)
+
+_PEOPLE = {
+    "join11": """@after_bouts AS (SELECT boxer_id, date, arg_max(post, bout_id) AS post FROM won GROUP BY ALL)
+        SELECT s.boxer_id, s.person_id, s.start AS date, coalesce(post, 1500) AS rating FROM stints s ASOF LEFT JOIN after_bouts a ON s.boxer_id = a.boxer_id AND s.start >= a.date WHERE s.start IS NOT NULL""",
+    "join12": """@after_bouts AS (SELECT boxer_id, date, arg_max(post, bout_id) AS post FROM won GROUP BY ALL)
+        SELECT b.bout_id, red_id AS boxer_id, coalesce(post, 1500) AS rating FROM bouts b ASOF LEFT JOIN after_bouts a ON b.red_id = a.boxer_id AND b.date > a.date""",
+    "fn01": f"SELECT doc_id, md5({_folded('text')}) AS folded FROM documents",
+    "fn01_names": f"@{_PROFILES} SELECT key, count(DISTINCT name) AS spellings FROM profiles GROUP BY key",
+    "lnk01": f"@{_PROFILES} SELECT key, birth_year, n, keep_id, array_to_string(ids, ',') AS ids FROM copies",
+    "lnk01_bouts": f"""@{_PROFILES}, into_ AS (SELECT keep_id, unnest(ids) AS gone FROM copies)
+        SELECT bout_id, coalesce(r.keep_id, red_id) AS red_id, coalesce(b.keep_id, blue_id) AS blue_id, coalesce(w.keep_id, winner_id) AS winner_id
+        FROM bouts LEFT JOIN into_ r ON r.gone = red_id LEFT JOIN into_ b ON b.gone = blue_id LEFT JOIN into_ w ON w.gone = winner_id""",
+    "lnk04": f"""@{_REGISTERS},
+        p1 AS (SELECT s.id AS l, c.id AS r, 1 AS pass, abs(s.year - c.year) > 1 IS NOT TRUE AS linked FROM s JOIN c USING (ext)),
+        p2 AS (SELECT a.id AS l, b.id AS r, 2 AS pass, true AS linked FROM (SELECT name, year, min(id) AS id FROM s WHERE year IS NOT NULL AND id NOT IN (SELECT l FROM p1) GROUP BY ALL HAVING count(*) = 1) a
+            JOIN (SELECT name, year, min(id) AS id FROM c WHERE year IS NOT NULL AND id NOT IN (SELECT r FROM p1) GROUP BY ALL HAVING count(*) = 1) b USING (name, year)),
+        p12 AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2),
+        p3 AS (SELECT a.id AS l, b.id AS r, 3 AS pass, true AS linked FROM (SELECT * FROM s WHERE id NOT IN (SELECT l FROM p12) QUALIFY count(*) OVER (PARTITION BY name) = 1) a
+            JOIN (SELECT * FROM c WHERE id NOT IN (SELECT r FROM p12) QUALIFY count(*) OVER (PARTITION BY name) = 1) b USING (name)
+            WHERE a.nation = b.nation AND abs(a.year - b.year) > 1 IS NOT TRUE AND (a.first < b.year + 14) IS NOT TRUE AND (a.last > b.year + 50) IS NOT TRUE AND (a.last > b.died) IS NOT TRUE)
+        SELECT l, r, pass FROM p12 WHERE linked UNION ALL SELECT l, r, pass FROM p3""",
+}
+
+
 def _whole(query: str) -> str:
     """The league's expressions and the query; one that begins with @ brings expressions of its own."""
     return f"{LEAGUE}, {query[1:]}" if query.startswith("@") else f"{LEAGUE} {query}"
 
 
-ORACLE_SQL = {k: _whole(q) for k, q in (_QUERIES | _MORE | _LAST | _CHECKS | _STORIES).items()}
+ORACLE_SQL = {k: _whole(q) for k, q in (_QUERIES | _MORE | _LAST | _CHECKS | _STORIES | _PEOPLE).items()}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import types as T
 
 from .operators import aggregates as agg
 from .operators import canon, careers, checks, documents, fits, joins, linkage, merging, models, rankings, reviews, search, stories, titles, views
+from .functions.names import name_key
 from .oracle import ORACLE_SQL  # noqa: F401
 from .plans.league import League, league
 from .sources import star
@@ -36,7 +36,6 @@ def register(key: str, make: Callable[[League], DataFrame]) -> None:
 
 
 CAREER = ["boxer_id", "wins", "losses", "draws", "kos", "ko_losses", "bouts", "ko_rate", "win_rate", "avg_rounds", "last_fight", "streak_type", "streak", "age"]
-ELO_DAY = dt.date(1999, 12, 31)
 
 for _key, _make in {
     "src01": lambda w: w.bouts.select("bout_id", "event_id", "date", "red_id", "blue_id", "method", "winner_id", "rounds", "end_round", "round_time", "kd_red", "kd_blue", "title", "upcoming"),
@@ -86,8 +85,8 @@ for _key, _make in {
     "join07": lambda w: joins.common_opponents(w, 4, 52),
     "join08": lambda w: joins.bouts_in_stints(w).select("bout_id", "boxer_id", "person_id", "start", "end"),
     "join09": joins.head_trainer,
-    "join11": lambda w: joins.rating_at(w, ELO_DAY),
-    "join12": lambda w: joins.rating_at(w, ELO_DAY, strict=True),
+    "join11": joins.stint_start_ratings,
+    "join12": joins.ratings_going_in,
     "join14": joins.top_pairs,
     "join15": lambda w: joins.candidates(w, 6),
     "join16": lambda w: joins.similar_fighters(w, F.col("boxer_id") % 20 == 0),
@@ -289,7 +288,8 @@ for _key, _make in {
     "mdl29": views.ledger_grades,
     "rec17": rankings.records_of,
     "mdl32": linkage.agreement,
-    "fn01": linkage.folded_names,
+    "fn01": linkage.folded_texts,
+    "fn01_names": lambda w: star.profiles(w).groupBy(name_key(F.col("name")).alias("key")).agg(F.countDistinct("name").alias("spellings")),
     "fn03": linkage.part_keys,
     "fn08": lambda w: canon.read_as(w.fighters, star.spelled(F.col("boxer_id"), star.CLASS_NAMES), canon.division_of(F.col("spelled"))),
     "fn09": lambda w: canon.read_as(w.bouts, star.spelled(F.col("bout_id"), star.RESULTS), canon.method_of(F.col("spelled"))),
@@ -302,7 +302,8 @@ for _key, _make in {
     "fn14": linkage.hashes,
     "fn16": linkage.order_prices,
     "fn20": linkage.array_functions,
-    "lnk01": lambda w: linkage.duplicate_profiles(star.profiles(w)),
+    "lnk01": lambda w: linkage.duplicate_profiles(star.profiles(w)).withColumn("ids", F.array_join("ids", ",")),
+    "lnk01_bouts": lambda w: linkage.merged_profiles(star.profiles(w), w.bouts.select("bout_id", "red_id", "blue_id", "winner_id"))[1],
     "lnk04": lambda w: linkage.three_pass_linkage(star.people(w, "supplier", "s_suppkey", "s_nationkey", 53), star.people(w, "customer", "c_custkey", "c_nationkey", 37)),
     "lnk06": linkage.venue_spellings,
     "dq02": money_told,

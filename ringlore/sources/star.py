@@ -111,19 +111,32 @@ def spelled(number: Column, spellings: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in spellings]), (F.pmod(number, F.lit(len(spellings))) + 1).cast("int"))
 
 
+# Names in several scripts, each in two spellings; the last two pairs are different names.
+SPELLED_NAMES = [
+    ("José Peña", "JOSE PENA"), ("Łukasz Østby", "lukasz ostby"), ("Šimun Đurek", "Simun Durek"), ("Иван Ёлкин", "ИВАН ЕЛКИН"), ("أحمد علي", "احمد على"), ("Zoë Groß", "Zoe  Gross"), ("Jörg Ælin Junior", "Jorg Aelin Jr."), ("O’Néa-Lee", "O Nea Lee"),
+    ("محمد سعيد", "محمود سعيد"), ("Ivan Petrov", "Иван Петров"),
+]
+
+
 def profiles(w) -> DataFrame:  # noqa: ANN001
-    """Fighters under names of which some are the same but for case and accents."""
+    """Fighters by twos under one name, year and total; some totals differ or are unknown."""
     k = F.col("boxer_id")
-    name = F.concat(spelled(k, ["José ", "Jose ", "JOSE ", "Luis ", "Lúis "]), ((k * 37 + 11) % 211).cast("string"))
-    return w.careers.select("boxer_id", name.alias("name"), "birth_year", "bouts")
+    p = F.floor(k / 2)
+    first, second = (spelled(p, [n[i] for n in SPELLED_NAMES]) for i in (0, 1))
+    name = F.concat(F.when(k % 2 == 0, first).otherwise(second), F.lit(" "), (p % 211).cast("string"))
+    return w.careers.select(
+        "boxer_id", name.alias("name"), F.when(p % 13 != 0, 1955 + p % 30).alias("birth_year"), (p % 40 + F.when(p % 7 == 0, k % 2).otherwise(0)).alias("wins"), F.when(p % 17 != 0, p % 9).alias("losses"), (p % 3).alias("draws"), "bouts"
+    )
 
 
 def people(w, table: str, key: str, nation: str, factor: int) -> DataFrame:  # noqa: ANN001
-    """Suppliers or customers as people of two registers: an external id for some, a name, a year, a nation."""
-    k = F.col(key)
+    """Suppliers or customers as people of two registers: an external id for some, a name, years, a nation."""
+    k, n = F.col(key), F.col(nation)
+    late = F.when((k % 20 == 0) & (F.lit(table) == "customer"), 5).otherwise(0)
+    home = F.when(n == 3, "England").when(n == 4, "Great Britain").otherwise(F.concat(F.lit("Nation "), (n % 3).cast("string")))
     return w.raw(table).select(
-        k.alias("id"), F.when(k % 10 == 0, F.concat(F.lit("x"), k.cast("string"))).alias("external_id"), F.concat(F.lit("Ana "), ((k * factor + 7) % 5003).cast("string")).alias("name"),
-        F.when(k % 3 != 0, 1955 + k % 30).cast("int").alias("year"), F.col(nation).alias("nation"),
+        k.alias("id"), F.when(k % 10 == 0, F.concat(F.lit("x"), k.cast("string"))).alias("external_id"), F.concat(spelled(k, ["Ana ", "Ána ", "ANA "]), ((k * factor + 7) % 5003).cast("string")).alias("name"),
+        F.when(k % 3 != 0, 1955 + k % 30 + late).cast("int").alias("year"), home.alias("nation"), (1975 + k % 25).alias("first_year"), (1975 + k % 25 + k % 12).alias("last_year"), F.when(k % 6 == 0, 1985 + k % 20).alias("death_year"),
     )
 
 
