@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import count_if, expected
 from ..plans.league import League
+from ..sources import star, wikitables
 from ..storage import written
 from .joins import head_trainer
 from .models import WIN_WEIGHTS, corners, sigmoid, upcoming_pairs, win_terms
@@ -81,10 +82,16 @@ def watched_by_events(w: League) -> DataFrame:
     return w.raw("events").select("user_id", F.pmod("event_id", F.lit(fighters)).alias("boxer_id")).distinct()
 
 
+def owned_reigns(reigns: DataFrame, ids: DataFrame) -> DataFrame:
+    """LNK05: reigns of pages (``article``) with the fighter of that external id (``ids``: ``boxer_id``, ``external_id``), where it is one fighter's alone."""
+    own = ids.where("external_id IS NOT NULL").groupBy("external_id").agg(F.count("*").alias("n"), F.min("boxer_id").alias("boxer_id")).where("n = 1")
+    return reigns.join(own.select("boxer_id", F.col("external_id").alias("article")), "article")
+
+
 def reign_owner(w: League) -> DataFrame:
-    """LNK05: belts held by a fighter whose name occurs once, by fighter."""
-    own = w.fighters.withColumn("n", F.count("*").over(Window.partitionBy("name"))).where("n = 1").select("boxer_id", "name")
-    return w.reigns.join(own, F.col("champion_id") == F.col("boxer_id")).groupBy("name").agg(F.count("*").alias("reigns"), F.sum("days").cast("long").alias("days"))
+    """LNK05: reigns and defences of the league's pages by fighter."""
+    rows = wikitables.parsed(star.reign_pages(w), "page", "text", wikitables.reigns, wikitables.REIGN)
+    return owned_reigns(rows, star.articles(w)).groupBy("boxer_id").agg(F.count("*").alias("reigns"), F.sum("defences").cast("long").alias("defences"))
 
 
 def trainer_impact(w: League, passes: int = 70, step: float = 0.8, fighter_penalty: float = 0.05, trainer_penalty: float = 8.0) -> DataFrame:

@@ -371,7 +371,7 @@ _MORE = {
     "flt14": "SELECT DISTINCT boxer_id FROM stints WHERE person_id = 3",
     "flt15": """SELECT boxer_id FROM fighters WHERE stance = 'Southpaw' AND boxer_id IN (SELECT champion_id FROM reigns) AND boxer_id NOT IN (SELECT champion_id FROM reigns WHERE "end" IS NULL) AND boxer_id IN (SELECT boxer_id FROM weights WHERE NOT made)""",
     "flt17": "SELECT bout_id, date, method, rounds FROM bouts WHERE date BETWEEN DATE '1999-01-01' AND DATE '1999-12-31' AND division = 'BUILDING' AND title IS NOT NULL AND rounds >= 8 AND stopped",
-    "ord01": "SELECT boxer_id, reach_cm FROM fighters ORDER BY reach_cm DESC NULLS LAST, boxer_id LIMIT 1200",
+    "ord01": "SELECT boxer_id, reach_cm FROM fighters",
     "ord06": "SELECT boxer_id, rating, (SELECT count(*) FROM careers) AS total FROM careers ORDER BY rating DESC, boxer_id LIMIT 25 OFFSET 50",
     "srch01": "SELECT p_partkey AS id, p_name AS name, CASE WHEN starts_with(lower(p_name), 're') THEN 0 WHEN contains(' ' || lower(p_name), ' re') THEN 1 ELSE 2 END AS rank FROM part WHERE contains(lower(p_name), 're') ORDER BY rank, name, id LIMIT 10",
     "srch03": """SELECT word, count(DISTINCT p_partkey) AS names FROM (SELECT p_partkey, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || w[i + 1]))) AS word
@@ -443,7 +443,7 @@ _LISTS = [
 ]
 
 _LAST = {
-    "prj01": """SELECT bout_id, b.country, r.name AS red_name, u.name AS blue_name, r.country AS red_country, u.country AS blue_country FROM bouts b JOIN fighters r ON red_id = r.boxer_id JOIN fighters u ON blue_id = u.boxer_id WHERE counted AND title IS NOT NULL""",
+    "prj01": """SELECT bout_id, b.country, r.name AS red_name, u.name AS blue_name, r.country AS red_country, u.country AS blue_country FROM bouts b JOIN fighters r ON red_id = r.boxer_id JOIN fighters u ON blue_id = u.boxer_id WHERE NOT cancelled""",
     "prj02": "SELECT boxer_id, wins || '-' || losses || '-' || draws AS record, CASE WHEN wins > losses THEN 'winning' WHEN wins < losses THEN 'losing' ELSE 'even' END AS balance FROM careers",
     "join02": """SELECT region, count(*) AS events, count(*) FILTER (cancelled) AS cancelled FROM league_events LEFT JOIN (SELECT n_name AS country, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey <= 2) USING (country) GROUP BY ALL""",
     "join10": "SELECT trainer_id, count(*) AS bouts FROM (SELECT bout_id, boxer_id, arg_min(person_id, (start, person_id)) AS trainer_id FROM instint GROUP BY ALL) GROUP BY ALL",
@@ -484,13 +484,10 @@ _LAST = {
     "mdl32": "SELECT bout_id, boxer_id, max(usd) - min(usd) <= 0.05 * max(usd) AS agree FROM purses WHERE usd IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
     "fn03": r"SELECT array_to_string(list_sort(list_filter(regexp_split_to_array(lower(p_type), '[\s\-.,'']+'), lambda x: x <> '')), ' ') AS key, count(*) AS n FROM part GROUP BY 1",
     "fn09": "SELECT s AS spelled, r AS read, count(*) AS n FROM bouts JOIN (VALUES (0, 'KO', 'KO'), (1, 'Knock-Out', 'KO'), (2, 'k.o.', 'KO'), (3, 'TKO', 'TKO'), (4, 'Technical Knockout', 'TKO'), (5, 'Referee Stoppage', 'TKO'), (6, 'stopped', 'TKO'), (7, 'RSC', 'TKO'), (8, 'Corner Retirement', 'RTD'), (9, 'corner stoppage', 'RTD'), (10, 'Disqualification', 'DQ'), (11, 'Decision - Unanimous', 'UD'), (12, 'Unanimous Decision (117-111)', 'UD'), (13, 'pts', 'UD'), (14, 'points', 'UD'), (15, 'Decision - Split', 'SD'), (16, 'Majority Decision', 'MD'), (17, 'Technical points', 'TD'), (18, 'Decision (technical)', 'TD'), (19, 'Tech decision', 'TD'), (20, 'Technical Draw', 'TDRAW'), (21, 'drawn', 'DRAW'), (22, 'Majority draw', 'DRAW'), (23, 'No Contest', 'NC'), (24, 'N/C', 'NC'), (25, 'no decision', 'NC'), (26, 'N/D', 'NC'), (27, 'walkover', NULL), (28, '', NULL)) v(i, s, r) ON bout_id % 29 = i GROUP BY ALL",
-    "fn08": "SELECT s AS spelled, r AS read, count(*) AS n FROM fighters JOIN (VALUES (0, 'Welterweight', 'Welterweight'), (1, 'Jr. Welterweight', 'Super Lightweight'), (2, 'Light-Middle', 'Super Welterweight'), (3, '154lbs', 'Super Welterweight'), (4, 'Super-Middle', 'Super Middleweight'), (5, 'Women''s Featherweight', 'Featherweight'), (6, 'Super Light (140)', 'Super Lightweight'), (7, 'Over 200 lbs', 'Heavyweight'), (8, '200+', 'Heavyweight'), (9, 'Junior Lightweight', 'Super Featherweight'), (10, 'heavy', 'Heavyweight'), (11, 'Cruiserweight (200 lbs)', 'Cruiserweight'), (12, '160 pounds', 'Middleweight'), (13, 'Atomweight', 'Minimumweight'), (14, 'Catchweight', NULL), (15, 'super fly', 'Super Flyweight')) v(i, s, r) ON boxer_id % 16 = i GROUP BY ALL",
-    "fn11": "SELECT s AS spelled, r AS read, count(*) AS n FROM league_events JOIN (VALUES (0, 'ShowTime', 'Showtime'), (1, 'Showtime PPV', 'Showtime'), (2, 'ESPN 2', 'ESPN'), (3, 'ESPN+ PPV', 'ESPN+'), (4, 'espn +', 'ESPN+'), (5, 'BT Sport 1', 'TNT Sports'), (6, 'TNT Sports 1', 'TNT Sports'), (7, 'TrillerTV PPV US', 'TrillerTV'), (8, 'Triller TV', 'TrillerTV'), (9, 'Pay Per View', NULL), (10, 'N/A', NULL), (11, 'string', NULL), (12, ' Canal  Uno ', 'Canal Uno'), (13, 'DAZN', 'DAZN'), (14, 'Fox Sports 1', 'FOX'), (15, 'Sky Box Office', 'Sky Sports'), (16, 'fubotv', 'Fubo'), (17, 'Foxtel', 'Foxtel'), (18, 'hbo', 'HBO'), (19, 'Amazon Prime', 'Amazon Prime Video'), (20, '', NULL)) v(i, s, r) ON event_id % 21 = i GROUP BY ALL",
     "fn13": "SELECT division, min(end_round) AS median, max(of) AS n FROM (SELECT division, end_round, row_number() OVER (PARTITION BY division ORDER BY end_round) AS k, count(*) OVER (PARTITION BY division) AS of FROM bouts WHERE counted AND end_round IS NOT NULL) WHERE k > of // 2 GROUP BY division",
     "fn17": """SELECT event_id, floor(round((l * (0.8707 - 0.131979 * pow(p, 2) + pow(p, 4) * (-0.013791 + pow(p, 4) * (0.003971 * pow(p, 2) - 0.001529 * pow(p, 4)))) * s + 500) * 10, 6) + 0.5) / 10 AS x,
         floor(round((h / 2 - p * (1.007226 + pow(p, 2) * (0.015085 + pow(p, 4) * (-0.044475 + 0.028874 * pow(p, 2) - 0.005916 * pow(p, 4)))) * s) * 10, 6) + 0.5) / 10 AS y FROM (SELECT *, round(2 * (pi() / 2) * (1.007226 + pow(pi() / 2, 2) * (0.015085 + pow(pi() / 2, 4) * (-0.044475 + 0.028874 * pow(pi() / 2, 2) - 0.005916 * pow(pi() / 2, 4)))) * s) AS h
         FROM (SELECT event_id, radians((event_id * 37) % 181 - 90) AS p, radians((event_id * 53) % 361 - 180) AS l, 1000 / (2 * pi() * 0.8707) AS s FROM league_events))""",
-    "lnk08": "SELECT 'broadcaster:broadcaster-' || trim(regexp_replace(replace(lower(r), '+', '-plus'), '[^a-z0-9]+', '-', 'g'), '-') AS external_id, r AS name, count(*) AS cards FROM league_events JOIN (VALUES (0, 'Showtime'), (1, 'Showtime'), (2, 'ESPN'), (3, 'ESPN+'), (4, 'ESPN+'), (5, 'TNT Sports'), (6, 'TNT Sports'), (7, 'TrillerTV'), (8, 'TrillerTV'), (12, 'Canal Uno'), (13, 'DAZN'), (14, 'FOX'), (15, 'Sky Sports'), (16, 'Fubo'), (17, 'Foxtel'), (18, 'HBO'), (19, 'Amazon Prime Video')) v(i, r) ON event_id % 21 = i GROUP BY ALL",
     "fn10": "SELECT s AS spelled, r AS read, count(*) AS n FROM league_events JOIN (VALUES (0, 'USA', 'United States'), (1, 'U.S.', 'United States'), (2, 'United States of America', 'United States'), (3, 'The Netherlands', 'The Netherlands'), (4, 'Holland', 'Netherlands'), (5, 'Türkiye', 'Turkey'), (6, 'Great Britain', 'United Kingdom'), (7, 'England', 'England'), (8, 'Northern Ireland', 'Northern Ireland'), (9, 'New South Wales', 'Australia'), (10, 'DR Congo', 'Congo - Kinshasa'), (11, 'NATION_3', 'NATION_3'), (12, ' Ghana ', 'Ghana')) v(i, s, r) ON event_id % 13 = i GROUP BY ALL",
     "fn12": """SELECT event_id, strftime(date, '%m-%d') AS md, (date + 7)::DATE AS next_week, round(datediff('day', date, DATE '2000-06-30') / 30.4, 6) AS months, event_id % 3 = 0 OR (event_id % 3 = 1 AND year(date) % 4 = 0) AS real_day FROM league_events""",
     "fn14": "SELECT boxer_id, sha1(name)[1:12] AS sha1, sha256(name)[1:16] AS sha256, md5(name) AS md5, list_reduce(list_prepend(2166136261::HUGEINT, list_transform(range(1, length(name) + 1), lambda i: ascii(name[i])::HUGEINT)), lambda h, c: xor(h, c) * 16777619 % 4294967296)::BIGINT AS fnv FROM fighters",
@@ -541,7 +538,6 @@ _CHECKS = {
         p AS (SELECT 'Balanced' AS preset, 1.0::DOUBLE AS f, 0.016::DOUBLE AS wr, 0.03::DOUBLE AS wa, 0.01::DOUBLE AS wi, 0.2::DOUBLE AS wk, 0.2::DOUBLE AS wc UNION ALL SELECT 'Pure Elo', 1, 0, 0, 0, 0, 0 UNION ALL SELECT 'Old school', 0.6, 0.04, 0.03, 0.01, 0.6, 0.6 UNION ALL SELECT 'Father Time', 1, 0.016, 0.09, 0.04, 0.2, 0.2)
         SELECT bout_id, preset, round(1 / (1 + exp(-(ln(10) / 400 * f * r + wr * reach + wa * age + wi * idle + wk * ko + wc * chin))), 6) AS p_red FROM d, p""",
     "mdl14": """SELECT count(*) AS n, round(avg(-ln(CASE WHEN result = 'W' THEN p ELSE 1 - p END)), 6) AS log_loss, round(avg(pow(CASE WHEN result = 'W' THEN 1 - p ELSE p END, 2)), 6) AS brier FROM (SELECT result, 1 / (1 + pow(10, (opp_pre - pre) / 400)) AS p FROM won WHERE side = 'red' AND result <> 'D')""",
-    "lnk05": "SELECT name, count(*) AS reigns, sum(days)::BIGINT AS days FROM reigns JOIN fighters ON champion_id = boxer_id GROUP BY ALL",
     "str04": f"""SELECT field, kind, CASE WHEN kind = 'fill' OR (kind = 'replace' AND field = 'end_round' AND abs(try_cast(old AS INT) - try_cast("new" AS INT)) <= 2) THEN 'taken' ELSE 'waits' END AS decision, count(*) AS n FROM ({_CHANGES}) GROUP BY ALL""",
     "str15": """SELECT CASE WHEN wins = told THEN 'complete' WHEN earlier = told THEN 'lagging' WHEN wins < told THEN 'partial' ELSE 'conflict' END AS verdict, count(*) AS n FROM (SELECT *, earlier + CASE WHEN boxer_id % 3 = 0 THEN 0 ELSE boxer_id % 2 END AS told FROM (
         SELECT boxer_id, count(*) AS wins, count(*) FILTER (date <= DATE '2000-06-30' - 60) AS earlier FROM won WHERE result = 'W' GROUP BY ALL)) GROUP BY 1""",
@@ -725,7 +721,39 @@ _REGISTERS = ", ".join(
     for t, table, key, nation, factor, late in (("s", "supplier", "s_suppkey", "s_nationkey", 53, "0"), ("c", "customer", "c_custkey", "c_nationkey", 37, "CASE WHEN c_custkey % 20 = 0 THEN 5 ELSE 0 END"))
 )
 
+_READ_CLASSES = [
+    ("WELTERWEIGHT", "Welterweight"), ("jr welter weight", "Super Lightweight"), ("Light Middleweight", "Super Welterweight"), ("154 lb", "Super Welterweight"), ("super_middle", "Super Middleweight"), ("Ladies Feather", "Featherweight"),
+    ("Super Lightweight (140 lbs)", "Super Lightweight"), ("above 200", "Heavyweight"), ("200 + pounds", "Heavyweight"), ("Junior Light", "Super Featherweight"), ("Heavy", "Heavyweight"), ("cruiser weight 200lbs", "Cruiserweight"),
+    ("160 Pound", "Middleweight"), ("atom", "Minimumweight"), ("Openweight", None), ("Super Fly", "Super Flyweight"), ("Super-Flyweight (108)", "Light Flyweight"), ("126", None), ("Male Hw", "Heavyweight"),
+]
+_READ_CHANNELS = [
+    ("SHOWTIME Sports", "Showtime"), ("Show Time", "Showtime"), ("ESPN Deportes", "ESPN"), ("Espn+", "ESPN+"), ("espn  + UK", "ESPN+"), ("BTSport 2", "TNT Sports"), ("TNT Sport", "TNT Sports"), ("TrillerTV Live", "TrillerTV"),
+    ("triller tv", "TrillerTV"), ("PPV", None), ("tba", None), ("Unknown", None), ("  Radio   Sud ", "Radio Sud"), ("dazn Italia", "DAZN"), ("FOX", "FOX"), ("Sky  Sports Arena", "Sky Sports"), ("FuboTV", "Fubo"), ("Foxes", "Foxes"),
+    ("HBO Max", "HBO"), ("Amazon", "Amazon Prime Video"), (" ", None),
+]
+
+
+def _read(table: str, key: str, spellings: list[tuple[str, str | None]]) -> str:
+    rows = ", ".join(f"({i}, '{s}', {repr(r) if r else 'NULL'})" for i, (s, r) in enumerate(spellings))
+    return f"SELECT s AS spelled, r AS read, count(*) AS n FROM {table} JOIN (VALUES {rows}) v(i, s, r) ON {key} % {len(spellings)} = i GROUP BY ALL"
+
+
+_REIGN_ROWS = """told AS (
+    SELECT title_org || '|' || r.title || '|' || r.division || '|' || r.sex || '|' || (reign_no - 1) // 50 AS page, upper(r.division[1]) || lower(r.division[2:]) || 'weight' AS division, r.title AS category, (reign_no - 1) % 50 + 1 AS place,
+        CASE WHEN reign_no % 4 = 2 AND (reign_no - 1) % 50 > 0 THEN reign_no - 1 WHEN reign_no % 4 <> 2 THEN reign_no END AS number, f.name, CASE WHEN champion_id % 7 <> 0 THEN 'Fighter ' || champion_id END AS article,
+        g.name AS opponent, NULL::VARCHAR AS note, strftime(start, '%Y-%m-%d') AS start, strftime("end", '%Y-%m-%d') AS "end", "end" IS NULL AS current, ended_by AS end_note, defences, champion_id
+    FROM reigns r JOIN fighters f ON champion_id = f.boxer_id LEFT JOIN fighters g ON from_id = g.boxer_id)"""
+
 _PEOPLE = {
+    "src10": f"@{_REIGN_ROWS} SELECT * EXCLUDE champion_id FROM told",
+    "src13": """SELECT boxer_id AS page, CASE result WHEN 'W' THEN 'win' WHEN 'L' THEN 'loss' WHEN 'D' THEN 'draw' ELSE 'nc' END AS result, f.name AS opponent, 'Fighter ' || opp_id AS article,
+        CASE WHEN result = 'D' THEN 'DRAW' WHEN result IS NULL THEN 'NC' ELSE method END AS method, end_round AS round, rounds AS scheduled, strftime(date, '%Y-%m-%d') AS date
+        FROM lb JOIN (SELECT boxer_id AS opp_id, name FROM fighters) f USING (opp_id) WHERE method IS NOT NULL""",
+    "lnk05": f"""@{_REIGN_ROWS}, own AS (SELECT any_value(boxer_id) AS boxer_id, 'Fighter ' || (boxer_id - CASE WHEN boxer_id % 50 = 2 THEN 1 ELSE 0 END) AS article FROM fighters GROUP BY 2 HAVING count(*) = 1)
+        SELECT boxer_id, count(*) AS reigns, sum(defences)::BIGINT AS defences FROM told JOIN own USING (article) GROUP BY boxer_id""",
+    "lnk08": f"SELECT 'broadcaster:broadcaster-' || trim(regexp_replace(replace(lower(read), '+', '-plus'), '[^a-z0-9]+', '-', 'g'), '-') AS external_id, read AS name, sum(n)::BIGINT AS cards FROM ({_read('league_events', 'event_id', _READ_CHANNELS)}) WHERE read IS NOT NULL GROUP BY ALL",
+    "fn08": _read("fighters", "boxer_id", _READ_CLASSES),
+    "fn11": _read("league_events", "event_id", _READ_CHANNELS),
     "join11": """@after_bouts AS (SELECT boxer_id, date, arg_max(post, bout_id) AS post FROM won GROUP BY ALL)
         SELECT s.boxer_id, s.person_id, s.start AS date, coalesce(post, 1500) AS rating FROM stints s ASOF LEFT JOIN after_bouts a ON s.boxer_id = a.boxer_id AND s.start >= a.date WHERE s.start IS NOT NULL""",
     "join12": """@after_bouts AS (SELECT boxer_id, date, arg_max(post, bout_id) AS post FROM won GROUP BY ALL)

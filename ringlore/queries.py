@@ -13,7 +13,7 @@ from .operators import canon, careers, checks, documents, fits, joins, linkage,
 from .functions.names import name_key
 from .oracle import ORACLE_SQL  # noqa: F401
 from .plans.league import League, league
-from .sources import star
+from .sources import star, wikitables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -143,7 +143,7 @@ for _key, _make in {
     "flt14": lambda w: search.search(w, search.Filters(trainer_id=3)).select("boxer_id"),
     "flt15": lambda w: search.search(w, VIA_SEARCH).select("boxer_id"),
     "flt17": lambda w: w.bouts.where("year(date) = 1999 AND division = 'BUILDING' AND title IS NOT NULL AND rounds >= 8 AND method IN ('KO', 'TKO', 'RTD')").select("bout_id", "date", "method", "rounds"),
-    "ord01": lambda w: search.sort_unknown_last(w.careers, "reach_cm", True, "boxer_id").limit(1200).select("boxer_id", "reach_cm"),
+    "ord01": lambda w: search.sort_unknown_last(w.careers, "reach_cm", True, "boxer_id").select("boxer_id", "reach_cm"),
     "ord06": lambda w: search.page(w.careers.select("boxer_id", "rating"), [F.desc("rating"), "boxer_id"], 3, 25),
     "srch01": lambda w: search.type_ahead(w, "re"),
     "srch03": search.word_index,
@@ -345,6 +345,8 @@ for _key, _make in {
     "mdl14": checks.surprise_share,
     "mdl17_impact": checks.trainer_impact,
     "lnk05": checks.reign_owner,
+    "src10": lambda w: wikitables.parsed(star.reign_pages(w), "page", "text", wikitables.reigns, wikitables.REIGN),
+    "src13": lambda w: wikitables.parsed(star.record_pages(w), "page", "text", wikitables.record, wikitables.RECORD),
     "str04": checks.rule_decisions,
     "str15": checks.lagging,
     "dq15": checks.audit,
