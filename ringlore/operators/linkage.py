@@ -141,12 +141,6 @@ def checked_claims(claims: DataFrame, bouts: DataFrame) -> DataFrame:
     return x.select("claim_id", F.when(F.col("hits") == 1, F.col("bout_id")).alias("bout_id"), verdict.alias("verdict"))
 
 
-def agreement(w: League) -> DataFrame:
-    """MDL32: amounts of one fighter and bout by source; whether two sources lie within 5 % of each other."""
-    x = w.purses.where("usd IS NOT NULL").groupBy("bout_id", "boxer_id").agg(F.count("*").alias("sources"), F.max("usd").alias("high"), F.min("usd").alias("low")).where("sources > 1")
-    return x.select("bout_id", "boxer_id", ((F.col("high") - F.col("low")) <= 0.05 * F.col("high")).alias("agree"))
-
-
 def money_issues(w: League) -> DataFrame:
     """DQ02 of money as suppliers might deliver it."""
     return validated_money(*star.money(w), w.as_of.isoformat())[0]

@@ -481,7 +481,6 @@ _LAST = {
         JOIN (SELECT boxer_id, start AS moved, person_id, lag(person_id) OVER (PARTITION BY boxer_id ORDER BY start) AS prev FROM stints) s ON s.boxer_id = w.boxer_id AND prev <> person_id)) WHERE n <= 6 GROUP BY ALL HAVING count(*) FILTER (post_move) >= 3 AND count(*) FILTER (NOT post_move) >= 2)""",
     "mdl29": """SELECT CASE WHEN winner_id IS NULL THEN 'void' WHEN ((bout_id + 1) % 2 = 0) = (winner_id = red_id) THEN 'right' ELSE 'wrong' END AS state, count(*) AS n FROM bouts WHERE method IS NOT NULL GROUP BY 1""",
     "rec17": " UNION ALL ".join(f"SELECT boxer_id, '{n}' AS list, min(rank) AS rank FROM (SELECT boxer_id, row_number() OVER (ORDER BY {o}) AS rank FROM ({r}))  WHERE rank <= 10 GROUP BY boxer_id" for n, r, o in _LISTS),
-    "mdl32": "SELECT bout_id, boxer_id, max(usd) - min(usd) <= 0.05 * max(usd) AS agree FROM purses WHERE usd IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
     "fn03": r"SELECT array_to_string(list_sort(list_filter(regexp_split_to_array(lower(p_type), '[\s\-.,'']+'), lambda x: x <> '')), ' ') AS key, count(*) AS n FROM part GROUP BY 1",
     "fn09": "SELECT s AS spelled, r AS read, count(*) AS n FROM bouts JOIN (VALUES (0, 'KO', 'KO'), (1, 'Knock-Out', 'KO'), (2, 'k.o.', 'KO'), (3, 'TKO', 'TKO'), (4, 'Technical Knockout', 'TKO'), (5, 'Referee Stoppage', 'TKO'), (6, 'stopped', 'TKO'), (7, 'RSC', 'TKO'), (8, 'Corner Retirement', 'RTD'), (9, 'corner stoppage', 'RTD'), (10, 'Disqualification', 'DQ'), (11, 'Decision - Unanimous', 'UD'), (12, 'Unanimous Decision (117-111)', 'UD'), (13, 'pts', 'UD'), (14, 'points', 'UD'), (15, 'Decision - Split', 'SD'), (16, 'Majority Decision', 'MD'), (17, 'Technical points', 'TD'), (18, 'Decision (technical)', 'TD'), (19, 'Tech decision', 'TD'), (20, 'Technical Draw', 'TDRAW'), (21, 'drawn', 'DRAW'), (22, 'Majority draw', 'DRAW'), (23, 'No Contest', 'NC'), (24, 'N/C', 'NC'), (25, 'no decision', 'NC'), (26, 'N/D', 'NC'), (27, 'walkover', NULL), (28, '', NULL)) v(i, s, r) ON bout_id % 29 = i GROUP BY ALL",
     "fn13": "SELECT division, min(end_round) AS median, max(of) AS n FROM (SELECT division, end_round, row_number() OVER (PARTITION BY division ORDER BY end_round) AS k, count(*) OVER (PARTITION BY division) AS of FROM bouts WHERE counted AND end_round IS NOT NULL) WHERE k > of // 2 GROUP BY division",
@@ -744,7 +743,23 @@ _REIGN_ROWS = """told AS (
         g.name AS opponent, NULL::VARCHAR AS note, strftime(start, '%Y-%m-%d') AS start, strftime("end", '%Y-%m-%d') AS "end", "end" IS NULL AS current, ended_by AS end_note, defences, champion_id
     FROM reigns r JOIN fighters f ON champion_id = f.boxer_id LEFT JOIN fighters g ON from_id = g.boxer_id)"""
 
+_FACTS_TOLD = """claims AS (
+    SELECT bout_id * 1000000 + boxer_id * 10 + i AS claim_id, CASE WHEN bout_id % 5 = 0 THEN 'weigh_in' ELSE 'purse' END AS kind, bout_id || '/' || boxer_id AS subject,
+        ['en.wikipedia.org', 'desk.example', 'court.example.gov', 'www.wikidata.org', 'wire.example'][CASE WHEN bout_id % 3 = 0 THEN i % 4 ELSE i END + 1] AS host,
+        round(CASE WHEN bout_id % 41 = 0 THEN 0 WHEN bout_id % 5 = 0 THEN 140::DOUBLE * (1 + (f - 1) / 10) ELSE (bout_id % 900 + 100) * 1000::DOUBLE * f END, 2) AS value, i = 2 AND bout_id % 2 = 0 AS official
+    FROM (SELECT *, [1, 1, 1.03, 1.049, 0.96, 1.2, 0.5][(bout_id + i * 3) % 7 + 1]::DOUBLE AS f FROM (SELECT bout_id, boxer_id, unnest(range((bout_id + boxer_id) % 5 + 1)) AS i FROM won))),
+reps AS (SELECT *, CASE WHEN kind = 'weigh_in' THEN 0.005 ELSE 0.05 END::DOUBLE AS t FROM claims QUALIFY row_number() OVER (PARTITION BY subject, host ORDER BY claim_id) = 1),
+near AS (SELECT a.subject, a.value, count(*) AS n, bool_or(b.host NOT LIKE '%wiki%') AS firm FROM reps a JOIN reps b ON a.subject = b.subject AND abs(a.value - b.value) <= a.t * greatest(a.value, b.value) GROUP BY a.subject, a.host, a.value),
+centre AS (SELECT subject, arg_max(value, (n, -value)) AS c, max(n) AS n, arg_max(firm, (n, -value)) AS firm, count(*) AS hosts FROM near GROUP BY subject),
+judged AS (
+    SELECT c.claim_id, c.kind, c.host, c.value, CASE WHEN hosts = 1 THEN CASE WHEN r.official THEN 'verified' ELSE 'single_source' END
+        WHEN n >= 2 AND firm THEN CASE WHEN abs(c.value - x.c) <= t * greatest(c.value, x.c) AND abs(r.value - x.c) <= t * greatest(r.value, x.c) THEN 'verified' ELSE 'conflict' END
+        WHEN r.official AND (SELECT count(*) FROM reps o WHERE o.subject = c.subject AND o.official) = 1 THEN 'verified' ELSE 'conflict' END AS status
+    FROM claims c JOIN reps r ON r.subject = c.subject AND r.host = c.host JOIN centre x ON x.subject = c.subject)"""
+
 _PEOPLE = {
+    "mdl32": f"@{_FACTS_TOLD} SELECT * FROM judged",
+    "mdl32_claims": f"@{_FACTS_TOLD} SELECT status, count(*) AS n FROM judged GROUP BY status",
     "src10": f"@{_REIGN_ROWS} SELECT * EXCLUDE champion_id FROM told",
     "src13": """SELECT boxer_id AS page, CASE result WHEN 'W' THEN 'win' WHEN 'L' THEN 'loss' WHEN 'D' THEN 'draw' ELSE 'nc' END AS result, f.name AS opponent, 'Fighter ' || opp_id AS article,
         CASE WHEN result = 'D' THEN 'DRAW' WHEN result IS NULL THEN 'NC' ELSE method END AS method, end_round AS round, rounds AS scheduled, strftime(date, '%Y-%m-%d') AS date

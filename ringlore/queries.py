@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .operators import aggregates as agg
-from .operators import canon, careers, checks, documents, fits, joins, linkage, merging, models, rankings, reviews, search, stories, titles, views
+from .operators import agreement, canon, careers, checks, documents, fits, joins, linkage, merging, models, rankings, reviews, search, stories, titles, views
 from .functions.names import name_key
 from .oracle import ORACLE_SQL  # noqa: F401
 from .plans.league import League, league
@@ -287,7 +287,8 @@ for _key, _make in {
     "mdl18": views.switch_study,
     "mdl29": views.ledger_grades,
     "rec17": rankings.records_of,
-    "mdl32": linkage.agreement,
+    "mdl32": lambda w: agreement.judged_facts(star.fact_claims(w)).select("claim_id", "kind", "host", "value", "status"),
+    "mdl32_claims": lambda w: agreement.judged_claims(star.fact_claims(w)).groupBy("status").agg(F.count("*").alias("n")),
     "fn01": linkage.folded_texts,
     "fn01_names": lambda w: star.profiles(w).groupBy(name_key(F.col("name")).alias("key")).agg(F.countDistinct("name").alias("spellings")),
     "fn03": linkage.part_keys,

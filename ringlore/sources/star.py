@@ -207,6 +207,20 @@ def articles(w) -> DataFrame:  # noqa: ANN001
     return w.fighters.select("boxer_id", F.concat(F.lit("Fighter "), (k - F.when(k % 50 == 2, 1).otherwise(0)).cast("string")).alias("external_id"))
 
 
+def fact_claims(w) -> DataFrame:  # noqa: ANN001
+    """What up to five hosts state of each counted corner: a purse or a weight, near or far from each other, one host official, one a wiki, some twice."""
+    i, b = F.col("i"), F.col("bout_id")
+    x = w.counted.select("bout_id", "boxer_id", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("bout_id") + F.col("boxer_id")) % 5)).alias("i"))
+    weight = b % 5 == 0
+    factor = spelled(b + i * 3, [1.0, 1.0, 1.03, 1.049, 0.96, 1.2, 0.5])
+    base = F.when(weight, 140.0).otherwise((b % 900 + 100) * 1000.0)
+    value = F.when(b % 41 == 0, 0.0).when(weight, base * (1 + (factor - 1) / 10)).otherwise(base * factor)
+    return x.select(
+        (b * 1_000_000 + F.col("boxer_id") * 10 + i).alias("claim_id"), F.when(weight, "weigh_in").otherwise("purse").alias("kind"), F.concat_ws("/", "bout_id", "boxer_id").alias("subject"), F.lit("amount").alias("field"),
+        spelled(F.when(b % 3 == 0, i % 4).otherwise(i), ["en.wikipedia.org", "desk.example", "court.example.gov", "www.wikidata.org", "wire.example"]).alias("host"), F.round(value, 2).alias("value"), ((i == 2) & (b % 2 == 0)).alias("official"),
+    )
+
+
 def contributions(w) -> DataFrame:  # noqa: ANN001
     """Readers' edits of teams, from events: of known fighters and some unknown ones, by trainers' names in two spellings and new names."""
     k, fighters, trainers = F.col("event_id"), w.fighters.count(), w.raw("supplier").count()
