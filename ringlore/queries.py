@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .operators import aggregates as agg
-from .operators import agreement, canon, careers, checks, documents, fits, joins, linkage, merging, models, rankings, reviews, search, stories, titles, views
+from .operators import agreement, canon, careers, checks, documents, fits, joins, linkage, mentions, merging, models, rankings, reviews, search, stories, titles, views
 from .functions.names import name_key
 from .oracle import ORACLE_SQL  # noqa: F401
 from .plans.league import League, league
@@ -151,6 +151,7 @@ for _key, _make in {
     "srch05": lambda w: search.unique_names(w.raw("customer").select(F.col("c_name").alias("name"))),
     "srch07": lambda w: search.names_in_text(w.raw("benchmark").select(F.col("item_id").alias("name_id"), F.col("text").alias("name")), w.raw("documents")),
     "srch02": lambda w: search.by_name(parts(w), "smlal widgte"),
+    "srch06": lambda w: mentions.people_in_texts(star.named_people(w), star.mention_texts(w)),
     "srch08": lambda w: search.by_name(parts(w), "RED widg"),
     "set03": lambda w: search.champions(w, "former"),
     "mdl01_elo": models.elo,

@@ -221,6 +221,33 @@ def fact_claims(w) -> DataFrame:  # noqa: ANN001
     )
 
 
+def named_people(w) -> DataFrame:  # noqa: ANN001
+    """Fighters by invented names: a first name by number, a family name that spells the number."""
+    k = F.col("boxer_id")
+    return w.fighters.select(k.alias("owner"), F.concat(spelled(k, ["Álvaro", "Bettina", "Ciarán", "Dragoş", "Elżbieta", "Farid", "Greta"]), F.lit(" "), spelled_number(k)).alias("name"))
+
+
+def spelled_number(k: Column) -> Column:
+    out = k.cast("string")
+    for digit, sound in enumerate(("bal", "cer", "dim", "fon", "gur", "hav", "jel", "kis", "lom", "mun")):
+        out = F.replace(out, F.lit(str(digit)), F.lit(sound))
+    return out
+
+
+def mention_texts(w) -> DataFrame:  # noqa: ANN001
+    """Documents that end with people's names, in full or with a letter left out, two letters swapped or another one instead."""
+    k, fighters = F.col("doc_id"), w.fighters.count()
+    people = named_people(w)
+    x = w.raw("documents").select("doc_id", "text", F.explode(F.array((k * 7) % fighters, (k * 11 + 3) % fighters)).alias("owner")).join(people, "owner")
+    at = F.length("name") - F.lit(3)
+    slip = (k + F.col("owner")) % 4
+    cut = lambda a, n: F.substring("name", F.lit(a) if isinstance(a, int) else a, F.lit(n) if isinstance(n, int) else n)
+    swapped = F.concat(cut(1, at - 1), cut(at + 1, 1), cut(at, 1), cut(at + 2, 9))
+    told = F.when(slip == 0, F.col("name")).when(slip == 1, F.concat(cut(1, at - 1), cut(at + 1, 9))).when(slip == 2, swapped).otherwise(F.concat(F.upper(cut(1, at - 1)), F.lit("x"), cut(at + 1, 9)))
+    ends = x.groupBy("doc_id").agg(F.array_sort(F.collect_list(told)).alias("names"))
+    return w.raw("documents").join(ends, "doc_id", "left").select("doc_id", F.concat_ws(" ", F.coalesce("text", F.lit("")), F.array_join("names", ", then ")).alias("text"))
+
+
 def contributions(w) -> DataFrame:  # noqa: ANN001
     """Readers' edits of teams, from events: of known fighters and some unknown ones, by trainers' names in two spellings and new names."""
     k, fighters, trainers = F.col("event_id"), w.fighters.count(), w.raw("supplier").count()
