@@ -92,7 +92,7 @@ def _stage_task(tokenizer: str, end_id: int, width: int):
         coder = library_coder(tokenizer, True)
         squeeze = zstandard.ZstdCompressor(level=3, write_content_size=True, write_checksum=False).compress
         row, sent = TaskContext.get().partitionId() << 40, set()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             flat, at = coder.encode(batch.column("text"))
             ids = np.insert(flat, at[1:], np.uint32(end_id)).astype("<u4")
             at = at + np.arange(len(at))
@@ -119,6 +119,12 @@ def _stage_task(tokenizer: str, end_id: int, width: int):
     return run
 
 
+def _vocabulary(tokenizer: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer).get_vocab_size()
+
+
 def write_store(
     docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, width: int = 2, fan: int = 4096
 ) -> None:
@@ -128,6 +134,8 @@ def write_store(
     of null id come first; repeated rows are documents of their own.  ``width``: bytes that hold an id (2 or 4).
     """
     spark = docs.sparkSession
+    if max(end_id, _vocabulary(tokenizer) - 1) >= 1 << 8 * width:
+        raise ValueError(f"{width} bytes are too few for the tokenizer's ids")
     staged = new_path(spark, "token-staging")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     rows.mapInArrow(_stage_task(tokenizer, end_id, width), STAGED).write.option("compression", "lz4").parquet(staged)
@@ -178,7 +186,7 @@ def verify_manifest(spark: SparkSession, path: str, fan: int = 4096) -> bool:
     return found.exceptAll(held).isEmpty() and held.exceptAll(found).isEmpty()
 
 
-def _rebuild_task(width: int, most: int = 1 << 20):
+def _rebuild_task(width: int, most: int = 1 << 18):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
         for some in slices(batches, "n_tokens", most):

@@ -459,3 +459,8 @@ def test_arguments_that_are_no_json(spark):
 def test_enum_tells_true_from_one():
     schema = {"enum": [1, "a", [True]]}
     assert [tool_chat.first_problem(x, schema) is None for x in (1, 1.0, True, "a", [True], [1])] == [True, True, False, True, True, False]
+
+
+def test_store_refuses_ids_that_do_not_fit(spark, docs):
+    with pytest.raises(ValueError, match="too few"):
+        token_store.write_store(docs, WORD, new_path(spark, "narrow"), width=1)
