@@ -187,17 +187,6 @@ def endings(w: League) -> DataFrame:
     return p.select("bout_id", *[(F.col(f"p_{s}") * e).alias(f"{s}_{n}") for s in ("red", "blue") for n, e in (("stop", F.col("p_stop")), ("points", 1 - F.col("p_stop")))])
 
 
-def switch_study(w: League) -> DataFrame:
-    """MDL18: win rate of up to six bouts before and after a change of trainer, where there are two before and three after."""
-    s = w.stints.withColumn("prev", F.lag("person_id").over(Window.partitionBy("boxer_id").orderBy("start"))).where("prev IS NOT NULL AND prev <> person_id").select("boxer_id", F.col("start").alias("moved"))
-    x = w.counted.select("boxer_id", "bout_id", "date", F.when(F.col("result") == "W", 1.0).otherwise(0.0).alias("won")).join(s, "boxer_id")
-    after = F.col("date") >= F.col("moved")
-    near = Window.partitionBy("boxer_id", "moved", after).orderBy(F.abs(F.datediff("date", "moved")), "bout_id")
-    x = x.withColumn("n", F.row_number().over(near)).where("n <= 6").groupBy("boxer_id", "moved")
-    x = x.agg(F.avg(F.when(after, F.col("won"))).alias("a"), F.avg(F.when(~after, F.col("won"))).alias("b"), count_if(after).alias("na"), count_if(~after).alias("nb")).where("na >= 3 AND nb >= 2")
-    return x.agg(F.count("*").alias("moves"), F.avg("a").alias("after"), F.avg("b").alias("before"), F.stddev_samp(F.col("a") - F.col("b")).alias("sd"))
-
-
 def trainer_ids(w: League) -> DataFrame:
     """JOIN10: bouts by head trainer, stints with a known start only, counted by trainer."""
     return head_trainer(w, start_required=True).groupBy("trainer_id").agg(F.count("*").alias("bouts"))

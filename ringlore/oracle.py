@@ -476,9 +476,6 @@ _LAST = {
     "vw14": "SELECT division, sex, count(*) AS ranked, round(avg(CASE WHEN bouts < 60 THEN 1.0 ELSE 0.0 END), 6) AS partial_share FROM ranking GROUP BY ALL",
     "mdl10": f'@{_CALLS} SELECT year(date) AS year, count(*) AS n, round(avg("right"::INT), 6) AS accuracy, round(avg(-log2(CASE WHEN "right" THEN chance ELSE 1 - chance END)), 6) AS surprise FROM calls GROUP BY 1',
     "mdl28": f"@{_FEATURES} SELECT bout_id, round(p_red * p_stop, 6) AS red_stop, round(p_red * (1 - p_stop), 6) AS red_points, round((0.97 - p_red) * p_stop, 6) AS blue_stop, round((0.97 - p_red) * (1 - p_stop), 6) AS blue_points FROM chances",
-    "mdl18": """SELECT count(*) AS moves, round(avg(a), 6) AS after, round(avg(b), 6) AS before, round(stddev_samp(a - b), 6) AS sd FROM (SELECT boxer_id, moved, avg(won) FILTER (post_move) AS a, avg(won) FILTER (NOT post_move) AS b FROM (
-        SELECT *, row_number() OVER (PARTITION BY boxer_id, moved, post_move ORDER BY abs(datediff('day', moved, date)), bout_id) AS n FROM (SELECT w.boxer_id, bout_id, date, CASE WHEN result = 'W' THEN 1.0 ELSE 0.0 END AS won, moved, date >= moved AS post_move FROM won w
-        JOIN (SELECT boxer_id, start AS moved, person_id, lag(person_id) OVER (PARTITION BY boxer_id ORDER BY start) AS prev FROM stints) s ON s.boxer_id = w.boxer_id AND prev <> person_id)) WHERE n <= 6 GROUP BY ALL HAVING count(*) FILTER (post_move) >= 3 AND count(*) FILTER (NOT post_move) >= 2)""",
     "mdl29": """SELECT CASE WHEN winner_id IS NULL THEN 'void' WHEN ((bout_id + 1) % 2 = 0) = (winner_id = red_id) THEN 'right' ELSE 'wrong' END AS state, count(*) AS n FROM bouts WHERE method IS NOT NULL GROUP BY 1""",
     "rec17": " UNION ALL ".join(f"SELECT boxer_id, '{n}' AS list, min(rank) AS rank FROM (SELECT boxer_id, row_number() OVER (ORDER BY {o}) AS rank FROM ({r}))  WHERE rank <= 10 GROUP BY boxer_id" for n, r, o in _LISTS),
     "fn03": r"SELECT array_to_string(list_sort(list_filter(regexp_split_to_array(lower(p_type), '[\s\-.,'']+'), lambda x: x <> '')), ' ') AS key, count(*) AS n FROM part GROUP BY 1",
@@ -758,6 +755,15 @@ judged AS (
     FROM claims c JOIN reps r ON r.subject = c.subject AND r.host = c.host JOIN centre x ON x.subject = c.subject)"""
 
 _PEOPLE = {
+    "mdl18": """@st AS (SELECT *, row_number() OVER (ORDER BY boxer_id, start, person_id) AS stint, lag(person_id) OVER o AS prev, lag(start) OVER o AS prev_start FROM stints WHERE start IS NOT NULL WINDOW o AS (PARTITION BY boxer_id ORDER BY start, person_id)),
+        days AS (SELECT boxer_id, date, arg_max(post, bout_id) AS rating FROM won GROUP BY ALL),
+        und AS (SELECT s.*, d.rating, row_number() OVER (PARTITION BY stint ORDER BY w.date, bout_id) - 1 AS place, count(*) OVER (PARTITION BY stint) AS held FROM won w JOIN st s ON w.boxer_id = s.boxer_id AND w.date >= s.start AND (s."end" IS NULL OR w.date < s."end") JOIN days d ON d.boxer_id = w.boxer_id AND d.date = w.date),
+        moves AS (SELECT stint, any_value(boxer_id) AS boxer_id, any_value(start) AS start, arg_max(rating, place) AS after FROM und u WHERE place < 6 AND prev <> person_id
+            AND (SELECT count(*) FROM won w WHERE w.boxer_id = u.boxer_id AND w.date < u.start AND w.date >= u.prev_start) >= 2 GROUP BY stint HAVING count(*) >= 3),
+        a AS (SELECT count(*) AS n, avg(c) AS m, coalesce(stddev_samp(c), 0) AS sd FROM (SELECT after - coalesce(d.rating, 1500) AS c FROM moves m ASOF LEFT JOIN days d ON d.boxer_id = m.boxer_id AND m.start >= d.date)),
+        b AS (SELECT count(*) AS n, avg(c) AS m, coalesce(stddev_samp(c), 0) AS sd FROM (SELECT max(rating) FILTER (place = p + 6) - max(rating) FILTER (place = p) AS c FROM (SELECT *, least(held - 7, greatest(1, held // 2)) AS p FROM und WHERE held >= 8) GROUP BY stint))
+        SELECT a.n AS switched, round(a.m, 6) AS switched_mean, round(a.sd, 6) AS switched_sd, b.n AS stayed, round(b.m, 6) AS stayed_mean, round(b.sd, 6) AS stayed_sd, round(a.m - b.m, 6) AS difference, round(sqrt(a.sd * a.sd / a.n + b.sd * b.sd / b.n), 6) AS error
+        FROM a, b WHERE a.n >= 10 AND b.n >= 10""",
     "mdl32": f"@{_FACTS_TOLD} SELECT * FROM judged",
     "mdl32_claims": f"@{_FACTS_TOLD} SELECT status, count(*) AS n FROM judged GROUP BY status",
     "src10": f"@{_REIGN_ROWS} SELECT * EXCLUDE champion_id FROM told",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .operators import aggregates as agg
-from .operators import agreement, canon, careers, checks, documents, fits, joins, linkage, mentions, merging, models, rankings, reviews, search, stories, titles, views
+from .operators import agreement, canon, careers, checks, documents, fits, joins, linkage, mentions, merging, models, rankings, reviews, search, stories, titles, trainers, views
 from .functions.names import name_key
 from .oracle import ORACLE_SQL  # noqa: F401
 from .plans.league import League, league
@@ -285,7 +285,7 @@ for _key, _make in {
     "vw13_fighters": lambda w: stories.official_by_fighter(stories.official(w)),
     "snk05": stories.official,
     "win17": stories.style_sample,
-    "mdl18": views.switch_study,
+    "mdl18": trainers.switch_study,
     "mdl29": views.ledger_grades,
     "rec17": rankings.records_of,
     "mdl32": lambda w: agreement.judged_facts(star.fact_claims(w)).select("claim_id", "kind", "host", "value", "status"),
@@ -345,7 +345,7 @@ for _key, _make in {
     "flt22": lambda w: w.decided.where("method <> 'DQ' AND rounds >= 6").groupBy("rounds").agg(F.count("*").alias("n")),
     "mdl07": checks.preset_chances,
     "mdl14": checks.surprise_share,
-    "mdl17_impact": checks.trainer_impact,
+    "mdl17_impact": trainers.trainer_impact,
     "lnk05": checks.reign_owner,
     "src10": lambda w: wikitables.parsed(star.reign_pages(w), "page", "text", wikitables.reigns, wikitables.REIGN),
     "src13": lambda w: wikitables.parsed(star.record_pages(w), "page", "text", wikitables.record, wikitables.RECORD),

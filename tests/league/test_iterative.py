@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ringlore.operators import checks, fits, joins, merging, models, reviews, search
+from ringlore.operators import checks, fits, joins, merging, models, reviews, search, trainers
 from ringlore.plans.league import League, league
 
 SF = "/root/testdata/sf0.001"
@@ -92,25 +92,47 @@ def test_core(w):
 
 
 def test_trainer_impact(w):
-    """A few passes over one class against the same steps in numpy."""
+    """A few passes over all bouts with a trainer on either side against the same steps in numpy, with errors, evidence and verdicts."""
     heads = {(x.bout_id, x.boxer_id): x.trainer_id for x in joins.head_trainer(w).collect()}
-    rows = [(x, heads.get((x.bout_id, x.boxer_id)), heads.get((x.bout_id, x.opp_id))) for x in w.counted.where("side = 'red' AND division = 'FURNITURE' AND sex = 'male'").collect()]
-    rows = [x for x in rows if x[1] is not None and x[2] is not None]
-    names = sorted({("f", x.boxer_id) for x, _, _ in rows} | {("f", x.opp_id) for x, _, _ in rows} | {("t", t) for _, a, b in rows for t in (a, b)})
-    at = {n: i for i, n in enumerate(names)}
+    rows = [(x, heads.get((x.bout_id, x.boxer_id)), heads.get((x.bout_id, x.opp_id))) for x in w.counted.where("side = 'red'").collect()]
+    rows = [x for x in rows if x[1] is not None or x[2] is not None]
+    assert any(None in x[1:] for x in rows)
+    names = sorted({("f", x.boxer_id) for x, _, _ in rows} | {("f", x.opp_id) for x, _, _ in rows} | {("t", t) for _, a, b in rows for t in (a, b) if t is not None})
+    at = {n: i for i, n in enumerate(names)} | {("t", None): len(names)}
     ends = np.array([[at["f", x.boxer_id], at["t", a], at["f", x.opp_id], at["t", b]] for x, a, b in rows])
     y = np.array([{"W": 1.0, "D": 0.5, "L": 0.0}[x.result] for x, _, _ in rows])
-    penalty, v = np.array([0.05 if k == "f" else 8.0 for k, _ in names]), np.zeros(len(names))
+    penalty, v = np.array([0.05 if k == "f" else 8.0 for k, _ in names] + [1.0]), np.zeros(len(names) + 1)
+
+    def chance():
+        return 1 / (1 + np.exp(-(v[ends[:, 0]] + v[ends[:, 1]] - v[ends[:, 2]] - v[ends[:, 3]])))
+
     for _ in range(3):
-        p = 1 / (1 + np.exp(-(v[ends[:, 0]] + v[ends[:, 1]] - v[ends[:, 2]] - v[ends[:, 3]])))
+        p = chance()
         g, h = np.zeros(len(v)), np.zeros(len(v))
         for j, sign in enumerate((1, 1, -1, -1)):
             np.add.at(g, ends[:, j], sign * (y - p))
             np.add.at(h, ends[:, j], p * (1 - p))
         v = v + 0.8 * (g - penalty * v) / (h + penalty)
-    got = {x.trainer_id: x.points for x in checks.trainer_impact(w, passes=3).where("division = 'FURNITURE' AND sex = 'male'").collect()}
-    want = {n: v[i] * 400 / np.log(10) for (k, n), i in at.items() if k == "t"}
-    assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-6 for t in want)
+        v[-1] = 0
+    worked, info, bouts = {}, {}, {}
+    for x, a, b in rows:
+        for f, t in ((x.boxer_id, a), (x.opp_id, b)):
+            if t is not None:
+                worked.setdefault(f, set()).add(t)
+    for (x, a, b), p in zip(rows, chance()):
+        for f, t in ((x.boxer_id, a), (x.opp_id, b)):
+            if t is not None:
+                info[t] = info.get(t, 0.0) + p * (1 - p) * (len(worked[f]) > 1)
+                bouts.setdefault(t, []).append(f)
+    got = {x.trainer_id: x for x in trainers.trainer_impact(w, passes=3).collect()}
+    assert got.keys() == info.keys()
+    for t, x in got.items():
+        points, error, n = v[at["t", t]] * 400 / np.log(10), 400 / np.log(10) / np.sqrt(info[t] + 8), int(np.floor(info[t] * 4 + 0.5))
+        evidence = "strong" if n >= 40 else "some" if n >= 8 else "thin"
+        side = "above" if points > 0 else "below"
+        verdict = "unclear" if evidence == "thin" or abs(points) <= 1.28 * error else side if abs(points) > 1.96 * error else f"leaning {side}"
+        assert abs(x.points - points) < 1e-6 and abs(x.error - error) < 1e-6
+        assert (x.evidence, x.verdict, x.fights, x.informative, x.fighters) == (evidence, verdict, len(bouts[t]), n, len(set(bouts[t])))
 
 
 def test_logistic(spark):
