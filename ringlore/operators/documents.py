@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shuffles import as_of
 from ..plans.league import League
+from ..storage import written
 
 
 def slug(c: Column, most: int = 100) -> Column:
@@ -56,6 +58,50 @@ def copy_waves(w: League) -> DataFrame:
     return x.where("sources > 1")
 
 
+def posts(w: League) -> DataFrame:
+    """Events as posts of documents' texts: ``post_id``, ``user_id``, ``fp`` (fingerprint of the letters), ``ts``."""
+    n = w.raw("documents").count()
+    texts = w.raw("documents").select(F.col("doc_id").alias("of"), letters_fingerprint(F.col("text")).alias("fp"))
+    x = w.raw("events").select(F.col("event_id").alias("post_id"), "user_id", F.col("ts").cast("timestamp").alias("ts"), F.pmod(F.floor(F.col("event_id") / 3), F.lit(n)).alias("of"))
+    return x.join(texts, "of").drop("of")
+
+
+def copied_posts(posts: DataFrame, hours: int = 24) -> DataFrame:
+    """STR10: posts of which another user posted the same letters within the ``hours`` before.
+
+    Rows of a fingerprint are dealt by stretches of that length, each with the stretch before it, so a text that is always posted is no
+    single task's; within them a window over the hours before has another user if its least or greatest one is another.
+    """
+    length = hours * 3_600_000_000
+    stretch = F.floor(F.unix_micros("ts") / length)
+    near = posts.withColumn("at", F.unix_micros("ts")).withColumn("own", stretch).withColumn("stretch", F.explode(F.array(stretch, stretch + 1)))
+    before = Window.partitionBy("fp", "stretch").orderBy("at").rangeBetween(-length, 0)
+    x = near.withColumn("low", F.min("user_id").over(before)).withColumn("high", F.max("user_id").over(before))
+    return x.where("stretch = own AND (low <> user_id OR high <> user_id)").select("post_id", "user_id")
+
+
+def fixed_windows(events: DataFrame, seconds: int = 86400, most: int = 2) -> DataFrame:
+    """STR08: windows that begin at a user's first event after the last one ended: ``user_id``, ``start``, ``n`` and how many were ``refused``.
+
+    The first event a window's length after each is found by an as-of join in reversed time.  Which events begin windows is found by
+    doubling: from those known, the ones 1, 2, 4, ... windows on, in as many rounds as the logarithm of a user's windows.
+    """
+    hits = events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).where("user_id IS NOT NULL AND at IS NOT NULL")
+    firsts = written(hits.groupBy("user_id", "at").agg(F.count("*").alias("n")), "hits")  # hits at one instant are one
+    later = firsts.select("user_id", (-F.col("at")).alias("back"), F.col("at").alias("next"))
+    jump = as_of(firsts.select("user_id", "at", (-F.col("at") - seconds * 1_000_000).alias("back")), later, "user_id", "back", ["next"])
+    jump = written(jump.where("next IS NOT NULL").select("user_id", "at", "next"), "jumps")
+    starts = written(firsts.groupBy("user_id").agg(F.min("at").alias("at")), "window-starts")
+    while not jump.isEmpty():
+        more = starts.join(jump, ["user_id", "at"]).select("user_id", F.col("next").alias("at"))
+        starts = written(starts.unionByName(more).distinct(), "window-starts")
+        twice = jump.select("user_id", F.col("at").alias("from"), F.col("next").alias("at")).join(jump, ["user_id", "at"])
+        jump = written(twice.select("user_id", F.col("from").alias("at"), "next"), "jumps")
+    placed = as_of(firsts, starts.withColumn("start", F.col("at")), "user_id", "at", ["start"])
+    x = placed.groupBy("user_id", "start").agg(F.sum("n").alias("n"))
+    return x.select("user_id", F.timestamp_micros("start").alias("start"), "n", F.greatest(F.lit(0), F.col("n") - most).alias("refused"))
+
+
 def duplicate_groups(w: League) -> DataFrame:
     """LNK09: texts that are equal once case and white space are folded."""
     folded = F.trim(F.regexp_replace(F.lower("text"), r"[ \t\n\r]+", " "))

@@ -755,6 +755,12 @@ judged AS (
     FROM claims c JOIN reps r ON r.subject = c.subject AND r.host = c.host JOIN centre x ON x.subject = c.subject)"""
 
 _PEOPLE = {
+    "str08": """@RECURSIVE_starts AS (
+            SELECT user_id, min(ts) AS start FROM events GROUP BY user_id
+            UNION ALL SELECT s.user_id, min(e.ts) FROM RECURSIVE_starts s JOIN events e ON e.user_id = s.user_id AND e.ts >= s.start + INTERVAL 1 DAY GROUP BY s.user_id, s.start)
+        SELECT e.user_id, s.start, count(*) AS n, greatest(0, count(*) - 2) AS refused FROM events e ASOF JOIN RECURSIVE_starts s ON e.user_id = s.user_id AND e.ts >= s.start GROUP BY ALL""",
+    "str10_posts": """@posts AS (SELECT event_id AS post_id, user_id, ts, sha1(regexp_replace(lower(text), '[^a-z]', '', 'g'))[1:16] AS fp FROM events JOIN documents ON doc_id = event_id // 3 % (SELECT count(*) FROM documents))
+        SELECT DISTINCT b.post_id, b.user_id FROM posts b JOIN posts a ON a.fp = b.fp AND a.user_id <> b.user_id AND a.ts BETWEEN b.ts - INTERVAL 24 HOURS AND b.ts""",
     "mdl18": """@st AS (SELECT *, row_number() OVER (ORDER BY boxer_id, start, person_id) AS stint, lag(person_id) OVER o AS prev, lag(start) OVER o AS prev_start FROM stints WHERE start IS NOT NULL WINDOW o AS (PARTITION BY boxer_id ORDER BY start, person_id)),
         days AS (SELECT boxer_id, date, arg_max(post, bout_id) AS rating FROM won GROUP BY ALL),
         und AS (SELECT s.*, d.rating, row_number() OVER (PARTITION BY stint ORDER BY w.date, bout_id) - 1 AS place, count(*) OVER (PARTITION BY stint) AS held FROM won w JOIN st s ON w.boxer_id = s.boxer_id AND w.date >= s.start AND (s."end" IS NULL OR w.date < s."end") JOIN days d ON d.boxer_id = w.boxer_id AND d.date = w.date),
@@ -799,7 +805,8 @@ _PEOPLE = {
 
 def _whole(query: str) -> str:
     """The league's expressions and the query; one that begins with @ brings expressions of its own."""
-    return f"{LEAGUE}, {query[1:]}" if query.startswith("@") else f"{LEAGUE} {query}"
+    whole = f"{LEAGUE}, {query[1:]}" if query.startswith("@") else f"{LEAGUE} {query}"
+    return whole.replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_", "") if "RECURSIVE_" in query else whole
 
 
 ORACLE_SQL = {k: _whole(q) for k, q in (_QUERIES | _MORE | _LAST | _CHECKS | _STORIES | _PEOPLE).items()}

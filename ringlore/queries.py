@@ -179,6 +179,8 @@ for _key, _make in {
     "str_session": lambda w: documents.sessions(w.raw("events")),
     "str_dedupe": lambda w: documents.dedupe_daily(w.raw("events")),
     "str_limiter": lambda w: documents.limited(w.raw("events")),
+    "str08": lambda w: documents.fixed_windows(w.raw("events")),
+    "str10_posts": lambda w: documents.copied_posts(documents.posts(w)),
     "str_late": lambda w: documents.late(w.raw("events")),
     "snk01": merging.upsert,
     "snk03": merging.replace_per_source,

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState
 
 LATENESS = "14 days"
@@ -60,7 +60,8 @@ def limiter(events: DataFrame, most: int = 3, seconds: int = 600) -> DataFrame:
                     times.append(int(t))
             yield pd.DataFrame({"event_id": rows.event_id, "user_id": key[0], "allowed": allowed})
         state.update((times,))
-        state.setTimeoutTimestamp(max(times, default=0) + seconds * 1_000 + state.getCurrentWatermarkMs())
+        # a time that has passed already would be refused
+        state.setTimeoutTimestamp(max(max(times, default=0) + seconds * 1_000, state.getCurrentWatermarkMs() + 1))
 
     out, held = "event_id long, user_id long, allowed boolean", "times array<long>"
     stamped = events.withWatermark("ts", LATENESS).select("user_id", "event_id", "ts")
@@ -68,22 +69,74 @@ def limiter(events: DataFrame, most: int = 3, seconds: int = 600) -> DataFrame:
 
 
 def hidden(reports: DataFrame, least: int = 6) -> DataFrame:
-    """STR12: subjects with ``least`` distinct reporters or more; a reporter counts once per subject."""
+    """STR12, without the rules on a reporter's age and posts that the batch form has: subjects with ``least`` distinct reporters or more; a reporter counts once per subject."""
     once = reports.withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark(["event_type", "user_id"])
     return once.groupBy("event_type").agg(F.count("*").alias("reporters")).where(F.col("reporters") >= least)
 
 
-def guarded_merge(stream: DataFrame, target: str, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame], most_share: float, checkpoint: str) -> StreamingQuery:
-    """STR02, STR03, SNK01: each batch merged into a table by versions, unless it would change too much of it.
+def copied_posts(posts: DataFrame, hours: int = 24, lateness: str = LATENESS) -> DataFrame:
+    """STR10: posts (``post_id``, ``user_id``, ``fp``, ``ts``) of which another user posted the same letters within the hours before.
 
-    Version ``n`` of the table is the folder ``target/v=n``; a batch that is run again writes the same folder again.
+    A join of the stream with itself over an interval, each side with a watermark, so state is what the interval and lateness hold.
     """
-
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        held = spark.read.parquet(f"{target}/v={number}")
-        changed = batch.join(held, key, "left_semi").count()
-        refused = changed > most_share * max(1, held.count())
-        (held if refused else merge(held, batch)).write.mode("overwrite").parquet(f"{target}/v={number + 1}")
-
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    a = posts.select(F.col("fp"), F.col("user_id").alias("first_user"), F.col("ts").alias("first_ts")).withWatermark("first_ts", lateness)
+    b = posts.withWatermark("ts", lateness)
+    within = F.expr(f"first_ts <= ts AND first_ts >= ts - INTERVAL {hours} HOURS")
+    met = b.join(a, (b["fp"] == a["fp"]) & within & (F.col("user_id") != F.col("first_user")))
+    return met.select("post_id", "user_id", "ts").dropDuplicatesWithinWatermark(["post_id"])
+
+
+class Proposals(StatefulProcessor):
+    """STR05 of one target: the pending proposal, and fingerprints that were rejected, each remembered until an event-time timer forgets it."""
+
+    def __init__(self, days: int) -> None:
+        self.memory_ms = days * 86_400_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getValueState("pending", "fingerprint string")
+        self.rejected = handle.getMapState("rejected", "fingerprint string", "until long")
+
+    def _outcome(self, fingerprint: str | None, decision: str | None, at: int) -> str:
+        held = self.pending.get()[0] if self.pending.exists() else None
+        if decision:
+            if held is None:
+                return "nothing to decide"
+            if decision == "rejected":
+                self.rejected.updateValue((held,), (at + self.memory_ms,))
+                self.handle.registerTimer(at + self.memory_ms)
+            self.pending.clear()
+            return "decided"
+        if fingerprint is None:
+            self.pending.clear()
+            return "superseded" if held else "nothing to supersede"
+        if held == fingerprint:
+            return "unchanged"
+        if held is None and self.rejected.containsKey((fingerprint,)) and self.rejected.getValue((fingerprint,))[0] > at:
+            return "remembered"
+        self.pending.update((fingerprint,))
+        return "updated" if held else "added"
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        every = pd.concat(rows).sort_values(["ts", "seq"])
+        nothing = lambda x: None if pd.isna(x) else x
+        told = [self._outcome(nothing(f), nothing(d), int(t.value // 1_000_000)) for f, d, t in zip(every.fingerprint, every.decision, every.ts)]
+        yield pd.DataFrame({"target": key[0], "seq": every.seq.to_numpy(), "outcome": told})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        over = expiredTimerInfo.getExpiryTimeInMs()
+        for fingerprint in [f for f, until in self.rejected.iterator() if until[0] <= over]:
+            self.rejected.removeKey(fingerprint)
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def proposals(found: DataFrame, days: int = 30, lateness: str = "1 day") -> DataFrame:
+    """STR05: what becomes of each row of ``found`` (``target``, ``seq``, ``fingerprint``, ``decision``, ``ts``) in order of time: ``target``, ``seq``, ``outcome``.
+
+    A row is a change that was found (``added``, ``updated``, ``unchanged``, or ``remembered`` where the same was rejected under ``days`` ago), a null
+    fingerprint where a run no longer finds one (``superseded``), or a decision on what is pending.  Needs the RocksDB state store.
+    """
+    return found.withWatermark("ts", lateness).groupBy("target").transformWithStateInPandas(Proposals(days), "target string, seq long, outcome string", "Append", "EventTime")

@@ -147,16 +147,3 @@ def test_limiter_counts_only_allowed(spark, tmp_path):
         if expected[i]:
             held[u].append(t)
     assert {r.event_id: r.allowed for r in spark.table("allowed").collect()} == expected
-
-
-def test_guarded_merge(spark, tmp_path):
-    base = spark.createDataFrame([(i, "old") for i in range(100)], "k long, v string")
-    base.write.parquet(str(tmp_path / "t/v=0"))
-    new = spark.createDataFrame([(i, "new") for i in range(95, 110)], "k long, v string")
-    new.coalesce(1).write.parquet(str(tmp_path / "in"))
-    merge = lambda held, batch: held.join(batch, "k", "left_anti").unionByName(batch)
-    stream = spark.readStream.schema(new.schema).parquet(str(tmp_path / "in"))
-    jobs.guarded_merge(stream, str(tmp_path / "t"), "k", merge, 0.3, str(tmp_path / "c1")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "t/v=1")).where("v = 'new'").count() == 15
-    jobs.guarded_merge(stream, str(tmp_path / "t"), "k", merge, 0.01, str(tmp_path / "c2")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "t/v=1")).where("v = 'new'").count() == 0
