@@ -754,7 +754,23 @@ judged AS (
         WHEN r.official AND (SELECT count(*) FROM reps o WHERE o.subject = c.subject AND o.official) = 1 THEN 'verified' ELSE 'conflict' END AS status
     FROM claims c JOIN reps r ON r.subject = c.subject AND r.host = c.host JOIN centre x ON x.subject = c.subject)"""
 
+_PLACES_READ = ["United States", "United States", "United States", "The Netherlands", "Netherlands", "Turkey", "United Kingdom", "England", "Northern Ireland", "Australia", "Congo - Kinshasa", "NATION_3", "Ghana"]
+_PLACES_TOLD = ["USA", "U.S.", "United States of America", "The Netherlands", "Holland", "Türkiye", "Great Britain", "England", "Northern Ireland", "New South Wales", "DR Congo", "NATION_3", "Ghana"]
+_RAW = f"""raw AS (
+    SELECT boxer_id AS row, CASE WHEN boxer_id % 23 <> 0 THEN boxer_id::VARCHAR END AS external_id, name, {_PLACES_READ}[boxer_id % 13 + 1] AS country, {[r for _, r in _READ_CLASSES]!r}[boxer_id % 19 + 1] AS division,
+        nullif(trim({[c for c, _ in _READ_CLASSES]}[boxer_id % 19 + 1]), '') AS class_told, coalesce(stance, 'unknown') AS stance_told, stance, CASE boxer_id % 6 WHEN 0 THEN height_cm WHEN 1 THEN height_cm WHEN 2 THEN floor(inches * 2.54 + 0.5) WHEN 3 THEN floor(inches * 2.54 + 0.5) END::BIGINT AS height_cm,
+        CASE WHEN height_cm IS NOT NULL OR boxer_id % 6 = 4 THEN boxer_id % 6 = 4 ELSE false END AS tall, CASE WHEN boxer_id % 9 <> 0 THEN boxer_id % 50 END AS wins, CASE WHEN boxer_id % 8 <> 0 THEN make_date(1960 + boxer_id % 40, 5, 17) END AS born, active, boxer_id % 37 = 5 AS broken
+    FROM (SELECT *, floor(height_cm / 2.54 + 0.5)::BIGINT AS inches FROM fighters))""".replace("None", "NULL")
+
 _PEOPLE = {
+    "src11": f"@{_RAW} SELECT row, external_id, name, country, division, stance, height_cm, wins, born, active FROM raw WHERE NOT broken AND external_id IS NOT NULL",
+    "src11_problems": f"""@{_RAW} SELECT row, NULL::VARCHAR AS field, 'not_json' AS problem, NULL::VARCHAR AS told FROM raw WHERE broken
+        UNION ALL SELECT row, 'external_id', 'missing', NULL FROM raw WHERE NOT broken AND external_id IS NULL
+        UNION ALL SELECT row, 'division', 'unreadable', class_told FROM raw WHERE NOT broken AND division IS NULL
+        UNION ALL SELECT row, 'stance', 'unreadable', 'unknown' FROM raw WHERE NOT broken AND stance IS NULL
+        UNION ALL SELECT row, 'height_cm', 'unreadable', 'tall' FROM raw WHERE NOT broken AND tall
+        UNION ALL SELECT row, 'wins', 'unreadable', 'many' FROM raw WHERE NOT broken AND wins IS NULL
+        UNION ALL SELECT row, 'born', 'unreadable', '1980-02-30' FROM raw WHERE NOT broken AND born IS NULL""",
     "str08": """@RECURSIVE_starts AS (
             SELECT user_id, min(ts) AS start FROM events GROUP BY user_id
             UNION ALL SELECT s.user_id, min(e.ts) FROM RECURSIVE_starts s JOIN events e ON e.user_id = s.user_id AND e.ts >= s.start + INTERVAL 1 DAY GROUP BY s.user_id, s.start)

@@ -13,7 +13,7 @@ from .operators import agreement, canon, careers, checks, documents, fits, joins
 from .functions.names import name_key
 from .oracle import ORACLE_SQL  # noqa: F401
 from .plans.league import League, league
-from .sources import star, wikitables
+from .sources import rawfeed, star, wikitables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -350,6 +350,8 @@ for _key, _make in {
     "mdl17_impact": trainers.trainer_impact,
     "lnk05": checks.reign_owner,
     "src10": lambda w: wikitables.parsed(star.reign_pages(w), "page", "text", wikitables.reigns, wikitables.REIGN),
+    "src11": lambda w: rawfeed.mapped(star.raw_fighters(w), "row", "json", rawfeed.FIGHTER)[0].drop("reach_cm"),
+    "src11_problems": lambda w: rawfeed.mapped(star.raw_fighters(w), "row", "json", rawfeed.FIGHTER)[1],
     "src13": lambda w: wikitables.parsed(star.record_pages(w), "page", "text", wikitables.record, wikitables.RECORD),
     "str04": checks.rule_decisions,
     "str15": checks.lagging,

@@ -248,6 +248,21 @@ def mention_texts(w) -> DataFrame:  # noqa: ANN001
     return w.raw("documents").join(ends, "doc_id", "left").select("doc_id", F.concat_ws(" ", F.coalesce("text", F.lit("")), F.array_join("names", ", then ")).alias("text"))
 
 
+def raw_fighters(w) -> DataFrame:  # noqa: ANN001
+    """Fighters as a supplier's JSON: lengths in several units, two shapes of names and classes, some values missing or unreadable, some texts broken."""
+    k, text = F.col("boxer_id"), lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    inches = F.floor(F.col("height_cm") / 2.54 + 0.5).cast("int")
+    height = F.when(k % 6 == 0, F.col("height_cm").cast("string")).when(k % 6 == 1, text('"', F.col("height_cm").cast("string"), ' cm"'))
+    height = height.when(k % 6 == 2, text('"', F.floor(inches / 12).cast("string"), "' ", (inches % 12).cast("string"), '\\""')).when(k % 6 == 3, text('"', inches.cast("string"), ' in"')).when(k % 6 == 4, F.lit('"tall"'))
+    shape = F.when(k % 2 == 0, text('"name":"', F.col("name"), '","division":{"name":"', spelled(k, CLASS_NAMES), '"}')).otherwise(text('"names":{"full":" ', F.col("name"), ' "},"division":"', spelled(k, CLASS_NAMES), '"'))
+    number = F.when(k % 23 == 0, F.lit("")).otherwise(text('"id":', k.cast("string"), ","))
+    body = text(
+        "{", number, shape, ',"country":{"name":"', spelled(k, PLACES), '"},"physical":{"height":', F.coalesce(height, F.lit("null")), ',"stance":"', F.coalesce(F.lower("stance"), F.lit("unknown")), '"},"stats":{"wins":',
+        F.when(k % 9 == 0, F.lit('"many"')).otherwise((k % 50).cast("string")), '},"birth":{"date":"', F.when(k % 8 == 0, F.lit("1980-02-30")).otherwise(text((1960 + k % 40).cast("string"), "-05-17T00:00:00")), '"},"active":', F.col("active").cast("string"), "}",
+    )
+    return w.fighters.select(k.alias("row"), F.when(k % 37 == 5, F.substring(body, 1, 40)).otherwise(body).alias("json"))
+
+
 def contributions(w) -> DataFrame:  # noqa: ANN001
     """Readers' edits of teams, from events: of known fighters and some unknown ones, by trainers' names in two spellings and new names."""
     k, fighters, trainers = F.col("event_id"), w.fighters.count(), w.raw("supplier").count()
