@@ -156,6 +156,25 @@ def calibration(w: League) -> DataFrame:
     return calls(w).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.avg("chance").alias("expected"), F.avg(F.col("right").cast("double")).alias("actual"))
 
 
+# Calls that a bin needs to count, and the gap up to which stated and seen frequencies agree.
+LEAST_IN_BIN, GAP = 20, 0.03
+
+
+def calibration_verdict(bins: DataFrame) -> DataFrame:
+    """MDL11: whether favourites (bins of :func:`calibration`) win as often as stated: ``under`` says they win more often, ``over`` less often.
+
+    One row: ``verdict``, ``gap`` (seen less stated, weighted by calls) and ``n``, from bins with enough calls; without any there is no gap.
+    """
+    used = bins.where(F.col("n") >= LEAST_IN_BIN)
+    x = used.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("actual") - F.col("expected")) * F.col("n")) / F.sum("n"), F.lit(0.0)).alias("gap"))
+    return x.select(F.when(F.col("gap") > GAP, "under").when(F.col("gap") < -GAP, "over").otherwise("calibrated").alias("verdict"), "gap", "n")
+
+
+def worst_calls(w: League, n: int = 10) -> DataFrame:
+    """MDL10: the most certain calls that were wrong; ties newest first."""
+    return calls(w).where("NOT right").select("bout_id", "date", F.round("chance", 9).alias("chance")).orderBy(F.desc("chance"), F.desc("date"), F.desc("bout_id")).limit(n)
+
+
 def score_parts(w: League) -> DataFrame:
     """MDL22: 0 to 100 for each eligible bout, from seven parts; parts that are unknown are left out and the rest scaled up."""
     b = w.decided.where("method <> 'DQ' AND rounds >= 6")

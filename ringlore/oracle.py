@@ -763,6 +763,10 @@ _RAW = f"""raw AS (
     FROM (SELECT *, floor(height_cm / 2.54 + 0.5)::BIGINT AS inches FROM fighters))""".replace("None", "NULL")
 
 _PEOPLE = {
+    "mdl10_worst": f'@{_CALLS} SELECT bout_id, date, round(chance, 9) AS chance FROM calls WHERE NOT "right" ORDER BY round(chance, 9) DESC, date DESC, bout_id DESC LIMIT 10',
+    "mdl11_verdict": f"""@{_CALLS}, bins AS (SELECT count(*) AS n, avg("right"::INT) - avg(chance) AS d FROM calls GROUP BY least(floor(round(chance * 10, 9)), 9) HAVING count(*) >= 20),
+        g AS (SELECT coalesce(sum(d * n) / sum(n), 0) AS gap, coalesce(sum(n), 0)::BIGINT AS n FROM bins)
+        SELECT CASE WHEN gap > 0.03 THEN 'under' WHEN gap < -0.03 THEN 'over' ELSE 'calibrated' END AS verdict, round(gap, 6) AS gap, n FROM g""",
     "src11": f"@{_RAW} SELECT row, external_id, name, country, division, stance, height_cm, wins, born, active FROM raw WHERE NOT broken AND external_id IS NOT NULL",
     "src11_problems": f"""@{_RAW} SELECT row, NULL::VARCHAR AS field, 'not_json' AS problem, NULL::VARCHAR AS told FROM raw WHERE broken
         UNION ALL SELECT row, 'external_id', 'missing', NULL FROM raw WHERE NOT broken AND external_id IS NULL

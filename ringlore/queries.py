@@ -158,7 +158,9 @@ for _key, _make in {
     "mdl02": models.predictions,
     "mdl08": models.calls,
     "mdl09": models.calls_summary,
+    "mdl10_worst": models.worst_calls,
     "mdl11": models.calibration,
+    "mdl11_verdict": lambda w: models.calibration_verdict(models.calibration(w)),
     "mdl12": fits.win_rows,
     "mdl13_irls": fits.win_fit,
     "mdl16_finish": fits.finish_fit,
