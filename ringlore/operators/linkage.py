@@ -118,12 +118,28 @@ def three_pass_linkage(ours: DataFrame, staged: DataFrame) -> DataFrame:
     return claimed.where("linked").drop("linked")
 
 
-def venue_spellings(w: League) -> DataFrame:
-    """LNK06: of the spellings of a venue in a country the most frequent, then the longest, then the first."""
-    spelled = F.when(F.col("event_id") % 5 == 0, F.upper("venue")).when(F.col("event_id") % 5 == 1, F.concat("venue", F.lit("."))).otherwise(F.col("venue"))
-    x = w.events.select("country", F.regexp_replace(F.lower(spelled), "[^a-z0-9]", "").alias("key"), spelled.alias("spelling")).groupBy("country", "key", "spelling").agg(F.count("*").alias("n"))
-    own = Window.partitionBy("country", "key").orderBy(F.desc("n"), F.desc(F.length("spelling")), "spelling")
-    return x.withColumn("r", F.row_number().over(own)).where("r = 1").select("country", "key", F.col("spelling").alias("chosen"))
+#: share of a hall's real cities from which one of them is its city
+SURE_CITY = 0.6
+
+
+def unified_venues(cards: DataFrame) -> DataFrame:
+    """LNK06: cards (``event_id``, ``venue``, ``city``, ``country``) with one spelling for each hall of a city, and with a hall's real city where its own name stood for it.
+
+    Of spellings that fold to the same the most frequent (with its spelling of the city) is kept, then one with letters beyond ASCII, then the longest, then the first.
+    Where the city folds to the hall's name, the most frequent real city of that hall in that country replaces it if it has ``SURE_CITY`` of
+    them.  Names without letters and nulls are left alone.
+    """
+    hall, place = name_key(F.col("venue")), name_key(F.col("city"))
+    keyed = cards.withColumn("_hall", hall).withColumn("_place", place)
+    spelled = keyed.dropna(subset=["_hall", "_place"]).groupBy("_hall", "_place", "venue", "city").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("_hall", "_place").orderBy(F.desc("n"), F.desc(F.col("venue").rlike(r"[^\x00-\x7f]")), F.desc(F.length("venue")), "venue")  # spellings of a hall
+    best = spelled.withColumn("r", F.row_number().over(order)).where("r = 1").select("_hall", "_place", F.col("venue").alias("_best"))
+    x = keyed.join(best, ["_hall", "_place"], "left").withColumn("venue", F.coalesce("_best", "venue")).withColumn("_land", F.coalesce(name_key(F.col("country")), F.lit("")))
+    real = x.where("_place <> _hall").groupBy("_hall", "_land", "city").agg(F.count("*").alias("n"))
+    cities = real.groupBy("_hall", "_land").agg(F.max(F.struct("n")).alias("top"), F.sum("n").alias("all"), F.min_by("city", F.struct(F.negative("n"), "city")).alias("_city"))
+    cities = cities.where(F.col("top.n") >= SURE_CITY * F.col("all")).select("_hall", "_land", "_city")
+    x = x.join(cities, ["_hall", "_land"], "left").withColumn("city", F.when(F.col("_place") == F.col("_hall"), F.coalesce("_city", "city")).otherwise(F.col("city")))
+    return x.select(*cards.columns)
 
 
 def checked_claims(claims: DataFrame, bouts: DataFrame) -> DataFrame:

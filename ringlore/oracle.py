@@ -489,8 +489,6 @@ _LAST = {
     "fn14": "SELECT boxer_id, sha1(name)[1:12] AS sha1, sha256(name)[1:16] AS sha256, md5(name) AS md5, list_reduce(list_prepend(2166136261::HUGEINT, list_transform(range(1, length(name) + 1), lambda i: ascii(name[i])::HUGEINT)), lambda h, c: xor(h, c) * 16777619 % 4294967296)::BIGINT AS fnv FROM fighters",
     "fn16": """SELECT o_orderkey, CASE WHEN o_totalprice >= 1e6 THEN format('${:.1f}M', floor(o_totalprice / 1e6 * 10 + 0.5) / 10) WHEN o_totalprice >= 1e3 THEN format('${:.1f}k', floor(o_totalprice / 1e3 * 10 + 0.5) / 10) ELSE '$' || floor(o_totalprice + 0.5)::BIGINT END AS price FROM orders""",
     "fn20": r"""SELECT p_partkey, array_to_string(list_sort(list_distinct(w)), '|') AS sorted, array_to_string(w[1:2], '|') AS first_two, len(list_filter(w, lambda x: length(x) < 4)) = 0 AS all_long FROM (SELECT p_partkey, list_filter(regexp_split_to_array(p_type, '[\s\-]+'), lambda x: x <> '') AS w FROM part)""",
-    "lnk06": """SELECT country, key, spelling AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY country, key ORDER BY n DESC, length(spelling) DESC, spelling) AS r FROM (SELECT country, regexp_replace(lower(spelling), '[^a-z0-9]', '', 'g') AS key, spelling, count(*) AS n FROM (
-        SELECT country, CASE event_id % 5 WHEN 0 THEN upper(venue) WHEN 1 THEN venue || '.' ELSE venue END AS spelling FROM league_events) GROUP BY ALL)) WHERE r = 1""",
     "dq07": "SELECT event_id FROM league_events WHERE NOT cancelled AND event_id IN (SELECT event_id FROM bouts) AND event_id NOT IN (SELECT event_id FROM bouts WHERE method IS NOT NULL AND bout_id % 2 = 0)",
     "dq11": """@ok AS (SELECT boxer_id FROM careers WHERE sex = 'female' OR division NOT IN ('BUILDING', 'MACHINERY') OR (NOT boxer_id % 41 = 0 AND (boxer_id % 5 <> 0 OR boxer_id % 3 = 0))) SELECT count(*) FILTER (red_id IN (SELECT boxer_id FROM ok) AND blue_id IN (SELECT boxer_id FROM ok)) AS bouts, count(*) AS of FROM bouts""",
     "dq14": """SELECT 'many-draws' AS code, count(*) FILTER (draws > 6) AS n FROM careers UNION ALL SELECT 'no-losses', count(*) FILTER (losses = 0 AND bouts > 10) FROM careers UNION ALL SELECT 'very-young', (SELECT count(*) FROM (SELECT boxer_id, min(date) AS debut FROM won GROUP BY ALL) JOIN fighters USING (boxer_id) WHERE year(debut) - birth_year < 15)
@@ -763,6 +761,12 @@ _RAW = f"""raw AS (
     FROM (SELECT *, floor(height_cm / 2.54 + 0.5)::BIGINT AS inches FROM fighters))""".replace("None", "NULL")
 
 _PEOPLE = {
+    "lnk06": f"""@halls0 AS (SELECT event_id, country, CASE WHEN event_id % 5 = 0 THEN 'HALL ' || event_id % 40 WHEN event_id % 5 < 3 THEN 'Háll ' || event_id % 40 ELSE 'Hall ' || event_id % 40 || CASE WHEN event_id % 7 = 0 THEN '.' ELSE '' END END AS venue,
+            CASE WHEN event_id % 31 = 0 THEN NULL WHEN event_id % 6 = 0 THEN 'hall ' || event_id % 40 WHEN event_id % 40 < 20 THEN 'Port ' || event_id % 40 % 9 ELSE 'Port ' || event_id % 3 END AS city FROM league_events),
+        halls1 AS (SELECT *, {_name_key("venue")} AS kv, {_name_key("city")} AS kc, coalesce({_name_key("country")}, '') AS kl FROM halls0),
+        best AS (SELECT kv, kc, venue AS b FROM (SELECT kv, kc, venue, city, count(*) AS n FROM halls1 WHERE kc IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY kv, kc ORDER BY n DESC, length(venue) <> strlen(venue) DESC, length(venue) DESC, venue) = 1),
+        cities AS (SELECT kv, kl, city AS c FROM (SELECT kv, kl, city, count(*) AS n FROM halls1 WHERE kc <> kv GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY kv, kl ORDER BY n DESC, city) = 1 AND n >= 0.6 * sum(n) OVER (PARTITION BY kv, kl))
+        SELECT event_id, coalesce(b, venue) AS venue, CASE WHEN h.kc = h.kv THEN coalesce(c, city) ELSE city END AS city, country FROM halls1 h LEFT JOIN best USING (kv, kc) LEFT JOIN cities USING (kv, kl)""",
     "mdl10_worst": f'@{_CALLS} SELECT bout_id, date, round(chance, 9) AS chance FROM calls WHERE NOT "right" ORDER BY round(chance, 9) DESC, date DESC, bout_id DESC LIMIT 10',
     "mdl11_verdict": f"""@{_CALLS}, bins AS (SELECT count(*) AS n, avg("right"::INT) - avg(chance) AS d FROM calls GROUP BY least(floor(round(chance * 10, 9)), 9) HAVING count(*) >= 20),
         g AS (SELECT coalesce(sum(d * n) / sum(n), 0) AS gap, coalesce(sum(n), 0)::BIGINT AS n FROM bins)

@@ -311,7 +311,7 @@ for _key, _make in {
     "lnk01": lambda w: linkage.duplicate_profiles(star.profiles(w)).withColumn("ids", F.array_join("ids", ",")),
     "lnk01_bouts": lambda w: linkage.merged_profiles(star.profiles(w), w.bouts.select("bout_id", "red_id", "blue_id", "winner_id"))[1],
     "lnk04": lambda w: linkage.three_pass_linkage(star.people(w, "supplier", "s_suppkey", "s_nationkey", 53), star.people(w, "customer", "c_custkey", "c_nationkey", 37)),
-    "lnk06": linkage.venue_spellings,
+    "lnk06": lambda w: linkage.unified_venues(star.halls(w)),
     "dq02": money_told,
     "dq07": linkage.emptied_cards,
     "dq11": linkage.restricted,

@@ -263,6 +263,15 @@ def raw_fighters(w) -> DataFrame:  # noqa: ANN001
     return w.fighters.select(k.alias("row"), F.when(k % 37 == 5, F.substring(body, 1, 40)).otherwise(body).alias("json"))
 
 
+def halls(w) -> DataFrame:  # noqa: ANN001
+    """Cards with their halls and cities as several clerks spell them; at some the hall's name stands for the city."""
+    e = F.col("event_id")
+    h = (e % 40).cast("string")
+    venue = F.when(e % 5 == 0, F.concat(F.lit("HALL "), h)).when(e % 5 < 3, F.concat(F.lit("Háll "), h)).otherwise(F.concat(F.lit("Hall "), h, F.when(e % 7 == 0, ".").otherwise("")))
+    city = F.when(e % 6 == 0, F.concat(F.lit("hall "), h)).when(e % 40 < 20, F.concat(F.lit("Port "), (e % 40 % 9).cast("string"))).otherwise(F.concat(F.lit("Port "), (e % 3).cast("string")))
+    return w.events.select("event_id", venue.alias("venue"), F.when(e % 31 != 0, city).alias("city"), "country")
+
+
 def contributions(w) -> DataFrame:  # noqa: ANN001
     """Readers' edits of teams, from events: of known fighters and some unknown ones, by trainers' names in two spellings and new names."""
     k, fighters, trainers = F.col("event_id"), w.fighters.count(), w.raw("supplier").count()
