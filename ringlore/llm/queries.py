@@ -20,26 +20,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document, null ids first. Null and empty texts are the end id alone; repeated rows are documents of their own; no documents give no rows."""
     path = new_path(spark, "token-store")
     token_store.write_store(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
     return token_store.read_store(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per piece. Null and empty texts are the end id alone; repeated rows are packed each; no documents give no pieces."""
     pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document. Null and empty texts are one group; a null id loses to every other; of repeated rows one is kept."""
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
 def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per call. Turns of a null conversation and calls without identifier are left out; what is wrong with a call is told in ``problem``."""
     calls, results = tool_chat.calls_of_conversations(_table(spark, sf_dir, "conversations"))
     return tool_chat.link_calls(calls, results, tool_chat.SCHEMAS)
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document. Null and empty texts hold nothing; repeated rows are searched each."""
     found = pii.find_pii(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
@@ -49,20 +54,24 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document. Texts without words have fingerprint zero and are linked like others; a null id names a component only where it has no other."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op7_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document. A null text has 16 bytes; null metadata are a value of their own; fewer documents than shards leave shards empty."""
     placed = sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op8_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 20 rows per query. Vectors that are null, zero, not finite or of another length take no part; of a repeated id the least vector counts."""
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
 def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document. Null and empty texts have no ids; repeated rows are encoded each."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode_documents(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, and_decode=True)
     return encoded.select(
@@ -74,6 +83,7 @@ def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document. Null and empty texts score by the bias alone; without labels of both classes every score is the bias."""
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
     scored = quality.score_documents(docs, model)
