@@ -83,7 +83,7 @@ def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per document. Null and empty texts score by the bias alone; without labels of both classes every score is the bias."""
+    """A row per document. Null and empty texts score by the bias alone; repeated rows and null ids are scored by their text."""
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
     scored = quality.score_documents(docs, model)
