@@ -33,6 +33,7 @@ def archetype() -> Column:
     """PRJ03: the first rule that holds."""
     b, win, ko = F.col("bouts"), F.col("win_rate"), F.col("ko_rate")
     stopped = share(F.col("ko_losses"), F.col("losses"))
+    # The rules' bounds and names, in order.
     rules = [
         (b < 8, "Prospect"), (win < 0.4, "Journeyman"), (ko >= 0.55, "Knockout Artist"), ((ko >= 0.4) & (stopped <= 0.35), "Iron-Chin Brawler"),
         ((ko <= 0.3) & (win >= 0.6), "Technician"), ((F.col("avg_rounds") >= 7) & (ko < 0.4), "Volume Boxer"),

@@ -177,6 +177,7 @@ def worst_calls(w: League, n: int = 10) -> DataFrame:
 
 def score_parts(w: League) -> DataFrame:
     """MDL22: 0 to 100 for each eligible bout, from seven parts; parts that are unknown are left out and the rest scaled up."""
+    # The numbers within the parts, and their weights.
     b = w.decided.where("method <> 'DQ' AND rounds >= 6")
     pre = w.counted.where("side = 'red'").select("bout_id", F.col("pre").alias("ra"), F.col("opp_pre").alias("rb"))
     cards = w.scorecards.groupBy("bout_id").agg(F.avg(F.abs(F.col("red") - F.col("blue"))).alias("margin"), (F.countDistinct(F.signum(F.col("red") - F.col("blue"))) > 1).alias("split"))

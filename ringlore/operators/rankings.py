@@ -72,6 +72,7 @@ def record_list(w: League, which: str, n: int = 25, sex: str | None = None, divi
         return top(c.where("wins >= 15").select("boxer_id", "name", (F.col("kos") / F.col("wins")).alias("value"), "wins"), n, "value", F.desc("wins"), "name").drop("wins")
     a = c.join(accumulators(w), "boxer_id")
     if which == "greatest":
+        # Weights of a career's parts.
         parts = [(0.30, clamp((F.col("peak") - 1500) / 300)), (0.25, clamp(F.col("quality_wins") / 8)), (0.15, clamp(F.col("reign_days") / (365 * 8))), (0.10, clamp(F.col("defences") / 15)), (0.10, clamp(F.col("win_streak") / 30))]
         total = sum(p * v for p, v in parts) / sum(p for p, _ in parts)
         return top(a.where("bouts >= 10").select("boxer_id", "name", "rating", half_up(F.round(100 * total, 9)).alias("value")), n, "value", F.desc("rating"), "name").drop("rating")
