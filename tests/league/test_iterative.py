@@ -1,14 +1,17 @@
 """What SQL can't say, against plain Python: replay, fixpoints, fits, projections, fuzzy words, capped draws."""
 
 import datetime as dt
+import math
 import random
 from types import SimpleNamespace
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ringlore.operators import checks, fits, joins, merging, models, reviews, search, trainers
+from ringlore import oracle
+from ringlore.operators import checks, fits, joins, merging, models, reviews, search, stories, trainers
 from ringlore.plans.league import League, league
 
 SF = "/root/testdata/sf0.001"
@@ -210,3 +213,44 @@ def test_capped_draws(spark):
             want.add(i)
     got = reviews.capped_draws(spark.createDataFrame(bouts, "bout_id long, red_id long, blue_id long"), spark.createDataFrame(list(most.items()), "boxer_id long, draws long"))
     assert {x.bout_id for x in got.collect()} == want and want
+
+
+def far_apart(spark):
+    """Bouts of fighters whose ratings lie far apart: each pair meets three times, an underdog wins the second and the third."""
+    gaps = [0.0, 8.0, 2000.0, 6400.0, 6408.0, 300_000.0]
+    rows = [(10 * g + n, dt.date(2000, 1, 1 + n), "BUILDING", "male", 2 * g, 2 * g + 1, "UD", 2 * g + (n > 0), 1500.0 + gap, 1500.0) for g, gap in enumerate(gaps) for n in range(3)]
+    bouts = spark.createDataFrame(rows, BOUT + ", red_pre double, blue_pre double").withColumn("event_id", F.lit(1)).withColumn("cancelled", F.lit(False)).withColumn("end_round", F.lit(3)).withColumn("rounds", F.lit(3)).withColumn("round_time", F.lit("1:00"))
+    bouts = bouts.withColumn("title", F.lit(None).cast("string")).withColumn("title_org", F.lit(0)).withColumn("title_vacant", F.lit(False))
+    side = lambda a, b: bouts.withColumns({"boxer_id": F.col(f"{a}_id"), "opp_id": F.col(f"{b}_id"), "side": F.lit(a), "pre": F.col(f"{a}_pre"), "post": F.col(f"{a}_pre"), "opp_pre": F.col(f"{b}_pre"), "result": F.when(F.col("winner_id") == F.col(f"{a}_id"), "W").otherwise("L")})
+    return SimpleNamespace(spark=spark, bouts=bouts, decided=bouts, counted=side("red", "blue").unionByName(side("blue", "red")))
+
+
+def test_surprise_of_ratings_far_apart(spark):
+    """MDL08, MDL10: the underdog's chance is not 1 less the favourite's, which is rounding or nothing; a surprise has a bound and is never null."""
+    got = {x.bout_id: x.surprise for x in models.calls(far_apart(spark)).where("NOT right").collect()}
+    assert all(got[b] == pytest.approx(-math.log2(max(1e-6, 1 / (1 + 10 ** (gap / 400))))) for b, gap in ((11, 8), (21, 2000), (31, 6400), (41, 6408)))
+    assert got[51] == got[52] == pytest.approx(-math.log2(1e-6))
+
+
+def test_log_loss_of_ratings_far_apart(spark):
+    """MDL09: a winner's chance below rounding of 1 still counts as the chance it is."""
+    w = far_apart(spark)
+    low = {x.bout_id: x.low for x in models.rated_calls(w).collect()}
+    assert low[31] == pytest.approx(1e-16, rel=1e-9) and low[41] < low[31] and low[51] == 0.0
+
+
+def test_biggest_upset_of_ratings_far_apart(spark):
+    """VW03: of upsets that rounding would make equal the one of the larger gap is the biggest."""
+    w = far_apart(spark)
+    w.bouts = w.bouts.where("bout_id < 50")
+    w.decided, w.counted = w.bouts, w.counted.where("bout_id < 50")
+    assert stories.nights(w).first().upset_id == 41
+
+
+def test_mdl14_sql_says_the_same_bounds(spark):
+    """MDL14: SQL bounds the chances as the query does, however far ratings lie apart."""
+    w = far_apart(spark)
+    got = checks.surprise_share(w).first()
+    rows = ", ".join(f"('red', '{x.result}', {x.pre}::DOUBLE, {x.opp_pre}::DOUBLE)" for x in w.counted.where("side = 'red'").collect())
+    n, loss, brier = duckdb.sql(oracle.ORACLE_SQL["mdl14"].replace(oracle.LEAGUE, f"WITH won AS (SELECT * FROM (VALUES {rows}) t(side, result, pre, opp_pre))")).fetchone()
+    assert got.n == n and (loss, brier) == pytest.approx((got.log_loss, got.brier), abs=1e-6)
