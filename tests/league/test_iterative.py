@@ -7,12 +7,14 @@ from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ringlore import oracle
-from ringlore.operators import checks, fits, joins, merging, models, reviews, search, stories, trainers
+from ringlore.operators import agreement, checks, fits, joins, linkage, mentions, merging, models, reviews, search, stories, trainers
 from ringlore.plans.league import League, league
+from ringlore.sources import star
 
 SF = "/root/testdata/sf0.001"
 
@@ -252,5 +254,65 @@ def test_mdl14_sql_says_the_same_bounds(spark):
     w = far_apart(spark)
     got = checks.surprise_share(w).first()
     rows = ", ".join(f"('red', '{x.result}', {x.pre}::DOUBLE, {x.opp_pre}::DOUBLE)" for x in w.counted.where("side = 'red'").collect())
-    n, loss, brier = duckdb.sql(oracle.ORACLE_SQL["mdl14"].replace(oracle.LEAGUE, f"WITH won AS (SELECT * FROM (VALUES {rows}) t(side, result, pre, opp_pre))")).fetchone()
+    n, loss, brier = duckdb.sql(oracle.ORACLE_SQL["mdl14"].replace(oracle.LEAGUE, f"WITH won AS (SELECT * FROM (VALUES {rows}) t(side, result, pre, opp_pre))")).fetchall()[0]
     assert got.n == n and (loss, brier) == pytest.approx((got.log_loss, got.brier), abs=1e-6)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_is_exact_with_ties(spark):
+    """JOIN16: the nearest of each who asks, as all pairs give them, with many equal vectors."""
+    r, n = np.random.default_rng(1), 3000
+    v = np.round(r.normal(size=(n, 6)), 1)
+    v[:200] = v[0]
+    ids = r.permutation(n).astype(np.int64)
+    table = lambda rows, name: pa.table({name: ids[rows], **{f"v{i}": v[rows, i] for i in range(6)}})
+    ask = np.arange(0, n, 37)
+    got = joins._nearest(table(ask, "of_id"), table(np.arange(n), "boxer_id"), 5).to_pydict()
+    want = []
+    for a in ask:
+        d = np.sqrt(sum((v[:, j] - v[a, j]) ** 2 for j in range(6)))
+        want += [(int(ids[a]), x, k) for x, k in sorted((round(float(x), 9), int(k)) for x, k in zip(d, ids) if k != ids[a])[:5]]
+    assert sorted(zip(got["of_id"], got["d"], got["boxer_id"])) == sorted(want)
+    assert not joins._nearest(table(ask[:0], "of_id"), table(ask, "boxer_id"), 5).num_rows
+
+
+def test_pairs_of_fighters_are_not_rows(w):
+    """JOIN16: only the nearest of each cell are shuffled, and cells of any size agree."""
+    rows = lambda cell: {tuple(x) for x in joins.similar_fighters(w, F.col("boxer_id") % 20 == 0, cell=cell).collect()}
+    assert rows(5) == rows(1000)
+    assert "FlatMapCoGroupsInArrow" in plan(joins.similar_fighters(w, F.col("boxer_id") % 20 == 0))
+
+
+def test_facts_meet_by_one_shuffle(w):
+    """MDL32: claims of a fact are moved once."""
+    claims = star.fact_claims(w)
+    assert plan(agreement.judged_facts(claims)).count("Exchange hashpartitioning") == 1
+
+
+def test_issues_of_money_are_told_in_one_pass(w):
+    """DQ02: what is told of a row is written, so asking twice does no join and no window again."""
+    assert "Window" not in plan(linkage.money_issues(w)) and "Join" not in plan(linkage.money_issues(w))
+
+
+def test_rows_that_several_rules_read_are_checked_once(w):
+    """DQ01, DQ03: the checks of bouts are not part of the plans of all that refer to them."""
+    assert plan(merging.issues(w)).count("result_inconsistent") <= 1
+
+
+def test_card_of_a_repeated_bout_is_not_emptied(spark, w):
+    """DQ01: a row that repeats an id doesn't make its card one that lost its bouts."""
+    feed = star.feed(w)
+    one = feed.bouts.where("id IS NOT NULL").orderBy("row").limit(1)
+    again = one.withColumn("row", F.lit(10**12)).withColumn("event", F.lit("e-new"))
+    more = feed.events.limit(1).select(F.lit(10**12).alias("row"), F.lit("e-new").alias("id"), F.lit("2000-01-01").alias("date"))
+    found = merging.validated(feed._replace(bouts=feed.bouts.unionByName(again), events=feed.events.unionByName(more)), "2000-06-30")[0]
+    assert not found.where("code = 'event_emptied' AND id = 'e-new'").count() and found.where("code = 'dup_id' AND entity = 'bout'").count()
+
+
+def test_forms_of_words_are_not_broadcast(spark):
+    """SRCH06: a few names have many forms; small as they seem, they stay off the driver."""
+    words = spark.range(1000).select(F.concat(F.lit("fighter"), F.col("id").cast("string")).alias("word"))
+    assert "Broadcast" not in plan(mentions.near_pairs(words, words))
