@@ -2,6 +2,8 @@
 
 import pytest
 
+from ringlore.plans.league import League
+from ringlore.sources import star
 from ringlore.sources import wikitables as wt
 
 CLASS = """Intro with a {{template|a
@@ -113,3 +115,20 @@ def test_parsed(spark):
     rows = wt.parsed(pages, "id", "text", wt.reigns, wt.REIGN).collect()
     assert [r.page for r in rows] == [1] * 5 and rows[0].article == "Una First (athlete)" and rows[3].current
     assert wt.parsed(pages.limit(0), "id", "text", wt.record, wt.RECORD).count() == 0
+
+
+def test_plain_lines_read_as_by_marks():
+    page = "{|\n| a || {{yes2|Win}} || x=1 | [[A|B]] c || d ||| e\n! f !! g || h\n| i\ncontinued || j\n| {{small|k\n|l}} || m <br> n\n|}\n"
+    (_, rows), commented = next(wt.tables(page)), list(wt.tables(page + "<!-- -->"))
+    assert commented == [(["", ""], rows)]
+    assert [[c.lines for c in r] for r in rows] == [[["a"], ["Win"], ["B c"], ["d"], ["e"], ["f"], ["g"], ["h"], ["i", "continued"], ["j"], ["k"], ["m", "n"]]]
+    assert [c.text for c in wt._plain_cells("| a || {{yes2|Win}} || x=1 | [[A|B]] c")] == ["a", "Win", "B c"]
+
+
+def test_record_pages_need_no_ratings(spark):
+    def none(w):
+        raise AssertionError("ratings were asked for")
+
+    w = League(spark, "/root/testdata/sf0.001", ratings=none)
+    got = wt.parsed(star.record_pages(w), "page", "text", wt.record, wt.RECORD)
+    assert got.count() == 2 * w.bouts.where("method IS NOT NULL").count() > 0
