@@ -96,6 +96,22 @@ def test_core(w):
     assert core and {x.boxer_id for x in merging.coherent_core(w).collect()} == core
 
 
+def test_a_pass_of_trainer_impact_moves_no_observations(spark):
+    """Values come by chunks, with gaps; nothing is shuffled to look them up, whatever Spark thinks of their size."""
+    keys = [0, 3, 4095, 4096, (1 << 33) + 2, -1, -4097]
+    values = spark.createDataFrame([(k, float(k % 97) / 9, 0.0) for k in keys], "key long, v double, moved double")
+    rows = spark.createDataFrame([(a, b, t, u, 1, 1.0) for a in keys[:5] for b in keys[:5] for t, u in ((-1, None), (-4097, -1))], "own long, opp long, own_t long, opp_t long, n long, won double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = trainers._chances(rows, trainers._chunks(values), True)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        of = {k: float(k % 97) / 9 for k in keys} | {None: 0.0}
+        got = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 50 and all(abs(x.p - 1 / (1 + math.exp(of[x.opp] + of[x.opp_t] - of[x.own] - of[x.own_t]))) < 1e-9 for x in got)
+
+
 def test_trainer_impact(w):
     """A few passes over all bouts with a trainer on either side against the same steps in numpy, with errors, evidence and verdicts."""
     heads = {(x.bout_id, x.boxer_id): x.trainer_id for x in joins.head_trainer(w).collect()}
