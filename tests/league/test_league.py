@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ringlore.functions import columns as c
 from ringlore.operators import careers, documents, merging, models, rankings, search, titles
 from ringlore.plans.league import League, league
-from ringlore.sources import files
+from ringlore.sources import files, star
 from ringlore.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -147,3 +147,16 @@ def test_limiter_counts_only_allowed(spark, tmp_path):
         if expected[i]:
             held[u].append(t)
     assert {r.event_id: r.allowed for r in spark.table("allowed").collect()} == expected
+
+
+def test_frames_shuffle_no_bout_twice_for_its_host_or_ratings(spark):
+    """Cards hold their host's place, so bouts don't meet their hosts; given ratings come out of their shuffle into the join, not out of a table."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        w = League(spark, SF, ratings=star.running_score)
+        assert "host_n" in w._cards.columns and "host_n" not in w.events.columns
+        bouts = star.bouts(spark, SF, w.fighters, w._cards, w.as_of)
+        assert bouts._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 3
+        assert not [p for p in w.ratings.inputFiles() if "ringlore-ratings" in p]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
