@@ -160,3 +160,23 @@ def test_frames_shuffle_no_bout_twice_for_its_host_or_ratings(spark):
         assert not [p for p in w.ratings.inputFiles() if "ringlore-ratings" in p]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bouts_find_their_corners_without_a_shuffle(spark):
+    """Ids by place are broadcast in rows of a fixed length; the bouts are those of the shuffled look-up, and each is written once with both ratings."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        w = League(spark, SF, ratings=star.running_score)
+        few = star.bouts(spark, SF, w.fighters, w._cards, w.as_of, few=True)
+        assert few._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 1
+        many = star.bouts(spark, SF, w.fighters, w._cards, w.as_of)
+        assert few.exceptAll(many).isEmpty() and many.exceptAll(few).isEmpty() and few.count() > 5000
+        pool = spark.range(1000).selectExpr("'A' AS division", "'male' AS sex", "int(999 - id) AS pos", "id AS boxer_id")
+        assert {r.chunk: r.ids for r in star.seats(pool).collect()} == {i: [999 - p for p in range(256 * i, min(1000, 256 * i + 256))] for i in range(4)}
+        assert w.long.count() == 2 * w.rated.count() == 2 * w.bouts.count() and {p.rsplit("/", 1)[0].split("/")[-1][:21] for p in w.long.inputFiles()} == {"ringlore-rated-bouts-"}
+        # bouts lie by card: neither their ratings nor a count by card move them
+        by_card = w.bouts.groupBy("event_id").agg(F.max("part"))
+        assert "Exchange" not in by_card._jdf.queryExecution().executedPlan().toString()
+        assert w.rated.join(w.ratings, ["bout_id", "red_pre", "blue_pre", "red_change", "blue_change"]).count() == w.bouts.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
