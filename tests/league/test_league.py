@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ringlore.functions import columns as c
-from ringlore.operators import careers, documents, merging, models, rankings, search, titles
+from ringlore.operators import aggregates, careers, documents, merging, models, rankings, search, titles, views
 from ringlore.plans.league import League, league
 from ringlore.sources import files, star
 from ringlore.streaming import jobs
@@ -180,3 +180,17 @@ def test_bouts_find_their_corners_without_a_shuffle(spark):
         assert w.rated.join(w.ratings, ["bout_id", "red_pre", "blue_pre", "red_change", "blue_change"]).count() == w.bouts.count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_punches_cards_and_purses_of_a_bout_lie_in_its_row(spark, w):
+    """Sums of a bout need no shuffle but that of a histogram or a list; lists and rows say the same, also of a fighter in both corners."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (aggregates.punch_totals(w), aggregates.best_purses(w), models.score_reasons(w)):
+        assert "Exchange" not in plan(df)
+    assert "SortMergeJoin" not in plan(views.action_percentile(w))
+    got = w.punches.groupBy("bout_id", "boxer_id").agg(F.sum(F.expr("IF(round = 0, landed, NULL)")).alias("t"), F.sum(F.expr("IF(round > 0, landed, NULL)")).alias("r"), F.sum(F.expr("INT(round > 0)")).alias("n"))
+    want = got.selectExpr("bout_id", "boxer_id", "coalesce(t, r) AS landed", "n AS rounds")
+    assert want.exceptAll(aggregates.punch_totals(w)).isEmpty() and want.count() == 2 * w.decided.count()
+    alone = w.decided.where("bout_id % 3 = 0").limit(5).withColumn("blue_id", F.col("red_id")).select("bout_id", "red_id", F.explode(w.punches_of_bout()).alias("c")).select("bout_id", "red_id", "c.*")
+    rows = alone.collect()
+    assert len(rows) == 5 and all(r.boxer_id == r.red_id and sum(f.round == 0 for f in r.facts) == 2 for r in rows)
