@@ -4,7 +4,10 @@ import random
 
 import pytest
 
+from ringlore.functions import shuffles
 from ringlore.functions.shuffles import as_of
+from ringlore.operators import joins, views
+from ringlore.plans.league import League, league
 
 
 def brute(left, right, strict):
@@ -34,3 +37,35 @@ def test_as_of(spark, strict, parts):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before[0])
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+
+
+def test_as_of_shuffles_once_and_writes_the_left_rows_alone(spark, monkeypatch):
+    """What is looked up is shuffled by one range shuffle and not written; a table holds the rows that look, and a row for each range."""
+    tables, real = [], shuffles.written
+    monkeypatch.setattr(shuffles, "written", lambda df, label: tables.append((df, real(df, label))) or tables[-1][1])
+    a, b = spark.range(0, 7).selectExpr("id AS who", "50 AS day"), spark.range(0, 4000).selectExpr("id % 10 AS who", "int(id % 97) AS day", "id AS v")
+    assert as_of(a, b, "who", "day", ["v"]).count() == 7
+    (df, table), = tables
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert table.where("own IS NOT NULL").count() == 7 and table.count() <= 7 + int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_ratings_around_a_day_are_one_aggregate(spark):
+    w = league(spark, "/root/testdata/sf0.001")
+    plan = views.rank_before_and_after(w)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    day = w.counted.groupBy("date").count().orderBy("count").tail(1)[0].date
+    got = {r.boxer_id: (r.before, r.after) for r in joins.ratings_around(w, day).collect()}
+    rows = sorted((r.date, r.bout_id, r.boxer_id, r.post) for r in w.counted.select("date", "bout_id", "boxer_id", "post").collect())
+    last = lambda k, upto: ([1500.0] + [p for d, _, b, p in rows if b == k and upto(d)])[-1]
+    assert got == {k: (last(k, lambda d: d < day), last(k, lambda d: d <= day)) for k in got} and any(x != y for x, y in got.values())
+
+
+def test_fighters_of_no_bout_need_no_ratings(spark):
+    def none(w):
+        raise AssertionError("ratings were asked for")
+
+    w = League(spark, "/root/testdata/sf0.001", ratings=none)
+    got = joins.without_bout(w)
+    before_the_shuffle = got._jdf.queryExecution().optimizedPlan().toString()
+    assert before_the_shuffle.count("Aggregate") == 2 and got.count() > 0
