@@ -2,12 +2,13 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from ringlore.functions import columns as c
-from ringlore.operators import aggregates, careers, documents, merging, models, rankings, search, titles, views
+from ringlore.operators import aggregates, careers, documents, fits, merging, models, rankings, search, titles, views
 from ringlore.plans.league import League, league
 from ringlore.sources import files, star
 from ringlore.streaming import jobs
@@ -194,3 +195,37 @@ def test_punches_cards_and_purses_of_a_bout_lie_in_its_row(spark, w):
     alone = w.decided.where("bout_id % 3 = 0").limit(5).withColumn("blue_id", F.col("red_id")).select("bout_id", "red_id", F.explode(w.punches_of_bout()).alias("c")).select("bout_id", "red_id", "c.*")
     rows = alone.collect()
     assert len(rows) == 5 and all(r.boxer_id == r.red_id and sum(f.round == 0 for f in r.facts) == 2 for r in rows)
+
+
+def test_generated_code_of_bouts_is_compiled(spark):
+    """The JVM interprets generated methods of over 8,000 bytes; all bouts pass through this one."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        w = League(spark, SF, ratings=star.running_score)
+        made = star.bouts(spark, SF, w.fighters, w._cards, w.as_of, few=True)
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+        sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", made._jdf.queryExecution().explainString(mode))]
+        assert sizes and max(sizes) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_what_follows_by_fighter_is_one_shuffle_and_the_same(spark, w):
+    """Careers, records and terms before bouts against their forms by several joins, for ratings by fighter and by replay."""
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles(w.turns()) == 1 and shuffles(fits.finish_rows(w)) == 2
+    for league_ in (w, League(spark, SF)):
+        same = ["bout_id", "boxer_id", "opp_id", "date", "result", "pre", "post"]
+        a, b = league_.turns().select(same), league_.long.select(same)
+        assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() and a.count() == 2 * league_.bouts.count()
+        streak, runs = careers.current_streak(league_), careers.longest_run(league_, "W", draws_break=False)
+        assert streak.exceptAll(league_.careers.select("boxer_id", "streak_type", "streak")).isEmpty()
+        acc = rankings.accumulators(league_)
+        assert runs.exceptAll(acc.select("boxer_id", F.col("win_streak").alias("longest"))).isEmpty()
+        strong = league_.counted.where("result = 'W' AND opp_pre >= 1540").groupBy("boxer_id").agg(F.count("*").alias("quality_wins"))
+        assert strong.exceptAll(acc.select("boxer_id", "quality_wins")).isEmpty() and acc.agg(F.sum("quality_wins")).first()[0] == strong.agg(F.sum("quality_wins")).first()[0]
+        r = careers.running_record(league_).where("bouts_before >= 1")
+        both = r.groupBy("bout_id").count().where("count = 2")
+        assert fits.finish_rows(league_).count() == both.count() > 1000
+        got = fits.going_in(league_).where("bouts_before >= 1").select("bout_id", "boxer_id", "wins_before", "kos_before", "ko_losses_before", "days_idle")
+        assert r.select(got.columns).exceptAll(got).isEmpty()
