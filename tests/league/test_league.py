@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from ringlore import queries
 from ringlore.functions import columns as c
 from ringlore.operators import aggregates, careers, documents, fits, merging, models, rankings, search, titles, views
 from ringlore.plans.league import League, league
@@ -229,3 +230,10 @@ def test_what_follows_by_fighter_is_one_shuffle_and_the_same(spark, w):
         assert fits.finish_rows(league_).count() == both.count() > 1000
         got = fits.going_in(league_).where("bouts_before >= 1").select("bout_id", "boxer_id", "wins_before", "kos_before", "ko_losses_before", "days_idle")
         assert r.select(got.columns).exceptAll(got).isEmpty()
+
+
+def test_changes_are_worked_out_once_for_proposals(w):
+    """What is found and what was proposed before read one written table of changes, not the snapshots three times."""
+    x = queries.proposals(w)
+    assert len({p.rsplit("/", 1)[0] for p in x.inputFiles() if "ringlore-changes-" in p}) == 1
+    assert x.where("outcome <> 'superseded'").count() == merging.changes(w).count() > 1000
