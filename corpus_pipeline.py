@@ -18,6 +18,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Null and empty texts score by the bias alone; repeated rows are each judged; without labels of both classes all stay.
     """
+    # texts go to Python workers a thousand at a time: a batch of Spark's default of ten thousand whole documents is held several times over
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -32,6 +34,7 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def dissimilar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a Jaccard similarity of 0.8 of five-word shingles the one with the smallest id.
 
+    Candidates come from SimHash fingerprints linked by pivot distance tables, then from MinHash; each is checked on its whole sets.
     Fewer than five words are one shingle; texts without words are linked; a null id loses to every other; of repeated rows one stays.
     """
     return minhash.drop_near_duplicates(docs)

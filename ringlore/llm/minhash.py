@@ -1,10 +1,13 @@
-"""Near duplicates by the share of word shingles: candidates by MinHash bands, every link checked exactly.
+"""Near duplicates by the share of word shingles: candidates by SimHash, then by MinHash bands, every link checked exactly.
 
 Two documents are linked where the Jaccard similarity of their sets of five-word shingles is 0.8 or more.
 Pairs meet under a band of four equal minima; of 16 bands a pair of similarity 0.8 shares one with
 probability 0.9998, and a more similar pair with more.  Equal sets are one node.
 
-Pairs of a band group are not all compared.  First, over the first ``FIRST`` bands and then over the others, each member is held against
+Before the bands, texts whose SimHash fingerprints are linked (``simhash.py``: at most three differing bits, by pivot distance tables) are one
+group like that of a band.  Fingerprints bring copies together; of pairs of similarity 0.8 they miss most, which the bands then find.
+
+Pairs of a group are not all compared.  First over the linked fingerprints, then over the first ``FIRST`` bands and then over the others, each member is held against
 one hub of its group, unless all of the group stand under one root already; what links puts under one root needs no further
 comparison.  Members under different roots are then compared if their sizes and their distances to a hub allow it (1 less the similarity is a
 metric), once a pair, and only where they share one of their rarest shingles, which every similar enough pair does; shingles that no other
@@ -27,7 +30,7 @@ from pyspark.sql import types as T
 
 from ..operators.graph import connected_components
 from .common import join_per_key, keep_marked, text_of, written
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED, linked_groups, prints_of, shingle_hashes
 from .textcodes import slices
 
 WORDS, TENTHS = 5, 8
@@ -72,10 +75,12 @@ def _keys_task(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips, odd = _factors()
         for batch in slices(batches, "text", 1 << 20):
-            sets = [_shingle_set(t, words) for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            sets = [_shingle_set(t, words) for t in texts]
             keys = [band_keys(s, flips, odd) if len(s) else s for s in sets]
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), _nodes(sets), sizes, _longs(keys)], names=["doc_id", "text_hash", "node", "size", "keys"])
+            prints = pa.array(prints_of(texts).view(np.int64))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), _nodes(sets), sizes, prints, _longs(keys)], names=["doc_id", "text_hash", "node", "size", "fp", "keys"])
 
     return run
 
@@ -202,6 +207,11 @@ def _keyed(nodes: DataFrame, roots: DataFrame | None, bands: range) -> DataFrame
     return placed.select("node", "size", "root", F.explode(F.slice("keys", bands.start + 1, len(bands))).alias("key"))
 
 
+def _print_keyed(nodes: DataFrame) -> DataFrame:
+    """``node``, ``size``, ``root`` (itself) and ``key``, which nodes with linked fingerprints share."""
+    return linked_groups(nodes.select("node", "size", "fp")).select("node", "size", F.col("node").alias("root"), F.col("group").alias("key"))
+
+
 def _mixed(keyed: DataFrame, label: str) -> DataFrame:
     """The members of groups that hold more than one root, with the group's size ``n``."""
     groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 1 AND low != high")
@@ -212,8 +222,9 @@ def _mixed(keyed: DataFrame, label: str) -> DataFrame:
 def linked_roots(rows: DataFrame, nodes: DataFrame, words: int = WORDS, tenths: int = TENTHS) -> DataFrame | None:
     """``node`` and ``root`` of each node that has a link; None if no two nodes are linked."""
     roots, links, texts, counted = None, None, None, None
-    for bands in (range(FIRST), range(FIRST, BANDS)):
-        members = _mixed(_keyed(nodes, roots, bands), "band-members")
+    for bands in (None, range(FIRST), range(FIRST, BANDS)):
+        keyed = _print_keyed(nodes) if bands is None else _keyed(nodes, roots, bands)
+        members = _mixed(keyed, "band-members")
         count = members.count()
         if not count:
             continue
@@ -251,10 +262,10 @@ def linked_roots(rows: DataFrame, nodes: DataFrame, words: int = WORDS, tenths:
 def _components(docs: DataFrame, id_col: str, text_col: str, words: int, tenths: int) -> DataFrame:
     """``doc_id``, ``text_hash`` and ``stays`` (id and text hash of the component's first document) of every document."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    fields = [T.StructField(n, t) for n, t in (("text_hash", T.LongType()), ("node", T.LongType()), ("size", T.LongType()), ("keys", T.ArrayType(T.LongType())))]
+    fields = [T.StructField(n, t) for n, t in (("text_hash", T.LongType()), ("node", T.LongType()), ("size", T.LongType()), ("fp", T.LongType()), ("keys", T.ArrayType(T.LongType())))]
     keys = written(rows.mapInArrow(_keys_task(words), T.StructType([rows.schema["doc_id"], *fields])), "band-keys")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
-    nodes = keys.groupBy("node").agg(first.alias("least"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = keys.groupBy("node").agg(first.alias("least"), F.count("*").alias("copies"), F.first("size").alias("size"), F.min("fp").alias("fp"), F.first("keys").alias("keys"))
     nodes = written(nodes, "nodes")
     roots = linked_roots(rows, nodes, words, tenths)
     placed = nodes.select("node", "least", "copies")

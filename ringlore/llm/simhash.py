@@ -69,11 +69,16 @@ def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def prints_of(texts: list[str], words: int = 3) -> np.ndarray:
+    """The fingerprint (uint64) of each text."""
+    each = [np.array(shingle_hashes(t, words), np.uint64) for t in texts]
+    return majority_bits(np.concatenate(each), np.array([len(h) for h in each], np.int64))
+
+
 def _fingerprint_task(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            each = [np.array(shingle_hashes(t, words), np.uint64) for t in batch.column("text").to_pylist()]
-            prints = majority_bits(np.concatenate(each), np.array([len(h) for h in each], np.int64))
+            prints = prints_of(batch.column("text").to_pylist(), words)
             yield pa.record_batch([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
     return run
@@ -168,6 +173,14 @@ def linked_pairs(prints: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found).where(close).distinct()
 
 
+def linked_groups(nodes: DataFrame) -> DataFrame:
+    """Adds to ``nodes`` (with their fingerprint ``fp``) ``group``, a long that fingerprints linked by at most three differing bits share; equal ones are linked."""
+    prints = written(nodes.groupBy("fp").agg(F.count("*").alias("n")), "prints")
+    roots = connected_components(linked_pairs(prints.select("fp")))
+    placed = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("group"), "n")
+    return join_per_key(nodes, written(placed, "linked-prints"), "fp", nodes.count())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` (smallest id reachable through links) of every document.
 

@@ -84,3 +84,18 @@ def test_recall_of_bands_at_the_threshold():
         b = np.concatenate([b, r.integers(0, 1 << 64, 2, np.uint64)])
         met += bool((minhash.band_keys(a, flips, odd) == minhash.band_keys(b, flips, odd)).any())
     assert met >= 1990
+
+
+def test_fingerprints_bring_copies_together_before_the_bands(spark):
+    """Texts that differ in one word of hundreds share a group by pivot tables whatever their bands are; others do not."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(3)
+    base = [" ".join(f"w{x}" for x in r.integers(0, 5000, 900)) for _ in range(6)]
+    docs = spark.createDataFrame([(2 * i + j, t + (" end" if j else "")) for i, t in enumerate(base) for j in (0, 1)], "doc_id long, text string")
+    rows = docs.withColumn("text_hash", F.xxhash64("text"))
+    nodes = rows.mapInArrow(minhash._keys_task(5), "doc_id long, text_hash long, node long, size long, fp long, keys array<long>")
+    keyed = minhash._print_keyed(nodes).join(nodes.select("node", "doc_id"), "node").collect()
+    groups = {x.doc_id: x.key for x in keyed}
+    assert len(groups) == 12 and len(set(groups.values())) == 6 and all(groups[2 * i] == groups[2 * i + 1] for i in range(6))
