@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ringlore import oracle
+from ringlore.functions import shuffles
 from ringlore.operators import agreement, checks, fits, joins, linkage, mentions, merging, models, reviews, search, stories, trainers
 from ringlore.plans.league import League, league
 from ringlore.sources import star
@@ -308,6 +309,22 @@ def test_facts_meet_by_one_shuffle(w):
     assert plan(agreement.judged_facts(claims)).count("Exchange hashpartitioning") == 1
 
 
+def test_what_needs_no_ratings_asks_for_none(spark):
+    """MDL32, DQ01, DQ02, MDL17: corners, weights, claims, feeds and observations come from the bouts alone."""
+    def none(w):  # noqa: ANN001, ANN202
+        raise AssertionError("asked for ratings")
+
+    own = League(spark, SF, ratings=none)
+    assert own.corners.count() == 2 * own.bouts.count() and own.weigh_ins.count() and star.fact_claims(own).count() and star.money(own) and star.feed(own)
+    assert trainers._observations(own, spark.range(200).selectExpr("id", "id AS at"), spark.range(50).selectExpr("id", "-1 - id AS at")).count()
+
+
+def test_claims_are_dealt_into_tasks_that_sort_in_memory(spark, monkeypatch):
+    """MDL32: a task gets no more rows than it sorts without spilling, whatever the session's number of partitions."""
+    monkeypatch.setattr(shuffles, "TASK_ROWS", 10)
+    assert shuffles.dealt(spark.range(200).withColumnRenamed("id", "subject"), "subject").rdd.getNumPartitions() == 21
+
+
 def test_issues_of_money_are_told_in_one_pass(w):
     """DQ02: what is told of a row is written, so asking twice does no join and no window again."""
     assert "Window" not in plan(linkage.money_issues(w)) and "Join" not in plan(linkage.money_issues(w))
