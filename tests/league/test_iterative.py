@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+from collections import Counter
 from types import SimpleNamespace
 
 import duckdb
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ringlore import oracle
 from ringlore.functions import shuffles
 from ringlore.operators import agreement, checks, fits, joins, linkage, mentions, merging, models, reviews, search, stories, trainers
+from ringlore.operators.validation import Feed, validated
 from ringlore.plans.league import League, league
 from ringlore.sources import star
 
@@ -335,6 +337,40 @@ def test_rows_that_several_rules_read_are_checked_once(w):
     assert plan(merging.issues(w)).count("result_inconsistent") <= 1
 
 
+def test_rows_in_bouts_are_checked_where_they_lie(w):
+    """DQ01: nothing that comes in a bout is shuffled to it, to its fighters or to people; bouts are shuffled for who fights twice a day alone."""
+    exchanges = [x for x in plan(merging.issues(w)).splitlines() if "Exchange hashpartitioning" in x]
+    assert len(exchanges) <= 6 and not any("bout" in x or "judge" in x or "boxer_known" in x for x in exchanges)
+
+
+@pytest.mark.parametrize("most", [8_000_000, 3])
+def test_rows_in_bouts_and_apart_are_checked_alike(spark, w, monkeypatch, most):
+    """DQ01: repeated ids, rows that name another bout than the one they come in, cards of other bouts; also with sets too large to be sent."""
+    feed, n = star.feed(w), "row % 1000"
+    other = feed.events.agg(F.max("id")).first()[0]
+    odd = f"CASE WHEN {n} = 2 AND row % 7 = 0 THEN 'x' || (row - 1) WHEN {n} = 3 THEN 'x' || (row + 1) WHEN {n} = 4 THEN 'x' || (row - 1) ELSE id END"
+    b = feed.bouts.withColumn("id", F.expr(odd)).withColumn("event", F.expr(f"CASE WHEN row % 11 = 3 THEN '{other}' ELSE event END"))
+    inside = feed._replace(bouts=b)
+    apart = Feed(*feed[:2], b.drop("packet", "card_id", "card_date", "held"), *feed[3:5], *[t.of(b.select("held")) for t in feed[5:]])
+    monkeypatch.setattr(shuffles, "MOST_SENT", most)
+    a, z = (Counter(map(tuple, validated(x, "2000-06-30")[0].collect())) for x in (inside, apart))
+    assert a == z and a["error", "dup_id", "bout", "(blank)"] == 0 and sum(v for k, v in a.items() if k[1] == "dup_id" and k[2] == "bout") > 10
+
+
+def test_kept_rows_of_a_feed(w):
+    """DQ01: what is kept of a feed has the columns that were delivered, and no row in error."""
+    feed = star.feed(w)
+    found, kept = validated(feed, "2000-06-30")
+    wrong = {x.entity: x.n for x in found.where("severity = 'error'").groupBy("entity").agg(F.count("*").alias("n")).collect()}
+    assert kept.bouts.columns == feed.bouts.columns and kept.bouts.count() == feed.bouts.count() - wrong["bout"]
+    assert kept.punches.columns == feed.punches.columns and kept.punches.count() == w.punches.count() - wrong["punch_stat"]
+
+
+def test_lines_of_punches_are_those_of_the_lists(w):
+    lists = w.punch_lists.select("bout_id", "boxer_id", F.explode("facts").alias("f")).select("bout_id", "boxer_id", "f.*")
+    assert lists.exceptAll(w.punches).isEmpty() and lists.count() == w.punches.count()
+
+
 def test_card_of_a_repeated_bout_is_not_emptied(spark, w):
     """DQ01: a row that repeats an id doesn't make its card one that lost its bouts."""
     feed = star.feed(w)
