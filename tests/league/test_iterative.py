@@ -366,6 +366,15 @@ def test_kept_rows_of_a_feed(w):
     assert kept.punches.columns == feed.punches.columns and kept.punches.count() == w.punches.count() - wrong["punch_stat"]
 
 
+def test_groups_of_issues_sort_no_issues(w):
+    """DQ03: the two smallest ids of a group come from each task, not from a sort of all issues."""
+    assert "Window" not in plan(merging.issue_groups(w)).split("MapInArrow")[0]
+    ids = ["b", "a", None, "a", "c"]
+    batch = pa.record_batch([pa.array(["error"] * 5), pa.array(["x"] * 4 + ["y"]), pa.array(["bout"] * 5), pa.array(ids)], names=["severity", "code", "entity", "id"])
+    got = [r for b in merging._smallest_two(iter([batch, batch.slice(0, 1)])) for r in b.to_pylist()]
+    assert [(r["code"], r["n"], r["ids"]) for r in got] == [("x", 5, ["a", "a"]), ("y", 1, ["c"])]
+
+
 def test_lines_of_punches_are_those_of_the_lists(w):
     lists = w.punch_lists.select("bout_id", "boxer_id", F.explode("facts").alias("f")).select("bout_id", "boxer_id", "f.*")
     assert lists.exceptAll(w.punches).isEmpty() and lists.count() == w.punches.count()
