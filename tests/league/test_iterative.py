@@ -394,3 +394,18 @@ def test_forms_of_words_are_not_broadcast(spark):
     """SRCH06: a few names have many forms; small as they seem, they stay off the driver."""
     words = spark.range(1000).select(F.concat(F.lit("fighter"), F.col("id").cast("string")).alias("word"))
     assert "Broadcast" not in plan(mentions.near_pairs(words, words))
+
+
+@pytest.mark.parametrize("bits", [28, 13])
+def test_forms_that_nobody_typed_are_not_shuffled(spark, monkeypatch, bits):
+    """SRCH06: of many known words, few forms that no typed word has go on; pairs are the same with a sieve that is much too small."""
+    made = {}
+    keep = mentions.written
+    monkeypatch.setattr(mentions, "written", lambda df, label: made.setdefault(label, keep(df, label)))
+    monkeypatch.setattr(shuffles, "SIEVE_BITS", bits)
+    known = spark.range(300).select(F.concat(F.lit("fighter"), star.spelled_number(F.col("id"))).alias("word"))
+    typed = spark.createDataFrame([("fighterbalcer",), ("figterdim",), ("fihgtergurhav",), ("abc",)], "word string")
+    got = {tuple(x) for x in mentions.near_pairs(typed, known).collect()}
+    words = [x.word for x in known.collect()]
+    assert got == {(t, k, s) for t in ("fighterbalcer", "figterdim", "fihgtergurhav", "abc") for k in words if (s := mentions.slips_between(t, k)) is not None} and len(got) >= 3
+    assert made["forms-asked-for"].count() < 300 * (20 if bits == 28 else 60)
