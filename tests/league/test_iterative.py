@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ringlore import oracle
 from ringlore.functions import shuffles
 from ringlore.operators import agreement, checks, fits, joins, linkage, mentions, merging, models, reviews, search, stories, trainers
-from ringlore.operators.validation import Feed, validated
+from ringlore.operators.validation import Feed, validated, validated_money
 from ringlore.plans.league import League, league
 from ringlore.sources import star
 
@@ -409,3 +409,25 @@ def test_forms_that_nobody_typed_are_not_shuffled(spark, monkeypatch, bits):
     words = [x.word for x in known.collect()]
     assert got == {(t, k, s) for t in ("fighterbalcer", "figterdim", "fihgtergurhav", "abc") for k in words if (s := mentions.slips_between(t, k)) is not None} and len(got) >= 3
     assert made["forms-asked-for"].count() < 300 * (20 if bits == 28 else 60)
+
+
+def test_money_in_bouts_moves_no_rows_and_is_told_as_apart(w):
+    """DQ02: purses and weights find their bouts where they lie; of rows that are alike one is kept, as of others of one ref."""
+    money, plain = star.money(w)
+    whole = [t.of(plain.bouts.select("held")) for t in (money.purses, money.weights)]
+    apart = money._replace(purses=whole[0], weights=whole[1])
+    a, z = (Counter(map(tuple, validated_money(x, plain, "2000-06-30")[0].collect())) for x in (money, apart))
+    assert a == z and a and any(k[1] == "dup_purse" for k in a)
+    twice, kept = validated_money(apart._replace(purses=whole[0].union(whole[0])), plain, "2000-06-30")
+    once = whole[0].where("basis <> 'guess'").select("ref").distinct().count()
+    refs = kept.purses.groupBy("ref").count()
+    assert refs.where("count > 1").isEmpty() and 0 < refs.count() <= once
+    n = lambda t: sum(v for k, v in t.items() if k[1] == "dup_purse")
+    assert n(Counter(map(tuple, twice.collect()))) == 2 * n(a) + refs.count()
+
+
+def test_rows_of_one_ref_alone_are_sorted(spark):
+    rows = spark.createDataFrame([(k, v) for k, v in [("a", 2), ("a", 1), ("b", 1), ("c", 5), ("c", 5), (None, 1), (None, 1)]], "k string, v long")
+    got = sorted(((x.k or "", x.v, x.later) for x in shuffles.all_but_first(rows, F.col("k"), ["v"], "later").collect()))
+    assert got == [("", 1, False), ("", 1, False), ("a", 1, False), ("a", 2, True), ("b", 1, False), ("c", 5, False), ("c", 5, True)]
+    assert "Window" not in plan(shuffles.all_but_first(rows.where("v = 2"), F.col("k"), ["v"], "later"))
