@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import re
 from collections import Counter
 from types import SimpleNamespace
 
@@ -431,3 +432,11 @@ def test_rows_of_one_ref_alone_are_sorted(spark):
     got = sorted(((x.k or "", x.v, x.later) for x in shuffles.all_but_first(rows, F.col("k"), ["v"], "later").collect()))
     assert got == [("", 1, False), ("", 1, False), ("a", 1, False), ("a", 2, True), ("b", 1, False), ("c", 5, False), ("c", 5, True)]
     assert "Window" not in plan(shuffles.all_but_first(rows.where("v = 2"), F.col("k"), ["v"], "later"))
+
+
+def test_pages_of_records_are_made_in_small_tasks(w, monkeypatch):
+    """SRC13: a task sorts and holds no more rows than fit, whatever the session's number of partitions; no other shuffle follows."""
+    monkeypatch.setattr(shuffles, "TASK_ROWS", 1000)
+    shown = plan(star.record_pages(w))
+    exchanges = re.findall(r"Exchange hashpartitioning\(boxer_id#\w+, (\d+)\)", shown)
+    assert exchanges == [str(2 * w.bouts.count() // 1000 + 1)]
